@@ -26,7 +26,7 @@ from tidemark.llm.common import map_batches
 MAX_ROWS = 2400
 DIM = 1 << 12
 GRAMS = (1, 2, 3, 4)
-AMBIGUOUS = 0.55
+AMBIGUOUS = 0.5
 UNKNOWN = "und"
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat_format, decontaminate, language_id, license_scan, line_dedup, quality_rules, simhash_dedup
+from tidemark.llm import bpe, chat_format, decontaminate, html_extract, id_store, language_id, license_scan, line_dedup, quality_rules, simhash_dedup
 from tidemark.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,16 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where, vocabulary = Scratch(spark).path("store"), public_tokenizers.path("byte_bpe_50k.json")
+    id_store.write(table(spark, sf_dir, "documents"), where, vocabulary)
+    return id_store.read_digests(spark, where, vocabulary)
+
+
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op2_line_dedup": op2_line_dedup,
@@ -66,6 +76,8 @@ QUERIES: dict[str, Query] = {
     "op6_license_scan": op6_license_scan,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_id_store": op9_id_store,
+    "op10_html_extract": op10_html_extract,
 }
 
 ORACLES: dict[str, str] = {
