@@ -89,7 +89,18 @@ class Items:
                 self.table.append((item, n, fingerprint(h, w), h.view(np.int64).tolist(), w.tolist()))
         every = [x for v in self.lengths.values() for x in v]
         self.known = {k: np.unique(np.concatenate([x for n, v in self.lengths.items() for x in v if min(SHINGLE, n) == k])) for k in {min(SHINGLE, n) for n in self.lengths}} if every else {}
-        self.sizes = sorted(self.lengths)
+        # which lengths the items that hold a shingle have: an index into sets of lengths
+        sets: dict[tuple[int, ...], int] = {}
+        self.held = {}
+        for k, v in self.known.items():
+            of: dict[int, set[int]] = {}
+            for n, hs in self.lengths.items():
+                if min(SHINGLE, n) == k:
+                    for x in np.unique(np.concatenate(hs)).tolist():
+                        of.setdefault(x, set()).add(n)
+            self.held[k] = np.array([sets.setdefault(tuple(sorted(of[x])), len(sets)) for x in v.tolist()], dtype=np.int64)
+        self.length_sets = [np.array(x, dtype=np.int64) for x in sets]
+        self.has_length = {n: np.array([n in x for x in sets], dtype=bool) for n in self.lengths}
         # a small table of hash bits tells most shingles of no item
         self.maybe = {k: np.zeros(1 << 22, dtype=bool) for k in self.known}
         for k, v in self.known.items():
@@ -110,12 +121,16 @@ class Items:
             at = at[known[np.minimum(np.searchsorted(known, h[at]), len(known) - 1)] == h[at]]
             if not len(at):
                 continue
-            own = np.zeros(len(h), dtype=np.int64)
-            own[at] = w[at]
-            hits, total = (np.concatenate(([0], np.cumsum(x))) for x in (own, w))
-            for n in self.sizes:
-                if min(SHINGLE, n) != k or n > len(words):
+            total = np.concatenate(([0], np.cumsum(w)))
+            lengths = self.held[k][np.searchsorted(known, h[at])]
+            for n in np.unique(np.concatenate([self.length_sets[i] for i in np.unique(lengths).tolist()])).tolist():
+                if n > len(words):
                     continue
+                # only shingles of items of this length count
+                own = np.zeros(len(h) + 1, dtype=np.int64)
+                mine = at[self.has_length[n][lengths]]
+                own[mine + 1] = w[mine]
+                hits = np.cumsum(own)
                 m = n - k + 1
                 ok = np.flatnonzero(hits[m:] - hits[:-m] >= SIMILARITY * (total[m:] - total[:-m]))
                 for i in ok.tolist():
