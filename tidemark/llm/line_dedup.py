@@ -4,10 +4,13 @@
 2. A line's character shingles go to a one-permutation MinHash signature; bins without a shingle borrow from bins drawn by
    a hash (densification). Bands of a signature are hashed: lines that share a band are candidates. With BANDS bands of
    ROWS bins a pair of Jaccard similarity 0.8 is found with probability 0.99, of 0.85 with 0.999.
-3. In each band bucket all lines are verified against its smallest line (the hub), by the exact Jaccard similarity of
-   their shingle sets. Union-find over these links labels the lines.
-4. Pairs of a bucket that have different labels still, one of them not the hub's, are verified as well. So every pair of
-   every bucket either has one label or was compared, and a bucket of near copies costs a row per line, not per pair.
+3. In each band bucket all lines are verified against one of them, drawn by a hash of band and line (the hub), by the
+   exact Jaccard similarity of their shingle sets. Lines share several buckets, whose hubs differ, so nearly all lines of a
+   group of near copies find a link here. Union-find over these links labels the lines.
+4. Pairs of a bucket that have different labels still, one of them not the hub's, are compared as well: first by sketches
+   of SKETCH one-bit MinHash values, which leave out a pair of similarity 0.8 with probability below 1e-5, then exactly.
+   So every pair of every bucket either has one label or was compared, and a bucket of near copies costs a row per line
+   and a row per pair of lines that are similar or nearly so but not yet known to be in one class.
 5. Union-find over all links; of each component the first line, by (doc_id, line number), stays.
 
 Defined cases: null text has no lines; blank lines are never compared and stay; lines shorter than a shingle are one
@@ -17,6 +20,8 @@ table gives no rows. Two different lines share an XXH64 value with probability 2
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,6 +35,7 @@ BANDS = 12
 ROWS = 5
 SIMILARITY = 0.8
 BLANK = " \t\n\x0b\x0c\r"
+SKETCH = 256
 _BINS = BANDS * ROWS
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -55,26 +61,25 @@ def shingle_hashes(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.n
     return mix((sums[at + width] - sums[at]) * down[at]), offsets
 
 
-def _probes(tries: int = 256) -> np.ndarray:
-    i = np.arange(_BINS * tries, dtype=np.uint64).reshape(tries, _BINS)
-    return (mix(i + np.uint64(0x51ED270B)) % np.uint64(_BINS)).astype(np.int64)
-
+@functools.lru_cache(maxsize=4)
+def _probes(size: int, tries: int = 8) -> np.ndarray:
+    """Which bin an empty one borrows from, try by try."""
+    i = np.arange(size * size * tries, dtype=np.uint64).reshape(size * tries, size)
+    return (mix(i + np.uint64(0x51ED270B)) % np.uint64(size)).astype(np.int64)
 
-_PROBES = _probes()
 
-
-def signatures(lines: list[str]) -> np.ndarray:
+def signatures(lines: list[str], size: int = _BINS) -> np.ndarray:
     """One row of MinHash values per line."""
     h, offsets = shingle_hashes(lines)
     row = np.repeat(np.arange(len(lines)), np.diff(offsets))
-    bins = ((h >> np.uint64(32)) * np.uint64(_BINS) >> np.uint64(32)).astype(np.int64)
-    sig = np.full(len(lines) * _BINS, _EMPTY, dtype=np.uint64)
-    np.minimum.at(sig, row * _BINS + bins, h)
-    sig = sig.reshape(len(lines), _BINS)
+    bins = ((h >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
+    sig = np.full(len(lines) * size, _EMPTY, dtype=np.uint64)
+    np.minimum.at(sig, row * size + bins, h)
+    sig = sig.reshape(len(lines), size)
     full = sig != _EMPTY
     at = np.argwhere(~full)
     out = sig.copy()
-    for probe in _PROBES:
+    for probe in _probes(size):
         if not len(at):
             break
         lender = probe[at[:, 1]]
@@ -93,8 +98,37 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return key
 
 
+def sketches(lines: list[str]) -> np.ndarray:
+    """(lines, SKETCH / 64): one bit of each of SKETCH MinHash values."""
+    bits = (mix(signatures(lines, SKETCH)) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def _sketched(texts: DataFrame) -> DataFrame:
+    """(h, n, sketch) of each line; n its number of shingles."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        lines = b.column(1).to_pylist()
+        n = [max(1, len(x) - SHINGLE + 1) for x in lines]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(sketches(lines).tolist(), pa.list_(pa.int64()))], ["h", "n", "sketch"])
+
+    return map_batches(texts.select("h", "line"), run, "h long, n int, sketch array<long>")
+
+
+def _alike() -> Column:
+    """Whether sketches leave it open that lines x and y are similar: expected differing bits and 4.5 deviations, for as many independent values as the shorter line has shingles."""
+    differ = sum((F.bit_count(F.col("x_sketch")[i].bitwiseXOR(F.col("sketch")[i])) for i in range(1, SKETCH // 64)), F.bit_count(F.col("x_sketch")[0].bitwiseXOR(F.col("sketch")[0])))
+    share = (1 - SIMILARITY) / 2
+    return (differ <= SKETCH * (F.lit(share) + 4.5 * F.sqrt(F.lit(share * (1 - share)) / F.least(F.lit(SKETCH), "n", "x_n")))) & (F.least("n", "x_n") + 1e-9 >= SIMILARITY * F.greatest("n", "x_n") * 0.8)
+
+
+@functools.lru_cache(maxsize=1000)
+def _shingles(line: str) -> frozenset[str]:
+    return frozenset(line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1)))
+
+
 def jaccard(a: str, b: str) -> float:
-    x, y = ({s[i : i + SHINGLE] for i in range(max(1, len(s) - SHINGLE + 1))} for s in (a, b))
+    x, y = _shingles(a), _shingles(b)
     both = len(x & y)
     return both / (len(x) + len(y) - both)
 
@@ -155,7 +189,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(lines, components): each line's place and h; and (h, component) of the lines that have a near copy."""
     docs = docs.select("doc_id", "text")
-    by_key = Window.partitionBy("key").orderBy("h")
+    by_key = Window.partitionBy("key").orderBy(F.xxhash64("key", "h"))
     hubs = _bands(docs).withColumn("hub", F.first("h").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
     members = scratch.keep(hubs.where("h <> hub").distinct(), "members")  # of buckets with several lines, all but the hub
     wanted = members.select("h").union(members.select(F.col("hub").alias("h"))).distinct()
@@ -167,9 +201,12 @@ def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     named = every.join(label.withColumnRenamed("node", "h"), "h", "left").withColumn("label", F.coalesce("component", "h")).drop("component")
     named = named.join(label.select(F.col("node").alias("hub"), F.col("component").alias("hub_label")), "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub"))
     named = scratch.keep(named.select("key", "h", "label", "hub", "hub_label"), "named")
-    odd = named.where("label <> hub_label").select("key", "hub", F.col("h").alias("x"), F.col("label").alias("x_label"))
-    # the hub itself was compared already
-    more = odd.join(named.where("h <> hub").select("key", "h", "label"), "key").where("label <> x_label").select(F.least("x", "h").alias("a"), F.greatest("x", "h").alias("b")).distinct()
+    # only buckets with several labels go on; the hub itself was compared already
+    mixed = named.where("label <> hub_label").select("key").distinct()
+    named = named.where("h <> hub").join(mixed, "key", "left_semi").join(_sketched(texts), "h")
+    named = scratch.keep(named.select("key", "h", "label", "hub_label", "n", "sketch"), "sketched")
+    odd = named.where("label <> hub_label").select("key", F.col("h").alias("x"), F.col("label").alias("x_label"), F.col("n").alias("x_n"), F.col("sketch").alias("x_sketch"))
+    more = odd.join(named.select("key", "h", "label", "n", "sketch"), "key").where((F.col("label") != F.col("x_label")) & _alike()).select(F.least("x", "h").alias("a"), F.greatest("x", "h").alias("b")).distinct()
     second = scratch.keep(_verified(more, texts), "second")
     return all_lines.select("doc_id", "line_no", "h"), connected_components(first.union(second), scratch, "cc")
 
