@@ -16,8 +16,8 @@ Equal windows are compared once, however many documents hold them. Items are a s
 broadcast in blocks of at most MAX_SHINGLES, each block against all documents.
 
 Defined cases: null and empty texts have no windows, items without words match nothing; repeated items give a row each
-with their own item_id, repeated rows of one are one; rows that repeat a doc_id are one document; empty tables give no
-rows.
+with their own item_id, repeated rows of one are one; rows that repeat a doc_id are one document (so are all without
+an id); empty tables give no rows.
 """
 
 from __future__ import annotations
