@@ -345,3 +345,11 @@ def test_pipeline(spark, library):
     assert not brute_contaminated([(d, r.text) for d, r in rows.items() if len(r.text) < 4000], items)
     prints = [simhash_dedup.fingerprint(r.text, 5) for r in rows.values()]
     assert all((a ^ b).bit_count() > 3 for a, b in itertools.combinations(prints, 2))
+
+
+def test_quality_training_sample_is_the_rows_of_smallest_hash(spark):
+    rows = spark.range(30000).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).alias("bad"), *[(F.col("id") + i).alias(c) for i, c in enumerate(quality_rules.COUNTS)])
+    x, bad = quality_rules.as_arrays(rows, 500)
+    ids = [r["doc_id"] for r in rows.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(500).collect()]
+    assert x["n_words"].tolist() == ids and bad.tolist() == [i % 3 == 0 for i in ids]
+    assert len(quality_rules.as_arrays(rows.where("false"))[1]) == 0
