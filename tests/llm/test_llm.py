@@ -115,6 +115,15 @@ def test_line_dedup_recall_on_documents(spark, docs):
     assert sum(got[k] != v for k, v in want.items()) <= 0.002 * len(want)
 
 
+def test_line_dedup_lines_of_f(spark):
+    base = "or the wolf that lived beyond the seven hills came down to the village every winter to look at the people and the roo"
+    texts = ["f" + base + "f", base, "\x0cf" + base + "f\x0c", "f" + base + "fs\nfff\n\x0c\nor x", "for x\nff", base[:60] + "f"]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.line_no): r.kept for r in line_dedup.line_classes(docs).collect()} == brute_lines(rows)
+    assert {r.line for r in line_dedup.lines_of(docs).collect()} == {x.strip(line_dedup.BLANK) for _, t in rows for x in t.split("\n") if x.strip(line_dedup.BLANK)}
+
+
 def test_dedup_lines_keeps_columns(spark, odd):
     out = line_dedup.dedup_lines(odd)
     assert out.columns == odd.columns and out.count() >= 3

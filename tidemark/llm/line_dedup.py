@@ -136,7 +136,7 @@ def jaccard(a: str, b: str) -> float:
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, h) of every non-blank line, trimmed."""
     at = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    at = at.select("doc_id", "line_no", F.expr("trim(BOTH ' \\t\\n\\u000b\\f\\r' FROM line)").alias("line"))
+    at = at.select("doc_id", "line_no", F.expr("trim(BOTH ' \\t\\n\\u000b\\u000c\\r' FROM line)").alias("line"))
     return at.where("line <> ''").withColumn("h", line_key(F.col("line")))
 
 
@@ -236,6 +236,6 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     edges = F.concat(F.array(F.lit(-1)), numbers, F.array(F.size(lines)))
     runs = F.transform(F.sequence(F.lit(0), F.size("__cut")), lambda i: F.slice(lines, F.element_at(edges, i + 1) + 2, F.element_at(edges, i + 2) - F.element_at(edges, i + 1) - 1))
     text = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n"))
-    out = joined.withColumn("__text", text).where("__cut IS NULL OR trim(BOTH ' \\t\\n\\u000b\\f\\r' FROM __text) <> ''")
+    out = joined.withColumn("__text", text).where("__cut IS NULL OR trim(BOTH ' \\t\\n\\u000b\\u000c\\r' FROM __text) <> ''")
     cols = [F.col("__text").alias("text") if c == "text" else F.length("__text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*cols)
