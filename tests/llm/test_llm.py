@@ -213,6 +213,35 @@ def test_decontamination_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in small.collect()} == brute_contaminated(rows[:8], items)
 
 
+def test_decontamination_of_documents_shorter_than_the_item(spark):
+    def brute(docs, items):
+        out = set()
+        for item, text in items:
+            words, sizes = decontaminate.words_of(text)
+            n, k = len(words), min(decontaminate.SHINGLE, len(words))
+            want = decontaminate.weights(*decontaminate.shingles_of(words, sizes, k))
+            for d, t in docs:
+                w, s = decontaminate.words_of(t)
+                m = min(n, len(w))
+                if m >= k and any(decontaminate.similarity(decontaminate.weights(*decontaminate.shingles_of(w[i : i + m], s[i : i + m], k)), want) >= 0.8 for i in range(len(w) - m + 1)):
+                    out.add((d, item))
+        return out
+
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 5))
+    passage = [word() for _ in range(40)]
+    texts = [passage[:-1], passage[1:], passage[:2] + passage[3:], passage[:33], passage[:32], passage[:20], passage[:4], [word() for _ in range(39)], passage[:-1] + [word()], [word(), *passage[:38]]]
+    docs = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    items = [(1, " ".join(passage)), (2, " ".join(passage[:36])), (3, " ".join(passage[5:9]))]
+    want = brute(docs, items)
+    assert {(0, 1), (1, 1), (2, 1), (3, 1)} <= want and (5, 1) not in want
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(d, b).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert {(r.first_word, r.n_words) for r in got if (r.doc_id, r.item_id) == (0, 1)} == {(0, 39)}
+    assert {r.doc_id for r in decontaminate.remove_contaminated(d, b).collect()} == {i for i, _ in docs} - {i for i, _ in want}
+
+
 def test_decontamination_edges(spark, odd):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(odd, bench).count() == 0

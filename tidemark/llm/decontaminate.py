@@ -3,9 +3,9 @@
 Words are runs of ASCII letters and digits (A-Z lower-cased) and characters beyond ASCII; shingles are five words (a
 shorter item is one shingle of all its words), weighted by their letters and by how often they stand.
 
-1. For each distinct item length, a document's windows of as many words are taken where they can match at all: the share
-   of a window's weight in shingles that some item has bounds its similarity to every item, so windows under the threshold
-   are left out without loss.
+1. For each distinct item length, a document's windows of as many words (a document with fewer words is one window) are
+   taken where they can match at all: the share of a window's weight in shingles that some item has bounds its similarity
+   to every item, so windows under the threshold are left out without loss.
 2. Windows and items get weighted SimHash fingerprints of 64 bits. They are cut into BLOCKS blocks; within RADIUS bits some
    block differs by RADIUS // BLOCKS at most, so items stored under the Hamming ball of each block are found by a
    window's own blocks, all of them, and verified over all bits. (A window as similar as the threshold is within RADIUS
@@ -79,6 +79,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.lengths: dict[int, list[np.ndarray]] = {}
+        self.lightest: dict[int, int] = {}  # of the items of a length, the least weight
         self.table: list[tuple[int, int, int, list[int], list[int]]] = []
         for item, text in rows:
             words, sizes = words_of(text or "")
@@ -86,6 +87,7 @@ class Items:
             if n:
                 h, w = shingles_of(words, sizes, min(SHINGLE, n))
                 self.lengths.setdefault(n, []).append(h)
+                self.lightest[n] = min(int(w.sum()), self.lightest.get(n, int(w.sum())))
                 self.table.append((item, n, fingerprint(h, w), h.view(np.int64).tolist(), w.tolist()))
         every = [x for v in self.lengths.values() for x in v]
         self.known = {k: np.unique(np.concatenate([x for n, v in self.lengths.items() for x in v if min(SHINGLE, n) == k])) for k in {min(SHINGLE, n) for n in self.lengths}} if every else {}
@@ -106,8 +108,8 @@ class Items:
         for k, v in self.known.items():
             self.maybe[k][(v & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
-    def windows(self, text: str) -> list[tuple[int, int, int, int, list[int], list[int]]]:
-        """(start, length, identity, fingerprint, shingles, weights) of the windows that may match."""
+    def windows(self, text: str) -> list[tuple[int, int, int, int, int, list[int], list[int]]]:
+        """(start, item length, length, identity, fingerprint, shingles, weights) of the windows that may match."""
         words, sizes = words_of(text)
         out = []
         for k, known in self.known.items():
@@ -124,18 +126,20 @@ class Items:
             total = np.concatenate(([0], np.cumsum(w)))
             lengths = self.held[k][np.searchsorted(known, h[at])]
             for n in np.unique(np.concatenate([self.length_sets[i] for i in np.unique(lengths).tolist()])).tolist():
-                if n > len(words):
-                    continue
+                size = min(n, len(words))  # a document shorter than the item is one window
                 # only shingles of items of this length count
                 own = np.zeros(len(h) + 1, dtype=np.int64)
                 mine = at[self.has_length[n][lengths]]
                 own[mine + 1] = w[mine]
                 hits = np.cumsum(own)
-                m = n - k + 1
-                ok = np.flatnonzero(hits[m:] - hits[:-m] >= SIMILARITY * (total[m:] - total[:-m]))
-                for i in ok.tolist():
+                m = size - k + 1
+                ok = hits[m:] - hits[:-m] >= SIMILARITY * (total[m:] - total[:-m])
+                if size < n:
+                    ok &= hits[m:] - hits[:-m] >= SIMILARITY * self.lightest[n]
+                for i in np.flatnonzero(ok).tolist():
                     own_h, own_w = h[i : i + m], w[i : i + m]
-                    out.append((i, n, int(window_hashes(words[i : i + n], n).view(np.int64)[0]), fingerprint(own_h, own_w), own_h.view(np.int64).tolist(), own_w.tolist()))
+                    same = int(window_hashes(words[i : i + size], size).view(np.int64)[0])
+                    out.append((i, n, size, same, fingerprint(own_h, own_w), own_h.view(np.int64).tolist(), own_w.tolist()))
         return out
 
 
@@ -160,12 +164,12 @@ def _find(docs: DataFrame, rows: list[tuple[int, str]], scratch: Scratch, tag: s
         found = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for x in shared.value.windows(t)]
         if not found:
             return None
-        d, start, n, same, fp, h, w = zip(*found)
-        kinds = [b.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((d, start, n, same, [_signed(x) for x in fp], h, w), kinds)], ["doc_id", "start", "n_words", "same", "fp", "h", "w"])
+        d, start, n, size, same, fp, h, w = zip(*found)
+        kinds = [b.schema.field(0).type, *[pa.int64()] * 5, pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((d, start, n, size, same, [_signed(x) for x in fp], h, w), kinds)], ["doc_id", "start", "n_words", "size", "same", "fp", "h", "w"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    windows = scratch.keep(map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, start long, n_words long, same long, fp long, h array<long>, w array<long>"), f"windows-{tag}")
+    windows = scratch.keep(map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, start long, n_words long, size long, same long, fp long, h array<long>, w array<long>"), f"windows-{tag}")
     distinct = windows.select("n_words", "same", "fp", "h", "w").dropDuplicates(["n_words", "same"])
     stored = spark.createDataFrame([(i, n, _signed(fp), h, w) for i, n, fp, h, w in items.table], "item_id long, n_words long, item_fp long, item_h array<long>, item_w array<long>")
     balls = F.array(*[F.array(*map(F.lit, _ball(hi - lo, RADIUS // BLOCKS))).cast("array<bigint>") for lo, hi in zip(_CUTS, _CUTS[1:])])
@@ -188,8 +192,8 @@ def _find(docs: DataFrame, rows: list[tuple[int, str]], scratch: Scratch, tag: s
 
     rows_ = pairs.join(distinct.drop("fp"), ["n_words", "same"]).join(stored.select("item_id", "item_h", "item_w"), "item_id").select("n_words", "same", "item_id", "h", "w", "item_h", "item_w")
     verified = map_batches(rows_, verify, "n_words long, same long, item_id long, similarity double").where(F.col("similarity") >= SIMILARITY)
-    hits = windows.select("doc_id", "start", "n_words", "same").join(verified, ["n_words", "same"])
-    return hits.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words")).alias("best"))
+    hits = windows.select("doc_id", "start", "n_words", "size", "same").join(verified, ["n_words", "same"])
+    return hits.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), F.col("size").alias("n_words"))).alias("best"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, max_shingles: int = MAX_SHINGLES) -> DataFrame:
