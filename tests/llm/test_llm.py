@@ -271,6 +271,52 @@ def test_license_edits(spark):
     assert got[2].labels == "" and got[2].score == 0
 
 
+def brute_spans(joined, notice, edits):
+    """The span of fewest edits among all runs of words, then those before and after it; and how many edits."""
+    ends = [*(i for i, c in enumerate(joined) if c == " "), len(joined)]
+    starts = [0, *(i + 1 for i in ends[:-1])]
+    found = []
+    for start in starts:
+        row = list(range(len(notice) + 1))
+        for at in range(start, min(len(joined), start + len(notice) + edits)):
+            last, row = row, [row[0] + 1]
+            for j, c in enumerate(notice):
+                row.append(min(last[j] + (c != joined[at]), last[j + 1] + 1, row[j] + 1))
+            if at + 1 in ends and row[-1] <= edits:
+                found.append((row[-1], start, at + 1))
+    kept = []
+    for e, start, end in sorted(found):
+        if all(end < a or b < start for a, b, _ in kept):
+            kept.append((start, end, e))
+    return sorted(kept)
+
+
+def test_license_adjacent_notices():
+    mit, gpl = license_scan.NOTICES[0], license_scan.NOTICES[4]
+    texts = [
+        "released under the mit licens released under the mit license",
+        "released under the mit license released under the mit licens",
+        "relased undr the mit license released under the mitt license x released under the mit license",
+        "a released under the mit licenses released under the mit licens and released under the mit license released",
+        "released under the mit licence the mit license released under the mit licensexyz",
+    ]
+    rng = np.random.default_rng(6)
+    for notice, _, edits in (mit, gpl):
+        for _ in range(30):
+            copies = []
+            for _ in range(int(rng.integers(2, 5))):
+                x = list(notice)
+                for at in rng.choice(len(x), int(rng.integers(0, edits)), replace=False):
+                    x[at] = "q" if x[at] != " " else " "
+                copies.append("".join(x))
+            texts.append(" ".join(copies))
+    s = license_scan.Scanner()
+    for text in texts:
+        for notice, label, edits in (mit, gpl):
+            got = [(a, b, e) for a, b, e, v in s.spans(text) if v == label]
+            assert got == brute_spans(text, notice, edits), text
+
+
 # 7 quality
 
 

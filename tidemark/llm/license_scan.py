@@ -120,13 +120,16 @@ class Scanner:
         out = []
         for i, own in windows.items():
             _, label, _ = self.notices[i]
-            for lo, hi in own:
-                at = lo
-                while at < hi and (m := self.fuzzy[i].search(joined, at, hi)):
-                    # the window's edges aren't word ends
-                    if (m.start() == 0 or joined[m.start() - 1] == " ") and (m.end() == len(joined) or joined[m.end()] == " "):
-                        out.append((m.start(), m.end(), sum(m.fuzzy_counts), label))
-                    at = max(m.end(), at + 1)
+            # the best match of each part is taken first, then what stands before and after it is searched
+            parts = [(lo, hi) for lo, hi in own]
+            while parts:
+                lo, hi = parts.pop()
+                if 0 < hi < len(joined) and joined[hi] != " ":  # a part's end must be a word's
+                    hi = joined.rfind(" ", lo, hi)
+                m = self.fuzzy[i].search(joined, lo, hi) if lo < hi else None
+                if m:
+                    out.append((m.start(), m.end(), sum(m.fuzzy_counts), label))
+                    parts += [(lo, m.start() - 1), (m.end() + 1, hi)]
         # where notices overlap, those with the fewest edits stay
         kept: list[tuple[int, int, int, str]] = []
         for x in sorted(out, key=lambda x: x[2]):
