@@ -414,6 +414,17 @@ def test_html(spark):
     assert got[2].text == got[3].text == "" and got[1].n_chars == len(got[1].text)
 
 
+def test_html_keeps_math_svg_and_object():
+    page = (
+        "<p>The area <math><mi>pi</mi><mo>*</mo><msup><mi>r</mi><mn>2</mn></msup></math> of a disc.</p><svg viewBox='0 0 1 1'><path d='M0 0'/><g><text>Harbour map</text></g></svg>"
+        "<p>One <script>var a</script>two <object data='x'>a fallback</object> three.</p><object><p>Still here<p>and here"
+    )
+    got = [t for _, t, _ in html_extract.blocks(page)]
+    assert got == ["The area pi*r2 of a disc.", "Harbour map", "One", "two a fallback three.", "Still here", "and here"]
+    paths = [p for p, *_ in html_extract.blocks("<div><svg><path/><rect/></svg><p>x</p></div>")]
+    assert paths == [("div", "p")]
+
+
 # pipeline
 
 

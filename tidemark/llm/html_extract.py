@@ -7,8 +7,8 @@ decision sees what stands before and after. It is trained here, on pages that a
 (articles among menus, headers, footers, sidebars, notices, adverts, forms and comments, in many markups).
 
 Defined cases: null and empty html give an empty text; html without a tag is one block; unclosed and stray tags are read
-as browsers do in the main (a new paragraph closes an open one); contents of scripts, styles, templates and the head's
-title are never text; character references are decoded once; repeated rows give equal texts; an empty table no rows.
+as browsers do in the main (a new paragraph closes an open one); contents of scripts, styles, templates, iframes,
+noscript and title elements are never text, those of math, svg and object are; character references are decoded once; repeated rows give equal texts; an empty table no rows.
 """
 
 from __future__ import annotations
@@ -29,9 +29,13 @@ PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 512, 32, 6, 20
 TRAIN_PAGES = 1200
 
 #: HTML element names by how they are read.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+FOREIGN = frozenset(
+    "math maction annotation annotation-xml menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics "
+    "svg circle clippath defs desc ellipse filter g image line lineargradient marker mask path pattern polygon polyline radialgradient rect stop symbol text textpath tspan use".split()
+)
+INLINE = FOREIGN | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-OPAQUE = frozenset("script style template noscript iframe title svg math object".split())
+OPAQUE = frozenset("script style template noscript iframe title".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -92,7 +96,7 @@ def blocks(page: str) -> list[Block]:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = end.end() if end else n
             continue
-        if tag in VOID:
+        if tag in VOID or tag in FOREIGN and attrs.endswith("/"):
             continue
         shut = SAME.get(tag) or ({"p"} if tag in CLOSES_P else None)
         if shut:
