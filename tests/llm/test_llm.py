@@ -124,6 +124,13 @@ def test_line_dedup_lines_of_f(spark):
     assert {r.line for r in line_dedup.lines_of(docs).collect()} == {x.strip(line_dedup.BLANK) for _, t in rows for x in t.split("\n") if x.strip(line_dedup.BLANK)}
 
 
+def test_line_dedup_repeated_shingles(spark):
+    texts = ["-" * 20, "-" * 60, "ha " * 12 + "x", "ha " * 30 + "x", "=" * 300, "-=" * 9, "-=" * 40, "-----", "------", "--=---", "=" * 6 + "\n" + "ab" * 3]
+    rows = list(enumerate(texts))
+    got = line_dedup.line_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.doc_id, r.line_no): r.kept for r in got.collect()} == brute_lines(rows)
+
+
 def test_dedup_lines_keeps_columns(spark, odd):
     out = line_dedup.dedup_lines(odd)
     assert out.columns == odd.columns and out.count() >= 3

@@ -105,21 +105,21 @@ def sketches(lines: list[str]) -> np.ndarray:
 
 
 def _sketched(texts: DataFrame) -> DataFrame:
-    """(h, n, sketch) of each line; n its number of shingles."""
+    """(h, n, sketch) of each line; n its number of distinct shingles."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         lines = b.column(1).to_pylist()
-        n = [max(1, len(x) - SHINGLE + 1) for x in lines]
+        n = [len(_shingles(x)) for x in lines]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(sketches(lines).tolist(), pa.list_(pa.int64()))], ["h", "n", "sketch"])
 
     return map_batches(texts.select("h", "line"), run, "h long, n int, sketch array<long>")
 
 
 def _alike() -> Column:
-    """Whether sketches leave it open that lines x and y are similar: expected differing bits and 4.5 deviations, for as many independent values as the shorter line has shingles."""
+    """Whether sketches leave it open that lines x and y are similar: expected differing bits and 4.5 deviations, for as many independent values as the line of fewer distinct shingles has; and their numbers, which bound the similarity."""
     differ = sum((F.bit_count(F.col("x_sketch")[i].bitwiseXOR(F.col("sketch")[i])) for i in range(1, SKETCH // 64)), F.bit_count(F.col("x_sketch")[0].bitwiseXOR(F.col("sketch")[0])))
     share = (1 - SIMILARITY) / 2
-    return (differ <= SKETCH * (F.lit(share) + 4.5 * F.sqrt(F.lit(share * (1 - share)) / F.least(F.lit(SKETCH), "n", "x_n")))) & (F.least("n", "x_n") + 1e-9 >= SIMILARITY * F.greatest("n", "x_n") * 0.8)
+    return (differ <= SKETCH * (F.lit(share) + 4.5 * F.sqrt(F.lit(share * (1 - share)) / F.least(F.lit(SKETCH), "n", "x_n")))) & (F.least("n", "x_n") + 1e-9 >= SIMILARITY * F.greatest("n", "x_n"))
 
 
 @functools.lru_cache(maxsize=1000)
@@ -180,9 +180,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     x = texts.select(F.col("h").alias("a"), F.col("line").alias("line_a"))
     y = texts.select(F.col("h").alias("b"), F.col("line").alias("line_b"))
-    # a pair far apart in length cannot be similar: shingle counts bound the similarity
-    near = F.expr(f"least(length(line_a), length(line_b)) + 1e-9 >= {SIMILARITY} * (greatest(length(line_a), length(line_b)) - {SHINGLE - 1}) - {SHINGLE - 1}")
-    rows = pairs.join(x, "a").join(y, "b").where(near).select("a", "b", "line_a", "line_b")
+    rows = pairs.join(x, "a").join(y, "b").select("a", "b", "line_a", "line_b")
     return map_batches(rows, run, "a long, b long")
 
 
