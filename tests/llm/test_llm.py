@@ -409,6 +409,27 @@ def test_store_round_trip(spark, docs, odd, tmp_path):
     assert got.where("NOT verified").count() == 0
 
 
+def test_store_proves_recipes_by_the_manifest(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(id_store, "FAN", 2)
+    path, where = public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "s")
+    id_store.write(spark.createDataFrame([(i, f"document number {i}") for i in range(7)], "doc_id long, text string"), where, path)
+    recipes = spark.createDataFrame(spark.read.parquet(f"{where}/recipes").collect(), spark.read.parquet(f"{where}/recipes").schema)
+
+    def bad(rows):
+        rows.write.mode("overwrite").parquet(f"{where}/recipes")
+        ids = {r.doc_id for r in id_store.read_ids(spark, where, path).where("NOT verified").collect()}
+        assert ids == {r.doc_id for r in id_store.read_digests(spark, where, path).where("NOT verified").collect()}
+        return ids
+
+    assert bad(recipes) == set()
+    other = recipes.where("doc_id = 0").select(*[F.col(c).alias(f"o_{c}") for c in ("leaf", "hashes", "sizes", "n_tokens")])
+    swapped = recipes.where("doc_id = 3").crossJoin(other).select("at", "uid", "doc_id", "start", F.col("o_n_tokens").alias("n_tokens"), F.col("o_leaf").alias("leaf"), F.col("o_hashes").alias("hashes"), F.col("o_sizes").alias("sizes"))
+    assert bad(recipes.where("doc_id <> 3").union(swapped)) == {2, 3}
+    assert bad(recipes.where("doc_id <> 5")) == {4}
+    assert bad(recipes.where("doc_id NOT IN (4, 5)")) == {6}
+    assert bad(recipes.union(recipes.where("doc_id = 6").withColumn("at", F.lit(7).cast("long")).withColumn("doc_id", F.lit(9).cast("long")))) == {6, 9}
+
+
 # 10 HTML
 
 

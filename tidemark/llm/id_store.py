@@ -26,7 +26,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_batches, mix, powers
@@ -151,8 +151,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0) -> None:
     once.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/data")
 
     recipes = _data(spark, path, "recipe", f"uid long, doc_id {kind}, hashes array<binary>, sizes array<int>")
-    leaf = F.sha2(F.hex(F.aggregate("hashes", F.lit(b"").cast("binary"), lambda acc, h: F.concat(acc, h))), 256)
-    ranged = recipes.withColumn("leaf", leaf).repartitionByRange("doc_id", "leaf", "uid").sortWithinPartitions("doc_id", "leaf", "uid").withColumn("part", F.spark_partition_id())
+    ranged = recipes.withColumn("leaf", _leaf()).repartitionByRange("doc_id", "leaf", "uid").sortWithinPartitions("doc_id", "leaf", "uid").withColumn("part", F.spark_partition_id())
     ranged.withColumn("n_tokens", F.aggregate("sizes", F.lit(0).cast("long"), lambda acc, n: acc + n)).write.mode("overwrite").parquet(f"{path}/sorted")
     ordered = spark.read.parquet(f"{path}/sorted")
     # a running sum inside each range, on top of the sums of the ranges before it
@@ -166,13 +165,23 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0) -> None:
     level = spark.read.parquet(f"{path}/recipes").select(F.col("at").alias("at"), F.col("leaf").alias("hash"))
     n, i = level.count(), 0
     while n > 1 or (i == 0 and n):
-        node = level.groupBy(F.floor(F.col("at") / FAN).cast("long").alias("up")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "hash"))), lambda x: x["hash"]), ""), 256).alias("hash"))
-        node.select(F.lit(i + 1).alias("level"), F.col("up").alias("at"), "hash").write.mode("overwrite").parquet(f"{path}/manifest/level={i + 1}/")
+        _above(level).select(F.lit(i + 1).alias("level"), "at", "hash").write.mode("overwrite").parquet(f"{path}/manifest/level={i + 1}/")
         i += 1
         level = spark.read.parquet(f"{path}/manifest/level={i}/").select("at", "hash")
         n = -(-n // FAN)
 
 
+def _leaf() -> Column:
+    """The leaf of a recipe: the SHA-256 of its addresses."""
+    return F.sha2(F.hex(F.aggregate("hashes", F.lit(b"").cast("binary"), lambda acc, h: F.concat(acc, h))), 256)
+
+
+def _above(level: DataFrame) -> DataFrame:
+    """(at, hash) of the nodes over the nodes (at, hash) of a level."""
+    children = F.sort_array(F.collect_list(F.struct("at", "hash")))
+    return level.groupBy(F.floor(F.col("at") / FAN).cast("long").alias("up")).agg(F.sha2(F.array_join(F.transform(children, lambda x: x["hash"]), ""), 256).alias("hash")).select(F.col("up").alias("at"), "hash")
+
+
 def _data(spark: SparkSession, path: str, kind: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/data/kind={kind}") if _exists(spark, f"{path}/data/kind={kind}") else spark.createDataFrame([], schema)
 
@@ -189,6 +198,32 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/manifest").select(F.col("level").cast("int").alias("level"), "at", "hash")
 
 
+def proven(spark: SparkSession, path: str) -> DataFrame:
+    """(group, proven) of each FAN recipes: whether their leaves, computed anew, give the stored node over them, and the stored nodes above give one another up to one root.
+
+    A changed, lost or added recipe fails its group; a group lost whole fails all groups under the same node.
+    """
+    nodes = manifest(spark, path)
+    found = _above(spark.read.parquet(f"{path}/recipes").select("at", _leaf().alias("hash")))
+    top = nodes.agg(F.max("level").alias("top")).first()["top"] or 0
+    stored = [nodes.where(F.col("level") == i).select("at", "hash") for i in range(1, top + 1)]
+    if not top or stored[-1].count() != 1:
+        return found.select(F.col("at").alias("group"), F.lit(False).alias("proven"))
+    out = found.join(stored[0].withColumnRenamed("hash", "want"), "at", "left").select(F.col("at").alias("group"), F.coalesce(F.col("hash") == F.col("want"), F.lit(False)).alias("proven"))
+    level = stored[0].join(found.select("at"), "at", "left_semi")
+    for i in range(1, top):
+        found = _above(level)
+        ok = found.join(stored[i].withColumnRenamed("hash", "want"), "at").where("hash = want").select(F.col("at").alias("above"), F.lit(True).alias("ok"))
+        out = out.join(ok, F.floor(F.col("group") / FAN**i) == F.col("above"), "left").select("group", (F.col("proven") & F.coalesce("ok", F.lit(False))).alias("proven"))
+        level = stored[i].join(found.select("at"), "at", "left_semi")
+    return out
+
+
+def _with_proof(rows: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+    """rows (with at) and proven; one row per FAN documents is sent to all tasks."""
+    return rows.join(F.broadcast(proven(spark, path)), F.floor(F.col("at") / FAN) == F.col("group"), "left").drop("group").withColumn("proven", F.coalesce("proven", F.lit(False)))
+
+
 def chunk_digests(spark: SparkSession, path: str, vocabulary: str) -> DataFrame:
     """Reads each chunk file: (hash, n, crc, sound): the crc32 of the ids, and whether address and size hold."""
 
@@ -217,34 +252,39 @@ def crc32_of_parts(parts: list[tuple[int, int]]) -> int:
 
 
 def read_digests(spark: SparkSession, path: str, vocabulary: str) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32 and verified (chunks, sizes and leaf hold)."""
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32 and verified (chunks, sizes and leaf hold, and the manifest proves the leaf)."""
     recipes = spark.read.parquet(f"{path}/recipes")
-    uses = recipes.select("at", F.posexplode("hashes").alias("ord", "hash"))
+    uses = recipes.select("at", F.posexplode_outer("hashes").alias("ord", "hash"))
     parts = uses.join(chunk_digests(spark, path, vocabulary), "hash", "left").groupBy("at").agg(F.sort_array(F.collect_list(F.struct("ord", "hash", "n", "crc", "sound"))).alias("parts"))
     kind = recipes.schema["doc_id"].dataType.simpleString()
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         n, crc, ok = [], [], []
-        for want, leaf, parts in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
+        for want, leaf, parts, sure in zip(*(b.column(i).to_pylist() for i in range(2, 6))):
             whole = all(p["sound"] for p in parts)
             n.append(sum(p["n"] or 0 for p in parts))
             crc.append(crc32_of_parts([(p["crc"], 4 * p["n"]) for p in parts]) if whole else None)
-            ok.append(bool(whole) and n[-1] == want and hashlib.sha256(b"".join(p["hash"] for p in parts).hex().upper().encode()).hexdigest() == leaf)
+            ok.append(bool(whole and sure) and n[-1] == want and hashlib.sha256(b"".join(p["hash"] for p in parts).hex().upper().encode()).hexdigest() == leaf)
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(ok)], ["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
 
-    rows = recipes.select("at", "doc_id", "start", "n_tokens", "leaf").join(parts, "at").select("doc_id", "start", "n_tokens", "leaf", "parts")
+    rows = _with_proof(recipes.select("at", "doc_id", "start", "n_tokens", "leaf"), spark, path).join(parts, "at").select("doc_id", "start", "n_tokens", "leaf", "parts", "proven")
     return map_batches(rows, run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, verified boolean")
 
 
 def read_ids(spark: SparkSession, path: str, vocabulary: str) -> DataFrame:
-    """(doc_id, start, ids): the documents rebuilt from recipes and chunks."""
+    """(doc_id, start, ids, verified): the documents rebuilt from recipes and chunks; ids are null where a chunk is lost."""
     recipes = spark.read.parquet(f"{path}/recipes")
     chunks = _data(spark, path, "chunk", "hash binary, n int, payload binary")
-    parts = recipes.select("at", F.posexplode("hashes").alias("ord", "hash")).join(chunks, "hash").groupBy("at").agg(F.sort_array(F.collect_list(F.struct("ord", "payload"))).alias("parts"))
+    parts = recipes.select("at", F.posexplode_outer("hashes").alias("ord", "hash")).join(chunks, "hash", "left").groupBy("at").agg(F.sort_array(F.collect_list(F.struct("ord", "hash", "payload"))).alias("parts"))
     kind = recipes.schema["doc_id"].dataType.simpleString()
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [np.frombuffer(b"".join(p["payload"] for p in parts), dtype=encoder(vocabulary).kind).tolist() for parts in b.column(2).to_pylist()]
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
-
-    return map_batches(recipes.select("at", "doc_id", "start").join(parts, "at").select("doc_id", "start", "parts"), run, f"doc_id {kind}, start long, ids array<int>")
+        ids, ok = [], []
+        for parts, sure in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            own = None if any(p["payload"] is None for p in parts) else [np.frombuffer(p["payload"], dtype=encoder(vocabulary).kind) for p in parts]
+            ids.append(None if own is None else np.concatenate(own).tolist())
+            ok.append(own is not None and sure and all(hashlib.sha256(x.astype("<u4")).digest() == p["hash"] for x, p in zip(own, parts)))
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(ok, pa.bool_())], ["doc_id", "start", "ids", "verified"])
+
+    rows = _with_proof(recipes.select("at", "doc_id", "start"), spark, path).join(parts, "at").select("doc_id", "start", "parts", "proven")
+    return map_batches(rows, run, f"doc_id {kind}, start long, ids array<int>, verified boolean")
