@@ -30,8 +30,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by fingerprints of five-word shingles the one of smallest id stays."""
-    return simhash_dedup.one_per_class(docs, words=5)
+    """Of documents linked by fingerprints of five-word shingles, or of Jaccard similarity 0.8 or more, the one of smallest id stays."""
+    return simhash_dedup.one_per_class(docs, words=5, similar=True)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -390,6 +390,28 @@ def test_simhash_links_are_whole(spark):
     assert got == {(a, b) for a, b in itertools.combinations(prints, 2) if (a ^ b).bit_count() <= 3}
 
 
+def test_similar_documents_brute_force(spark, odd):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    rows = []
+    for _ in range(12):
+        base = [word() for _ in range(int(rng.integers(60, 160)))]
+        for k in (0, 0, 1, 2, 3, 6):
+            x = [*base]
+            for i in rng.choice(len(x), k, replace=False):
+                x[i] = word()
+            rows.append((len(rows), " ".join(x)))
+    rows += [(len(rows) + i, t) for i, t in enumerate(ODD)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for _, t in rows]
+    prints = [simhash_dedup.fingerprint(t or "", 5) for _, t in rows]
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or (prints[i] ^ prints[j]).bit_count() <= 3
+    label = components_of(len(rows), [p for p in itertools.combinations(range(len(rows)), 2) if alike(*p)])
+    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(label))
+    assert len(set(label)) < len(set(components_of(len(rows), [p for p in itertools.combinations(range(len(rows)), 2) if (prints[p[0]] ^ prints[p[1]]).bit_count() <= 3])))
+    assert simhash_dedup.one_per_class(odd, 5, similar=True).columns == odd.columns
+
+
 # 9 id store
 
 

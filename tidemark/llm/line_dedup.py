@@ -21,6 +21,7 @@ table gives no rows. Two different lines share an XXH64 value with probability 2
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -68,14 +69,14 @@ def _probes(size: int, tries: int = 8) -> np.ndarray:
     return (mix(i + np.uint64(0x51ED270B)) % np.uint64(size)).astype(np.int64)
 
 
-def signatures(lines: list[str], size: int = _BINS) -> np.ndarray:
-    """One row of MinHash values per line."""
-    h, offsets = shingle_hashes(lines)
-    row = np.repeat(np.arange(len(lines)), np.diff(offsets))
+def signatures(h: np.ndarray, offsets: np.ndarray, size: int = _BINS) -> np.ndarray:
+    """One row of MinHash values per line (or other set), from hashes as of shingle_hashes."""
+    n = len(offsets) - 1
+    row = np.repeat(np.arange(n), np.diff(offsets))
     bins = ((h >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
-    sig = np.full(len(lines) * size, _EMPTY, dtype=np.uint64)
+    sig = np.full(n * size, _EMPTY, dtype=np.uint64)
     np.minimum.at(sig, row * size + bins, h)
-    sig = sig.reshape(len(lines), size)
+    sig = sig.reshape(n, size)
     full = sig != _EMPTY
     at = np.argwhere(~full)
     out = sig.copy()
@@ -89,18 +90,18 @@ def signatures(lines: list[str], size: int = _BINS) -> np.ndarray:
     return out
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
+def band_keys(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(lines, BANDS) hashes, different for different bands."""
-    sig = signatures(lines).reshape(len(lines), BANDS, ROWS)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(lines), BANDS)).copy()
+    sig = signatures(h, offsets).reshape(-1, BANDS, ROWS)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sig), BANDS)).copy()
     for i in range(ROWS):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, i])
     return key
 
 
-def sketches(lines: list[str]) -> np.ndarray:
+def sketches(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(lines, SKETCH / 64): one bit of each of SKETCH MinHash values."""
-    bits = (mix(signatures(lines, SKETCH)) & np.uint64(1)).astype(np.uint8)
+    bits = (mix(signatures(h, offsets, SKETCH)) & np.uint64(1)).astype(np.uint8)
     return np.packbits(bits, axis=1).view(np.int64)
 
 
@@ -110,7 +111,7 @@ def _sketched(texts: DataFrame) -> DataFrame:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         lines = b.column(1).to_pylist()
         n = [len(_shingles(x)) for x in lines]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(sketches(lines).tolist(), pa.list_(pa.int64()))], ["h", "n", "sketch"])
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(sketches(*shingle_hashes(lines)).tolist(), pa.list_(pa.int64()))], ["h", "n", "sketch"])
 
     return map_batches(texts.select("h", "line"), run, "h long, n int, sketch array<long>")
 
@@ -163,7 +164,7 @@ def _bands(docs: DataFrame) -> DataFrame:
         for i, line in enumerate(lines):  # in pieces: hashes of a piece are held at once
             size += len(line)
             if size > 2_000_000 or i + 1 == len(lines):
-                keys.append(band_keys(lines[start : i + 1]))
+                keys.append(band_keys(*shingle_hashes(lines[start : i + 1])))
                 start, size = i + 1, 0
         key = np.concatenate(keys).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(np.repeat(hs, BANDS))], ["key", "h"])
@@ -184,16 +185,17 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_batches(rows, run, "a long, b long")
 
 
-def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(lines, components): each line's place and h; and (h, component) of the lines that have a near copy."""
-    docs = docs.select("doc_id", "text")
+def linked(bands: DataFrame, texts_of: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame, DataFrame], DataFrame], sketched: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+    """The links (a, b) of similar lines, or other sets, from bands (key, h).
+
+    texts_of gives the texts of a table of h, verified the pairs (a, b) that are similar, sketched (h, n, sketch) of texts.
+    """
     by_key = Window.partitionBy("key").orderBy(F.xxhash64("key", "h"))
-    hubs = _bands(docs).withColumn("hub", F.first("h").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
+    hubs = bands.withColumn("hub", F.first("h").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
     members = scratch.keep(hubs.where("h <> hub").distinct(), "members")  # of buckets with several lines, all but the hub
     wanted = members.select("h").union(members.select(F.col("hub").alias("h"))).distinct()
-    all_lines = lines_of(docs)
-    texts = scratch.keep(all_lines.join(wanted, "h", "left_semi").select("h", "line").dropDuplicates(["h"]), "texts")
-    first = scratch.keep(_verified(members.select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct(), texts), "first")
+    texts = scratch.keep(texts_of(wanted), "texts")
+    first = scratch.keep(verified(members.select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct(), texts), "first")
     label = connected_components(first, scratch, "first-cc")
     every = members.select("key", "hub", "h").union(members.select("key", "hub", F.col("hub").alias("h"))).distinct()
     named = every.join(label.withColumnRenamed("node", "h"), "h", "left").withColumn("label", F.coalesce("component", "h")).drop("component")
@@ -201,12 +203,20 @@ def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     named = scratch.keep(named.select("key", "h", "label", "hub", "hub_label"), "named")
     # only buckets with several labels go on; the hub itself was compared already
     mixed = named.where("label <> hub_label").select("key").distinct()
-    named = named.where("h <> hub").join(mixed, "key", "left_semi").join(_sketched(texts), "h")
+    named = named.where("h <> hub").join(mixed, "key", "left_semi").join(sketched(texts), "h")
     named = scratch.keep(named.select("key", "h", "label", "hub_label", "n", "sketch"), "sketched")
     odd = named.where("label <> hub_label").select("key", F.col("h").alias("x"), F.col("label").alias("x_label"), F.col("n").alias("x_n"), F.col("sketch").alias("x_sketch"))
     more = odd.join(named.select("key", "h", "label", "n", "sketch"), "key").where((F.col("label") != F.col("x_label")) & _alike()).select(F.least("x", "h").alias("a"), F.greatest("x", "h").alias("b")).distinct()
-    second = scratch.keep(_verified(more, texts), "second")
-    return all_lines.select("doc_id", "line_no", "h"), connected_components(first.union(second), scratch, "cc")
+    second = scratch.keep(verified(more, texts), "second")
+    return first.union(second)
+
+
+def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(lines, components): each line's place and h; and (h, component) of the lines that have a near copy."""
+    docs = docs.select("doc_id", "text")
+    all_lines = lines_of(docs)
+    links = linked(_bands(docs), lambda wanted: all_lines.join(wanted, "h", "left_semi").select("h", "line").dropDuplicates(["h"]), _verified, _sketched, scratch)
+    return all_lines.select("doc_id", "line_no", "h"), connected_components(links, scratch, "cc")
 
 
 def line_classes(docs: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import line_dedup
 from tidemark.llm.common import Scratch, connected_components, map_batches
 
 RADIUS = 3
@@ -83,7 +84,85 @@ def components(docs: DataFrame, words: int = 3) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_per_class(docs: DataFrame, words: int = 3) -> DataFrame:
-    """docs without the documents whose class has one with a smaller id. Rows that repeat the kept id stay."""
-    keep = components(docs, words).where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp, h, shingles): the fingerprint, the hashes of the distinct shingles in order, and a hash of them all."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        fps, hs, sets = [], [], []
+        for x in b.column(1).to_pylist():
+            w = (x or "").encode("utf-8", "surrogatepass").lower().split()
+            own = np.array(sorted({xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), SEED) for i in range(max(1, len(w) - words + 1))}) if w else [], dtype=np.uint64)
+            fps.append(fingerprint(x or "", words))
+            hs.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+            sets.append(own.view(np.int64))
+        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.array(v, dtype=np.uint64).view(np.int64)) for v in (fps, hs)), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "fp", "h", "shingles"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, fp long, h long, shingles array<long>")
+
+
+def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column, one row after the other, and where each row's begin (and the end)."""
+    offsets = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), offsets
+
+
+def _set_bands(sets: DataFrame) -> DataFrame:
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        key = line_dedup.band_keys(*_ragged(b.column(1))).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(np.repeat(b.column(0).to_numpy(), line_dedup.BANDS))], ["key", "h"])
+
+    return map_batches(sets.where("size(shingles) > 0").select("h", "shingles"), run, "key long, h long")
+
+
+def _set_sketches(sets: DataFrame) -> DataFrame:
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        values, offsets = _ragged(b.column(1))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets), pa.int32()), pa.array(line_dedup.sketches(values, offsets).tolist(), pa.list_(pa.int64()))], ["h", "n", "sketch"])
+
+    return map_batches(sets.select("h", "shingles"), run, "h long, n int, sketch array<long>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets whose exact Jaccard similarity is high enough."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for x, y in zip(b.column(2), b.column(3)):
+            x, y = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
+            both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= (line_dedup.SIMILARITY - 1e-9) * max(len(x), len(y)) else 0
+            keep.append(both / max(1, len(x) + len(y) - both) >= line_dedup.SIMILARITY)
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    x, y = (sets.select(F.col("h").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab")
+    return map_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "s_a", "s_b"), run, "a long, b long")
+
+
+def similar_components(docs: DataFrame, words: int = 5) -> DataFrame:
+    """(doc_id, component_id) by the links of fingerprints and those of exact Jaccard similarity of 0.8 or more.
+
+    A pair of similarity 0.8 differs by ten bits on average, which no table of fingerprints finds without pairing most
+    documents, so candidates come from MinHash bands (probability 0.99 at 0.8, 0.9999 at 0.9), as for lines; each is verified by its shingle sets.
+    """
+    scratch = Scratch(docs.sparkSession)
+    every = scratch.keep(shingle_sets(docs, words), "sets")
+    sets = scratch.keep(every.select("h", "shingles").dropDuplicates(["h"]), "distinct-sets")
+    near = line_dedup.linked(_set_bands(sets), lambda wanted: sets.join(wanted, "h", "left_semi"), _similar, _set_sketches, scratch)
+    least = scratch.keep(every.groupBy("fp", "h").agg(F.min("doc_id").alias("first")), "distinct")
+    # one set stands for all of a fingerprint
+    one = scratch.keep(least.groupBy("fp").agg(F.min("h").alias("one")), "one")
+    equal = least.join(one, "fp").select(F.col("h").alias("a"), F.col("one").alias("b"))
+    x, y = (one.select(F.col("fp").alias(c), F.col("one").alias(f"one_{c}")) for c in "ab")
+    close = links(one.select("fp")).join(x, "a").join(y, "b").select(F.col("one_a").alias("a"), F.col("one_b").alias("b"))
+    label = connected_components(near.union(equal).union(close), scratch, "all-cc")
+    members = least.groupBy("h").agg(F.min("first").alias("first")).join(label.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
+    smallest = members.groupBy("component").agg(F.min("first").alias("component_id"))
+    classes = scratch.keep(members.join(smallest, "component").select("h", "component_id"), "classes")
+    return every.select("doc_id", "h").join(classes, "h").select("doc_id", "component_id")
+
+
+def one_per_class(docs: DataFrame, words: int = 3, similar: bool = False) -> DataFrame:
+    """docs without the documents whose class, by fingerprints or (similar) by similar_components, has one with a smaller id. Rows that repeat the kept id stay."""
+    found = similar_components(docs, words) if similar else components(docs, words)
+    keep = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
