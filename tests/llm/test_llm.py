@@ -1,8 +1,10 @@
 """Corpus operators against brute force, libraries and round trips."""
 
 import base64
+import collections
 import hashlib
 import itertools
+import random
 import re
 import zlib
 
@@ -107,12 +109,60 @@ def test_line_dedup_brute_force(spark):
     assert {(r.doc_id, r.line_no): r.kept for r in got.collect()} == brute_lines(rows)
 
 
-def test_line_dedup_recall_on_documents(spark, docs):
-    rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").limit(60).collect()]
-    got = {(r.doc_id, r.line_no): r.kept for r in line_dedup.line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    want = brute_lines(rows)
-    assert got.keys() == want.keys()
-    assert sum(got[k] != v for k, v in want.items()) <= 0.002 * len(want)
+def near_pairs(texts):
+    """All pairs of similarity 0.8 or more, by an inverted index over shingles (any such pair shares one of its rarest)."""
+    sets = [frozenset(x[i : i + line_dedup.SHINGLE] for i in range(max(1, len(x) - line_dedup.SHINGLE + 1))) for x in texts]
+    often = collections.Counter(s for x in sets for s in x)
+    index, pairs = collections.defaultdict(list), []
+    for j, x in enumerate(sets):
+        rare = sorted(x, key=lambda s: (often[s], s))[: len(x) - -(-8 * len(x) // 10) + 1]
+        met = {i for s in rare for i in index[s]}
+        pairs += [(i, j) for i in met if len(sets[i] & x) >= 0.8 * len(sets[i] | x)]
+        for s in rare:
+            index[s].append(j)
+    return pairs
+
+
+def same_class(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = {r.doc_id: r.class_id for r in line_dedup.line_classes(rows).collect()}
+    return [of[i] for i in range(len(texts))]
+
+
+def test_line_dedup_recall_on_all_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    texts = sorted({x.strip(line_dedup.BLANK) for r in rows for x in (r.text or "").split("\n") if x.strip(line_dedup.BLANK)})
+    pairs, of = near_pairs(texts), same_class(spark, texts)
+    assert len(pairs) > 100 and sum(of[i] == of[j] for i, j in pairs) >= 0.97 * len(pairs)
+    want = components_of(len(texts), pairs)
+    assert all(want[i] == want[j] for i, j in enumerate({c: i for i, c in enumerate(of)}[c] for c in of))
+
+
+def test_line_dedup_recall_of_short_lines(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefghij klmno") for _ in range(n)).strip() for n in range(8, 110) for _ in range(8)]
+    texts = sorted({*base, *(x[:-1] for x in base), *(x + "q" for x in base), *(x[:3] + x[4:] for x in base)} - {""})
+    pairs, of = near_pairs(texts), same_class(spark, texts)
+    short = [(i, j) for i, j in pairs if len(texts[i]) < 40]
+    assert len(short) > 100 and sum(of[i] == of[j] for i, j in short) >= 0.97 * len(short)
+    assert sum(of[i] == of[j] for i, j in pairs) >= 0.97 * len(pairs)
+
+
+def test_line_dedup_large_group_is_whole(spark):
+    """A bucket with far more lines than hubs, some of them similar to a few others only."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(60)]
+    texts = sorted({" ".join(w if rng.random() > rate else w[::-1] for w in words) for rate in (0.02, 0.05, 0.08, 0.12, 0.2) for _ in range(60)})
+    pairs, of = near_pairs(texts), same_class(spark, texts)
+    assert sum(of[i] == of[j] for i, j in pairs) >= 0.99 * len(pairs)
+    want = components_of(len(texts), pairs)
+    assert sum(a == b for a, b in zip(components_of(len(texts), [(i, {c: i for i, c in enumerate(of)}[of[i]]) for i in range(len(texts))]), want)) >= 0.97 * len(texts)
+
+
+def test_dedup_lines_tells_texts_of_one_id_apart(spark):
+    docs = spark.createDataFrame([(1, "first of all\nshared line of both"), (1, "another unique line\nshared line of both"), (2, "shared line of both\nlast")], "doc_id long, text string")
+    got = sorted(r.text for r in line_dedup.dedup_lines(docs).collect())
+    assert sum(t.count("shared line of both") for t in got) == 1 and all(any(x in t for t in got) for x in ("first of all", "another unique line", "last"))
 
 
 def test_line_dedup_lines_of_f(spark):
@@ -418,7 +468,6 @@ def test_similar_documents_brute_force(spark, odd):
 def test_store_round_trip(spark, docs, odd, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     every = docs.select("doc_id", "text").union(odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select((F.col("doc_id") + 5000).alias("doc_id"), "text"))
     id_store.write(every, str(tmp_path / "s"), path)
     start, want = 0, []

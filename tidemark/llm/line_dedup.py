@@ -1,21 +1,24 @@
 """Fuzzy deduplication of lines by MinHash.
 
 1. Every non-blank line, trimmed, is known by its XXH64 value; equal lines are one from here on.
-2. A line's character shingles go to a one-permutation MinHash signature; bins without a shingle borrow from bins drawn by
-   a hash (densification). Bands of a signature are hashed: lines that share a band are candidates. With BANDS bands of
-   ROWS bins a pair of Jaccard similarity 0.8 is found with probability 0.99, of 0.85 with 0.999.
-3. In each band bucket all lines are verified against one of them, drawn by a hash of band and line (the hub), by the
-   exact Jaccard similarity of their shingle sets. Lines share several buckets, whose hubs differ, so nearly all lines of a
-   group of near copies find a link here. Union-find over these links labels the lines.
-4. Pairs of a bucket that have different labels still, one of them not the hub's, are compared as well: first by sketches
-   of SKETCH one-bit MinHash values, which leave out a pair of similarity 0.8 with probability below 1e-5, then exactly.
-   So every pair of every bucket either has one label or was compared, and a bucket of near copies costs a row per line
-   and a row per pair of lines that are similar or nearly so but not yet known to be in one class.
-5. Union-find over all links; of each component the first line, by (doc_id, line number), stays.
+2. A line's character shingles go to a MinHash signature of BANDS bands of ROWS values: SHORT shingles or more by one
+   permutation, whose bins without a shingle borrow from bins drawn by a hash; fewer by independent hashes. Lines with a
+   number near SHORT get both, so a similar pair always has one kind in common. Bands are hashed: lines that share one are
+   candidates. A pair of Jaccard similarity 0.8 is found with probability 0.99, of 0.85 with 0.999.
+3. In each band bucket every line is verified against HUBS of its lines (the first by a hash of band and line), by the
+   exact Jaccard similarity of their shingle sets; buckets of up to HUBS + 1 lines are compared whole. Union-find over these
+   links labels the lines.
+4. What is left are pairs of two lines of one bucket, no hub among them, with different labels, one of them not the most
+   common one there. They are compared as well: each pair in one of its buckets, first by sketches of SKETCH one-bit MinHash
+   values, which leave out a pair of similarity 0.8 with probability below 1e-5, then exactly. So every pair of every bucket
+   either has one label or was compared, and a bucket of near copies costs HUBS rows per line and a row per pair of lines
+   that are similar or nearly so but not yet known to be in one class.
+5. Union-find over the labels these links join; of each component the first line, by (doc_id, line number), stays.
 
 Defined cases: null text has no lines; blank lines are never compared and stay; lines shorter than a shingle are one
-shingle, so only equal ones match; rows that repeat a doc_id and a line share its fate; null ids come first; an empty
-table gives no rows. Two different lines share an XXH64 value with probability 2**-64.
+shingle, so only equal ones match; rows that repeat a doc_id and its text share its fate, other texts under one doc_id are
+told apart (the first is the one of the smallest XXH64 value of the text); null ids come first; an empty table gives no
+rows; further columns of docs are never read. Two different lines share an XXH64 value with probability 2**-64.
 """
 
 from __future__ import annotations
@@ -36,7 +39,9 @@ BANDS = 12
 ROWS = 5
 SIMILARITY = 0.8
 BLANK = " \t\n\x0b\x0c\r"
-SKETCH = 256
+SKETCH = 512
+SHORT = 64
+HUBS = 4
 _BINS = BANDS * ROWS
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -90,54 +95,111 @@ def signatures(h: np.ndarray, offsets: np.ndarray, size: int = _BINS) -> np.ndar
     return out
 
 
-def band_keys(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """(lines, BANDS) hashes, different for different bands."""
-    sig = signatures(h, offsets).reshape(-1, BANDS, ROWS)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sig), BANDS)).copy()
+def _band_hashes(sig: np.ndarray, kind: int) -> np.ndarray:
+    """(lines, BANDS) hashes of signatures, different for different bands and kinds of signature."""
+    sig = sig.reshape(-1, BANDS, ROWS)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) + np.uint64(BANDS * kind), (len(sig), BANDS)).copy()
     for i in range(ROWS):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, i])
     return key
 
 
+def independent_signatures(h: np.ndarray, offsets: np.ndarray, size: int = _BINS) -> np.ndarray:
+    """MinHash values of size hash functions; work grows with size times shingles, so for small sets."""
+    seeds = mix(np.arange(1, size + 1, dtype=np.uint64))
+    return np.minimum.reduceat(mix(h[:, None] ^ seeds[None, :]), offsets[:-1], axis=0)
+
+
+def band_keys(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, keys): which set (by position) has which band key; repeats count once."""
+    n = distinct_rows(h, offsets)[1]
+    few, many = np.flatnonzero((n > 0) & (n < SHORT / SIMILARITY)), np.flatnonzero(n >= SHORT)
+    at, keys = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
+    for kind, rows, sign in ((1, few, independent_signatures), (0, many, signatures)):
+        for start in range(0, len(rows), 256):  # bounds what is held at once
+            own = rows[start : start + 256]
+            sets = [h[offsets[i] : offsets[i + 1]] for i in own.tolist()]
+            if kind:
+                sets = [np.unique(x) for x in sets]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+            at.append(np.repeat(own, BANDS))
+            keys.append(_band_hashes(sign(np.concatenate(sets), ends), kind).reshape(-1))
+    return np.concatenate(at), np.concatenate(keys)
+
+
 def sketches(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(lines, SKETCH / 64): one bit of each of SKETCH MinHash values."""
     bits = (mix(signatures(h, offsets, SKETCH)) & np.uint64(1)).astype(np.uint8)
     return np.packbits(bits, axis=1).view(np.int64)
 
 
+def distinct_rows(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (hash, row) values, sorted: a row's number in the low 10 bits, the hash in the others; and how many each row has."""
+    rows = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(offsets))
+    key = np.sort(mix(h) & np.uint64(0xFFFFFFFFFFFFFC00) | rows)
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
+    return key, np.bincount((key & np.uint64(1023)).astype(np.int64), minlength=len(offsets) - 1)
+
+
+def similarities(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Jaccard similarity, row by row, of sets of hashes (values, offsets), at most 1024 rows; 54 bits tell hashes of a row apart."""
+    (a, n), (b, m) = distinct_rows(*x), distinct_rows(*y)
+    both = np.sort(np.concatenate((a, b)))
+    shared = np.bincount((both[1:][both[1:] == both[:-1]] & np.uint64(1023)).astype(np.int64), minlength=len(n))
+    return shared / np.maximum(1, n + m - shared)
+
+
+def pieces_by_size(sizes: list[int], most: int = 1_000_000) -> list[tuple[int, int]]:
+    """Ranges of rows of at most `most` in all (one row at least) and 512 rows: bounds what one call holds."""
+    out, start, total = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and (total + n > most or i - start == 512):
+            out.append((start, i))
+            start, total = i, 0
+        total += n
+    return [*out, (start, len(sizes))] if sizes else out
+
+
 def _sketched(texts: DataFrame) -> DataFrame:
-    """(h, n, sketch) of each line; n its number of distinct shingles."""
+    """(h, n, sketch, keys) of each line; n its number of distinct shingles, keys those of its bands."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         lines = b.column(1).to_pylist()
-        n = [len(_shingles(x)) for x in lines]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(sketches(*shingle_hashes(lines)).tolist(), pa.list_(pa.int64()))], ["h", "n", "sketch"])
+        parts = [sketch_rows(*shingle_hashes(lines[i:j])) for i, j in pieces_by_size([len(x) for x in lines])]
+        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array([v for p in parts for v in p[k]], t) for k, t in enumerate((pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))))], ["h", "n", "sketch", "keys"])
+
+    return map_batches(texts.select("h", "line"), run, SKETCHED)
 
-    return map_batches(texts.select("h", "line"), run, "h long, n int, sketch array<long>")
+
+SKETCHED = "h long, n int, sketch array<long>, keys array<long>"
+
+
+def sketch_rows(h: np.ndarray, offsets: np.ndarray) -> tuple[list, list, list]:
+    """Number of distinct values, sketch and band keys of each set."""
+    at, keys = band_keys(h, offsets)
+    order = np.argsort(at, kind="stable")
+    ends = np.searchsorted(at[order], np.arange(len(offsets)))
+    keys = keys[order].view(np.int64).tolist()
+    return distinct_rows(h, offsets)[1].tolist(), sketches(h, offsets).tolist(), [keys[i:j] for i, j in zip(ends.tolist(), ends[1:].tolist())]
 
 
 def _alike() -> Column:
     """Whether sketches leave it open that lines x and y are similar: expected differing bits and 4.5 deviations, for as many independent values as the line of fewer distinct shingles has; and their numbers, which bound the similarity."""
     differ = sum((F.bit_count(F.col("x_sketch")[i].bitwiseXOR(F.col("sketch")[i])) for i in range(1, SKETCH // 64)), F.bit_count(F.col("x_sketch")[0].bitwiseXOR(F.col("sketch")[0])))
     share = (1 - SIMILARITY) / 2
-    return (differ <= SKETCH * (F.lit(share) + 4.5 * F.sqrt(F.lit(share * (1 - share)) / F.least(F.lit(SKETCH), "n", "x_n")))) & (F.least("n", "x_n") + 1e-9 >= SIMILARITY * F.greatest("n", "x_n"))
-
-
-@functools.lru_cache(maxsize=1000)
-def _shingles(line: str) -> frozenset[str]:
-    return frozenset(line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1)))
+    return (F.least("n", "x_n") + 1e-9 >= SIMILARITY * F.greatest("n", "x_n")) & (differ <= SKETCH * (F.lit(share) + 4.5 * F.sqrt(F.lit(share * (1 - share)) / F.least(F.lit(SKETCH), "n", "x_n"))))
 
 
 def jaccard(a: str, b: str) -> float:
-    x, y = _shingles(a), _shingles(b)
-    both = len(x & y)
-    return both / (len(x) + len(y) - both)
+    """The definition: similarity of the sets of shingles."""
+    x, y = ({line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))} for line in (a, b))
+    return len(x & y) / len(x | y)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, h) of every non-blank line, trimmed."""
-    at = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    at = at.select("doc_id", "line_no", F.expr("trim(BOTH ' \\t\\n\\u000b\\u000c\\r' FROM line)").alias("line"))
+    """(doc_id, t, line_no, line, h) of every non-blank line, trimmed; t, the text's XXH64 value, tells texts under one id apart."""
+    at = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    at = at.select("doc_id", "t", "line_no", F.expr("trim(BOTH ' \\t\\n\\u000b\\u000c\\r' FROM line)").alias("line"))
     return at.where("line <> ''").withColumn("h", line_key(F.col("line")))
 
 
@@ -155,19 +217,17 @@ def _bands(docs: DataFrame) -> DataFrame:
                     if h not in met:
                         met.add(h)
                         fresh[h] = line
-        if len(met) > 500_000:
+        if len(met) > 300_000:
             met.clear()
         if not fresh:
             return None
-        keys, lines, hs = [], list(fresh.values()), np.array(list(fresh), dtype=np.uint64).view(np.int64)
-        start = size = 0
-        for i, line in enumerate(lines):  # in pieces: hashes of a piece are held at once
-            size += len(line)
-            if size > 2_000_000 or i + 1 == len(lines):
-                keys.append(band_keys(*shingle_hashes(lines[start : i + 1])))
-                start, size = i + 1, 0
-        key = np.concatenate(keys).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(np.repeat(hs, BANDS))], ["key", "h"])
+        lines, hs = list(fresh.values()), np.array(list(fresh), dtype=np.uint64).view(np.int64)
+        keys, owners = [], []
+        for start, stop in pieces_by_size([len(x) for x in lines]):
+            at, key = band_keys(*shingle_hashes(lines[start:stop]))
+            keys.append(key)
+            owners.append(hs[start:stop][at])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], ["key", "h"])
 
     return map_batches(docs.select("text"), run, "key long, h long")
 
@@ -176,8 +236,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose lines are similar enough."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        keep = [jaccard(x, y) >= SIMILARITY for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
+        x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
+        keep = [similarities(shingle_hashes(x[i:j]), shingle_hashes(y[i:j])) >= SIMILARITY for i, j in pieces_by_size([len(p) + len(q) for p, q in zip(x, y)])]
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(np.concatenate(keep)))
 
     x = texts.select(F.col("h").alias("a"), F.col("line").alias("line_a"))
     y = texts.select(F.col("h").alias("b"), F.col("line").alias("line_b"))
@@ -186,48 +247,63 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def linked(bands: DataFrame, texts_of: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame, DataFrame], DataFrame], sketched: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
-    """The links (a, b) of similar lines, or other sets, from bands (key, h).
+    """The components (node, component) of similar lines, or other sets, from bands (key, h).
 
-    texts_of gives the texts of a table of h, verified the pairs (a, b) that are similar, sketched (h, n, sketch) of texts.
+    texts_of gives the texts of a table of h, verified the pairs (a, b) that are similar, sketched the SKETCHED rows of texts.
     """
-    by_key = Window.partitionBy("key").orderBy(F.xxhash64("key", "h"))
-    hubs = bands.withColumn("hub", F.first("h").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
-    members = scratch.keep(hubs.where("h <> hub").distinct(), "members")  # of buckets with several lines, all but the hub
-    wanted = members.select("h").union(members.select(F.col("hub").alias("h"))).distinct()
-    texts = scratch.keep(texts_of(wanted), "texts")
-    first = scratch.keep(verified(members.select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct(), texts), "first")
-    label = connected_components(first, scratch, "first-cc")
-    every = members.select("key", "hub", "h").union(members.select("key", "hub", F.col("hub").alias("h"))).distinct()
-    named = every.join(label.withColumnRenamed("node", "h"), "h", "left").withColumn("label", F.coalesce("component", "h")).drop("component")
-    named = named.join(label.select(F.col("node").alias("hub"), F.col("component").alias("hub_label")), "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub"))
-    named = scratch.keep(named.select("key", "h", "label", "hub", "hub_label"), "named")
-    # only buckets with several labels go on; the hub itself was compared already
-    mixed = named.where("label <> hub_label").select("key").distinct()
-    named = named.where("h <> hub").join(mixed, "key", "left_semi").join(sketched(texts), "h")
-    named = scratch.keep(named.select("key", "h", "label", "hub_label", "n", "sketch"), "sketched")
-    odd = named.where("label <> hub_label").select("key", F.col("h").alias("x"), F.col("label").alias("x_label"), F.col("n").alias("x_n"), F.col("sketch").alias("x_sketch"))
-    more = odd.join(named.select("key", "h", "label", "n", "sketch"), "key").where((F.col("label") != F.col("x_label")) & _alike()).select(F.least("x", "h").alias("a"), F.greatest("x", "h").alias("b")).distinct()
-    second = scratch.keep(verified(more, texts), "second")
-    return first.union(second)
+    by_key = Window.partitionBy("key").orderBy(F.xxhash64("key", "h"), "h")
+    so_far = by_key.rowsBetween(Window.unboundedPreceding, 0)
+    once = bands.withColumn("own", F.when(F.lag("h").over(by_key).eqNullSafe(F.col("h")), None).otherwise(F.col("h")))
+    hubs = once.select("key", "h", "own", *[F.nth_value("own", i + 1, True).over(so_far).alias(f"hub{i}") for i in range(HUBS)])
+    # a line meets the hubs before it; the first line of a bucket has none
+    members = scratch.keep(hubs.where("own IS NOT NULL AND h <> hub0").drop("own"), "members")
+    pairs = members.select("h", F.explode(F.array(*[f"hub{i}" for i in range(HUBS)])).alias("hub")).where("hub <> h")
+    pairs = scratch.keep(pairs.select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b")).distinct(), "pairs")
+    texts = scratch.keep(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()), "texts")
+    label = scratch.keep(connected_components(verified(pairs, texts), scratch, "first-cc"), "labels")
+    # lines of large buckets beside their hubs, where labels differ still
+    rest = members.where(f"h <> hub{HUBS - 1}").select("key", "h").join(label.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("component", "h").alias("label"))
+    sizes = scratch.keep(rest.groupBy("key", "label").agg(F.count("*").alias("n")), "label-sizes")
+    main = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("key", "main")
+    rest = scratch.keep(rest.join(main, "key").select("key", "h", "label", "main"), "rest")
+    known = scratch.keep(sketched(texts.join(rest.select("h").distinct(), "h", "left_semi")), "sketches")
+    rest = rest.join(known, "h")
+    odd = rest.where("label <> main").select("key", "main", *[F.col(c).alias(f"x_{c}") for c in ("h", "label", "n", "sketch", "keys")])
+    # a pair of two odd lines is met from both sides, and taken from one; of its common buckets one counts
+    new = (F.col("label") != F.col("x_label")) & ((F.col("label") == F.col("main")) | (F.col("x_h") < F.col("h")))
+    more = odd.join(rest.drop("main"), "key").where(new & _alike() & (F.col("key") == F.array_min(F.array_intersect("x_keys", "keys"))))
+    more = scratch.keep(more.select(F.least("x_h", "h").alias("a"), F.greatest("x_h", "h").alias("b")).distinct(), "more")
+    second = verified(more, texts)
+    names = [label.select(F.col("node").alias(c), F.col("component").alias(f"label_{c}")) for c in "ab"]
+    second = second.join(names[0], "a", "left").join(names[1], "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    joined = scratch.keep(connected_components(second, scratch, "second-cc"), "joined")
+    both = label.withColumnRenamed("component", "label").unionByName(joined.select("node", F.col("node").alias("label"))).distinct()
+    return both.join(joined.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("component", "label").alias("component"))
 
 
 def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(lines, components): each line's place and h; and (h, component) of the lines that have a near copy."""
     docs = docs.select("doc_id", "text")
     all_lines = lines_of(docs)
-    links = linked(_bands(docs), lambda wanted: all_lines.join(wanted, "h", "left_semi").select("h", "line").dropDuplicates(["h"]), _verified, _sketched, scratch)
-    return all_lines.select("doc_id", "line_no", "h"), connected_components(links, scratch, "cc")
+    found = linked(_bands(docs), lambda wanted: all_lines.join(wanted, "h", "left_semi").select("h", "line").dropDuplicates(["h"]), _verified, _sketched, scratch)
+    return all_lines.select("doc_id", "t", "line_no", "h"), found
 
 
-def line_classes(docs: DataFrame) -> DataFrame:
-    """One row per non-blank line: doc_id, line_no, class_id (the smallest XXH64 value of its component) and kept."""
+def _placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, line_no, class_id, kept) of every line."""
     scratch = Scratch(docs.sparkSession)
-    lines, linked = classes(docs, scratch)
-    firsts = scratch.keep(lines.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("place")), "places")
-    firsts = firsts.join(linked.withColumnRenamed("node", "h"), "h", "left").withColumn("class_id", F.coalesce("component", "h"))
+    lines, found = classes(docs, scratch)
+    place = F.struct("doc_id", "t", "line_no")
+    firsts = scratch.keep(lines.groupBy("h").agg(F.min(place).alias("place")), "places")
+    firsts = firsts.join(found.withColumnRenamed("node", "h"), "h", "left").withColumn("class_id", F.coalesce("component", "h"))
     best = firsts.groupBy("class_id").agg(F.min("place").alias("best"))
     known = scratch.keep(firsts.join(best, "class_id").select("h", "class_id", "best"), "classes")
-    return lines.join(known, "h").select("doc_id", "line_no", "class_id", F.struct("doc_id", "line_no").eqNullSafe(F.col("best")).alias("kept"))
+    return lines.join(known, "h").select("doc_id", "t", "line_no", "class_id", place.eqNullSafe(F.col("best")).alias("kept"))
+
+
+def line_classes(docs: DataFrame) -> DataFrame:
+    """One row per non-blank line: doc_id, line_no, class_id (the smallest XXH64 value of its component) and kept."""
+    return _placed(docs).drop("t")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -235,9 +311,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Documents that had lines and keep none go; documents without lines stay as they are.
     """
-    cut = line_classes(docs).where("NOT kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("__cut"))
-    cut = cut.withColumnRenamed("doc_id", "__id")
-    joined = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    cut = _placed(docs).where("NOT kept").groupBy(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).agg(F.collect_set("line_no").alias("__cut"))
+    joined = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__t")), "left").drop("__id", "__t")
     numbers = F.array_sort("__cut")
     lines = F.split("text", "\n", -1)
     # the lines between the cut ones, as slices: linear in their number

@@ -109,30 +109,26 @@ def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _set_bands(sets: DataFrame) -> DataFrame:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        key = line_dedup.band_keys(*_ragged(b.column(1))).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(np.repeat(b.column(0).to_numpy(), line_dedup.BANDS))], ["key", "h"])
+        at, key = line_dedup.band_keys(*_ragged(b.column(1)))
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(b.column(0).to_numpy()[at])], ["key", "h"])
 
     return map_batches(sets.where("size(shingles) > 0").select("h", "shingles"), run, "key long, h long")
 
 
 def _set_sketches(sets: DataFrame) -> DataFrame:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        values, offsets = _ragged(b.column(1))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets), pa.int32()), pa.array(line_dedup.sketches(values, offsets).tolist(), pa.list_(pa.int64()))], ["h", "n", "sketch"])
+        n, sketch, keys = line_dedup.sketch_rows(*_ragged(b.column(1)))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(sketch, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["h", "n", "sketch", "keys"])
 
-    return map_batches(sets.select("h", "shingles"), run, "h long, n int, sketch array<long>")
+    return map_batches(sets.select("h", "shingles"), run, line_dedup.SKETCHED)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of sets whose exact Jaccard similarity is high enough."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for x, y in zip(b.column(2), b.column(3)):
-            x, y = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
-            both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= (line_dedup.SIMILARITY - 1e-9) * max(len(x), len(y)) else 0
-            keep.append(both / max(1, len(x) + len(y) - both) >= line_dedup.SIMILARITY)
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        keep = line_dedup.similarities(_ragged(b.column(2)), _ragged(b.column(3))) >= line_dedup.SIMILARITY
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     x, y = (sets.select(F.col("h").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab")
     return map_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "s_a", "s_b"), run, "a long, b long")
@@ -154,7 +150,7 @@ def similar_components(docs: DataFrame, words: int = 5) -> DataFrame:
     equal = least.join(one, "fp").select(F.col("h").alias("a"), F.col("one").alias("b"))
     x, y = (one.select(F.col("fp").alias(c), F.col("one").alias(f"one_{c}")) for c in "ab")
     close = links(one.select("fp")).join(x, "a").join(y, "b").select(F.col("one_a").alias("a"), F.col("one_b").alias("b"))
-    label = connected_components(near.union(equal).union(close), scratch, "all-cc")
+    label = connected_components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).union(equal).union(close), scratch, "all-cc")
     members = least.groupBy("h").agg(F.min("first").alias("first")).join(label.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     smallest = members.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = scratch.keep(members.join(smallest, "component").select("h", "component_id"), "classes")
