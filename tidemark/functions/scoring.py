@@ -51,19 +51,26 @@ def _number(text: Column) -> Column:
     return F.when(text.rlike(rf"^\s*[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?\s*$"), F.trim(text).try_cast("double"))
 
 
-def _layers(layers: Sequence[tuple[Column, str]]) -> Column:
-    """struct(value, provenance) of the first layer with a value."""
-    out = F
-    for value, provenance in layers:
-        out = out.when(value.isNotNull(), F.struct(value.alias("value"), F.lit(provenance).alias("provenance")))
-    return out.otherwise(F.lit(None))
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use refers to it: the optimizer copies plain expressions."""
+    return F.transform(F.array(value), use)[0]
 
 
-def _result(found: Column, score: Column, text: Callable[[Column], Column] = lambda v: v.cast("string")) -> Column:
-    return F.struct(
-        F.when(found.isNotNull(), score.cast("double")).alias("score"),
-        F.when(found.isNotNull(), text(found["value"])).alias("parsed"),
-        F.when(found.isNotNull(), found["provenance"]).otherwise(F.lit("unparseable")).alias("provenance"),
+def _layers(layers: Sequence[tuple[Column, str]]) -> Column:
+    """struct(value, provenance) of the first layer with a value."""
+    every = F.array(*[F.struct(value.alias("value"), F.lit(provenance).alias("provenance")) for value, provenance in layers])
+    return F.try_element_at(F.filter(every, lambda x: x["value"].isNotNull()), F.lit(1))
+
+
+def _result(found: Column, score: Callable[[Column], Column], text: Callable[[Column], Column] = lambda v: v.cast("string")) -> Column:
+    """RESULT from a layer's struct; score takes its value."""
+    return bound(
+        found,
+        lambda x: F.struct(
+            F.when(x.isNotNull(), score(x["value"]).cast("double")).alias("score"),
+            F.when(x.isNotNull(), text(x["value"])).alias("parsed"),
+            F.when(x.isNotNull(), x["provenance"]).otherwise(F.lit("unparseable")).alias("provenance"),
+        ),
     )
 
 
@@ -82,7 +89,7 @@ def single_select(reply: Name, truth: Name) -> Column:
         (F.upper(_last(text, r"(?m)^\s*\*{0,2}\s*([A-Da-d])\s*\*{0,2}\s*\.?\s*$")), "lenient"),
         (F.upper(_last(text, r"(?<!\d\s{0,4})\b([A-Da-d])\b")), "lenient"),
     ])
-    return _result(found, F.when(found["value"] == gt, 1.0).otherwise(0.0))
+    return _result(found, lambda value: F.when(value == gt, 1.0).otherwise(0.0))
 
 
 def _lettered(text: Column, letters: str, n: Column, last: bool) -> Column:
@@ -100,8 +107,7 @@ def multi_select(reply: Name, truth: Name) -> Column:
     """All right 1, one wrong a half, else 0."""
     text, gt = _clean(reply), F.upper(F.trim(col(truth)))
     found = F.when(gt.rlike("^[TF]+$"), _lettered(text, "TF", F.length(gt), last=False))
-    right = _same_places(found["value"], gt)
-    return _result(found, F.when(right == F.length(gt), 1.0).when(right >= F.length(gt) - 1, 0.5).otherwise(0.0))
+    return _result(found, lambda value: bound(_same_places(value, gt), lambda right: F.when(right == F.length(gt), 1.0).when(right >= F.length(gt) - 1, 0.5).otherwise(0.0)))
 
 
 def is_permutation(a: Column, b: Column) -> Column:
@@ -120,8 +126,7 @@ def kendall_tau(pred: Column, truth: Column) -> Column:
 def ranking(reply: Name, truth: Name) -> Column:
     text, gt = _clean(reply), F.upper(F.trim(col(truth)))
     found = F.when(gt.rlike("^[A-D]+$"), _lettered(text, "A-D", F.length(gt), last=True))
-    value = found["value"]
-    return _result(found, F.when(is_permutation(value, gt), (kendall_tau(value, gt) + 1) / 2).otherwise(0.0))
+    return _result(found, lambda value: F.when(is_permutation(value, gt), (kendall_tau(value, gt) + 1) / 2).otherwise(0.0))
 
 
 def numerical(reply: Name, truth: Name, margin: Column | None = None, low: Column | None = None, high: Column | None = None) -> Column:
@@ -134,9 +139,7 @@ def numerical(reply: Name, truth: Name, margin: Column | None = None, low: Colum
     ]))
     null = F.lit(None).cast("double")
     margin, low, high = (null if x is None else x for x in (margin, low, high))
-    value = found["value"]
-    hit = F.when(low.isNotNull() & high.isNotNull(), value.between(low, high)).otherwise(F.abs(value - gt) <= F.coalesce(margin, F.lit(TOLERANCE)))
-    return _result(found, hit.cast("double"))
+    return _result(found, lambda value: F.when(low.isNotNull() & high.isNotNull(), value.between(low, high)).otherwise(F.abs(value - gt) <= F.coalesce(margin, F.lit(TOLERANCE))).cast("double"))
 
 
 def numbers_of(text: Column) -> Column:
@@ -176,12 +179,15 @@ def tensor(reply: Name, truth: Name, margins: Column | None = None) -> Column:
         (_bracketed(text, n), "lenient"),
         (F.try_element_at(F.filter(F.transform(chunks, tensor_of), lambda v: F.size(v) == n), F.lit(-1)), "lenient"),
     ]))
-    value = found["value"]
-    exact = F.when(value == gt, 1.0).otherwise(0.0)
-    if margins is not None:
+
+    def score(value: Column) -> Column:
+        exact = F.when(value == gt, 1.0).otherwise(0.0)
+        if margins is None:
+            return exact
         near = F.zip_with(F.zip_with(value, gt, lambda p, g: F.abs(p - g)), margins, lambda d, m: F.when(d <= m, 1.0).otherwise(0.0))
-        exact = F.when(F.size(margins) == n, F.aggregate(near, F.lit(0.0), lambda a, x: a + x) / n).otherwise(exact)
-    return _result(found, exact, lambda v: F.array_join(v.cast("array<string>"), "_"))
+        return F.when(F.size(margins) == n, F.aggregate(near, F.lit(0.0), lambda a, x: a + x) / n).otherwise(exact)
+
+    return _result(found, score, lambda v: F.array_join(v.cast("array<string>"), "_"))
 
 
 # the eval profile
@@ -251,8 +257,8 @@ def cascade(reply: Name, truth: Name, answer_format: Name, judged: Name | None =
     for name, parser in PARSERS.items():
         own = parser(reply, truth).cast(RESULT)
         if judged is not None:
-            again = parser(judged, truth).cast(RESULT)
-            own = F.when(own["score"].isNull() & col(judged).isNotNull(), F.struct(F.coalesce(again["score"], F.lit(0.0)).alias("score"), again["parsed"].alias("parsed"), F.lit("judge").alias("provenance")).cast(RESULT)).otherwise(own)
+            again = bound(parser(judged, truth).cast(RESULT), lambda r: F.struct(F.coalesce(r["score"], F.lit(0.0)).alias("score"), r["parsed"].alias("parsed"), F.lit("judge").alias("provenance")).cast(RESULT))
+            own = bound(own, lambda r, again=again: F.when(r["score"].isNull() & col(judged).isNotNull(), again).otherwise(r))
         out = out.when(col(answer_format) == name, own)
     unread = F.struct(F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("parsed"), F.lit("unparseable").alias("provenance")).cast(RESULT)
     return F.coalesce(out.otherwise(none), unread)
@@ -296,7 +302,8 @@ def expected_chance(answer_format: Name, n: Name) -> Column:
 
 def chance_corrected(score: Name, chance: Name) -> Column:
     s, e = col(score), col(chance)
-    return F.when(e >= 1, (s >= 1).cast("double")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (s - e) / (1 - e))))
+    inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (s - e) / (1 - e)))  # these two skip nulls
+    return F.when(s.isNotNull() & e.isNotNull(), F.when(e >= 1, (s >= 1).cast("double")).otherwise(inside))
 
 
 def vote(scores: Name) -> Column:
@@ -308,10 +315,10 @@ def vote(scores: Name) -> Column:
 
 
 def verdict(text: Name) -> Column:
-    """Score of a judge's reply: its JSON, in fences or not, else the first of 1, 0.5, 0; snapped to halves in 0..1."""
+    """Score of a judge's reply: its JSON, in fences or not, else the first of 1, 0.5, 0; snapped to halves in 0..1; null if there is none."""
     bare = F.regexp_replace(col(text), r"```(?:json)?", "")
     found = F.coalesce(F.get_json_object(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), "$.score").try_cast("double"), _first(bare, r"(?<![\d.])(1(?:\.0)?|0\.5|0(?:\.0)?)(?![\d.])").try_cast("double"))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.bround(found * 2) / 2))
+    return F.when(found.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.bround(found * 2) / 2)))
 
 
 def hash_split(key: Name, seed: int = 42, buckets: int = 10_000) -> Column:
@@ -327,12 +334,24 @@ def split_name(bucket: Name, train: float = 0.8, validation: float = 0.1, bucket
 
 
 #: Words without content.
-STOPWORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "has", "have", "not", "but", "its", "can", "may", "should", "will")
+STOPWORDS = tuple("""
+the and for with that this from into onto are was were has have had but not any all you your its their they them his her our
+out off via per than then when what which where who how such also yet may might could would should shall can will just more
+most very much some few each every both either neither
+""".split())
+
+#: Fixed value: share of the gold tokens that counts as covered.
+COVERED = 0.40
+
+
+def _no_texts() -> Column:
+    return F.array().cast("array<string>")
 
 
 def content_tokens(text: Name, stopwords: Sequence[str] = STOPWORDS) -> Column:
+    """Distinct lower-cased words of a letter and two or more word characters, without stop words; none for null."""
     words = F.regexp_extract_all(F.lower(col(text)), F.lit(r"([a-z][a-z0-9_-]{2,})"), F.lit(1))
-    return F.array_except(F.array_distinct(words), F.array(*map(F.lit, stopwords)))
+    return F.coalesce(F.array_except(F.array_distinct(words), F.array(*map(F.lit, stopwords))), _no_texts())
 
 
 def overlap(gold: Name, reply: Name) -> Column:
@@ -341,15 +360,35 @@ def overlap(gold: Name, reply: Name) -> Column:
     return F.when(F.size(g) > 0, F.size(F.array_intersect(g, content_tokens(reply))) / F.size(g)).otherwise(F.lit(0.0))
 
 
-def numbers_with_units(text: Name) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(col(text)), F.lit(r"(\d+(?:\.\d+)?\s*(?:%|mm/s|m/s|mm|ms|kg|nm|n|s|a|v|hz)?)"), F.lit(1)))
+def cause_words(cause: Name) -> Column:
+    """Words of an identifier such as worn_belt, of three letters or more, without stop words."""
+    words = F.filter(F.split(F.lower(col(cause)), r"[_\s-]+"), lambda w: (F.length(w) >= 3) & ~w.isin(*STOPWORDS))
+    return F.coalesce(words, _no_texts())
+
+
+def cause_named(reply: Name, cause: Name) -> Column:
+    """Whether the reply has the cause's identifier, or all its words."""
+    text, words = F.lower(F.coalesce(col(reply), F.lit(""))), cause_words(cause)
+    direct = (F.length(col(cause)) > 0) & text.contains(F.lower(col(cause)))
+    return F.coalesce(direct, F.lit(False)) | ((F.size(words) > 0) & F.forall(words, lambda w: text.contains(w)))
+
+
+def gold_numbers(text: Name) -> Column:
+    """Distinct numbers of a text, signs kept, units left out."""
+    found = F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(r"(-?\d+(?:\.\d+)?)\s*([a-zA-Z]+|°[CFK])?"), F.lit(1))
+    return F.array_distinct(found)
+
+
+def parameters(reply: Name, gold: Name) -> Column:
+    """Struct (all_present, present, missing): which gold numbers stand in the reply; without gold numbers not all are present."""
+    text, numbers = F.lower(F.coalesce(col(reply), F.lit(""))), gold_numbers(gold)
+    present, missing = F.filter(numbers, lambda x: text.contains(x)), F.filter(numbers, lambda x: ~text.contains(x))
+    return F.struct(((F.size(numbers) > 0) & (F.size(missing) == 0)).alias("all_present"), present.alias("present"), missing.alias("missing"))
 
 
-def rubric(reply: Name, gold: Name, cause: Name, troubleshooting: Name, threshold: float = 0.40) -> Column:
-    """Heuristic score of free text: enough overlap 1, the cause named a half; parameters and protocol 1, either a half."""
-    enough = overlap(gold, reply) >= threshold
-    named = F.forall(content_tokens(cause), lambda k: F.lower(col(reply)).contains(k)) & (F.size(content_tokens(cause)) > 0)
-    params = F.size(F.array_intersect(numbers_with_units(gold), numbers_with_units(reply))) > 0
-    first = F.when(enough, 1.0).when(named, 0.5).otherwise(0.0)
-    second = F.when(params & enough, 1.0).when(params | enough, 0.5).otherwise(0.0)
-    return F.when(col(troubleshooting), first).otherwise(second)
+def rubric(reply: Name, gold: Name, cause: Name, kind: Name, threshold: float = COVERED) -> Column:
+    """Heuristic score of free text. troubleshooting: protocol covered 1, only the cause named a half. optimization: parameters and protocol 1, either a half. Other kinds: null."""
+    covered, params = overlap(gold, reply) >= threshold, parameters(reply, gold)["all_present"]
+    first = F.when(covered, 1.0).when(cause_named(reply, cause), 0.5).otherwise(0.0)
+    second = F.when(params & covered, 1.0).when(params | covered, 0.5).otherwise(0.0)
+    return F.when(F.lower(col(kind)) == "troubleshooting", first).when(F.lower(col(kind)) == "optimization", second)

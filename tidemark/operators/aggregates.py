@@ -110,16 +110,12 @@ def box_stats(df: DataFrame, key: Cols, x: str) -> DataFrame:
 
 
 def model_pivot(df: DataFrame, key: Cols, model: str, score: str, models: Sequence[str]) -> DataFrame:
-    """Wide means per model, n over all of them and the mean of the models' means; null keys are groups of their own."""
-    wide = df.groupBy(*key).pivot(model, list(models)).agg(F.avg(score))
-    wide = wide.select(*key, *[F.round(F.col(f"`{m}`"), 3).alias(m) for m in models], *[F.col(f"`{m}`").alias(f"__{m}") for m in models])
-    n = df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)]).agg(F.count(score).alias("n"))
-    same = F.lit(True)
-    for i, k in enumerate(key):
-        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    there = F.array_compact(F.array(*[F.col(f"__{m}") for m in models]))
+    """Wide means per model, n over all of them and the mean of the models' means; null keys are groups of their own. One aggregation."""
+    of = [F.avg(F.when(F.col(model) == m, F.col(score))).alias(f"__{m}") for m in models]
+    wide = df.groupBy(*key).agg(*of, F.count(score).alias("n"))
+    there = F.array_compact(F.array(*[F.col(f"`__{m}`") for m in models]))
     mean = F.when(F.size(there) > 0, F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.size(there))
-    return wide.join(n, same).select(*key, *models, F.round(mean, 3).alias("mean_across_models"), "n")
+    return wide.select(*key, *[F.round(F.col(f"`__{m}`"), 3).alias(m) for m in models], F.round(mean, 3).alias("mean_across_models"), "n")
 
 
 def grouping_report(df: DataFrame, sets: Sequence[Cols], score: str) -> DataFrame:

@@ -7,18 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.sequence import asof
+from tidemark.operators.sequence import both_sides
 
 Cols = Sequence[str]
 
 
 def nearest(left: DataFrame, right: DataFrame, key: Cols, at: str, values: Cols) -> DataFrame:
-    """left with the row of right nearest in `at`, ties to the smaller position: two as-of lookups, no pairs."""
-    back = asof(left, right, key, at, values).withColumnsRenamed({f"{at}_found": "__b", **{v: f"__b_{v}" for v in values}})
-    both = asof(back, right, key, at, values, "forward").withColumnsRenamed({f"{at}_found": "__f", **{v: f"__f_{v}" for v in values}})
-    first = F.col("__f").isNull() | (F.col(at) - F.col("__b") <= F.col("__f") - F.col(at))
-    own = [c for c in left.columns]
-    return both.select(*own, F.when(first, F.col("__b")).otherwise(F.col("__f")).alias(f"{at}_found"), *[F.when(first, F.col(f"__b_{v}")).otherwise(F.col(f"__f_{v}")).alias(v) for v in values])
+    """left with the row of right nearest in `at`, ties to the smaller position: one sorted union, no pairs."""
+    both = both_sides(left, right, key, at, values)
+    first = F.col("after").isNull() | (F.col(at) - F.col("before.t") <= F.col("after.t") - F.col(at))
+    hit = F.when(first, F.col("before")).otherwise(F.col("after"))
+    return both.withColumn("__hit", hit).select(*left.columns, F.col("__hit.t").alias(f"{at}_found"), *[F.col(f"__hit.{v}").alias(v) for v in values])
 
 
 def interval_join(points: DataFrame, spans: DataFrame, key: Cols, at: str, low: str, high: str, width: int) -> DataFrame:
@@ -113,3 +112,43 @@ def reply_of(turns: DataFrame, key: Cols, order: Cols, role: str, text: str, ask
     w = Window.partitionBy(*key).orderBy(*order)
     rows = turns.withColumn("__r", F.lag(role).over(w)).withColumn("question", F.lag(text).over(w))
     return rows.where((F.col(role) == answers) & (F.col("__r") == asks)).drop("__r")
+
+
+def selected_variants(episodes: DataFrame, own: str, selected: str, is_variant: str) -> DataFrame:
+    """(baseline, variant) of baselines that name a chosen variant; a variant is not asked for its own choice, and one that is missing makes no pair."""
+    base = episodes.where((F.coalesce(F.col(is_variant), F.lit(0)) < 1) & F.col(selected).isNotNull() & (F.col(selected).cast("string") != ""))
+    pairs = base.select(F.col(own).alias("baseline"), F.col(selected).alias("variant"))
+    return pairs.join(episodes.select(F.col(own).alias("variant")).distinct(), "variant").select("baseline", "variant")
+
+
+def with_fallback_rule(rows: DataFrame, dim: DataFrame, key: str, value: str, rules: Sequence[tuple[Column, Column]]) -> DataFrame:
+    """rows with a dimension's value by key, else by the first name rule (condition, value) that holds, else null."""
+    joined = rows.join(dim.select(key, F.col(value).alias("__v")), key, "left")
+    rule = F.lit(None).cast(dim.schema[value].dataType)
+    for condition, v in reversed(rules):
+        rule = F.when(condition, v).otherwise(rule)
+    return joined.withColumn(value, F.coalesce("__v", rule)).drop("__v")
+
+
+def or_any(rows: DataFrame, dim: DataFrame, key: str, columns: Cols, by: Cols, most: int = 1000) -> DataFrame:
+    """rows with the columns of the dimension's row of the same key, else of one drawn by the columns `by`. The dimension's size is checked."""
+    from tidemark.functions.draws import draw
+
+    n = dim.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"over {most} rows")
+    listed = dim.agg(F.array_sort(F.collect_list(F.struct(key, *columns))).alias("__all"))  # at most `most` small rows
+    joined = rows.join(dim.select(key, F.struct(*columns).alias("__hit")), key, "left").crossJoin(F.broadcast(listed))
+    pick = F.get("__all", draw(F.size("__all"), "any", *by).cast("int"))
+    return joined.select(*rows.columns, *[F.coalesce(F.col(f"__hit.{c}"), pick[c]).alias(c) for c in columns])
+
+
+def judge_items(replies: DataFrame, questions: DataFrame, key: Cols, judges: Sequence[str], templates: Sequence[int] = (1, 2), rescore: bool = False) -> DataFrame:
+    """Free-text replies of judged templates that some judge has not voted on validly yet, with their question.
+
+    replies: key, answer_format, answer, votes (map of judge to score); questions: key, template_id, question, reference.
+    """
+    wanted = replies.where("answer_format = 'free_form'").join(questions.where(F.col("template_id").isin(*templates)), list(key))
+    votes = F.coalesce(F.col("votes"), F.create_map().cast(replies.schema["votes"].dataType))
+    open_ = F.exists(F.array(*map(F.lit, judges)), lambda j: F.try_element_at(votes, j).isNull()) if judges else F.size(votes) == 0
+    return wanted if rescore else wanted.where(open_)

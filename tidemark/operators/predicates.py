@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.values import mean_of
 from tidemark.operators.aggregates import all_of, any_of
 
 EPS = 1e-6
@@ -38,22 +39,32 @@ THRESHOLDS = {
 }
 
 
-def window_features(rows: DataFrame, key: Sequence[str], seq: str, onset: str, axes: Sequence[tuple[str, str, str]], contact: str, current: str, safety: str) -> DataFrame:
+def tracking_error(axes: Sequence[tuple[Column, Column, Column | None, Column | None]]) -> Column:
+    """Mean over axes of |position setpoint - feedback|, plus |speed setpoint - feedback| where both are known; axes without positions are skipped."""
+    errors = []
+    for set_at, at, set_speed, speed in axes:
+        more = F.lit(0.0) if set_speed is None or speed is None else F.coalesce(F.abs(set_speed - speed), F.lit(0.0))
+        errors.append(F.abs(set_at - at) + more)
+    return mean_of(errors)
+
+
+def window_features(rows: DataFrame, key: Sequence[str], seq: str, onset: str, axes: Sequence[tuple[str, str, str]], contact: str, current: str, safety: str, tcp: Column | None = None) -> DataFrame:
     """One row per window: values of the row before the onset (pre_) and aggregates from it on (post_).
 
-    axes: (speed, setpoint, effort) columns of each axis. One aggregation with map-side combine; no window is sorted.
+    axes: (speed, setpoint, effort) columns of each axis; tcp: the tracking error of the tool, where there is one. One
+    aggregation with map-side combine; no window is sorted.
     """
+    tcp = F.lit(None).cast("double") if tcp is None else tcp
     pre, post = F.col(seq) == F.col(onset) - 1, F.col(seq) >= F.col(onset)
     rows = rows.withColumn("__early", F.col(seq) < F.col(onset) + F.greatest(F.lit(1), F.floor(0.4 * (F.col("n_rows") - F.col(onset)))))
     aggs: list[Column] = []
-    track = [F.abs(F.col(sp) - F.col(v)) for v, sp, _ in axes]
-    error = F.aggregate(F.array_compact(F.array(*track)), F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(F.array_compact(F.array(*track))), F.lit(0))
+    error = tracking_error([(F.col(sp), F.col(v), None, None) for v, sp, _ in axes])
     for i, (v, _, e) in enumerate(axes):
         far = F.abs(F.col(v) - F.col(f"__pre_v{i}"))
         aggs += [F.max(f"__pre_v{i}").alias(f"pre_v{i}"), F.max(f"__pre_e{i}").alias(f"pre_e{i}")]
         aggs += [F.min(F.when(post, F.col(v))).alias(f"min_v{i}"), F.max(F.when(post, far)).alias(f"far_v{i}"), F.avg(F.when(post, F.abs(v))).alias(f"abs_v{i}"), F.avg(F.when(post, F.col(e))).alias(f"mean_e{i}")]
         aggs += [F.max(F.when(post & F.col("__early"), F.col(e))).alias(f"early_e{i}"), F.min_by(e, F.when(post, F.col(seq))).alias(f"first_e{i}"), F.max_by(e, F.when(post, F.col(seq))).alias(f"last_e{i}")]
-    pre_rows = rows.where(pre).select(*key, *[F.col(v).alias(f"__pre_v{i}") for i, (v, _, _) in enumerate(axes)], *[F.col(e).alias(f"__pre_e{i}") for i, (_, _, e) in enumerate(axes)], F.col(contact).alias("__pre_contact"), F.col(current).alias("__pre_current"), error.alias("__pre_track"))
+    pre_rows = rows.where(pre).select(*key, *[F.col(v).alias(f"__pre_v{i}") for i, (v, _, _) in enumerate(axes)], *[F.col(e).alias(f"__pre_e{i}") for i, (_, _, e) in enumerate(axes)], F.col(contact).alias("__pre_contact"), F.col(current).alias("__pre_current"), error.alias("__pre_track"), tcp.alias("__pre_tcp"))
     both = rows.join(pre_rows, list(key))
     c, r = F.col(contact), F.col(current)
     aggs += [
@@ -61,6 +72,10 @@ def window_features(rows: DataFrame, key: Sequence[str], seq: str, onset: str, a
         F.bool_or(F.when(post & c.isNotNull(), c >= (1 + THRESHOLDS["mc_007"]) * F.col("__pre_contact"))).alias("contact_high"),
         F.avg(F.when(post, error)).alias("track"),
         F.max("__pre_track").alias("pre_track"),
+        F.avg(F.when(post, tcp)).alias("tcp"),
+        F.max("__pre_tcp").alias("pre_tcp"),
+        F.avg(F.when(post, c)).alias("contact"),
+        F.max("__pre_contact").alias("pre_contact"),
         (F.max(F.when(post, r)) - F.min(F.when(post, r))).alias("current_span"),
         F.avg(F.when(post, r)).alias("current_mean"),
         F.max("__pre_current").alias("pre_current"),
@@ -69,12 +84,19 @@ def window_features(rows: DataFrame, key: Sequence[str], seq: str, onset: str, a
     return both.groupBy(*key).agg(*aggs)
 
 
+def aggregate_error(track: Column, tcp: Column, contact: Column, current: Column) -> Column:
+    """Mean of the terms that are known: tracking, tool tracking, contact norm, relative change of the robot's current."""
+    return mean_of([track, tcp, contact, current])
+
+
 def statements(n_axes: int) -> dict[str, Column]:
     """Truth of each statement over window_features()."""
     t, c, axes = THRESHOLDS, F.col, range(n_axes)
     scale = lambda x: F.greatest(F.lit(EPS), F.abs(x))
     slope = [(c(f"last_e{i}") - c(f"first_e{i}")) / scale(c(f"pre_e{i}")) for i in axes]
     known = F.array_compact(F.array(*slope))
+    moved = F.abs(c("current_mean") - c("pre_current")) / scale(c("pre_current"))
+    before, after = aggregate_error(c("pre_track"), c("pre_tcp"), c("pre_contact"), F.abs(c("pre_current") - c("pre_current"))), aggregate_error(c("track"), c("tcp"), c("contact"), moved)
     of_known: Callable[[Column], Column] = lambda x: F.when(F.size(known) > 0, x)
     return {
         "mc_003": any_of([c(f"min_v{i}") <= (1 - t["mc_003"]) * c(f"pre_v{i}") for i in axes]),
@@ -87,12 +109,22 @@ def statements(n_axes: int) -> dict[str, Column]:
         "mc_012": any_of([(c(f"early_e{i}") >= (1 + t["mc_012_rise"]) * c(f"pre_e{i}")) & (c(f"last_e{i}") <= t["mc_012_fall"] * c(f"early_e{i}")) for i in axes]),
         "mc_013": c("current_span") <= t["mc_013"] * scale(c("pre_current")),
         "mc_014": c("current_mean") >= (1 + t["mc_014"]) * c("pre_current"),
+        "mc_015": c("tcp") <= (1 + t["mc_015"]) * c("pre_tcp"),
+        "mc_016": c("tcp") >= (1 + t["mc_016"]) * c("pre_tcp"),
         "mc_017": of_known(F.size(F.filter(known, lambda s: s > t["mc_017"])) >= 2),
         "mc_018": of_known(F.size(F.filter(known, lambda s: F.abs(s) <= t["mc_018"])) / F.size(known) >= t["mc_018_share"]),
-        "mc_019": F.when(~c("safe"), F.lit(False)).otherwise(c("track") <= (1 + t["mc_019"]) * c("pre_track")),
+        "mc_019": F.when(~c("safe"), F.lit(False)).otherwise(after <= (1 + t["mc_019"]) * before),
     }
 
 
 def answer_string(truths: Sequence[Column]) -> Column:
     """T and F by statement; unknown is F."""
     return F.concat(*[F.when(F.coalesce(x, F.lit(False)), "T").otherwise("F") for x in truths])
+
+
+def comparative(robot: tuple[Column, Column], fault: tuple[Column, Column], task: tuple[Column, Column], phase: tuple[Column, Column]) -> Column:
+    """T and F for: other robot, other anomalous state, other task, same task in another usual phase. Null where nothing differs."""
+    a, b = fault
+    flags = [robot[0] != robot[1], a != b, task[0] != task[1], (task[0] == task[1]) & F.coalesce(phase[0] != phase[1], F.lit(False))]
+    text = answer_string(flags)
+    return F.when(text.contains("T"), text)

@@ -6,6 +6,7 @@ these verbs: Spark keeps the partitioning and sort order of the first window for
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -164,16 +165,26 @@ def asof(probes: DataFrame, rows: DataFrame, key: Cols, t: str, values: Cols, di
     return out.select(*key, "__own.*", F.col("__hit.t").alias(f"{t}_found"), *[F.col(f"__hit.{v}").alias(v) for v in values])
 
 
+def both_sides(probes: DataFrame, rows: DataFrame, key: Cols, t: str, values: Cols) -> DataFrame:
+    """probes with `before` and `after`, structs (t, values) of the nearest rows at or before and at or after t: one union, one shuffle, two sorted passes."""
+    own = [c for c in probes.columns if c not in key]
+    found = F.struct(F.col(t).alias("t"), *values)
+    kind = rows.select(found.alias("f")).schema["f"].dataType
+    left = probes.select(*key, F.struct(*own).alias("__own"), F.col(t).alias("__t"), F.lit(None).cast(kind).alias("__f"))
+    right = rows.select(*key, F.lit(None).cast(left.schema["__own"].dataType).alias("__own"), F.col(t).alias("__t"), found.alias("__f"))
+    frame = lambda order: Window.partitionBy(*key).orderBy(order, F.col("__own").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    out = left.unionByName(right).withColumn("before", F.last("__f", ignorenulls=True).over(frame(F.asc("__t"))))
+    out = out.withColumn("after", F.last("__f", ignorenulls=True).over(frame(F.desc("__t")))).where("__own IS NOT NULL")
+    return out.select(*key, "__own.*", "before", "after")
+
+
 def interpolate(probes: DataFrame, rows: DataFrame, key: Cols, t: str, x: str) -> DataFrame:
     """probes with x at time t, linear between the bracketing rows, clamped at both ends, and how: exact or interpolated."""
-    rows = rows.where(F.col(x).isNotNull())
-    lo = asof(probes, rows, key, t, [x]).withColumnsRenamed({x: "__x0", f"{t}_found": "__t0"})
-    both = asof(lo, rows, key, t, [x], "forward").withColumnsRenamed({x: "__x1", f"{t}_found": "__t1"})
-    t0, t1, x0, x1 = (F.col(c) for c in ("__t0", "__t1", "__x0", "__x1"))
-    at = F.col(t)
+    both = both_sides(probes, rows.where(F.col(x).isNotNull()), key, t, [x])
+    at, t0, t1, x0, x1 = (F.col(c) for c in (t, "before.t", "after.t", f"before.{x}", f"after.{x}"))
     value = F.when(t0 == at, x0).when(t1 == at, x1).when(t0.isNull(), x1).when(t1.isNull(), x0).otherwise(x0 + (x1 - x0) * ((at - t0) / (t1 - t0)))
     how = F.when((t0 == at) | (t1 == at), "exact").when(t0.isNotNull() | t1.isNotNull(), "interpolated")
-    return both.withColumn(x, value).withColumn("how", how).drop("__t0", "__t1", "__x0", "__x1")
+    return both.withColumn("how", how).withColumn(x, value).drop("before", "after")
 
 
 def jerk(df: DataFrame, key: Cols, order: Cols, x: str, dt: float, out: str = "jerk") -> DataFrame:
@@ -210,12 +221,18 @@ def windows_around(df: DataFrame, key: Cols, n_rows: str, center: str, length: i
     return df.where(hi >= lo).select(*key, center, F.explode(F.sequence(lo, hi)).alias("start"), F.lit(length).alias("n"))
 
 
-def phase_overlap(run_list: DataFrame, windows: DataFrame, key: Cols, least: int) -> DataFrame:
-    """Windows that share at least min(run length, least) rows with a run of the phase; joined by key, ranges compared after."""
+def phase_overlap(run_list: DataFrame, windows: DataFrame, key: Cols, least: int, width: int = 64) -> DataFrame:
+    """Windows that share at least min(run length, least) rows with a run of the phase.
+
+    Both go by buckets of width rows, so windows and runs of a long episode meet only where they are near.
+    """
+    buckets = lambda lo, hi: F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width)))
     w = windows.withColumnsRenamed({"start": "w_start", "n": "w_n"})
-    both = w.join(run_list, list(key))
+    w = w.withColumn("__bucket", buckets(F.col("w_start"), F.col("w_start") + F.col("w_n") - 1))
+    r = run_list.select(*key, "start", "n").withColumn("__bucket", buckets(F.col("start"), F.col("start") + F.col("n") - 1))
+    both = w.join(r, [*key, "__bucket"])
     shared = F.least(F.col("w_start") + F.col("w_n"), F.col("start") + F.col("n")) - F.greatest("w_start", "start")
-    return both.where(shared >= F.least(F.col("n"), F.lit(least))).select(*w.columns).distinct().withColumnsRenamed({"w_start": "start", "w_n": "n"})
+    return both.where(shared >= F.least(F.col("n"), F.lit(least))).select(*[c for c in w.columns if c != "__bucket"]).distinct().withColumnsRenamed({"w_start": "start", "w_n": "n"})
 
 
 def seeded_pick(df: DataFrame, key: Cols, by: Cols, k: int = 1, seed: int = 42) -> DataFrame:
@@ -276,28 +293,37 @@ def chebyshev_sections(order: int, ripple_db: float, cut: float) -> np.ndarray:
     return out
 
 
-def _filter(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Sections in turn over the rows of x (time, channels), from the steady state of the first row."""
+@functools.lru_cache(maxsize=64)
+def impulse_response(q: int) -> np.ndarray:
+    """Response of the low-pass for decimation by q (order 8, 0.05 dB, cut at 0.8 / q), as long as it stays above 1e-13 of its start."""
+    sections = chebyshev_sections(8, 0.05, 0.8 / q)
+    radius = max(np.sqrt(a2) for *_, a2 in sections)
+    x = np.zeros(int(np.ceil(np.log(1e-13) / np.log(radius))))
+    x[0] = 1.0
     for b0, b1, b2, a1, a2 in sections:
-        gain = (b0 + b1 + b2) / (1 + a1 + a2)
-        y = np.empty_like(x)
-        z1 = (gain - b0) * x[0]
-        z2 = (b2 - a2 * gain) * x[0]
-        for i in range(len(x)):
-            v = x[i]
+        y, z1, z2 = np.empty_like(x), 0.0, 0.0
+        for i, v in enumerate(x):
             y[i] = o = b0 * v + z1
-            z1 = b1 * v - a1 * o + z2
-            z2 = b2 * v - a2 * o
+            z1, z2 = b1 * v - a1 * o + z2, b2 * v - a2 * o
         x = y
     return x
 
 
+def _filter(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Convolution of all columns of x with h, as if the first row had always been there."""
+    past = np.repeat(x[:1], len(h) - 1, axis=0)
+    ext = np.concatenate([past, x])
+    size = 1 << (len(ext) + len(h) - 2).bit_length()
+    y = np.fft.irfft(np.fft.rfft(ext, size, axis=0) * np.fft.rfft(h, size)[:, None], size, axis=0)
+    return y[len(past) : len(ext)]
+
+
 def smooth(x: np.ndarray, q: int) -> np.ndarray:
-    """Zero-phase anti-alias filter for decimation by q: order 8, 0.05 dB, cut at 0.8 / q; odd reflection at the ends."""
-    sections = chebyshev_sections(8, 0.05, 0.8 / q)
+    """Zero-phase anti-alias filter for decimation by q over the rows of x (time, channels); odd reflection at the ends."""
+    h = impulse_response(q)
     pad = min(27, len(x) - 1)
     ext = np.concatenate([2 * x[:1] - x[pad:0:-1], x, 2 * x[-1:] - x[-2 : -pad - 2 : -1]]) if pad else x
-    y = _filter(sections, _filter(sections, ext)[::-1])[::-1]
+    y = _filter(h, _filter(h, ext)[::-1])[::-1]
     return y[pad : pad + len(x)]
 
 
@@ -306,13 +332,14 @@ def decimate(df: DataFrame, key: Cols, seq: str, q: int, continuous: Cols, block
 
     Long episodes are cut into blocks of block * q rows with overlap * q rows of neighbours on each side, so a group is
     bounded however long the episode; the filter's memory fades well within the overlap. Episodes shorter than q keep their
-    first row; columns with under 2 q values are only thinned. seq must count rows from 0.
+    first row; columns with under 2 q values in the whole episode are only thinned. seq must count rows from 0.
     """
     if q <= 1:
         return df
     size, lap = block * q, overlap * q
-    whole = F.count(F.lit(1)).over(Window.partitionBy(*key))
-    rows = df.withColumn("__n", whole).withColumn("__block", F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col(seq) - lap) / size), F.floor((F.col(seq) + lap) / size))))
+    whole = Window.partitionBy(*key)
+    rows = df.withColumn("__n", F.count(F.lit(1)).over(whole)).withColumn("__full", F.array(*[F.count(c).over(whole) >= 2 * q for c in continuous]))
+    rows = rows.withColumn("__block", F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col(seq) - lap) / size), F.floor((F.col(seq) + lap) / size))))
     schema = df.schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -320,11 +347,12 @@ def decimate(df: DataFrame, key: Cols, seq: str, q: int, continuous: Cols, block
         at = pdf[seq].to_numpy()
         keep = (at // size == pdf["__block"].to_numpy()) & (at % q == 0) & ((at // q < pdf["__n"].to_numpy() // q) | (at == 0))
         if keep.any():
-            x = pdf[list(continuous)].astype(float)
-            full = [c for c in continuous if x[c].notna().sum() >= 2 * q]
+            full = [c for c, ok in zip(continuous, pdf["__full"].iloc[0]) if ok]
             if full and len(pdf) >= q:
-                filled = x[full].interpolate(limit_direction="both").fillna(0.0)
-                pdf[full] = smooth(filled.to_numpy(), q)
+                x = pdf[full].astype(float)
+                if x.isna().to_numpy().any():
+                    x = x.interpolate(limit_direction="both").fillna(0.0)
+                pdf[full] = smooth(x.to_numpy(), q)
         return pdf.loc[keep, [f.name for f in schema]]
 
     return rows.groupBy(*key, "__block").applyInPandas(run, schema)

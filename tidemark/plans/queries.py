@@ -81,9 +81,13 @@ def constant_features(spark: S, sf: str) -> DataFrame:
     return found.select("episode_id", "feature", "n", F.round("mean", 6).alias("mean"), "is_constant")
 
 
-@query(f"WITH {AXES} SELECT episode_id, 0::BIGINT AS n_constant, false AS inactive FROM a GROUP BY episode_id")
+@query(f"""WITH {ROBOT}, x AS (SELECT episode_id, seq, max(seq) OVER (PARTITION BY episode_id) AS hi, {", ".join(f"CASE WHEN (episode_id + {i}) % 3 = 0 THEN 7.0 ELSE value * {i + 1} END AS f{i}" for i in range(4))} FROM t),
+m AS (UNPIVOT x ON {", ".join(f"f{i}" for i in range(4))} INTO NAME feature VALUE v), c AS (SELECT episode_id, feature, max(v) = min(v) OR (max(v) - min(v)) / (abs(avg(v)) + 1e-9) < 0.02 OR stddev_pop(v) / (abs(avg(v)) + 1e-9) < 0.01 OR count(v) < 2 AS flat FROM m WHERE hi < 10 OR seq BETWEEN 5 AND hi - 5 GROUP BY 1, 2)
+SELECT episode_id, count(*) FILTER (flat) AS n_constant, count(*) FILTER (flat) >= 2 AS inactive FROM c GROUP BY 1""")
 def inactivity(spark: S, sf: str) -> DataFrame:
-    return agg.inactive(agg.melt(axes(spark, sf), [*EP, "seq"], ["v0", "v1", "e0"]), EP, "seq")
+    names = [f"f{i}" for i in range(4)]
+    rows = telemetry(spark, sf).select(*EP, "seq", *[F.when((F.col("episode_id") + i) % 3 == 0, 7.0).otherwise(F.col("value") * (i + 1)).alias(f"f{i}") for i in range(4)])
+    return agg.inactive(agg.melt(rows, [*EP, "seq"], names), EP, "seq", least=2)
 
 
 @query("SELECT p_type AS feature, CASE WHEN p_type LIKE 'S%' THEN 'intent' WHEN p_type LIKE 'P%' THEN 'outcome' END AS category, count(*) AS n FROM part GROUP BY ALL")
@@ -330,26 +334,50 @@ def episode_metadata(spark: S, sf: str) -> DataFrame:
     return agg.episode_metadata(telemetry(spark, sf), EP, "seq", "ms")
 
 
-@query(f"""WITH {AXES}, n AS (SELECT *, count(*) OVER (PARTITION BY episode_id) AS c FROM a), o AS (SELECT *, c // 2 AS onset FROM n),
-b AS (SELECT episode_id, v0 AS pv0, v1 AS pv1, e0 AS pe0, e1 AS pe1, contact AS pc, robot_current AS pr, (abs(s0 - v0) + abs(s1 - v1)) / 2 AS pt FROM o WHERE seq = onset - 1),
-g AS (SELECT o.*, b.* EXCLUDE (episode_id), (abs(s0 - v0) + abs(s1 - v1)) / 2 AS track FROM o JOIN b USING (episode_id) WHERE seq >= onset),
-x AS (SELECT episode_id, any_value(pv0) AS pv0, any_value(pv1) AS pv1, any_value(pe0) AS pe0, any_value(pe1) AS pe1, any_value(pr) AS pr, any_value(pt) AS pt, min(v0) AS m0, min(v1) AS m1, max(abs(v0 - pv0)) AS f0, max(abs(v1 - pv1)) AS f1,
-  avg(CASE WHEN contact <= 1.2 * pc THEN 1.0 ELSE 0.0 END) AS low, bool_or(contact >= 1.4 * pc) AS high, avg(track) AS tr, max(robot_current) - min(robot_current) AS span, avg(robot_current) AS cm, bool_and(safety = 1) AS safe FROM g GROUP BY 1)
-SELECT episode_id, m0 <= 0.7 * pv0 OR m1 <= 0.7 * pv1 AS mc_003, f0 <= 0.1 * greatest(1e-6, abs(pv0)) AND f1 <= 0.1 * greatest(1e-6, abs(pv1)) AS mc_004, low >= 0.8 AS mc_006, high AS mc_007, tr >= 1.25 * pt AS mc_008, tr <= 1.1 * pt AS mc_009,
-  span <= 0.1 * greatest(1e-6, abs(pr)) AS mc_013, cm >= 1.2 * pr AS mc_014, CASE WHEN NOT safe THEN false ELSE tr <= 1.1 * pt END AS mc_019 FROM x""")
-def mc_statements(spark: S, sf: str) -> DataFrame:
+_SCALE = "greatest(1e-6, abs({}))"
+_STATEMENTS = {
+    "mc_003": "m0 <= 0.7 * pv0 OR m1 <= 0.7 * pv1",
+    "mc_004": f"f0 <= 0.1 * {_SCALE.format('pv0')} AND f1 <= 0.1 * {_SCALE.format('pv1')}",
+    "mc_005": f"me0 >= 1.25 * pe0 AND av0 <= 0.1 * {_SCALE.format('pv0')} OR me1 >= 1.25 * pe1 AND av1 <= 0.1 * {_SCALE.format('pv1')}",
+    "mc_006": "low >= 0.8",
+    "mc_007": "high",
+    "mc_008": "tr >= 1.25 * pt",
+    "mc_009": "tr <= 1.1 * pt",
+    "mc_012": "pk0 >= 1.2 * pe0 AND le0 <= 0.9 * pk0 OR pk1 >= 1.2 * pe1 AND le1 <= 0.9 * pk1",
+    "mc_013": f"span <= 0.1 * {_SCALE.format('pr')}",
+    "mc_014": "cm >= 1.2 * pr",
+    "mc_015": "tc <= 1.1 * ptc",
+    "mc_016": "tc >= 1.25 * ptc",
+    "mc_017": "(d0 > 0.005)::INT + (d1 > 0.005)::INT >= 2",
+    "mc_018": "((abs(d0) <= 0.002)::INT + (abs(d1) <= 0.002)::INT) / 2 >= 0.8",
+    "mc_019": f"safe AND (tr + tc + ct + abs(cm - pr) / {_SCALE.format('pr')}) / 4 <= 1.1 * (pt + ptc + pc) / 4",
+}
+_TRUTHS = f"""{AXES}, n AS (SELECT *, count(*) OVER (PARTITION BY episode_id) AS c FROM a), o AS (SELECT *, c // 2 AS onset, (abs(s0 - v0) + abs(s1 - v1)) / 2 AS track, abs(s0 - v0) + abs(e0 - e1) AS tool FROM n),
+b AS (SELECT episode_id, v0 AS pv0, v1 AS pv1, e0 AS pe0, e1 AS pe1, contact AS pc, robot_current AS pr, track AS pt, tool AS ptc FROM o WHERE seq = onset - 1),
+g AS (SELECT o.*, b.* EXCLUDE (episode_id), seq < onset + greatest(1, floor(0.4 * (c - onset))) AS early FROM o JOIN b USING (episode_id) WHERE seq >= onset),
+y AS (SELECT episode_id, any_value(pv0) AS pv0, any_value(pv1) AS pv1, any_value(pe0) AS pe0, any_value(pe1) AS pe1, any_value(pr) AS pr, any_value(pt) AS pt, any_value(ptc) AS ptc, any_value(pc) AS pc, min(v0) AS m0, min(v1) AS m1, max(abs(v0 - pv0)) AS f0, max(abs(v1 - pv1)) AS f1,
+  avg(e0) AS me0, avg(e1) AS me1, avg(abs(v0)) AS av0, avg(abs(v1)) AS av1, max(e0) FILTER (early) AS pk0, max(e1) FILTER (early) AS pk1, arg_max(e0, seq) AS le0, arg_max(e1, seq) AS le1, arg_min(e0, seq) AS fe0, arg_min(e1, seq) AS fe1,
+  avg(CASE WHEN contact <= 1.2 * pc THEN 1.0 ELSE 0.0 END) AS low, bool_or(contact >= 1.4 * pc) AS high, avg(track) AS tr, avg(tool) AS tc, avg(contact) AS ct, max(robot_current) - min(robot_current) AS span, avg(robot_current) AS cm, bool_and(safety = 1) AS safe FROM g GROUP BY 1),
+x AS (SELECT *, (le0 - fe0) / {_SCALE.format("pe0")} AS d0, (le1 - fe1) / {_SCALE.format("pe1")} AS d1 FROM y)"""
+
+
+def _truths(spark: S, sf: str) -> tuple[DataFrame, dict]:
     rows = axes(spark, sf).withColumn("n_rows", F.count(F.lit(1)).over(seq.Window.partitionBy(*EP))).withColumn("onset", F.floor(F.col("n_rows") / 2))
-    found = predicates.window_features(rows, EP, "seq", "onset", [("v0", "s0", "e0"), ("v1", "s1", "e1")], "contact", "robot_current", "safety")
-    truth = predicates.statements(2)
-    return found.select("episode_id", *[truth[k].alias(k) for k in ("mc_003", "mc_004", "mc_006", "mc_007", "mc_008", "mc_009", "mc_013", "mc_014", "mc_019")])
+    tool = predicates.tracking_error([(F.col("s0"), F.col("v0"), F.col("e0"), F.col("e1"))])
+    return predicates.window_features(rows, EP, "seq", "onset", [("v0", "s0", "e0"), ("v1", "s1", "e1")], "contact", "robot_current", "safety", tool), predicates.statements(2)
 
 
-@query()
+@query(f"WITH {_TRUTHS} SELECT episode_id, " + ", ".join(f"{v} AS {k}" for k, v in _STATEMENTS.items()) + " FROM x")
+def mc_statements(spark: S, sf: str) -> DataFrame:
+    found, truth = _truths(spark, sf)
+    return found.select("episode_id", *[v.alias(k) for k, v in truth.items()])
+
+
+@query(f"WITH {_TRUTHS} SELECT episode_id, concat(" + ", ".join(f"CASE WHEN {v} THEN 'T' ELSE 'F' END" for v in _STATEMENTS.values()) + ") AS answer FROM x")
 def mc_answers(spark: S, sf: str) -> DataFrame:
     """All statements as one answer string per episode."""
-    rows = axes(spark, sf).withColumn("n_rows", F.count(F.lit(1)).over(seq.Window.partitionBy(*EP))).withColumn("onset", F.floor(F.col("n_rows") / 2))
-    found = predicates.window_features(rows, EP, "seq", "onset", [("v0", "s0", "e0"), ("v1", "s1", "e1")], "contact", "robot_current", "safety")
-    return found.select("episode_id", predicates.answer_string(list(predicates.statements(2).values())).alias("answer"))
+    found, truth = _truths(spark, sf)
+    return found.select("episode_id", predicates.answer_string(list(truth.values())).alias("answer"))
 
 
 # joins
@@ -431,8 +459,8 @@ def hash_split(spark: S, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", scoring.hash_split(F.col("o_orderkey").cast("string")).alias("bucket"))
 
 
-@query(f"""WITH h AS (SELECT c_custkey AS k, {_HEX.format(x="concat('42:', CAST(c_custkey AS VARCHAR))")} AS b FROM customer), s AS (SELECT k, CASE WHEN b < 8000 THEN 'train' WHEN b < 9000 THEN 'validation' ELSE 'test' END AS split FROM h),
-i AS (SELECT l_orderkey, o_custkey AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION SELECT o_orderkey, o_orderkey % 1000 FROM orders)
+@query(f"""WITH i AS (SELECT l_orderkey, o_custkey AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION SELECT o_orderkey, o_orderkey % 1000 FROM orders),
+h AS (SELECT k, {_HEX.format(x="concat('42:', CAST(k AS VARCHAR))")} AS b FROM (SELECT DISTINCT k FROM i)), s AS (SELECT k, CASE WHEN b < 8000 THEN 'train' WHEN b < 9000 THEN 'validation' ELSE 'test' END AS split FROM h)
 SELECT l_orderkey AS item, min(split) AS split FROM i JOIN s USING (k) GROUP BY 1 HAVING min(split) = max(split)""")
 def hermetic_split(spark: S, sf: str) -> DataFrame:
     o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem").select("l_orderkey").distinct()

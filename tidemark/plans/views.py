@@ -18,7 +18,7 @@ ROBOT = """t AS (
 AXES = """a AS (
   SELECT l_suppkey AS episode_id, l_quantity AS v0, l_extendedprice / 1000 AS v1, l_quantity * (1 - l_discount) AS s0,
     l_extendedprice * (1 - l_tax) / 1000 AS s1, l_discount * 100 AS e0, l_tax * 100 AS e1, l_extendedprice / 1000 AS contact,
-    l_quantity AS robot_current, CASE WHEN l_returnflag = 'R' THEN 3 ELSE 1 END AS safety,
+    l_quantity AS robot_current, CASE WHEN l_returnflag = 'R' AND l_suppkey % 2 = 0 THEN 3 ELSE 1 END AS safety,
     row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) - 1 AS seq
   FROM lineitem)"""
 
@@ -51,7 +51,7 @@ def axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(
         c("l_suppkey").alias("episode_id"), c("l_quantity").alias("v0"), (c("l_extendedprice") / 1000).alias("v1"), (c("l_quantity") * (1 - c("l_discount"))).alias("s0"),
         (c("l_extendedprice") * (1 - c("l_tax")) / 1000).alias("s1"), (c("l_discount") * 100).alias("e0"), (c("l_tax") * 100).alias("e1"), (c("l_extendedprice") / 1000).alias("contact"),
-        c("l_quantity").alias("robot_current"), F.when(c("l_returnflag") == "R", 3).otherwise(1).alias("safety"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity",
+        c("l_quantity").alias("robot_current"), F.when((c("l_returnflag") == "R") & (c("l_suppkey") % 2 == 0), 3).otherwise(1).alias("safety"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity",
     )
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"]
     return with_seq(rows, ["episode_id"], order).drop(*order)

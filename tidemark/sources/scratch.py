@@ -12,7 +12,7 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; only a local session without that setting gets a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="tidemark-")
     return f"{where.rstrip('/')}/tables-{uuid.uuid4().hex}"
