@@ -86,3 +86,37 @@ def option_list(options: Name) -> Column:
 
 def safe_name(name: str) -> str:
     return re.sub(r"\W+", "_", name)
+
+
+def encode_features(features: Name, timestamp: Name | None = None, hidden: Sequence[str] = ("fault_label", "timestamp_ms"), digits: int = 2) -> Column:
+    """One row from a map of features, by name, nulls and hidden ones left out: "t=5: a=1, b=2.5", or without the time."""
+    shown = F.array_sort(F.map_entries(F.map_filter(col(features), lambda k, v: v.isNotNull() & ~k.isin(*hidden))))
+    body = F.array_join(F.transform(shown, lambda e: F.concat(e["key"], F.lit("="), plain_number(e["value"], digits))), ", ")
+    return body if timestamp is None else F.concat(F.lit("t="), plain_number(timestamp, 0), F.lit(": "), body)
+
+
+def encode_chunks(df: DataFrame, key: Sequence[str], seq: str, line: Column) -> DataFrame:
+    """key and chunk: the lines of a chunk in order, joined by bars, for use in options. Bounded by the chunk's length."""
+    out = df.select(*key, F.struct(F.col(seq).alias("s"), line.alias("l")).alias("x")).groupBy(*key).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return out.select(*key, F.array_join(F.transform("x", lambda x: x["l"]), " | ").alias("chunk"))
+
+
+def representative(features: Name, *parts: str) -> Column:
+    """Of the features whose name contains one of parts the first by name that has a number, to three decimals."""
+    named = lambda k: F.coalesce(*[F.when(k.contains(p), F.lit(True)) for p in parts], F.lit(False))
+    found = F.array_sort(F.map_entries(F.map_filter(col(features), lambda k, v: named(k) & v.isNotNull())))
+    return F.bround(F.try_element_at(found, F.lit(1))["value"].cast("decimal(30,9)"), 3).cast("double")
+
+
+def event_values(x: Name, y: Name, n: Name, t: Name) -> Mapping[str, Column]:
+    """Values an event's description may name: X before, Y at the end, their difference, the rate per row, length and time."""
+    a, b = col(x), col(y)
+    return {"X": plain_number(a), "Y": plain_number(b), "delta": plain_number(F.abs(b - a)), "rate": plain_number((b - a) / F.greatest(F.lit(1), col(n))), "L": col(n).cast("string"), "T": col(t).cast("string")}
+
+
+def describe_event(template: Name, encoded: Column, derived: Mapping[str, Column]) -> Column:
+    """An event's description filled from the parameters its token carries, else from the values derived from rows."""
+    out = col(template)
+    for name, value in derived.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(F.try_element_at(encoded, F.lit(name)), value, F.lit("")))
+    return out

@@ -175,3 +175,125 @@ def semantic_tags(schema: T.StructType) -> dict[str, str]:
         return "sc:Text"
 
     return {f.name: tag(f.dataType) for f in schema}
+
+
+# maps of features, for rows whose columns vary
+
+
+def without_nulls(features: Name) -> Column:
+    return F.map_filter(col(features), lambda k, v: v.isNotNull())
+
+
+def without(features: Name, *names: str) -> Column:
+    return F.map_filter(col(features), lambda k, v: ~k.isin(*names))
+
+
+def only(features: Name, names: Sequence[str], always: Sequence[str] = ("timestamp_ms",)) -> Column:
+    """The listed features and those that always stay."""
+    return F.map_filter(col(features), lambda k, v: k.isin(*names, *always))
+
+
+def by_key(features: Name) -> Column:
+    """Entries (key, value) in the order of their keys."""
+    return F.array_sort(F.map_entries(col(features)))
+
+
+def positional_params(token: Name, kinds: Mapping[str, str]) -> Column:
+    """Parameters of "<id>_a_b_1.5_3" as a map: numbers are taken from the right by their kinds (numeric, integer), what is left belongs to the one text.
+
+    Null where there are fewer parts than numbers. Integers lose their fraction.
+    """
+    parts = F.slice(F.split(col(token), "_"), F.lit(2), F.greatest(F.lit(0), F.size(F.split(col(token), "_")) - 1))
+    n, names = F.size(parts), list(kinds)
+    numbers = [k for k in names if kinds[k] in ("numeric", "integer")]
+    values = []
+    for k in names:
+        if kinds[k] in ("numeric", "integer"):
+            part = F.try_element_at(parts, F.lit(numbers.index(k) - len(numbers)))
+            values.append(F.coalesce(safe_int(part).cast("string"), part) if kinds[k] == "integer" else part)
+        else:
+            first = [x for x in names if kinds[x] not in ("numeric", "integer")][0] == k
+            values.append(F.array_join(F.slice(parts, F.lit(1), F.greatest(F.lit(0), n - len(numbers))), "_") if first else F.lit(""))
+    return F.when(n >= len(numbers), F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*values)))
+
+
+_LITERAL = r"""['"](\w+)['"]\s*:\s*('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|\[[^\]]*\]|\([^)]*\)|\{[^}]*\}|[^,{}]+)"""
+
+
+def literal_dict(text: Name) -> Column:
+    """Text of a dictionary as programs print it ({'a': 1, 'b': None}) as a map of texts; None is null, quotes go. Null for other text."""
+    body = F.trim(col(text))
+    keys, found = (F.regexp_extract_all(body, F.lit(_LITERAL), F.lit(i)) for i in (1, 2))
+    values = F.transform(found, lambda v: F.when(F.trim(v) != "None", F.regexp_replace(F.trim(v), r"""^(['"])(.*)\1$""", "$2")))
+    # of a repeated key the last value counts
+    last = F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("k"), F.get(values, F.size(keys) - F.array_position(F.reverse(keys), k)).alias("v")))
+    return F.when(body.rlike(r"(?s)^\{.*\}$"), F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"]))))
+
+
+def metadata_fault(metadata: Name, fallback: Name) -> Column:
+    """Fault id of an episode's metadata map, else of its fault metadata; null in both stays null."""
+    return F.coalesce(safe_int(F.try_element_at(col(metadata), F.lit("fault_id"))), safe_int(F.try_element_at(col(fallback), F.lit("fault_id"))))
+
+
+def condition(metadata: Name, fault: Name) -> Column:
+    """The condition given; unknown ones are fault or normal by whether there is a fault id."""
+    given = F.coalesce(F.try_element_at(col(metadata), F.lit("condition")), F.lit("unknown"))
+    return F.when(given != "unknown", given).when(col(fault).isNotNull(), "fault").otherwise("normal")
+
+
+def is_nominal(fault: Name, first_label: Name) -> Column:
+    """By metadata, else by the first row's label; unknown is nominal."""
+    return F.coalesce(col(fault), col(first_label), F.lit(0)) == 0
+
+
+def is_anomalous(fault: Name) -> Column:
+    """By metadata; absent counts as anomalous."""
+    return F.coalesce(col(fault) != 0, F.lit(True))
+
+
+def article(noun: Name) -> Column:
+    return F.when(F.lower(F.substring(col(noun), 1, 1)).isin(*"aeiou"), F.concat(F.lit("an "), col(noun))).otherwise(F.concat(F.lit("a "), col(noun)))
+
+
+def anomaly_name(fault: Name, cause: Name, known: Mapping[int, str], capital: bool = False) -> Column:
+    """A phrase for the middle of a sentence: the known one, else the cause's words after "a", unless they have an article."""
+    words = F.replace(F.coalesce(col(cause), F.concat(F.lit("fault "), col(fault).cast("string"))), F.lit("_"), F.lit(" "))
+    made = F.when(words.startswith("a ") | words.startswith("an "), words).otherwise(F.concat(F.lit("a "), words))
+    out = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), col(fault)), made) if known else made
+    return F.concat(F.upper(F.substring(out, 1, 1)), F.substr(out, F.lit(2))) if capital else out
+
+
+def display_name(name: Name, known: Mapping[str, str]) -> Column:
+    """The known display name, else the name with spaces."""
+    spaced = F.replace(col(name), F.lit("_"), F.lit(" "))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), col(name)), spaced) if known else spaced
+
+
+def fits_prompt(text: Name, most: int = 900_000) -> Column:
+    """Whether a prompt's estimated tokens are within bounds."""
+    return F.floor(F.length(col(text)) / 4) <= most
+
+
+def decimal_places(text: Name) -> Column:
+    return F.length(F.split_part(col(text), F.lit("."), F.lit(2)))
+
+
+def is_integer_text(text: Name) -> Column:
+    return ~col(text).contains(".") & F.trim(col(text)).try_cast("long").isNotNull()
+
+
+def ten_point_score(score: Name) -> Column:
+    """A judge's 0 to 10 as 0 to 1; a failed verdict is 0."""
+    return F.when(col(score).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), col(score) / 10))).otherwise(F.lit(0.0))
+
+
+def joint_bases(columns: Sequence[str], joints: int = 6, excluded: Sequence[str] = ("joint_voltage", "joint_temp", "joint_mode")) -> list[str]:
+    """Signals that have every joint's column, base_0 to base_5; read from the schema."""
+    bases = {c.rsplit("_", 1)[0] for c in columns if c.rsplit("_", 1)[-1].isdigit()}
+    return sorted(b for b in bases if b not in excluded and all(f"{b}_{i}" in columns for i in range(joints)))
+
+
+def family(name: Name) -> Column:
+    """Struct (family, index) of names such as temp_12: the letters and the number at the end; null without a number."""
+    n = F.regexp_extract(col(name), r"^([a-z_]+?)(\d+)$", 2)
+    return F.when(n != "", F.struct(F.regexp_extract(col(name), r"^([a-z_]+?)(\d+)$", 1).alias("family"), n.cast("int").alias("index")))

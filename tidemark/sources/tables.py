@@ -124,3 +124,56 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
     """Columns that are null in every row go: one aggregation over all columns, its single row of counts is read."""
     n = df.agg(*[F.count(c).alias(c) for c in df.columns]).first()
     return df.select(*[c for c in df.columns if n[c]])
+
+
+def first_existing(spark: SparkSession, root: str, names: Sequence[str]) -> list[str]:
+    """The paths under root that exist among names of equal rank; asked through Spark's file systems, so any store will do."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    paths = [f"{root}/{n}" for n in names]
+    return [p for p in paths if hadoop.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop.Path(p))]
+
+
+def preferred_inputs(spark: SparkSession, root: str, ranks: Sequence[Sequence[str]]) -> list[str]:
+    """All existing paths of the first rank that has any, such as signals already thinned before raw ones."""
+    for names in ranks:
+        found = first_existing(spark, root, names)
+        if found:
+            return found
+    raise FileNotFoundError(f"none of the inputs under {root}")
+
+
+def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Question or reply trees, one JSON object per file: level (from the path), stem, and the object's columns; files that are no JSON go."""
+    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    rows = text.select(F.regexp_extract(F.col("_metadata.file_path"), r"/level(\d+)/", 1).try_cast("int").alias("level"), F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("stem"), F.from_json("value", schema).alias("x"), "value")
+    return rows.where("x IS NOT NULL AND try_parse_json(value) IS NOT NULL").select("level", "stem", "x.*")
+
+
+def split_pairs(episodes: DataFrame, stem: str, folder: str) -> DataFrame:
+    """(stem, alt, normal): folders of an episode's counterfactual (names that begin with alt) and its counterpart, where both exist."""
+    alt = F.lower(F.col(folder)).startswith("alt")
+    sides = episodes.groupBy(stem).agg(F.min(F.when(alt, F.col(folder))).alias("alt"), F.min(F.when(~alt, F.col(folder))).alias("normal"))
+    return sides.where("alt IS NOT NULL AND normal IS NOT NULL")
+
+
+def append_verdicts(df: DataFrame, path: str) -> None:
+    """Verdicts as JSON lines beside those already there; readers take the last of each item."""
+    df.write.mode("append").json(path)
+
+
+def write_traces(df: DataFrame, path: str) -> None:
+    """Scored traces as Parquet, nested columns as JSON text, by day where there is one."""
+    out = flat_for_parquet(df)
+    writer = out.write.mode("append")
+    (writer.partitionBy("day") if "day" in out.columns else writer).parquet(path)
+
+
+def with_time(df: DataFrame, key: Sequence[str], order: Sequence[str], step: int = 100, out: str = "timestamp_ms") -> DataFrame:
+    """A made-up clock for recordings without one: 0, step, 2 * step ... per episode."""
+    return df.withColumn(out, (F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1) * step)
+
+
+def unpadded(name: str | Column) -> Column:
+    """experiment_007 -> experiment_7."""
+    c = F.col(name) if isinstance(name, str) else name
+    return F.regexp_replace(c, r"(experiment_)0+(?=\d)", "$1")
