@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.draws import digest, draw
 from tidemark.operators.sequence import both_sides
 
 Cols = Sequence[str]
@@ -94,7 +95,7 @@ def other_of_group(rows: DataFrame, key: Cols, order: Cols, values: Cols, prefix
 
 def blocks_of(rows: DataFrame, key: Cols, size: int, by: Cols, seed: int = 42) -> DataFrame:
     """Disjoint groups of size rows per key, in an order drawn by a hash; a last short group goes."""
-    w = Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(seed), *by), *by)
+    w = Window.partitionBy(*key).orderBy(digest(f"block-{seed}", *by), *by)
     out = rows.withColumn("block", F.floor((F.row_number().over(w) - 1) / size)).withColumn("label", F.char(65 + (F.row_number().over(w) - 1) % size))
     return out.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*key, "block"))).where(F.col("__n") == size).drop("__n")
 
@@ -132,8 +133,6 @@ def with_fallback_rule(rows: DataFrame, dim: DataFrame, key: str, value: str, ru
 
 def or_any(rows: DataFrame, dim: DataFrame, key: str, columns: Cols, by: Cols, most: int = 1000) -> DataFrame:
     """rows with the columns of the dimension's row of the same key, else of one drawn by the columns `by`. The dimension's size is checked."""
-    from tidemark.functions.draws import draw
-
     n = dim.limit(most + 1).count()
     if n > most:
         raise ValueError(f"over {most} rows")

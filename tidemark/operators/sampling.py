@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.draws import digest, shuffled
 from tidemark.functions.scoring import hash_split, split_name
 
 Cols = Sequence[str]
@@ -61,7 +62,7 @@ def downsample(df: DataFrame, key: Cols, seq: str, score: str, features: Cols, b
     rows = rows.withColumn("__must", must)
     rows = rows.withColumn("__top", F.row_number().over(whole.orderBy(F.desc(score), seq)) <= budget // 2)
     rows = rows.withColumn("__in", F.col("__must") | F.col("__top")).withColumn("__taken", F.sum(F.col("__in").cast("int")).over(whole))
-    draw = F.row_number().over(Window.partitionBy(*key, "__in").orderBy(F.xxhash64(F.lit(seed), *key, seq), seq))
+    draw = F.row_number().over(Window.partitionBy(*key, "__in").orderBy(digest(f"fill-{seed}", *key, seq), seq))
     rows = rows.withColumn("__draw", draw)
     keep = (F.col("__n") <= budget) | F.col("__in") | (F.col("__draw") <= budget - F.col("__taken"))
     return rows.where(keep).drop("__n", "__must", "__top", "__in", "__taken", "__draw")
@@ -82,9 +83,8 @@ def severity(explicit: Column, levels: Column, scale: Sequence[str] = ("none", "
 
 def shuffled_options(correct: Column, pool: Column, by: Column, n: int = 3, seed: int = 42) -> Column:
     """Map A.. -> option: the correct one and n of the pool, both drawn by hash."""
-    draw = lambda a, salt: F.transform(F.array_sort(F.transform(a, lambda x: F.struct(F.xxhash64(F.lit(seed + salt), by, x).alias("h"), x.alias("x")))), lambda s: s["x"])
-    others = F.slice(draw(F.array_except(pool, F.array(correct)), 0), 1, n)
-    every = draw(F.concat(F.array(correct), others), 1)
+    others = F.slice(shuffled(F.array_except(pool, F.array(correct)), f"pool-{seed}", by), 1, n)
+    every = shuffled(F.concat(F.array(correct), others), f"order-{seed}", by)
     return F.map_from_arrays(F.slice(F.array(*[F.lit(chr(65 + i)) for i in range(n + 1)]), F.lit(1), F.size(every)), every)
 
 

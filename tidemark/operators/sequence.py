@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.functions.draws import draw
 from tidemark.functions.values import Name, col, mean_of
 
 Cols = Sequence[str]
@@ -266,7 +267,7 @@ def fill_gaps(df: DataFrame, key: Cols, order: Cols, x: str, t: str) -> DataFram
 def random_walk(df: DataFrame, key: Cols, order: Cols, x: str, sigma: float, seed: int = 42, out: str = "noisy") -> DataFrame:
     """The episode's first value and a running sum of normal steps, drawn by a hash of key and order, so a rerun repeats it."""
     w = ordered(key, order)
-    u = lambda salt: (F.pmod(F.xxhash64(F.lit(seed + salt), *key, *order), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    u = lambda salt: (draw(1 << 32, f"walk-{seed}-{salt}", *key, *order) + 0.5) / float(1 << 32)
     step = F.sqrt(-2 * F.log(u(0))) * F.cos(2 * np.pi * u(1)) * sigma
     i = F.row_number().over(w)
     rows = df.withColumn("__s", step).withColumn("__i", i)

@@ -268,9 +268,13 @@ def decimate(spark: S, sf: str) -> DataFrame:
     return seq.decimate(axes(spark, sf).select("episode_id", "seq", "v0", "v1", "safety"), EP, "seq", 4, ["v0", "v1"])
 
 
-@query()
+_UNIT = "((('0x' || substr(md5(concat_ws(':', 'walk-42-{}', episode_id::VARCHAR, seq::VARCHAR)), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
+
+
+@query(f"""WITH {ROBOT}, s AS (SELECT *, sqrt(-2 * ln({_UNIT.format(0)})) * cos(2 * pi() * {_UNIT.format(1)}) * 0.1 AS step FROM t)
+SELECT event_id, round(first_value(value) OVER w + sum(CASE WHEN seq > 0 THEN step ELSE 0 END) OVER w, 6) AS noisy FROM s WINDOW w AS (PARTITION BY episode_id ORDER BY seq)""")
 def random_walk(spark: S, sf: str) -> DataFrame:
-    return seq.random_walk(telemetry(spark, sf), EP, ["seq"], "value", 0.1).select("event_id", "noisy")
+    return seq.random_walk(telemetry(spark, sf), EP, ["seq"], "value", 0.1).select("event_id", F.round("noisy", 6).alias("noisy"))
 
 
 @query(f"""WITH {ROBOT}, c AS (SELECT episode_id, event_type, count(*) AS n, min(seq) AS f FROM t GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY n DESC, f) AS i FROM c) SELECT episode_id, event_type, n FROM r WHERE i = 1""")
@@ -429,7 +433,8 @@ def other_episode(spark: S, sf: str) -> DataFrame:
     return joins.other_of_group(table(spark, sf, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"], ["o_orderkey"])
 
 
-@query()
+@query("""WITH x AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY md5(concat_ws(':', 'block-42', o_orderkey::VARCHAR)), o_orderkey) - 1 AS i FROM orders),
+b AS (SELECT *, i // 4 AS block, chr(65 + (i % 4)::INT) AS label, count(*) OVER (PARTITION BY o_custkey, i // 4) AS n FROM x) SELECT o_custkey, block, string_agg(label, '' ORDER BY o_totalprice, label) AS answer FROM b WHERE n = 4 GROUP BY 1, 2""")
 def ranking_groups(spark: S, sf: str) -> DataFrame:
     """Groups of four orders in a drawn order, ranked by price."""
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
@@ -484,7 +489,10 @@ def page_slice(spark: S, sf: str) -> DataFrame:
     return sampling.page(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 100, 50)
 
 
-@query()
+@query(f"""WITH {ROBOT}, c AS (SELECT *, coalesce(abs(value - lag(value) OVER (PARTITION BY episode_id ORDER BY seq)), 0) AS score FROM t),
+m AS (SELECT *, count(*) OVER e AS n, seq = min(seq) OVER e OR seq = max(seq) OVER e OR fault = 1 OR seq = first_value(seq) OVER (PARTITION BY episode_id ORDER BY value, seq) OR seq = first_value(seq) OVER (PARTITION BY episode_id ORDER BY value DESC, seq) AS must, row_number() OVER (PARTITION BY episode_id ORDER BY score DESC, seq) <= 12 AS top FROM c WINDOW e AS (PARTITION BY episode_id)),
+i AS (SELECT *, must OR top AS inside, sum((must OR top)::INT) OVER (PARTITION BY episode_id) AS taken FROM m), d AS (SELECT *, row_number() OVER (PARTITION BY episode_id, inside ORDER BY md5(concat_ws(':', 'fill-42', episode_id::VARCHAR, seq::VARCHAR)), seq) AS draw FROM i)
+SELECT episode_id, seq, value FROM d WHERE n <= 24 OR inside OR draw <= 24 - taken""")
 def downsample(spark: S, sf: str) -> DataFrame:
     """Peak-preserving: every episode's ends and extremes stay."""
     t = seq.change_score(telemetry(spark, sf), EP, ["seq"], ["value"])
@@ -497,12 +505,16 @@ def severity_rank(spark: S, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", sampling.severity(F.lit(None).cast("int"), levels).alias("severity"))
 
 
-@query()
+_POOL = ("ECONOMY", "PROMO", "STANDARD", "SMALL", "LARGE", "MEDIUM")
+_DRAWN = "list_transform(list_sort(list_transform({x}, lambda r: concat(md5(concat_ws(':', '{salt}', p_partkey::VARCHAR, r)), r))), lambda s: substr(s, 33))"
+
+
+@query("WITH p AS (SELECT p_partkey, p_type, list_filter([" + ", ".join(f"'{x}'" for x in _POOL) + "], lambda r: r <> p_type) AS pool FROM part), "
+       + f"e AS (SELECT *, {_DRAWN.format(x=f'list_prepend(p_type, {_DRAWN.format(x="pool", salt="pool-42")}[1:3])', salt='order-42')} AS o FROM p) SELECT p_partkey, p_type, concat('A) ', o[1], chr(10), 'B) ', o[2], chr(10), 'C) ', o[3], chr(10), 'D) ', o[4]) AS text FROM e")
 def option_shuffle(spark: S, sf: str) -> DataFrame:
     """Four lettered options with the right one among them."""
-    pool = F.array(*[F.lit(x) for x in ("ECONOMY", "PROMO", "STANDARD", "SMALL", "LARGE", "MEDIUM")])
-    options = sampling.shuffled_options(F.col("p_type"), pool, F.col("p_partkey"))
-    return table(spark, sf, "part").select("p_partkey", "p_type", options.alias("options")).withColumn("text", encode.option_list("options"))
+    options = sampling.shuffled_options(F.col("p_type"), F.array(*map(F.lit, _POOL)), F.col("p_partkey"))
+    return table(spark, sf, "part").select("p_partkey", "p_type", encode.option_list(options).alias("text"))
 
 
 @query(f"WITH {ROBOT}, x AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ms DESC, event_id DESC) AS r FROM t) SELECT k, event_id, value FROM x WHERE r = 1")
