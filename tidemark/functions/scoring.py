@@ -250,6 +250,16 @@ PARSERS: dict[str, Callable[..., Column]] = {
 }
 
 
+def _or_judged(again: Column, stored: Column) -> Callable[[Column], Column]:
+    """Of a result: itself, or, where it has no score and an extraction is stored, the result of that."""
+
+    def pick(r: Column) -> Column:
+        judge = r["score"].isNull() & stored
+        return bound(again, lambda a: F.struct(F.when(judge, F.coalesce(a["score"], F.lit(0.0))).otherwise(r["score"]).alias("score"), F.when(judge, a["parsed"]).otherwise(r["parsed"]).alias("parsed"), F.when(judge, F.lit("judge")).otherwise(r["provenance"]).alias("provenance")))
+
+    return pick
+
+
 def cascade(reply: Name, truth: Name, answer_format: Name, judged: Name | None = None) -> Column:
     """Dispatch by format. A reply that no layer reads is parsed again from the judge's extraction, where there is one."""
     none = F.lit(None).cast(RESULT)
@@ -257,8 +267,7 @@ def cascade(reply: Name, truth: Name, answer_format: Name, judged: Name | None =
     for name, parser in PARSERS.items():
         own = parser(reply, truth).cast(RESULT)
         if judged is not None:
-            again = bound(parser(judged, truth).cast(RESULT), lambda r: F.struct(F.coalesce(r["score"], F.lit(0.0)).alias("score"), r["parsed"].alias("parsed"), F.lit("judge").alias("provenance")).cast(RESULT))
-            own = bound(own, lambda r, again=again: F.when(r["score"].isNull() & col(judged).isNotNull(), again).otherwise(r))
+            own = bound(own, _or_judged(parser(judged, truth).cast(RESULT), col(judged).isNotNull())).cast(RESULT)
         out = out.when(col(answer_format) == name, own)
     unread = F.struct(F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("parsed"), F.lit("unparseable").alias("provenance")).cast(RESULT)
     return F.coalesce(out.otherwise(none), unread)
