@@ -9,10 +9,11 @@
    exact Jaccard similarity of their shingle sets; buckets of up to HUBS + 1 lines are compared whole. Union-find over these
    links labels the lines.
 4. What is left are pairs of two lines of one bucket, no hub among them, with different labels, one of them not the most
-   common one there. They are compared as well: each pair in one of its buckets, first by sketches of SKETCH one-bit MinHash
-   values, which leave out a pair of similarity 0.8 with probability below 1e-5, then exactly. So every pair of every bucket
-   either has one label or was compared, and a bucket of near copies costs HUBS rows per line and a row per pair of lines
-   that are similar or nearly so but not yet known to be in one class.
+   common one there. They are compared as well, each pair in one of its buckets: by sketches of SKETCH one-bit MinHash values,
+   which leave out a pair of similarity 0.8 with probability below 1e-5; by bitmaps of MAP bits, one set for each shingle, in
+   which similar lines can't differ in more bits than their sets do in shingles (no loss); then exactly. So every pair of every
+   bucket either has one label or was compared, and a bucket of near copies gives HUBS rows per line and hardly more than a
+   row per pair that is similar but not yet known to be in one class.
 5. Union-find over the labels these links join; of each component the first line, by (doc_id, line number), stays.
 
 Defined cases: null text has no lines; blank lines are never compared and stay; lines shorter than a shingle are one
@@ -42,6 +43,7 @@ BLANK = " \t\n\x0b\x0c\r"
 SKETCH = 512
 SHORT = 64
 HUBS = 4
+MAP = 4096
 _BINS = BANDS * ROWS
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -161,26 +163,40 @@ def pieces_by_size(sizes: list[int], most: int = 1_000_000) -> list[tuple[int, i
 
 
 def _sketched(texts: DataFrame) -> DataFrame:
-    """(h, n, sketch, keys) of each line; n its number of distinct shingles, keys those of its bands."""
+    """The SKETCHED row of each line."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         lines = b.column(1).to_pylist()
         parts = [sketch_rows(*shingle_hashes(lines[i:j])) for i, j in pieces_by_size([len(x) for x in lines])]
-        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array([v for p in parts for v in p[k]], t) for k, t in enumerate((pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))))], ["h", "n", "sketch", "keys"])
+        return pa.RecordBatch.from_arrays([b.column(0), *sketch_columns(parts)], SKETCH_NAMES)
 
     return map_batches(texts.select("h", "line"), run, SKETCHED)
 
 
-SKETCHED = "h long, n int, sketch array<long>, keys array<long>"
+#: n: number of distinct shingles; sketch: one bit of each of SKETCH MinHash values; map: MAP bits; keys: those of the bands.
+SKETCHED = "h long, n int, sketch array<long>, map array<long>, keys array<long>"
+SKETCH_NAMES = ["h", "n", "sketch", "map", "keys"]
 
 
-def sketch_rows(h: np.ndarray, offsets: np.ndarray) -> tuple[list, list, list]:
-    """Number of distinct values, sketch and band keys of each set."""
+def bitmaps(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(sets, MAP / 64): the bits that the hashes of a set name."""
+    out = np.zeros((len(offsets) - 1, MAP), dtype=bool)
+    out[np.repeat(np.arange(len(out)), np.diff(offsets)), (mix(h) >> np.uint64(65 - MAP.bit_length())).astype(np.int64)] = True
+    return np.packbits(out, axis=1).view(np.int64)
+
+
+def sketch_rows(h: np.ndarray, offsets: np.ndarray) -> tuple[list, list, list, list]:
+    """n, sketch, map and keys of each set; at most 1024 sets."""
     at, keys = band_keys(h, offsets)
     order = np.argsort(at, kind="stable")
     ends = np.searchsorted(at[order], np.arange(len(offsets)))
     keys = keys[order].view(np.int64).tolist()
-    return distinct_rows(h, offsets)[1].tolist(), sketches(h, offsets).tolist(), [keys[i:j] for i, j in zip(ends.tolist(), ends[1:].tolist())]
+    return distinct_rows(h, offsets)[1].tolist(), sketches(h, offsets).tolist(), bitmaps(h, offsets).tolist(), [keys[i:j] for i, j in zip(ends.tolist(), ends[1:].tolist())]
+
+
+def sketch_columns(parts: list[tuple[list, list, list, list]]) -> list[pa.Array]:
+    lists = pa.list_(pa.int64())
+    return [pa.array([v for p in parts for v in p[k]], t) for k, t in enumerate((pa.int32(), lists, lists, lists))]
 
 
 def _alike() -> Column:
@@ -190,6 +206,12 @@ def _alike() -> Column:
     return (F.least("n", "x_n") + 1e-9 >= SIMILARITY * F.greatest("n", "x_n")) & (differ <= SKETCH * (F.lit(share) + 4.5 * F.sqrt(F.lit(share * (1 - share)) / F.least(F.lit(SKETCH), "n", "x_n"))))
 
 
+def _near_maps() -> Column:
+    """Whether bitmaps leave it open that x and y are similar: sets of n and m shingles differ in (n + m) (1 - s) / (1 + s) at most."""
+    differ = F.aggregate(F.zip_with("x_map", "map", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, v: acc + v)
+    return differ <= (F.col("n") + F.col("x_n")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
+
+
 def jaccard(a: str, b: str) -> float:
     """The definition: similarity of the sets of shingles."""
     x, y = ({line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))} for line in (a, b))
@@ -268,10 +290,10 @@ def linked(bands: DataFrame, texts_of: Callable[[DataFrame], DataFrame], verifie
     rest = scratch.keep(rest.join(main, "key").select("key", "h", "label", "main"), "rest")
     known = scratch.keep(sketched(texts.join(rest.select("h").distinct(), "h", "left_semi")), "sketches")
     rest = rest.join(known, "h")
-    odd = rest.where("label <> main").select("key", "main", *[F.col(c).alias(f"x_{c}") for c in ("h", "label", "n", "sketch", "keys")])
+    odd = rest.where("label <> main").select("key", "main", *[F.col(c).alias(f"x_{c}") for c in ("h", "label", *SKETCH_NAMES[1:])])
     # a pair of two odd lines is met from both sides, and taken from one; of its common buckets one counts
     new = (F.col("label") != F.col("x_label")) & ((F.col("label") == F.col("main")) | (F.col("x_h") < F.col("h")))
-    more = odd.join(rest.drop("main"), "key").where(new & _alike() & (F.col("key") == F.array_min(F.array_intersect("x_keys", "keys"))))
+    more = odd.join(rest.drop("main"), "key").where(new & _alike() & (F.col("key") == F.array_min(F.array_intersect("x_keys", "keys"))) & _near_maps())
     more = scratch.keep(more.select(F.least("x_h", "h").alias("a"), F.greatest("x_h", "h").alias("b")).distinct(), "more")
     second = verified(more, texts)
     names = [label.select(F.col("node").alias(c), F.col("component").alias(f"label_{c}")) for c in "ab"]

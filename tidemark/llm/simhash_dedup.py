@@ -117,8 +117,7 @@ def _set_bands(sets: DataFrame) -> DataFrame:
 
 def _set_sketches(sets: DataFrame) -> DataFrame:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        n, sketch, keys = line_dedup.sketch_rows(*_ragged(b.column(1)))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(sketch, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["h", "n", "sketch", "keys"])
+        return pa.RecordBatch.from_arrays([b.column(0), *line_dedup.sketch_columns([line_dedup.sketch_rows(*_ragged(b.column(1)))])], line_dedup.SKETCH_NAMES)
 
     return map_batches(sets.select("h", "shingles"), run, line_dedup.SKETCHED)
 
