@@ -4,8 +4,9 @@ Each language has a binary codeword; one logistic classifier over hashed letter
 loss-weighted: a codeword's distance is the sum over bits of the bit's weight (from its error in training) times the
 logistic loss of its prediction; the nearest codeword wins, and two codewords nearly as near flag the text as ambiguous.
 
-Training reads a bounded sample: at most MAX_ROWS labelled rows in all, the same number per language, chosen by a hash of
-their id. Prediction reads every whole text and nothing else.
+Training reads a bounded sample: MAX_ROWS // languages labelled rows of each language (one at least), those of smallest hash
+of id and text. Every language that occurs is learned; beyond MAX_LANGUAGES of them, the column is no language column, and
+training raises ValueError. Prediction reads every whole text and nothing else.
 
 Defined cases: null text, or text without a letter, is `und` with score 0 and not ambiguous; so is every text when no
 row is labelled; with one language every text with letters has it. Rows are predicted alone: repeats agree.
@@ -18,12 +19,13 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_batches
 
 MAX_ROWS = 2400
+MAX_LANGUAGES = 2400
 DIM = 1 << 12
 GRAMS = (1, 2, 3, 4)
 AMBIGUOUS = 0.5
@@ -71,12 +73,14 @@ def codewords(k: int, seed: int = 7) -> np.ndarray:
         splits = [s for s in itertools.product((-1, 1), repeat=k) if s[0] == 1 and -1 in s]
         return np.array(splits, dtype=np.int8).T
     rng, bits, best = np.random.default_rng(seed), int(np.ceil(10 * np.log2(k))), None
-    for _ in range(200):
+    for _ in range(200 if k <= 100 else 20):
         code = rng.choice(np.array([-1, 1], dtype=np.int8), size=(k, bits))
-        least = min(int((code[i] != code[j]).sum()) for i in range(k) for j in range(i))
-        if all(len({*c}) == 2 for c in code.T.tolist()) and (best is None or least > best[0]):
+        same = code.astype(np.float32) @ code.T.astype(np.float32)
+        np.fill_diagonal(same, -bits)
+        least = int((bits - same.max()) // 2)
+        if np.abs(code.sum(axis=0, dtype=np.int64)).max() < k and (best is None or least > best[0]):
             best = (least, code)
-    if best is None:
+    if best is None or not best[0]:
         raise ValueError("no code found")
     return best[1]
 
@@ -94,7 +98,11 @@ class Model:
             return [UNKNOWN] * n, np.zeros(n), np.zeros(n, dtype=bool)
         x, lettered = features(texts)
         margin = x @ self.w + self.b
-        loss = np.logaddexp(0, -margin[:, None, :] * self.code[None]) @ self.bit_weight if self.code.shape[1] else np.zeros((n, 1))
+        if self.code.shape[1]:  # a bit costs one of two losses, so the sum over bits is a product with the code
+            if_set, if_not = np.logaddexp(0, -margin) * self.bit_weight, np.logaddexp(0, margin) * self.bit_weight
+            loss = ((if_set + if_not) / 2).sum(axis=1, keepdims=True) + (if_set - if_not) / 2 @ self.code.T.astype(np.float64)
+        else:
+            loss = np.zeros((n, 1))
         near = np.exp(-(loss - loss.min(axis=1, keepdims=True)))
         score = (near / near.sum(axis=1, keepdims=True)).max(axis=1)
         best = loss.argmin(axis=1)
@@ -109,7 +117,8 @@ def fit(texts: list[str], langs: list[str], steps: int = 150, l2: float = 1e-5)
     if not code.shape[1]:
         return Model(names, code, np.zeros((DIM, 0), np.float32), np.zeros(0, np.float32), np.zeros(0))
     x, lettered = features(texts)
-    y = code[[names.index(v) for v in langs]].astype(np.float32)[lettered]
+    place = {v: i for i, v in enumerate(names)}
+    y = code[[place[v] for v in langs]].astype(np.float32)[lettered]
     x = x[lettered]
     w = np.zeros((DIM, y.shape[1]), dtype=np.float32)
     b = np.zeros(y.shape[1], dtype=np.float32)
@@ -126,16 +135,21 @@ def fit(texts: list[str], langs: list[str], steps: int = 150, l2: float = 1e-5)
     return Model(names, code, w.astype(np.float32), b.astype(np.float32), weight / weight.mean())
 
 
-def training_sample(labelled: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], list[str]]:
-    """Texts and languages of at most max_rows rows of (doc_id, text, lang), as many per language, by a hash of the id."""
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max(1, max_rows // 10)).collect()}
-    if not counts:
+def training_sample(labelled: DataFrame, max_rows: int = MAX_ROWS, max_languages: int = MAX_LANGUAGES) -> tuple[list[str], list[str]]:
+    """Texts and languages of (doc_id, text, lang): max_rows // languages rows of each language, those of smallest hash.
+
+    Only hashes are ranked; texts are read by each language's greatest hash that counts.
+    """
+    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("__draw", F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("language")))
+    languages = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).count()
+    if languages > max_languages:
+        raise ValueError(f"over {max_languages} languages")
+    if not languages:
         return [], []
-    each = max(1, max_rows // len(counts))
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 30))
-    bound = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, 0.9 * each / n) * (1 << 30))))])
-    got = rows.where(draw < bound[F.col("lang")]).select("doc_id", "text", "lang").limit(max_rows).toPandas()
+    each = max(1, max_rows // languages)
+    by = Window.partitionBy("lang").orderBy("__draw")
+    bounds = rows.select("lang", "__draw").withColumn("r", F.row_number().over(by)).where(F.col("r") <= each).groupBy("lang").agg(F.max("__draw").alias("most"))
+    got = rows.join(F.broadcast(bounds), "lang").where("__draw <= most").select("doc_id", "text", "lang").limit(max(max_rows, languages)).toPandas()  # at most max_languages bounds
     got = got.sort_values(["doc_id", "text"], kind="stable")
     return got["text"].tolist(), got["lang"].tolist()
 
