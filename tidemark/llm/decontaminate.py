@@ -16,7 +16,7 @@ Equal windows are compared once, however many documents hold them. Items are a s
 broadcast in blocks of at most MAX_SHINGLES, each block against all documents.
 
 Defined cases: null and empty texts have no windows, items without words match nothing; repeated items give a row each
-with their own item_id, repeated rows of one are one; rows that repeat a doc_id are one document (so are all without
+with their own item_id (of any type), repeated rows of one are one; rows that repeat a doc_id are one document (so are all without
 an id); empty tables give no rows.
 """
 
@@ -77,10 +77,10 @@ def weights(h: np.ndarray, weight: np.ndarray) -> dict[int, int]:
 class Items:
     """A block of items: lengths, their shingles, fingerprints."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[object, str]]):
         self.lengths: dict[int, list[np.ndarray]] = {}
         self.lightest: dict[int, int] = {}  # of the items of a length, the least weight
-        self.table: list[tuple[int, int, int, list[int], list[int]]] = []
+        self.table: list[tuple[object, int, int, list[int], list[int]]] = []
         for item, text in rows:
             words, sizes = words_of(text or "")
             n = len(words)
@@ -155,7 +155,7 @@ def _blocks(fp: str) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.col(fp), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("value")) for i, (lo, hi) in enumerate(zip(_CUTS, _CUTS[1:]))])
 
 
-def _find(docs: DataFrame, rows: list[tuple[int, str]], scratch: Scratch, tag: str) -> DataFrame:
+def _find(docs: DataFrame, rows: list[tuple[object, str]], id_type: str, scratch: Scratch, tag: str) -> DataFrame:
     spark = docs.sparkSession
     items = Items(rows)
     shared = spark.sparkContext.broadcast(items)  # at most MAX_SHINGLES shingles
@@ -171,7 +171,7 @@ def _find(docs: DataFrame, rows: list[tuple[int, str]], scratch: Scratch, tag: s
     kind = docs.schema["doc_id"].dataType.simpleString()
     windows = scratch.keep(map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, start long, n_words long, size long, same long, fp long, h array<long>, w array<long>"), f"windows-{tag}")
     distinct = windows.select("n_words", "same", "fp", "h", "w").dropDuplicates(["n_words", "same"])
-    stored = spark.createDataFrame([(i, n, _signed(fp), h, w) for i, n, fp, h, w in items.table], "item_id long, n_words long, item_fp long, item_h array<long>, item_w array<long>")
+    stored = spark.createDataFrame([(i, n, _signed(fp), h, w) for i, n, fp, h, w in items.table], f"item_id {id_type}, n_words long, item_fp long, item_h array<long>, item_w array<long>")
     balls = F.array(*[F.array(*map(F.lit, _ball(hi - lo, RADIUS // BLOCKS))).cast("array<bigint>") for lo, hi in zip(_CUTS, _CUTS[1:])])
     keys = stored.select("item_id", "n_words", "item_fp", F.explode(_blocks("item_fp")).alias("x")).select("item_id", "n_words", "item_fp", "x.block", "x.value", F.explode(F.element_at(balls, F.col("x.block") + 1)).alias("flip"))
     keys = keys.select("item_id", "n_words", "item_fp", "block", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
@@ -191,7 +191,7 @@ def _find(docs: DataFrame, rows: list[tuple[int, str]], scratch: Scratch, tag: s
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sims, pa.float64())], ["n_words", "same", "item_id", "similarity"])
 
     rows_ = pairs.join(distinct.drop("fp"), ["n_words", "same"]).join(stored.select("item_id", "item_h", "item_w"), "item_id").select("n_words", "same", "item_id", "h", "w", "item_h", "item_w")
-    verified = map_batches(rows_, verify, "n_words long, same long, item_id long, similarity double").where(F.col("similarity") >= SIMILARITY)
+    verified = map_batches(rows_, verify, f"n_words long, same long, item_id {id_type}, similarity double").where(F.col("similarity") >= SIMILARITY)
     hits = windows.select("doc_id", "start", "n_words", "size", "same").join(verified, ["n_words", "same"])
     return hits.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), F.col("size").alias("n_words"))).alias("best"))
 
@@ -199,13 +199,14 @@ def _find(docs: DataFrame, rows: list[tuple[int, str]], scratch: Scratch, tag: s
 def contaminated(docs: DataFrame, benchmark: DataFrame, max_shingles: int = MAX_SHINGLES) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): the best window of each document for each item it holds."""
     scratch = Scratch(docs.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    n = items.agg(F.sum(F.length("text") - F.length(F.translate("text", " ", "")) + 1).alias("n")).first()["n"] or 0
+    id_type = benchmark.schema["item_id"].dataType.simpleString()
+    items = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    n = items.agg(F.sum(F.regexp_count("text", F.lit(r"[0-9A-Za-z[^\x00-\x7F]]+"))).alias("n")).first()["n"] or 0  # an item has no more shingles than words
     blocks = -(-int(n) // max_shingles) or 1
     found = []
     for i in range(blocks):
         rows = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).distinct().collect()]
-        found.append(_find(docs, sorted(rows), scratch, str(i)))
+        found.append(_find(docs, sorted(rows), id_type, scratch, str(i)))
     out = reduce(DataFrame.unionByName, found)
     return out.select("doc_id", "item_id", "best.similarity", (-F.col("best.back")).alias("first_word"), F.col("best.n_words").alias("n_words"))
 
