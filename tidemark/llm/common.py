@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -46,15 +47,60 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+    def drop(self, *names: str) -> None:
+        """Removes tables that nothing reads any more."""
+        for name in names:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_held: dict[str, dict] = {}
+
+
+def held(make: Callable) -> Callable:
+    """Keeps make's results in a Python worker from task to task, as long as tasks of make's own module run there.
+
+    Workers serve one stage after another, so what a cache keeps for good would stand beside every later stage's memory.
+    """
+
+    def get(*key):
+        own = _held.setdefault(make.__module__, {})
+        if (make.__name__, key) not in own:
+            own[make.__name__, key] = make(*key)
+        return own[make.__name__, key]
+
+    return get
+
+
+def release(module: str) -> None:
+    """Drops what other modules hold."""
+    others = [m for m in _held if m != module]
+    for m in others:
+        del _held[m]
+    if others:
+        gc.unfreeze()
+        gc.collect()
+
+
+#: Most bytes and rows of one Arrow batch.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2048
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's bounds of Arrow batches, never raises them: texts are long, and the JVM and the worker each hold whole batches of input and of output."""
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow for a function of one batch."""
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(fn.__module__)
         for b in batches:
             if b.num_rows:
                 for start in range(0, b.num_rows, 512):  # bounds what one call holds

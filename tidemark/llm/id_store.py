@@ -19,7 +19,6 @@ their own, in the order of their leaves; null ids come first; an empty table giv
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import zlib
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, mix, powers
+from tidemark.llm.common import held, map_batches, mix, powers
 from tidemark.llm.pretokenize import pieces
 
 WINDOW = 16
@@ -49,24 +48,24 @@ class Encoder:
     """The library's tokenizer behind a table of the pieces met lately.
 
     Where the file describes a plain byte-level BPE, texts are cut by its pattern and each new piece goes to the library's
-    model alone; for any other file each text goes to the library whole.
+    model alone; texts that hold one of its added tokens, and all texts for any other file, go to the library whole.
     """
 
     def __init__(self, path: str, max_pieces: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         with open(path) as f:
             spec = json.load(f)
         before = spec.get("pre_tokenizer") or {}
         self.plain = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        self.added = [t["content"] for t in spec.get("added_tokens") or () if t["content"]]
         self.alphabet, self.known, self.max_pieces = _byte_alphabet(), {}, max_pieces
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.plain:
+        if not self.plain or any(t in text for t in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
         words = pieces(text)
         found = list(map(self.known.get, words))
@@ -83,7 +82,7 @@ class Encoder:
         return np.frombuffer(b"".join(found), dtype=self.kind)
 
 
-@functools.lru_cache(maxsize=1)
+@held
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
