@@ -401,3 +401,51 @@ def rubric(reply: Name, gold: Name, cause: Name, kind: Name, threshold: float =
     first = F.when(covered, 1.0).when(cause_named(reply, cause), 0.5).otherwise(0.0)
     second = F.when(params & covered, 1.0).when(params | covered, 0.5).otherwise(0.0)
     return F.when(F.lower(col(kind)) == "troubleshooting", first).when(F.lower(col(kind)) == "optimization", second)
+
+
+# judges' texts
+
+
+def single_verdict(text: Name) -> Column:
+    """Struct (score, reason) of one judge's reply: its JSON, in fences or not, clamped to 0..1, else the first of 1, 0.5, 0; the reason is cut to 300 characters."""
+    raw = F.trim(F.coalesce(col(text), F.lit("")))
+    bare = F.trim(F.when(raw.startswith("```"), F.regexp_replace(F.split_part(raw, F.lit("```"), F.lit(2)), r"^json", "")).otherwise(raw))
+    own = F.get_json_object(bare, "$.score").try_cast("double")
+    scanned = _first(bare, r"\b(1(?:\.0+)?|0\.5|0(?:\.0+)?)\b").try_cast("double")
+    clamped = F.when(own.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), own)))
+    reason = F.when(own.isNotNull(), F.coalesce(F.get_json_object(bare, "$.reason"), F.lit(""))).otherwise(bare)
+    return F.struct(F.coalesce(clamped, scanned).alias("score"), F.substring(reason, 1, 300).alias("reason"))
+
+
+def extracted(text: Name) -> Column:
+    """What a judge read out of a reply: the first line with text, without fences and emphasis; null where it says NO_ANSWER or nothing."""
+    bare = F.regexp_replace(F.trim(F.coalesce(col(text), F.lit(""))), r"^[`\s]+|[`\s]+$", "")
+    line = F.try_element_at(F.filter(F.transform(F.split(bare, r"\r?\n"), F.trim), lambda x: x != ""), F.lit(1))
+    return F.when(~F.upper(bare).contains("NO_ANSWER"), F.nullif(F.regexp_replace(line, r"^[*`\s]+|[*`\s]+$", ""), F.lit("")))
+
+
+def expected_length(answer_format: Name, truth: Name) -> Column:
+    """Numbers of a tensor, letters of a ranking or multi-select; null for other formats and empty truths."""
+    f, t = col(answer_format), F.trim(col(truth))
+    tensor_size = F.when(t.startswith("["), F.size(numbers_of(t))).otherwise(F.size(F.split(t, "_")))
+    return F.when(F.length(t) > 0, F.when(f == "tensor", tensor_size).when(f.isin("multiple_choice_multi_select", "ranking"), F.length(t)))
+
+
+def judge_prompt(templates: dict[int, str], template_id: Name, question: Name, reply: Name, reference: Name, cause: Name, most: tuple[int, int, int] = (6000, 8000, 2000)) -> Column:
+    """A judge's prompt: the template of the id, filled with question, prediction, reference and root_cause, each cut to its bound; null for other ids."""
+    cut = lambda x, n: F.substring(F.coalesce(col(x), F.lit("")), 1, n)
+    asked = F.when(F.length(cut(question, most[0])) > 0, cut(question, most[0])).otherwise("(question text not available)")
+    values = {"question": asked, "prediction": cut(reply, most[1]), "reference": cut(reference, most[2]), "root_cause": F.trim(F.coalesce(F.nullif(col(cause), F.lit("")), F.lit("(unspecified)")))}
+    out = F
+    for number, text in templates.items():
+        filled = F.lit(text)
+        for name, value in values.items():
+            filled = F.replace(filled, F.lit("{" + name + "}"), value)
+        out = out.when(col(template_id) == number, filled)
+    return out.otherwise(F.lit(None).cast("string"))
+
+
+def lacks_votes(votes: Name, judges: Sequence[str]) -> Column:
+    """Whether one of the judges asked has no valid vote."""
+    m = col(votes)
+    return F.exists(F.array(*map(F.lit, judges)), lambda j: m.isNull() | F.try_element_at(m, j).isNull())

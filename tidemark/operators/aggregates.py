@@ -177,3 +177,58 @@ def any_of(conditions: Sequence[Column]) -> Column:
 def all_of(conditions: Sequence[Column]) -> Column:
     """Universal over axes: unknown axes are skipped, none known is true."""
     return F.forall(F.array_compact(F.array(*conditions)), lambda x: x)
+
+
+def inferred_task(df: DataFrame, key: Cols, phase: str, fault: str, by_fault: dict[str, Sequence[int]]) -> DataFrame:
+    """key and task: nine phases and more are pick_and_place, else the task whose faults hold the episode's, else unknown."""
+    agg = df.groupBy(*key).agg(F.max(F.col(phase).cast("string").try_cast("int")).alias("__p"), F.max(fault).alias("__f"))
+    task = F.when(F.col("__p") >= 9, "pick_and_place")
+    for name, faults in by_fault.items():
+        task = task.when(F.col("__f").isin(*faults), name)
+    return agg.select(*key, task.otherwise("unknown").alias("task"))
+
+
+def largest(df: DataFrame, key: Cols, x: str, out: str) -> DataFrame:
+    return df.groupBy(*key).agg(F.max(x).alias(out))
+
+
+def escalates(df: DataFrame, key: Cols, safety: str) -> DataFrame:
+    """Whether any known safety mode is not normal; values that are no number are skipped."""
+    mode = F.col(safety).cast("string").try_cast("int")
+    return df.groupBy(*key).agg(F.coalesce(F.bool_or(mode != 1), F.lit(False)).alias("escalates"))
+
+
+def prompt_cost(df: DataFrame, key: Cols, prompt: str, model: Column, most_out: int, factor: float = 1.0) -> DataFrame:
+    """Before a run: prompts, estimated tokens in, most tokens out and dollars; model is a struct of prices per million."""
+    tokens = F.greatest(F.lit(1), F.floor(F.length(prompt) / 4))
+    rows = df.withColumn("__t", tokens).withColumn("__d", (tokens * model["input"] + most_out * model["output"]) / 1e6 * factor)
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("__t").alias("tokens_in"), (F.count(F.lit(1)) * most_out).alias("tokens_out"), F.round(F.sum("__d"), 6).alias("dollars"))
+
+
+def wide(long: DataFrame, key: Cols, name: str, value: str, names: Sequence[str]) -> DataFrame:
+    """Long rows as one column per name, means of repeats; names are given, so nothing is read to plan it."""
+    return long.groupBy(*key).agg(*[F.avg(F.when(F.col(name) == n, F.col(value))).alias(n) for n in names])
+
+
+def most_common(df: DataFrame, key: Cols, x: str) -> DataFrame:
+    """Counts of each value, falling, with its place; ties by value."""
+    counts = df.groupBy(*key, x).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), x)))
+
+
+def episodes_of(provenance: Name) -> Column:
+    """Every episode a provenance struct names: episode, episode_a, episode_b, then those of the list `episodes`, blanks left out."""
+    p = col(provenance)
+    singles = F.array(p["episode"], p["episode_a"], p["episode_b"])
+    every = F.concat(singles, F.coalesce(F.transform(p["episodes"], lambda e: e["episode"]), F.array().cast("array<string>")))
+    return F.filter(every, lambda e: e.isNotNull() & (e != ""))
+
+
+def greedy_schedule(candidates: DataFrame, key: Cols, order: str, start: str, length: str, gap: int = 5) -> DataFrame:
+    """Of each key's candidates, in order, those that begin `gap` after the end of the last one taken; few per key by design (events of an episode)."""
+    item = F.struct(F.col(order).alias("o"), F.col(start).cast("long").alias("s"), F.col(length).cast("long").alias("n"))
+    listed = candidates.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("x"))
+    none = F.struct(F.lit(-(1 << 40)).cast("long").alias("free"), F.filter("x", lambda c: F.lit(False)).alias("taken"))
+    step = lambda acc, c: F.when(c["s"] >= acc["free"], F.struct((c["s"] + c["n"] + gap).alias("free"), F.concat(acc["taken"], F.array(c)).alias("taken"))).otherwise(acc)
+    out = listed.select(*key, F.explode(F.aggregate("x", none, step)["taken"]).alias("c"))
+    return out.select(*key, F.col("c.o").alias(order), F.col("c.s").alias(start), F.col("c.n").alias(length))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import encode, values
+from tidemark.functions import encode, scoring, values
+from tidemark.operators import aggregates as agg
 from tidemark.operators import joins
 from tidemark.operators import sequence as seq
 from tidemark.plans.registry import query
@@ -159,3 +160,80 @@ def clocks_and_names(spark: S, sf: str) -> DataFrame:
     """A made-up clock, and names without padding."""
     t = tables.with_time(telemetry(spark, sf), EP, ["seq"], out="clock")
     return t.select("event_id", "clock", tables.unpadded(F.concat(F.lit("experiment_"), F.lpad(F.col("k").cast("string"), 6, "0"))).alias("name"))
+
+
+# judges' texts, totals, provenance, schedules
+
+_SAID = ['```json\n{"score": 1.7, "reason": "good"}\n```', "I would say 0.5 of 1", '{"score": 0.25}', "no score at all", "`B`\n\nbecause", "**C** \n", "NO_ANSWER"]
+_SAID_SQL = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in _SAID) + "]"
+
+
+@query(f"""WITH x AS (SELECT p_partkey, {_SAID_SQL}[p_partkey % 7 + 1] AS said, p_size FROM part), b AS (SELECT *, trim(CASE WHEN starts_with(said, '```') THEN regexp_replace(split_part(said, '```', 2), '^json', '') ELSE said END, chr(10) || ' ') AS bare FROM x)
+SELECT p_partkey, CASE WHEN contains(bare, '"score"') THEN least(1, greatest(0, (bare->>'$.score')::DOUBLE)) ELSE nullif(regexp_extract(bare, '\\b(1(?:\\.0+)?|0\\.5|0(?:\\.0+)?)\\b', 1), '')::DOUBLE END AS score,
+  nullif(trim(split_part(trim(said, '` ' || chr(10)), chr(10), 1), '*` '), 'NO_ANSWER') AS canonical, CASE p_size % 3 WHEN 0 THEN 3 WHEN 1 THEN 4 END AS n FROM b""".replace("bare->>'$.score'", "CASE WHEN contains(bare, '\"score\"') THEN bare END->>'$.score'"))
+def judge_texts(spark: S, sf: str) -> DataFrame:
+    """Single verdicts, canonical extractions and expected lengths."""
+    p = table(spark, sf, "part").withColumn("said", F.get(F.array(*map(F.lit, _SAID)), (F.col("p_partkey") % 7).cast("int")))
+    kind = F.when(F.col("p_size") % 3 == 0, "tensor").when(F.col("p_size") % 3 == 1, "ranking").otherwise("numerical")
+    truth = F.when(F.col("p_size") % 3 == 0, "[1, 2.5, -3e1]").when(F.col("p_size") % 3 == 1, "ABDC").otherwise("7")
+    return p.select("p_partkey", scoring.single_verdict("said")["score"].alias("score"), scoring.extracted("said").alias("canonical"), scoring.expected_length(kind, truth).alias("n"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 3 WHEN 1 THEN concat('Q: ', substr(p_name, 1, 6), ' / R: ', substr(p_brand, 1, 4), ' / C: ', CASE WHEN p_partkey % 2 = 0 THEN 'belt' ELSE '(unspecified)' END) WHEN 2 THEN concat('Q: ', substr(p_name, 1, 6), ' / P: ', substr(p_type, 1, 5)) END AS prompt FROM part""")
+def judge_prompts(spark: S, sf: str) -> DataFrame:
+    forms = {1: "Q: {question} / R: {reference} / C: {root_cause}", 2: "Q: {question} / P: {prediction}"}
+    p = table(spark, sf, "part")
+    cause = F.when(F.col("p_partkey") % 2 == 0, "belt")
+    return p.select("p_partkey", scoring.judge_prompt(forms, F.col("p_size") % 3, "p_name", "p_type", "p_brand", cause, (6, 5, 4)).alias("prompt"))
+
+
+@query(f"""WITH {ROBOT} SELECT episode_id, CASE WHEN max(k % 12) >= 11 THEN 'pick_and_place' WHEN episode_id % 4 IN (1, 2) THEN 'peg_in_hole' WHEN episode_id % 4 = 3 THEN 'screwing' ELSE 'unknown' END AS task, max(k) AS top, bool_or(k % 12 > 0 AND fault = 1) AS escalates FROM t WHERE k % 12 <> 9 AND k % 12 <> 10 GROUP BY 1""")
+def episode_facts(spark: S, sf: str) -> DataFrame:
+    """Task inferred from phases and faults, the largest mode, whether it escalates."""
+    t = telemetry(spark, sf).where("k % 12 <> 9 AND k % 12 <> 10").withColumn("phase", (F.col("k") % 12).cast("string")).withColumn("f", F.col("episode_id") % 4)
+    task = agg.inferred_task(t, EP, "phase", "f", {"peg_in_hole": (1, 2), "screwing": (3,)})
+    up = agg.escalates(t.withColumn("mode", F.when((F.col("k") % 12 > 0) & (F.col("fault") == 1), "3").otherwise("1")), EP, "mode")
+    return task.join(agg.largest(t, EP, "k", "top"), EP).join(up, EP)
+
+
+@query("""SELECT p_brand, count(*) AS n, sum(greatest(1, length(p_name) // 4))::BIGINT AS tokens_in, count(*) * 500 AS tokens_out, round(sum((greatest(1, length(p_name) // 4) * 2 + 500 * 8) / 1e6 * 0.5), 6) AS dollars FROM part GROUP BY 1""")
+def preflight_cost(spark: S, sf: str) -> DataFrame:
+    price = values.price(F.lit("some-model-v2"), [("other", 1, 1), ("model", 2, 8)])
+    return agg.prompt_cost(table(spark, sf, "part"), ["p_brand"], "p_name", price, 500, 0.5)
+
+
+@query("SELECT o_orderpriority, o_orderstatus, n, row_number() OVER (PARTITION BY o_orderpriority ORDER BY n DESC, o_orderstatus)::INT AS place FROM (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2)")
+def most_common(spark: S, sf: str) -> DataFrame:
+    return agg.most_common(table(spark, sf, "orders"), ["o_orderpriority"], "o_orderstatus")
+
+
+@query("SELECT l_orderkey, avg(l_quantity) FILTER (l_returnflag = 'A') AS a, avg(l_quantity) FILTER (l_returnflag = 'N') AS n, avg(l_quantity) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1")
+def long_to_wide(spark: S, sf: str) -> DataFrame:
+    long = table(spark, sf, "lineitem").select("l_orderkey", F.lower("l_returnflag").alias("feature"), "l_quantity")
+    return agg.wide(long, ["l_orderkey"], "feature", "l_quantity", ["a", "n", "r"])
+
+
+@query("""SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 2 = 0 THEN concat('e', o_custkey) END, CASE WHEN o_orderkey % 3 = 0 THEN concat('a', o_custkey) END, CASE WHEN o_orderkey % 3 = 0 THEN concat('b', o_custkey) END, CASE WHEN o_orderkey % 5 = 0 THEN 'x,y' END) AS episodes FROM orders""")
+def provenance_episodes(spark: S, sf: str) -> DataFrame:
+    """The four shapes in which items name their episodes."""
+    c = lambda p: F.concat(F.lit(p), F.col("o_custkey").cast("string"))
+    each = lambda v: F.struct(F.lit(v).alias("episode"))
+    p = F.struct(F.when(F.col("o_orderkey") % 2 == 0, c("e")).otherwise("").alias("episode"), F.when(F.col("o_orderkey") % 3 == 0, c("a")).alias("episode_a"), F.when(F.col("o_orderkey") % 3 == 0, c("b")).alias("episode_b"), F.when(F.col("o_orderkey") % 5 == 0, F.array(each("x"), each(""), each("y"))).alias("episodes"))
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(agg.episodes_of(p), ",").alias("episodes"))
+
+
+@query("SELECT o_custkey AS id, true AS both FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey, true FROM orders WHERE o_orderstatus = 'O' UNION ALL (SELECT o_custkey, false FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey, false FROM orders WHERE o_orderstatus = 'O')")
+def id_sets(spark: S, sf: str) -> DataFrame:
+    """Ids in both sets, and those only in the first."""
+    ids = lambda status: table(spark, sf, "orders").where(F.col("o_orderstatus") == status).select(F.col("o_custkey").alias("id"))
+    return ids("F").intersect(ids("O")).withColumn("both", F.lit(True)).unionByName(ids("F").subtract(ids("O")).withColumn("both", F.lit(False)))
+
+
+@query("""WITH RECURSIVE c AS (SELECT o_custkey, o_orderkey, o_orderkey % 97 AS s, o_orderkey % 11 + 1 AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+g AS (SELECT o_custkey, 0::BIGINT AS i, (-1000000)::BIGINT AS free, NULL::BIGINT AS taken FROM (SELECT DISTINCT o_custkey FROM orders)
+  UNION ALL SELECT g.o_custkey, c.i, CASE WHEN c.s >= free THEN c.s + c.n + 5 ELSE free END, CASE WHEN c.s >= free THEN c.o_orderkey END FROM g JOIN c ON c.o_custkey = g.o_custkey AND c.i = g.i + 1)
+SELECT o_custkey, taken AS o_orderkey, taken % 97 AS s, taken % 11 + 1 AS n FROM g WHERE taken IS NOT NULL""")
+def schedule_without_overlap(spark: S, sf: str) -> DataFrame:
+    """Events in drawn order are taken while they keep clear of the last one taken."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 97).alias("s"), (F.col("o_orderkey") % 11 + 1).alias("n"))
+    return agg.greedy_schedule(o, ["o_custkey"], "o_orderkey", "s", "n")
