@@ -41,9 +41,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds ids, n_tokens and whether decoding them gives the text again."""
-    path = public_tokenizers.path(VOCABULARY)
-    out = bpe.decode_documents(bpe.encode_documents(docs, path), path)
-    return out.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
+    out = bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), round_trip="round_trip")
+    return out.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -4,8 +4,10 @@ Encoding. The merge ranks are compiled into a transducer over bytes. Its nondete
 a configuration is (tokens guessed since the last output, last token, node of the token trie), and a token may end only
 where the pair (last token, token) is one that merging leaves alone. For each piece exactly one guess survives to the end.
 The machine is determinised lazily: a deterministic state is the set of live configurations without their common output,
-made when a text first needs it and kept in a table; what all configurations agree on is emitted at once, so a token
-comes out after a bounded lookahead. Tables are bounded: a full one is dropped and grown anew.
+made when texts need it for the second time and kept in a table; what all configurations agree on is emitted at once, so a
+token comes out after a bounded lookahead. The end of a short piece that leaves the known states for the first time is
+walked with the sets themselves, so rare pieces leave no states behind. Tables are bounded: a full one is dropped and grown
+anew.
 
 Decoding. Tokens step an incremental UTF-8 machine whose state is the unfinished byte sequence; (state, token) pairs are
 compiled lazily too. Text comes out as soon as its bytes are whole, so ids may arrive in any cuts.
@@ -17,7 +19,6 @@ Python's "replace" does; unknown ids raise KeyError.
 from __future__ import annotations
 
 import base64
-import functools
 import gc
 import hashlib
 from array import array
@@ -28,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches
+from tidemark.llm.common import held, map_batches
 from tidemark.llm.pretokenize import pieces
 
 _ROOT = 0
+_WALK = 64
+PAIRS = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -55,8 +58,8 @@ def merge_by_rank(data: bytes, ranks: dict[bytes, int], until: int = 1) -> list[
 class Encoder:
     """The lazily determinised transducer of one vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000, max_words: int = 500_000):
-        self.ranks, self.max_states, self.max_words = ranks, max_states, max_words
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 60_000, max_word_bytes: int = 32_000_000):
+        self.ranks, self.max_states, self.max_word_bytes = ranks, max_states, max_word_bytes
         self.bytes_of = {i: b for b, i in ranks.items()}
         child: dict[int, int] = {}
         token_at: dict[int, int] = {}
@@ -72,9 +75,10 @@ class Encoder:
                 node = nxt
             token_at[node] = i
         self.child, self.token_at = child, token_at
-        self.pair_ok: dict[tuple[int, int], bool] = {}
+        self.pair_ok: dict[int, bool] = {}
         self.edges: dict[int, list[tuple[bytes, int]]] = {}
         self.words: dict[str, bytes] = {}
+        self.word_bytes = 0
         self._reset()
 
     def _reset(self) -> None:
@@ -83,6 +87,7 @@ class Encoder:
         self.index = {start: 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.ends: dict[int, tuple[int, ...]] = {0: ()}
+        self.met: set[int] = set()  # moves needed once
 
     def _edge(self, token: int, side: int) -> list[tuple[bytes, int]]:
         """Parts that stand at one edge (0 left, 1 right) while the token is merged, and the rank of the merge that ends each."""
@@ -107,10 +112,10 @@ class Encoder:
         Parts at the boundary that exist at the same time must not join before one of them joins inside its own token;
         at equal rank the merge further left comes first.
         """
-        key = (left, right)
+        key = left << 32 | right
         ok = self.pair_ok.get(key)
         if ok is None:
-            if len(self.pair_ok) > 1_000_000:
+            if len(self.pair_ok) > PAIRS:
                 self.pair_ok.clear()
             b = self._edge(right, 0)
             ok = bool(b)
@@ -136,18 +141,26 @@ class Encoder:
             self.pair_ok[key] = ok
         return ok
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        live = []
-        for out, last, node in self.states[state]:
-            nxt = self.child.get(node << 8 | byte)
+    def _advance(self, live: Iterable[tuple], byte: int) -> list[tuple]:
+        """The configurations after one more byte."""
+        child, token_at, pair_ok, out = self.child, self.token_at, self.pair_ok, []
+        for emitted, last, node in live:
+            nxt = child.get(node << 8 | byte)
             if nxt is None:
                 continue
-            live.append((out, last, nxt))
-            token = self.token_at.get(nxt)
-            if token is not None and self.stable(last, token):
-                live.append((out + (token,), token, _ROOT))
-        if not live:
+            out.append((emitted, last, nxt))
+            token = token_at.get(nxt)
+            if token is not None:
+                ok = pair_ok.get(last << 32 | token)
+                if ok or ok is None and self.stable(last, token):
+                    out.append((emitted + (token,), token, _ROOT))
+        if not out:
             raise ValueError("the vocabulary has no token for some byte")
+        return out
+
+    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """A new move: the state after the byte, and what all its configurations agree on."""
+        live = self._advance(self.states[state], byte)
         first = live[0][0]
         n = len(first)
         if len(live) > 1:
@@ -163,6 +176,12 @@ class Encoder:
         move = self.moves[state << 8 | byte] = (to, first[:n])
         return move
 
+    def _survivor(self, live: Iterable[tuple]) -> tuple[int, ...]:
+        done = [out for out, _, node in live if node == _ROOT]
+        if len(done) != 1:
+            raise ValueError("these ranks aren't those of a byte-pair vocabulary")
+        return done[0]
+
     def encode_piece(self, data: bytes) -> list[int]:
         """Ids of one piece."""
         whole = self.ranks.get(data)
@@ -170,18 +189,27 @@ class Encoder:
             return [whole]
         if len(self.states) > self.max_states:
             self._reset()
-        state, out, moves = 0, [], self.moves
-        for byte in data:
-            move = moves.get(state << 8 | byte) or self._step(state, byte)
+        state, out, moves, met = 0, [], self.moves, self.met
+        for i, byte in enumerate(data):
+            key = state << 8 | byte
+            move = moves.get(key)
+            if move is None:
+                if key not in met and len(data) - i <= _WALK:
+                    if len(met) > 200_000:
+                        met.clear()
+                    met.add(key)
+                    live = self.states[state]
+                    for b in data[i:]:
+                        live = self._advance(live, b)
+                    out += self._survivor(live)
+                    return out
+                move = self._step(state, byte)
             state = move[0]
             if move[1]:
                 out += move[1]
         rest = self.ends.get(state)
         if rest is None:
-            done = [c[0] for c in self.states[state] if c[2] == _ROOT]
-            if len(done) != 1:
-                raise ValueError("these ranks aren't those of a byte-pair vocabulary")
-            rest = self.ends[state] = done[0]
+            rest = self.ends[state] = self._survivor(self.states[state])
         out += rest
         return out
 
@@ -190,14 +218,16 @@ class Encoder:
         words = pieces(text)
         found = list(map(self.words.get, words))
         if None in found:
-            if len(self.words) > self.max_words:
+            if self.word_bytes > self.max_word_bytes:
                 self.words.clear()
+                self.word_bytes = 0
             keep = self.words
             for i, w in enumerate(words):
                 if found[i] is None:
                     ids = keep.get(w)
                     if ids is None:
                         ids = keep[w] = array("I", self.encode_piece(w.encode())).tobytes()
+                        self.word_bytes += 170 + 2 * len(w) + len(ids)  # both objects and their place in the table
                     found[i] = ids
         return b"".join(found)
 
@@ -268,32 +298,44 @@ class Decoder:
         return self.feed(ids) + self.finish()
 
 
-@functools.lru_cache(maxsize=2)
-def machines(path: str) -> tuple[Encoder, Decoder]:
-    """One pair in each Python worker."""
+@held
+def encoder_of(path: str) -> Encoder:
+    """One in each Python worker, until a task of another operator runs there."""
     encoder = Encoder(load_ranks(path))
     gc.freeze()  # the tables live as long as the worker
     gc.set_threshold(200_000, 50, 50)
-    return encoder, Decoder(encoder.bytes_of)
+    return encoder
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "ids") -> DataFrame:
+@held
+def decoder_of(path: str) -> Decoder:
+    """One in each Python worker that decodes."""
+    return Decoder({i: b for b, i in load_ranks(path).items()})
+
+
+def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "ids", round_trip: str | None = None) -> DataFrame:
     """docs with a column of token ids (array<int>) added; the vocabulary is a path that all executors can open.
 
-    A column of docs named like the new one is replaced. An empty table gives an empty table.
+    With round_trip, a column of that name says whether the ids, decoded in the same pass, give the text again.
+    Columns of docs named like the new ones are replaced. An empty table gives an empty table.
     """
-    keep = [c for c in docs.columns if c != out]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    new = [out] if round_trip is None else [out, round_trip]
+    keep = [c for c in docs.columns if c not in new]
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{out}` array<int>", *(f"`{c}` boolean" for c in new[1:])])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        encoder, _ = machines(vocabulary)
-        packed = [encoder.encode_packed(x or "") for x in b.column(text).to_pylist()]
+        encoder = encoder_of(vocabulary)
+        packed, same = [], []
+        for x in b.column(len(keep)).to_pylist():
+            packed.append(encoder.encode_packed(x or ""))
+            if round_trip is not None:
+                same.append(decoder_of(vocabulary).decode(np.frombuffer(packed[-1], dtype="<u4").tolist()) == (x or ""))
         values = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
         offsets = np.zeros(len(packed) + 1, dtype=np.int32)
         np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
-        return pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(offsets), values)], [*keep, out])
+        return pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.ListArray.from_arrays(pa.array(offsets), values), *([pa.array(same, pa.bool_())] if round_trip is not None else [])], [*keep, *new])
 
-    return map_batches(docs.select(*keep), run, f"{schema}, `{out}` array<int>")
+    return map_batches(docs.select(*keep, F.col(text).alias("__text")), run, schema)
 
 
 def decode_documents(docs: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -302,11 +344,11 @@ def decode_documents(docs: DataFrame, vocabulary: str, ids: str = "ids", out: st
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        _, decoder = machines(vocabulary)
-        texts = [decoder.decode(x or ()) for x in b.column(ids).to_pylist()]
-        return pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, out])
+        decoder = decoder_of(vocabulary)
+        texts = [decoder.decode(x or ()) for x in b.column(len(keep)).to_pylist()]
+        return pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(texts, pa.string())], [*keep, out])
 
-    return map_batches(docs.select(*keep), run, f"{schema}, `{out}` string")
+    return map_batches(docs.select(*keep, F.col(ids).alias("__ids")), run, f"{schema}, `{out}` string")
 
 
 def digest_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -316,7 +358,7 @@ def digest_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", t
     """
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        encoder, decoder = machines(vocabulary)
+        encoder, decoder = encoder_of(vocabulary), decoder_of(vocabulary)
         n, ids_hex, text_hex = [], [], []
         for x in b.column(1).to_pylist():
             packed = encoder.encode_packed(x or "")
