@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -63,6 +65,7 @@ def held(make: Callable) -> Callable:
     Workers serve one stage after another, so what a cache keeps for good would stand beside every later stage's memory.
     """
 
+    @functools.wraps(make)  # pickled by name, so that workers share the module's table
     def get(*key):
         own = _held.setdefault(make.__module__, {})
         if (make.__name__, key) not in own:
@@ -80,6 +83,14 @@ def release(module: str) -> None:
     if others:
         gc.unfreeze()
         gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the machine, where the C library can: arrays of one task would stay with the worker."""
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
 
 
 #: Most bytes and rows of one Arrow batch.
@@ -107,6 +118,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
                     out = fn(b.slice(start, 512))
                     if out is not None and out.num_rows:
                         yield out
+        trim()
 
     return df.mapInArrow(run, schema)
 

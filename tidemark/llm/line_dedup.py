@@ -151,7 +151,7 @@ def similarities(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarr
     return shared / np.maximum(1, n + m - shared)
 
 
-def pieces_by_size(sizes: list[int], most: int = 1_000_000) -> list[tuple[int, int]]:
+def pieces_by_size(sizes: list[int], most: int = 250_000) -> list[tuple[int, int]]:
     """Ranges of rows of at most `most` in all (one row at least) and 512 rows: bounds what one call holds."""
     out, start, total = [], 0, 0
     for i, n in enumerate(sizes):
@@ -288,6 +288,7 @@ def linked(bands: DataFrame, texts_of: Callable[[DataFrame], DataFrame], verifie
     sizes = scratch.keep(rest.groupBy("key", "label").agg(F.count("*").alias("n")), "label-sizes")
     main = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("key", "main")
     rest = scratch.keep(rest.join(main, "key").select("key", "h", "label", "main"), "rest")
+    scratch.drop("members", "pairs", "label-sizes")
     known = scratch.keep(sketched(texts.join(rest.select("h").distinct(), "h", "left_semi")), "sketches")
     rest = rest.join(known, "h")
     odd = rest.where("label <> main").select("key", "main", *[F.col(c).alias(f"x_{c}") for c in ("h", "label", *SKETCH_NAMES[1:])])
@@ -299,6 +300,7 @@ def linked(bands: DataFrame, texts_of: Callable[[DataFrame], DataFrame], verifie
     names = [label.select(F.col("node").alias(c), F.col("component").alias(f"label_{c}")) for c in "ab"]
     second = second.join(names[0], "a", "left").join(names[1], "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
     joined = scratch.keep(connected_components(second, scratch, "second-cc"), "joined")
+    scratch.drop("rest", "sketches", "more", "texts")
     both = label.withColumnRenamed("component", "label").unionByName(joined.select("node", F.col("node").alias("label"))).distinct()
     return both.join(joined.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("component", "label").alias("component"))
 
