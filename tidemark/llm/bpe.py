@@ -34,7 +34,7 @@ from tidemark.llm.pretokenize import pieces
 
 _ROOT = 0
 _WALK = 64
-PAIRS = 200_000
+PAIRS = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -58,7 +58,7 @@ def merge_by_rank(data: bytes, ranks: dict[bytes, int], until: int = 1) -> list[
 class Encoder:
     """The lazily determinised transducer of one vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 60_000, max_word_bytes: int = 32_000_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 80_000, max_word_bytes: int = 80_000_000):
         self.ranks, self.max_states, self.max_word_bytes = ranks, max_states, max_word_bytes
         self.bytes_of = {i: b for b, i in ranks.items()}
         child: dict[int, int] = {}
