@@ -34,7 +34,6 @@ from tidemark.llm.pretokenize import pieces
 
 _ROOT = 0
 _WALK = 64
-PAIRS = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -58,8 +57,9 @@ def merge_by_rank(data: bytes, ranks: dict[bytes, int], until: int = 1) -> list[
 class Encoder:
     """The lazily determinised transducer of one vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 80_000, max_word_bytes: int = 80_000_000):
-        self.ranks, self.max_states, self.max_word_bytes = ranks, max_states, max_word_bytes
+    def __init__(self, ranks: dict[bytes, int], room: int = 1):
+        """room: how large the tables may grow; 1 takes some 150 MB, 3 is faster where memory allows."""
+        self.ranks, self.max_states, self.max_word_bytes, self.max_pairs = ranks, room * 60_000, room * 32_000_000, room * 200_000
         self.bytes_of = {i: b for b, i in ranks.items()}
         child: dict[int, int] = {}
         token_at: dict[int, int] = {}
@@ -115,7 +115,7 @@ class Encoder:
         key = left << 32 | right
         ok = self.pair_ok.get(key)
         if ok is None:
-            if len(self.pair_ok) > PAIRS:
+            if len(self.pair_ok) > self.max_pairs:
                 self.pair_ok.clear()
             b = self._edge(right, 0)
             ok = bool(b)
@@ -299,9 +299,9 @@ class Decoder:
 
 
 @held
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, room: int = 1) -> Encoder:
     """One in each Python worker, until a task of another operator runs there."""
-    encoder = Encoder(load_ranks(path))
+    encoder = Encoder(load_ranks(path), room)
     gc.freeze()  # the tables live as long as the worker
     gc.set_threshold(200_000, 50, 50)
     return encoder
@@ -358,7 +358,7 @@ def digest_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", t
     """
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        encoder, decoder = encoder_of(vocabulary), decoder_of(vocabulary)
+        encoder, decoder = encoder_of(vocabulary, 3), decoder_of(vocabulary)
         n, ids_hex, text_hex = [], [], []
         for x in b.column(1).to_pylist():
             packed = encoder.encode_packed(x or "")
