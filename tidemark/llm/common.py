@@ -123,6 +123,21 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def lookup(rows: DataFrame, values: DataFrame, on: list[str], hot: str) -> DataFrame:
+    """rows with the columns of values, whose keys are unique and hold every key of rows; nulls are equal to nulls.
+
+    Where the column `hot` is true, values are broadcast and their rows stay where they are; the caller proves a bound on
+    how many these are. Only the rows of other keys are shuffled, so a key that holds a large share of all rows never meets in a task.
+    """
+    values = values.select(*[F.col(c).alias(f"__{c}") for c in on], *[c for c in values.columns if c not in on])
+    match = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on])
+    own = rows.columns
+    new = [c for c in values.columns if c != hot and not c.startswith("__")]
+    tried = rows.join(F.broadcast(values.where(hot)), match, "left")
+    rest = tried.where(F.col(hot).isNull()).select(*own)
+    return tried.where(hot).select(*own, *new).union(rest.join(values.where(~F.col(hot)), match).select(*own, *new))
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Strings of an Arrow column, null as empty."""
     return [x or "" for x in column.to_pylist()]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat_format, decontaminate, html_extract, id_store, language_id, license_scan, line_dedup, quality_rules, simhash_dedup
+from tidemark.llm import bpe, chat_format, decontaminate, html_extract, id_store, language_id, license_scan, line_dedup, quality_rules, simhash_dedup, vector_codes
 from tidemark.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,12 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    out = vector_codes.with_label_error(coded)
+    return out.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op2_line_dedup": op2_line_dedup,
@@ -78,8 +84,38 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_id_store": op9_id_store,
     "op10_html_extract": op10_html_extract,
+    "op11_vector_codes": op11_vector_codes,
 }
 
+def _lloyd_sql(rounds: int) -> str:
+    """SQL of op11's codebooks and codes; each round is a pair of tables."""
+    near = "SELECT p.rid, p.p, arg_min(b.e, b.e + 64 * {d}) AS code, min({d}) AS err FROM parts p JOIN b{i} b USING (p) GROUP BY p.rid, p.p"
+    d = "CAST(list_sum(list_transform(list_zip(p.part, b.entry), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS BIGINT)"
+    out = [
+        r"""kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS rid, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS ints
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding))""",
+        "w AS (SELECT CAST(ceil(max(len(ints)) / 16) AS BIGINT) AS w FROM kept)",
+        """parts AS MATERIALIZED (SELECT rid, p, list_slice(list_concat(ints, list_transform(range(16 * w - len(ints)), lambda x: CAST(0 AS BIGINT))), p * w + 1, p * w + w) AS part
+  FROM kept, w, (SELECT unnest(range(16)) AS p))""",
+        "b0 AS (SELECT p, rid AS e, part AS entry FROM parts WHERE rid < 64)",
+    ]
+    for i in range(rounds):
+        out += [
+            f"n{i} AS MATERIALIZED ({near.format(d=d, i=i)})",
+            f"""m{i} AS (SELECT p, code, list(m ORDER BY j) AS entry FROM (
+    SELECT n.p, n.code, j, CAST(floor(sum(p.part[j]) / count(*)) AS BIGINT) AS m FROM n{i} n JOIN parts p USING (rid, p), w, (SELECT unnest(range(1, 1 + (SELECT w FROM w))) AS j) GROUP BY n.p, n.code, j) GROUP BY p, code)""",
+            f"b{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.entry, b.entry) AS entry FROM b{i} b LEFT JOIN m{i} m ON m.p = b.p AND m.code = b.e)",
+        ]
+    return "WITH " + ",\n".join([*out, f"n{rounds} AS MATERIALIZED ({near.format(d=d, i=rounds)})"]) + f"""
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+FROM kept JOIN (SELECT rid, string_agg(lower(lpad(hex(code), 2, '0')), '' ORDER BY p) AS code, CAST(sum(err) AS BIGINT) AS error FROM n{rounds} GROUP BY rid) USING (rid)"""
+
+
+_OP11 = _lloyd_sql(2)
+
 ORACLES: dict[str, str] = {
     "op1_chat_format": r"""
 WITH rows AS (
@@ -100,4 +136,5 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(3 + sum(17 + length(role) + length(text) + marks) AS BIGINT) AS formatted_chars,
   bool_and(ok) AND arg_max(role, i) = 'assistant' AS valid
 FROM m GROUP BY conv_id""",
+    "op11_vector_codes": _OP11,
 }
