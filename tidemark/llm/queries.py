@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat_format, decontaminate, html_extract, id_store, language_id, license_scan, line_dedup, quality_rules, simhash_dedup, vector_codes
+from tidemark.llm import bpe, chat_format, decontaminate, html_extract, id_store, language_id, license_scan, line_dedup, merkle, quality_rules, sharding, simhash_dedup, vector_codes
 from tidemark.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,22 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256"))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    meta = docs.select("doc_id", "lang", "source", "n_chars", sharding.text_bytes().alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    placed = sharding.shard(meta, shards=8, size=F.col("size"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    c = F.col
+    fields = lambda text: [c("doc_id"), c("source"), c("lang"), c("n_chars"), text]
+    tampered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    changed = F.when(F.crc32(c("doc_id").cast("string").cast("binary")) % 5 == 0, merkle.leaf_digest(fields(tampered)))
+    return merkle.prove(merkle.build(docs, fields(c("text")), changed=changed)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op2_line_dedup": op2_line_dedup,
@@ -85,6 +101,8 @@ QUERIES: dict[str, Query] = {
     "op9_id_store": op9_id_store,
     "op10_html_extract": op10_html_extract,
     "op11_vector_codes": op11_vector_codes,
+    "op12_sharding": op12_sharding,
+    "op13_merkle": op13_merkle,
 }
 
 def _lloyd_sql(rounds: int) -> str:
@@ -116,6 +134,39 @@ FROM kept JOIN (SELECT rid, string_agg(lower(lpad(hex(code), 2, '0')), '' ORDER
 
 _OP11 = _lloyd_sql(2)
 
+
+def _merkle_sql(low: int, high: int) -> str:
+    """SQL of op13 for groups of up to 16**low rows and up to 16**high groups: each level is a table, each proof a chain of joins."""
+    crc = "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS UBIGINT))), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))))"
+    said = lambda x: f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR), '-')"
+    leaf = lambda text: f"sha256({said('doc_id')} || {said('source')} || {said('lang')} || {said('n_chars')} || {said(text)})"
+    out = [f"""d AS (SELECT doc_id, coalesce('s' || source, '') AS tree, {leaf('text')} AS leaf,
+    CASE WHEN {crc} % 5 = 0 THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed FROM documents)""",
+        "l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k FROM d)",
+        "a0 AS (SELECT tree, k, leaf AS h FROM l)"]
+
+    def climb(name: str, levels: int) -> None:
+        for i in range(levels):
+            # a tree of one node is done: its root is carried up as it is
+            out.append(f"{name}{i + 1} AS MATERIALIZED (SELECT tree, k // 16 AS k, CASE WHEN any_value(n) = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY k)) END AS h FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {name}{i}) GROUP BY tree, k // 16)")
+            out.append(f"{name}r{i} AS MATERIALIZED (SELECT tree, k, CASE WHEN count(*) OVER (PARTITION BY tree) = 1 THEN NULL ELSE list(h) OVER (PARTITION BY tree, k // 16 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS run FROM {name}{i})")
+
+    climb("a", low)
+    out.append(f"s AS MATERIALIZED (SELECT tree, row_number() OVER (ORDER BY tree COLLATE \"C\") - 1 AS k, h FROM a{low})".replace(' COLLATE "C"', ""))
+    out.append("b0 AS (SELECT '' AS tree, k, h FROM s)")
+    climb("b", high)
+    fold = lambda h, run, k: f"CASE WHEN {run} IS NULL THEN {h} ELSE sha256(array_to_string(list_concat(list_concat({run}[:{k} % 16], [{h}]), {run}[{k} % 16 + 2:]), '')) END"
+    others = lambda run, k: f"coalesce(array_to_string(list_concat({run}[:{k} % 16], {run}[{k} % 16 + 2:]), ''), '')"
+    out.append("f0 AS (SELECT l.*, coalesce(changed, leaf) AS fold, '' AS proof, l.k AS up, s.k AS sat, s.h AS subroot FROM l JOIN s USING (tree))")
+    last = 0
+    for name, i, k, key in [*[("a", i, "up", "f.tree = r.tree AND f.up = r.k") for i in range(low)], *[("b", i, "sat", "f.sat = r.k") for i in range(high)]]:
+        out.append(f"f{last + 1} AS MATERIALIZED (SELECT f.* REPLACE ({fold('f.fold', 'r.run', 'f.' + k)} AS fold, f.proof || {others('r.run', 'f.' + k)} AS proof, f.{k} // 16 AS {k}) FROM f{last} f JOIN {name}r{i} r ON {key})")
+        last += 1
+    return "WITH " + ",\n".join(out) + f"\nSELECT doc_id, leaf, subroot, b.h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = b.h AS verified FROM f{last}, b{high} b"
+
+
+_OP13 = _merkle_sql(5, 3)
+
 ORACLES: dict[str, str] = {
     "op1_chat_format": r"""
 WITH rows AS (
@@ -137,4 +188,5 @@ SELECT conv_id, count(*) AS n_turns,
   bool_and(ok) AND arg_max(role, i) = 'assistant' AS valid
 FROM m GROUP BY conv_id""",
     "op11_vector_codes": _OP11,
+    "op13_merkle": _OP13,
 }
