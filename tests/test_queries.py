@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import tidemark.plans.items  # noqa: F401
+import tidemark.plans.levels  # noqa: F401
 import tidemark.plans.lookups  # noqa: F401
 import tidemark.plans.queries  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES

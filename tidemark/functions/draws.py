@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,15 @@ def draw_between(low: Name, high: Name, salt: str, *by: Name) -> Column:
     return low + draw(high - low + 1, salt, *by)
 
 
+def normal(mean: Name, deviation: Name, salt: str, *by: Name) -> Column:
+    """A normally distributed number, from two uniform ones of one digest."""
+    d = digest(salt, *by)
+    u = [F.conv(F.substring(d, at, 8), 16, 10).cast("double") / float(1 << 32) for at in (1, 9)]
+    standard = F.sqrt(-2 * F.log(u[0] + 0.5 / (1 << 32))) * F.cos(2 * math.pi * u[1])
+    lit = lambda x: F.lit(float(x)) if isinstance(x, (int, float)) else col(x)
+    return lit(mean) + lit(deviation) * standard
+
+
 def shuffled(values: Column, salt: str, *by: Name) -> Column:
     """An array of texts in drawn order; equal values keep together."""
     pairs = F.transform(values, lambda x: F.struct(digest(salt, *by, x).alias("d"), x.alias("x")))

@@ -115,6 +115,16 @@ def plain_number(x: Name, digits: int = 2) -> Column:
     return F.when(short == "-0", F.lit("0")).otherwise(short)
 
 
+def python_number(x: Name) -> Column:
+    """A number of at most six decimals as Python prints a float: 2.0, -0.25, 5e-06, 1.2e-05."""
+    millionths = F.round(F.abs(col(x)) * 1e6).cast("long")
+    text = F.regexp_replace(F.format_string("%.6f", col(x).cast("double")), r"(\.\d+?)0+$", "$1")
+    sign = F.when(col(x) < 0, "-").otherwise("")
+    tens = F.concat((millionths / 10).cast("int").cast("string"), F.when(millionths % 10 != 0, F.concat(F.lit("."), (millionths % 10).cast("string"))).otherwise(""))
+    small = F.when(millionths < 10, F.concat(millionths.cast("string"), F.lit("e-06"))).otherwise(F.concat(tens, F.lit("e-05")))
+    return F.when((millionths > 0) & (millionths < 100), F.concat(sign, small)).otherwise(text)
+
+
 def norm(parts: Sequence[Name]) -> Column:
     """Euclidean norm; null if any part is."""
     total = F.lit(0.0)

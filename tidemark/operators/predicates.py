@@ -6,7 +6,7 @@ a missing value are skipped; the quantifier says what remains when none is left
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,28 +14,30 @@ from pyspark.sql import functions as F
 from tidemark.functions.values import mean_of
 from tidemark.operators.aggregates import all_of, any_of
 
-EPS = 1e-6
+EPS = 1e-9
 
 #: Thresholds of the statements.
 THRESHOLDS = {
-    "mc_003": 0.30,
-    "mc_004": 0.10,
-    "mc_005": 0.25,
-    "mc_006": 0.20,
-    "mc_006_share": 0.80,
-    "mc_007": 0.40,
-    "mc_008": 0.25,
-    "mc_009": 0.10,
-    "mc_012_rise": 0.20,
-    "mc_012_fall": 0.90,
-    "mc_013": 0.10,
-    "mc_014": 0.20,
-    "mc_015": 0.10,
-    "mc_016": 0.25,
-    "mc_017": 0.005,
-    "mc_018": 0.002,
-    "mc_018_share": 0.80,
-    "mc_019": 0.10,
+    "speed_drop_ratio": 0.30,
+    "speed_stable_tol": 0.10,
+    "stall_current_increase": 0.25,
+    "stall_speed_frac": 0.10,
+    "force_low_increase": 0.20,
+    "force_low_coverage": 0.80,
+    "force_spike_increase": 0.40,
+    "tracking_increase": 0.25,
+    "tracking_stable_increase": 0.10,
+    "current_peak_increase": 0.20,
+    "current_relax_drop": 0.10,
+    "robot_current_stable_range": 0.10,
+    "robot_current_increase": 0.20,
+    "tcp_tracking_stable_increase": 0.10,
+    "tcp_tracking_increase": 0.25,
+    "temp_rise_slope": 0.005,
+    "temp_rise_min_axes": 2.0,
+    "temp_stable_slope": 0.002,
+    "temp_stable_axes_ratio": 0.80,
+    "no_effect_agg_increase": 0.10,
 }
 
 
@@ -48,40 +50,39 @@ def tracking_error(axes: Sequence[tuple[Column, Column, Column | None, Column |
     return mean_of(errors)
 
 
-def window_features(rows: DataFrame, key: Sequence[str], seq: str, onset: str, axes: Sequence[tuple[str, str, str]], contact: str, current: str, safety: str, tcp: Column | None = None) -> DataFrame:
-    """One row per window: values of the row before the onset (pre_) and aggregates from it on (post_).
+def window_features(rows: DataFrame, items: DataFrame, key: Sequence[str], seq: str, axes: Sequence[tuple[str, str, str]], contact: str, current: str, safety: str, tcp: Column | None = None, by: Sequence[str] | None = None) -> DataFrame:
+    """One row per item: values of its base row (pre_) and aggregates of the rows from its first one on.
 
-    axes: (speed, setpoint, effort) columns of each axis; tcp: the tracking error of the tool, where there is one. One
-    aggregation with map-side combine; no window is sorted.
+    items: key, `base` and `first` (places in the episode), maybe `force_low` (the share above the contact before that still
+    counts as low), and `by`, what tells items of one episode apart. axes: (speed, setpoint, effort) columns of each axis;
+    tcp: the tracking error of the tool, where there is one. Items without a base row go. Two aggregations with map-side
+    combine, the first for the base row alone, since later rows are compared with it; no episode is sorted or buffered.
     """
+    by = list(by or key)
     tcp = F.lit(None).cast("double") if tcp is None else tcp
-    pre, post = F.col(seq) == F.col(onset) - 1, F.col(seq) >= F.col(onset)
-    rows = rows.withColumn("__early", F.col(seq) < F.col(onset) + F.greatest(F.lit(1), F.floor(0.4 * (F.col("n_rows") - F.col(onset)))))
-    aggs: list[Column] = []
     error = tracking_error([(F.col(sp), F.col(v), None, None) for v, sp, _ in axes])
-    for i, (v, _, e) in enumerate(axes):
-        far = F.abs(F.col(v) - F.col(f"__pre_v{i}"))
-        aggs += [F.max(f"__pre_v{i}").alias(f"pre_v{i}"), F.max(f"__pre_e{i}").alias(f"pre_e{i}")]
-        aggs += [F.min(F.when(post, F.col(v))).alias(f"min_v{i}"), F.max(F.when(post, far)).alias(f"far_v{i}"), F.avg(F.when(post, F.abs(v))).alias(f"abs_v{i}"), F.avg(F.when(post, F.col(e))).alias(f"mean_e{i}")]
-        aggs += [F.max(F.when(post & F.col("__early"), F.col(e))).alias(f"early_e{i}"), F.min_by(e, F.when(post, F.col(seq))).alias(f"first_e{i}"), F.max_by(e, F.when(post, F.col(seq))).alias(f"last_e{i}")]
-    pre_rows = rows.where(pre).select(*key, *[F.col(v).alias(f"__pre_v{i}") for i, (v, _, _) in enumerate(axes)], *[F.col(e).alias(f"__pre_e{i}") for i, (_, _, e) in enumerate(axes)], F.col(contact).alias("__pre_contact"), F.col(current).alias("__pre_current"), error.alias("__pre_track"), tcp.alias("__pre_tcp"))
-    both = rows.join(pre_rows, list(key))
+    low = F.col("force_low") if "force_low" in items.columns else F.lit(THRESHOLDS["force_low_increase"])
+    asked = items.select(*{*key, *by}, F.col("base").alias("__base"), F.col("first").alias("__first"), low.alias("__low"))
+    own = rows.join(asked, list(key))
+    at_base = lambda x: F.max(F.when(F.col(seq) == F.col("__base"), x))
+    pre = {f"pre_v{i}": F.col(v) for i, (v, _, _) in enumerate(axes)} | {f"pre_e{i}": F.col(e) for i, (_, _, e) in enumerate(axes)}
+    pre |= {"pre_contact": F.col(contact), "pre_current": F.col(current), "pre_track": error, "pre_tcp": tcp}
+    before = own.groupBy(*by).agg(F.max(seq).alias("__last"), at_base(F.lit(True)).alias("__there"), *[at_base(x).alias(n) for n, x in pre.items()]).where("__there").drop("__there")
+    post = own.where(F.col(seq) >= F.col("__first")).join(before.select(*by, F.col("pre_contact").alias("__contact"), "__last"), by)
+    # the first four tenths of the rows, one at least
+    early = F.col(seq) < F.col("__first") + F.greatest(F.lit(1), F.floor((F.col("__last") - F.col("__first") + 1) * 4 / 10))
     c, r = F.col(contact), F.col(current)
+    aggs: list[Column] = []
+    for i, (v, _, e) in enumerate(axes):
+        known = F.when(F.col(e).isNotNull(), F.col(seq))
+        aggs += [F.min(v).alias(f"min_v{i}"), F.max(v).alias(f"max_v{i}"), F.avg(F.abs(v)).alias(f"abs_v{i}"), F.avg(e).alias(f"mean_e{i}"), F.count(e).alias(f"n_e{i}")]
+        aggs += [F.max(F.when(early, F.col(e))).alias(f"early_e{i}"), F.min_by(e, known).alias(f"first_e{i}"), F.max_by(e, known).alias(f"last_e{i}")]
     aggs += [
-        F.avg(F.when(post & c.isNotNull(), (c <= (1 + THRESHOLDS["mc_006"]) * F.col("__pre_contact")).cast("double"))).alias("contact_low"),
-        F.bool_or(F.when(post & c.isNotNull(), c >= (1 + THRESHOLDS["mc_007"]) * F.col("__pre_contact"))).alias("contact_high"),
-        F.avg(F.when(post, error)).alias("track"),
-        F.max("__pre_track").alias("pre_track"),
-        F.avg(F.when(post, tcp)).alias("tcp"),
-        F.max("__pre_tcp").alias("pre_tcp"),
-        F.avg(F.when(post, c)).alias("contact"),
-        F.max("__pre_contact").alias("pre_contact"),
-        (F.max(F.when(post, r)) - F.min(F.when(post, r))).alias("current_span"),
-        F.avg(F.when(post, r)).alias("current_mean"),
-        F.max("__pre_current").alias("pre_current"),
-        F.bool_and(F.when(post, F.coalesce(F.col(safety) == 1, F.lit(False)))).alias("safe"),
+        F.avg(F.when(c.isNotNull(), (c <= (1 + F.col("__low")) * F.col("__contact")).cast("double"))).alias("contact_low"),
+        F.max(c).alias("contact_most"), F.avg(c).alias("contact"), F.avg(error).alias("track"), F.avg(tcp).alias("tcp"),
+        (F.max(r) - F.min(r)).alias("current_span"), F.avg(r).alias("current_mean"), F.bool_and(F.coalesce(F.col(safety) == 1, F.lit(False))).alias("safe"),
     ]
-    return both.groupBy(*key).agg(*aggs)
+    return post.groupBy(*by).agg(*aggs).join(before.drop("__last"), by)
 
 
 def aggregate_error(track: Column, tcp: Column, contact: Column, current: Column) -> Column:
@@ -89,31 +90,33 @@ def aggregate_error(track: Column, tcp: Column, contact: Column, current: Column
     return mean_of([track, tcp, contact, current])
 
 
-def statements(n_axes: int) -> dict[str, Column]:
-    """Truth of each statement over window_features()."""
-    t, c, axes = THRESHOLDS, F.col, range(n_axes)
+def statements(n_axes: int, thresholds: Mapping[str, Column] | None = None) -> dict[str, Column]:
+    """Truth of each statement over window_features(), by the usual thresholds or those given (columns: each item has its own)."""
+    c, axes = F.col, range(n_axes)
+    given = thresholds or {}
+    t = {n: given.get(n, F.lit(x)) for n, x in THRESHOLDS.items()}
     scale = lambda x: F.greatest(F.lit(EPS), F.abs(x))
-    slope = [(c(f"last_e{i}") - c(f"first_e{i}")) / scale(c(f"pre_e{i}")) for i in axes]
-    known = F.array_compact(F.array(*slope))
+    far = lambda i: F.greatest(c(f"max_v{i}") - c(f"pre_v{i}"), c(f"pre_v{i}") - c(f"min_v{i}"))
+    known = F.array_compact(F.array(*[F.when(c(f"n_e{i}") >= 2, (c(f"last_e{i}") - c(f"first_e{i}")) / scale(c(f"pre_e{i}"))) for i in axes]))
     moved = F.abs(c("current_mean") - c("pre_current")) / scale(c("pre_current"))
     before, after = aggregate_error(c("pre_track"), c("pre_tcp"), c("pre_contact"), F.abs(c("pre_current") - c("pre_current"))), aggregate_error(c("track"), c("tcp"), c("contact"), moved)
     of_known: Callable[[Column], Column] = lambda x: F.when(F.size(known) > 0, x)
     return {
-        "mc_003": any_of([c(f"min_v{i}") <= (1 - t["mc_003"]) * c(f"pre_v{i}") for i in axes]),
-        "mc_004": all_of([c(f"far_v{i}") <= t["mc_004"] * scale(c(f"pre_v{i}")) for i in axes]),
-        "mc_005": any_of([(c(f"mean_e{i}") >= (1 + t["mc_005"]) * c(f"pre_e{i}")) & (c(f"abs_v{i}") <= 0.10 * scale(c(f"pre_v{i}"))) for i in axes]),
-        "mc_006": c("contact_low") >= t["mc_006_share"],
-        "mc_007": c("contact_high"),
-        "mc_008": c("track") >= (1 + t["mc_008"]) * c("pre_track"),
-        "mc_009": c("track") <= (1 + t["mc_009"]) * c("pre_track"),
-        "mc_012": any_of([(c(f"early_e{i}") >= (1 + t["mc_012_rise"]) * c(f"pre_e{i}")) & (c(f"last_e{i}") <= t["mc_012_fall"] * c(f"early_e{i}")) for i in axes]),
-        "mc_013": c("current_span") <= t["mc_013"] * scale(c("pre_current")),
-        "mc_014": c("current_mean") >= (1 + t["mc_014"]) * c("pre_current"),
-        "mc_015": c("tcp") <= (1 + t["mc_015"]) * c("pre_tcp"),
-        "mc_016": c("tcp") >= (1 + t["mc_016"]) * c("pre_tcp"),
-        "mc_017": of_known(F.size(F.filter(known, lambda s: s > t["mc_017"])) >= 2),
-        "mc_018": of_known(F.size(F.filter(known, lambda s: F.abs(s) <= t["mc_018"])) / F.size(known) >= t["mc_018_share"]),
-        "mc_019": F.when(~c("safe"), F.lit(False)).otherwise(after <= (1 + t["mc_019"]) * before),
+        "mc_003": any_of([c(f"min_v{i}") <= (1 - t["speed_drop_ratio"]) * c(f"pre_v{i}") for i in axes]),
+        "mc_004": all_of([far(i) <= t["speed_stable_tol"] * scale(c(f"pre_v{i}")) for i in axes]),
+        "mc_005": any_of([(c(f"mean_e{i}") >= (1 + t["stall_current_increase"]) * c(f"pre_e{i}")) & (c(f"abs_v{i}") <= t["stall_speed_frac"] * scale(c(f"pre_v{i}"))) for i in axes]),
+        "mc_006": c("contact_low") >= t["force_low_coverage"],
+        "mc_007": c("contact_most") >= (1 + t["force_spike_increase"]) * c("pre_contact"),
+        "mc_008": c("track") >= (1 + t["tracking_increase"]) * c("pre_track"),
+        "mc_009": c("track") <= (1 + t["tracking_stable_increase"]) * c("pre_track"),
+        "mc_012": any_of([(c(f"early_e{i}") >= (1 + t["current_peak_increase"]) * c(f"pre_e{i}")) & (c(f"last_e{i}") <= (1 - t["current_relax_drop"]) * c(f"early_e{i}")) for i in axes]),
+        "mc_013": c("current_span") <= t["robot_current_stable_range"] * scale(c("pre_current")),
+        "mc_014": c("current_mean") >= (1 + t["robot_current_increase"]) * c("pre_current"),
+        "mc_015": c("tcp") <= (1 + t["tcp_tracking_stable_increase"]) * c("pre_tcp"),
+        "mc_016": c("tcp") >= (1 + t["tcp_tracking_increase"]) * c("pre_tcp"),
+        "mc_017": of_known(F.size(F.filter(known, lambda s: s > t["temp_rise_slope"])) >= F.round(t["temp_rise_min_axes"])),
+        "mc_018": of_known(F.size(F.filter(known, lambda s: F.abs(s) <= t["temp_stable_slope"])) / F.size(known) >= t["temp_stable_axes_ratio"]),
+        "mc_019": F.when(~c("safe"), F.lit(False)).otherwise(after <= (1 + t["no_effect_agg_increase"]) * before),
     }
 
 

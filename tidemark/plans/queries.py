@@ -338,7 +338,7 @@ def episode_metadata(spark: S, sf: str) -> DataFrame:
     return agg.episode_metadata(telemetry(spark, sf), EP, "seq", "ms")
 
 
-_SCALE = "greatest(1e-6, abs({}))"
+_SCALE = "greatest(1e-9, abs({}))"
 _STATEMENTS = {
     "mc_003": "m0 <= 0.7 * pv0 OR m1 <= 0.7 * pv1",
     "mc_004": f"f0 <= 0.1 * {_SCALE.format('pv0')} AND f1 <= 0.1 * {_SCALE.format('pv1')}",
@@ -366,9 +366,11 @@ x AS (SELECT *, (le0 - fe0) / {_SCALE.format("pe0")} AS d0, (le1 - fe1) / {_SCAL
 
 
 def _truths(spark: S, sf: str) -> tuple[DataFrame, dict]:
-    rows = axes(spark, sf).withColumn("n_rows", F.count(F.lit(1)).over(seq.Window.partitionBy(*EP))).withColumn("onset", F.floor(F.col("n_rows") / 2))
+    rows = axes(spark, sf)
+    half = F.floor(F.count(F.lit(1)) / 2)
+    items = rows.groupBy(*EP).agg((half - 1).alias("base"), half.alias("first"))
     tool = predicates.tracking_error([(F.col("s0"), F.col("v0"), F.col("e0"), F.col("e1"))])
-    return predicates.window_features(rows, EP, "seq", "onset", [("v0", "s0", "e0"), ("v1", "s1", "e1")], "contact", "robot_current", "safety", tool), predicates.statements(2)
+    return predicates.window_features(rows, items, EP, "seq", [("v0", "s0", "e0"), ("v1", "s1", "e1")], "contact", "robot_current", "safety", tool), predicates.statements(2)
 
 
 @query(f"WITH {_TRUTHS} SELECT episode_id, " + ", ".join(f"{v} AS {k}" for k, v in _STATEMENTS.items()) + " FROM x")
