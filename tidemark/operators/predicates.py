@@ -95,7 +95,7 @@ def statements(n_axes: int, thresholds: Mapping[str, Column] | None = None) -> d
     c, axes = F.col, range(n_axes)
     given = thresholds or {}
     t = {n: given.get(n, F.lit(x)) for n, x in THRESHOLDS.items()}
-    scale = lambda x: F.greatest(F.lit(EPS), F.abs(x))
+    scale = lambda x: F.when(x.isNotNull(), F.greatest(F.lit(EPS), F.abs(x)))
     far = lambda i: F.greatest(c(f"max_v{i}") - c(f"pre_v{i}"), c(f"pre_v{i}") - c(f"min_v{i}"))
     known = F.array_compact(F.array(*[F.when(c(f"n_e{i}") >= 2, (c(f"last_e{i}") - c(f"first_e{i}")) / scale(c(f"pre_e{i}"))) for i in axes]))
     moved = F.abs(c("current_mean") - c("pre_current")) / scale(c("pre_current"))
