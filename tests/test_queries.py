@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+import tidemark.plans.documents  # noqa: F401
 import tidemark.plans.items  # noqa: F401
 import tidemark.plans.levels  # noqa: F401
 import tidemark.plans.lookups  # noqa: F401

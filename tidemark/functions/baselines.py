@@ -45,6 +45,48 @@ def line_forecast(points: DataFrame, key: Cols, t: str, x: str, target: Name) ->
     return agg.select(*key, F.when((F.col("__n") >= 2) & F.col("__a").isNotNull(), F.col("__a") * F.col("__to") + F.col("__b")).otherwise(F.col("__last")).alias("forecast"))
 
 
+#: The time and one number of an encoded row, and the horizon in a question.
+ROW_TIME, ROW_NUMBER, HORIZON = r"^t=(-?\d+(?:\.\d+)?)\s*:", r"([A-Za-z]\w*)=(-?\d+(?:\.\d+)?)", r"(?i)T\+(\d+)\s*ms"
+
+
+def acronym_of(signal: Column, acronyms: Column) -> Column:
+    """The short name that stands for a signal in an item's rows (short -> long); without one the signal itself."""
+    return F.coalesce(F.get(F.map_keys(F.map_filter(acronyms, lambda _, v: v == signal)), F.lit(0)), signal)
+
+
+def row_value(line: Name, key: Column) -> Column:
+    """The first number an encoded row gives for a short name."""
+    body = F.regexp_replace(col(line), ROW_TIME + r"\s*", "")
+    names, numbers = (F.regexp_extract_all(body, F.lit(ROW_NUMBER), F.lit(i)) for i in (1, 2))
+    return F.get(numbers, F.array_position(names, key).cast("int") - 1).try_cast("double")
+
+
+def vector_forecast(items: DataFrame, key: Cols, rows: str, acronyms: Name, signal: Name, answer: Name, question: Name) -> DataFrame:
+    """key and forecast, an array: a least-squares line per axis of the signal through an item's own rows, at the question's horizon after the last timed row.
+
+    rows: an array of encoded rows; axes are as many as the gold answer lists. An axis of under two points takes its last
+    value, or 0; of one time only, the mean. Null where the answer is no list, the question has no horizon, or under two
+    rows have a time. An item's table is taken apart once, all axes of a row together, and fitted in one aggregation.
+    """
+    axes = F.size(list_answer(answer))
+    ahead = F.regexp_extract(col(question), HORIZON, 1).try_cast("double")
+    short = F.transform(F.sequence(F.lit(0), F.greatest(axes, F.lit(1)) - 1), lambda i: acronym_of(F.concat(col(signal), F.lit("_"), i.cast("string")), col(acronyms)))
+    asked = items.select(*key, axes.alias("__axes"), ahead.alias("__ahead"), short.alias("__short"), F.posexplode_outer(rows).alias("__at", "__line"))
+    timed = asked.withColumn("__t", F.regexp_extract("__line", ROW_TIME, 1).try_cast("double"))
+    points = timed.withColumn("__v", F.transform("__short", lambda k: row_value("__line", k)))
+    each = points.select(*key, "__axes", "__ahead", "__at", "__t", F.posexplode_outer("__v").alias("__axis", "__x"))
+    known = F.col("__x").isNotNull() & F.col("__t").isNotNull()
+    x, t = F.when(known, F.col("__x")), F.when(known, F.col("__t"))
+    fit = each.groupBy(*key, "__axes", "__ahead", "__axis").agg(
+        F.regr_slope(x, t).alias("a"), F.regr_intercept(x, t).alias("b"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.max_by(x, F.when(known, F.col("__at"))).alias("last"),
+        F.count("__t").alias("timed"), F.max_by("__t", F.when(F.col("__t").isNotNull(), F.col("__at"))).alias("end"),
+    )
+    value = F.when(F.col("n") >= 2, F.coalesce(F.col("a") * (F.col("end") + F.col("__ahead")) + F.col("b"), F.col("mean"))).otherwise(F.coalesce("last", F.lit(0.0)))
+    out = fit.groupBy(*key, "__axes", "__ahead").agg(F.array_sort(F.collect_list(F.struct("__axis", F.round(value, 6).alias("y")))).alias("__f"), F.max("timed").alias("__timed"))
+    usable = (F.col("__axes") > 0) & F.col("__ahead").isNotNull() & (F.col("__timed") >= 2)
+    return out.select(*key, F.when(usable, F.transform("__f", lambda f: f["y"])).alias("forecast"))
+
+
 def random_choice(options: Name, item: Name) -> Column:
     keys = col(options)
     return F.when(F.size(keys) > 0, F.get(F.array_sort(keys), draw(F.size(keys), "mcq", item).cast("int")))

@@ -34,6 +34,41 @@ def finite(x: Name) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
 
 
+def has_fractions(kind: T.DataType) -> bool:
+    """Whether a type holds doubles or floats at any depth."""
+    if isinstance(kind, T.StructType):
+        return any(has_fractions(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return has_fractions(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return has_fractions(kind.valueType)
+    return isinstance(kind, (T.DoubleType, T.FloatType))
+
+
+def finite_nested(x: Name, kind: T.DataType, infinities: bool = True) -> Column:
+    """x with every NaN (and, unless infinities=False, every infinity) in it null: in fields of structs, elements of arrays, values of maps, at any depth.
+
+    The rewrite is made from the type: parts that can't hold any are passed on as they are, and null containers stay null.
+    """
+    c = col(x)
+    if not has_fractions(kind):
+        return c
+    if isinstance(kind, T.StructType):
+        fields = [finite_nested(c.getField(f.name), f.dataType, infinities).alias(f.name) for f in kind.fields]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda e: finite_nested(e, kind.elementType, infinities))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: finite_nested(v, kind.valueType, infinities))
+    bad = F.isnan(c) | (F.abs(c) == float("inf")) if infinities else F.isnan(c)
+    return F.when(~bad, c)
+
+
+def without_infinities(df: DataFrame, infinities: bool = True) -> DataFrame:
+    """finite_nested() of every column: what can be written as JSON."""
+    return df.select(*[finite_nested(F.col(f"`{f.name}`"), f.dataType, infinities).alias(f.name) for f in df.schema])
+
+
 def safe_int(x: Name) -> Column:
     """Text or number to int by way of double, toward zero; null if it is neither."""
     return finite(col(x).cast("string").try_cast("double")).try_cast("int")

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.functions.draws import digest, draw, shuffled
 from tidemark.functions.values import Name, col
@@ -153,6 +156,65 @@ def event_spans(episodes: DataFrame, key: Cols, n: str, ids: Sequence[int], shar
     return cells.where(F.col("last") < F.col(n)).select(*key, "first", "last", event.alias("event"))
 
 
+def event_chain(episodes: DataFrame, key: Cols, n: str, ids: Sequence[int], share: float, least: int, most: int, block: int = 4096) -> DataFrame:
+    """Runs of drawn events as a chain along each episode leaves them: key, first, last, event.
+
+    Row by row, an idle row starts a run with probability `share` if at least `least` rows remain, of least to most rows but
+    not past the end; a row inside a run starts none. Rows are drawn by digests of episode and row, so the chain can be cut:
+    each block of rows is a map from the rows its first run still holds on entry to those held on exit (both under `most`);
+    the maps of an episode are composed in order, and each block is then run once more from its true entry. The result
+    doesn't depend on the block's size, and no task sees more of an episode than a block's rows or one number per block.
+    """
+    i, blocks = F.col("__from"), episodes.where(F.col(n) >= least).select(*key, F.col(n).alias("__n"), F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / block))).alias("__block"))
+    blocks = blocks.withColumn("__from", F.col("__block") * block).withColumn("__to", F.least(F.col("__n"), i + block))
+
+    def candidate(at: Column) -> Column:
+        longest = F.least(F.lit(most), F.col("__n") - at)
+        on = (longest >= least) & (draw(1_000_000, "start", *key, at) < int(share * 1_000_000))
+        return F.when(on, F.struct(at.alias("i"), (F.lit(least) + draw(longest - least + 1, "run", *key, at)).alias("n"), draw(len(ids), "which", *key, at).cast("int").alias("e")))
+
+    blocks = blocks.withColumn("__c", F.array_compact(F.transform(F.sequence(i, F.col("__to") - 1), candidate)))
+    leave = lambda held: F.aggregate("__c", i + held, lambda free, c: F.when(c["i"] >= free, c["i"] + c["n"]).otherwise(free))
+    maps = blocks.select(*key, "__block", F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda h: F.greatest(F.lit(0), leave(h) - F.col("__to")).cast("int")).alias("__exits"))
+
+    def entries(group: pa.Table) -> pa.Table:
+        at, exits = group.column("__block").to_numpy(), group.column("__exits").combine_chunks()
+        table = exits.flatten().to_numpy(zero_copy_only=False).reshape(len(at), most)
+        held, now = np.zeros(len(at), dtype=np.int32), 0
+        for j in np.argsort(at):
+            held[j], now = now, table[j, now]
+        return group.drop_columns(["__exits"]).append_column("__held", pa.array(held))
+
+    shape = StructType([*[maps.schema[k] for k in key], maps.schema["__block"], StructField("__held", IntegerType())])
+    entered = maps.groupBy(*key).applyInArrow(entries, shape)
+    state = F.struct((i + F.col("__held")).cast("long").alias("free"), F.array().cast("array<struct<first:bigint,last:bigint,e:int>>").alias("runs"))
+
+    def step(s: Column, c: Column) -> Column:
+        run = F.array(F.struct(c["i"].cast("long").alias("first"), (c["i"] + c["n"] - 1).cast("long").alias("last"), c["e"].alias("e")))
+        return F.when(c["i"] >= s["free"], F.struct((c["i"] + c["n"]).cast("long").alias("free"), F.concat(s["runs"], run).alias("runs"))).otherwise(s)
+
+    found = blocks.join(entered, [*key, "__block"]).select(*key, F.explode(F.aggregate("__c", state, step, lambda s: s["runs"])).alias("r"))
+    return found.select(*key, "r.first", "r.last", F.get(F.array(*map(F.lit, ids)), F.col("r.e")).alias("event"))
+
+
+def signal_bits(rows: DataFrame, key: Cols, seq: str, signals: Sequence[str]) -> DataFrame:
+    """key and bits: bit i is set if the episode's first row has a number for signal i; up to 63 signals, one aggregation for all."""
+    if len(signals) > 63:
+        raise ValueError("63 signals at most in one word")
+    word = F.lit(0).cast("long")
+    for i, s in enumerate(signals):
+        word = word.bitwiseOR(F.when(F.col(s).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+    return rows.groupBy(*key).agg(F.min_by(word, seq).alias("bits"))
+
+
+def pick_signal(bits: Name, signals: Sequence[str], wanted: Name | None, by: Cols, salt: str = "signal") -> Column:
+    """A drawn signal of those an episode has and a template wants (an array of names; null: all, by name); null if there is none."""
+    known = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(1 << i).cast("long").alias("b")) for i, s in sorted(enumerate(signals), key=lambda x: x[1])])
+    have = F.transform(F.filter(known, lambda k: col(bits).bitwiseAND(k["b"]) != 0), lambda k: k["s"])
+    fit = have if wanted is None else F.when(col(wanted).isNull(), have).otherwise(F.filter(col(wanted), lambda w: F.array_contains(have, w)))
+    return F.get(fit, draw(F.size(fit), salt, *by).cast("int"))
+
+
 def event_labels(rows: DataFrame, key: Cols, seq: str, event: str, t: str, signal: str, payload: Sequence[float] = (0.5, 1.0, 1.5, 2.0, 2.5)) -> DataFrame:
     """Each run of an event with its label "id_X_Y_delta_rate_L_T": value before the run, at its end, their difference, per row, length, start time; and a payload by id and length.
 

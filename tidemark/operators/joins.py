@@ -93,6 +93,23 @@ def other_of_group(rows: DataFrame, key: Cols, order: Cols, values: Cols, prefix
     return out.where("__n > 1").select(*rows.columns, *[F.col(f"__o.{v}").alias(f"{prefix}{v}") for v in values])
 
 
+def partner(rows: DataFrame, key: Cols, group: str, by: Cols, values: Cols, prefix: str = "other_", salt: str = "partner") -> DataFrame:
+    """Each row with another one of its key, from another group (data set) if there is any, else from its own; rows that are alone go.
+
+    Groups stand in a ring by name and rows in a ring by draw: a row of group g and place r takes the row of place r (round
+    the ring) of the next group. One row meets one row, by group and place; the ring of groups has a row per group.
+    """
+    ring = Window.partitionBy(*key).orderBy(group)
+    groups = rows.groupBy(*key, group).agg(F.count(F.lit(1)).alias("__n"))
+    onward = lambda c: F.coalesce(F.lead(c).over(ring), F.first(c).over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    groups = groups.withColumn("__next", onward(group)).withColumn("__size", onward("__n"))
+    placed = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*key, group).orderBy(digest(salt, *by), *by)) - 1)
+    alone = F.col("__next") == F.col(group)
+    asks = placed.join(groups, [*key, group]).withColumn("__at", F.when(alone, (F.col("__r") + 1) % F.col("__size")).otherwise(F.col("__r") % F.col("__size"))).where(~(alone & (F.col("__size") == 1)))
+    others = placed.select(*key, F.col(group).alias("__next"), F.col("__r").alias("__at"), *[F.col(v).alias(f"{prefix}{v}") for v in values])
+    return asks.join(others, [*key, "__next", "__at"]).select(*rows.columns, *[f"{prefix}{v}" for v in values])
+
+
 def blocks_of(rows: DataFrame, key: Cols, size: int, by: Cols, seed: int = 42) -> DataFrame:
     """Disjoint groups of size rows per key, in an order drawn by a hash; a last short group goes."""
     w = Window.partitionBy(*key).orderBy(digest(f"block-{seed}", *by), *by)

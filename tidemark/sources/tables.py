@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -101,6 +102,15 @@ def write_json_shards(df: DataFrame, path: str, rows_per_file: int) -> None:
     df.write.mode("append").option("maxRecordsPerFile", rows_per_file).option("ignoreNullFields", False).json(path)
 
 
+def write_keyed(df: DataFrame, name: str, path: str, key: Sequence[str], order: Sequence[str], buckets: int) -> DataFrame:
+    """A table in buckets by key, each one sorted file, so that later work per key needs no shuffle; reads it back.
+
+    Rows are dealt once, here. More buckets than tasks keep a bucket within a task's memory; a key is never split.
+    """
+    df.repartition(buckets, *key).write.mode("overwrite").bucketBy(buckets, *key).sortBy(*key, *order).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def flat_for_parquet(df: DataFrame) -> DataFrame:
     """Nested columns as JSON text."""
     nested = (T.StructType, T.MapType, T.ArrayType)
@@ -120,6 +130,51 @@ def patch(df: DataFrame, where: Column, values: Mapping[str, Column]) -> DataFra
     return df.select(*[F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns])
 
 
+def changed_rows(df: DataFrame, where: Column, values: Mapping[str, Column]) -> DataFrame:
+    """What patch() would change, as a dry run: the rows it hits with `before` and `after` of the columns it sets, if any of them differs."""
+    hit = df.where(F.coalesce(where, F.lit(False)))
+    before, after = F.struct(*[F.col(c).alias(c) for c in values]), F.struct(*[v.cast(df.schema[c].dataType).alias(c) for c, v in values.items()])
+    return hit.withColumn("before", before).withColumn("after", after).where(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def fingerprint(df: DataFrame) -> tuple[int, int]:
+    """Number of rows and a checksum that doesn't depend on their order."""
+    r = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64(F.to_json(F.struct(*[f"`{c}`" for c in df.columns]))).cast("decimal(20,0)")), F.lit(0))).first()
+    return r[0], int(r[1])
+
+
+def publish(df: DataFrame, path: str, rows: int | None = None) -> str:
+    """Puts df in the place of the Parquet table at path, which df may read: staging, proof, backup once, rename. Returns the backup's path.
+
+    The staged files are read back and must have df's rows (and `rows` of them, if given) and checksum, else nothing is
+    replaced. The first publication keeps what was there as path.backup; later ones leave that backup alone. If the last
+    rename fails, the old table is put back.
+    """
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = lambda p: hadoop.Path(p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    token = uuid.uuid4().hex
+    staged, backup, old = f"{path}.staging-{token}", f"{path}.backup", f"{path}.old-{token}"
+    wanted = fingerprint(df)
+    try:
+        df.write.mode("errorifexists").parquet(staged)
+        found = fingerprint(spark.read.schema(df.schema).parquet(staged))
+        if found != wanted or (rows is not None and found[0] != rows):
+            raise ValueError(f"staged {found}, wanted {wanted}, rows {rows}")
+        first = not fs.exists(at(backup))
+        aside = backup if first else old
+        if fs.exists(at(path)) and not fs.rename(at(path), at(aside)):
+            raise OSError(f"can't move {path} aside")
+        if not fs.rename(at(staged), at(path)):
+            fs.rename(at(aside), at(path))
+            raise OSError(f"can't publish {path}")
+        fs.delete(at(old), True)
+    finally:
+        fs.delete(at(staged), True)
+    return backup
+
+
 def drop_empty_columns(df: DataFrame) -> DataFrame:
     """Columns that are null in every row go: one aggregation over all columns, its single row of counts is read."""
     n = df.agg(*[F.count(c).alias(c) for c in df.columns]).first()
