@@ -152,3 +152,49 @@ def test_sequence_of_text_for_pages_of_the_tables(spark):
             inner = re.sub(r"</?(?:b|i|em|strong|a|span|u|code)\b[^>]*>", "", inner)
             want[r.page_id] = " ".join(entities.unescape(re.sub(r"<[^>]+>", " ", inner)).split())
     assert len(want) > 100 and sum(got[k] == v for k, v in want.items()) >= 0.95 * len(want)
+
+
+# rows that repeat an id, a text, or both
+
+
+def test_copies_do_not_fill_a_languages_share(spark):
+    rows = [(1, "aa aa aa", "aa")] * 6000 + [(i, f"bb {i}", "bb") for i in range(10, 20)] + [(i, f"cc {i}", "cc") for i in range(100, 5000)]
+    texts, langs = language_id.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_rows=60)
+    assert sorted(langs) == ["aa"] + ["bb"] * 10 + ["cc"] * 20 and len({*texts}) == 31
+
+
+def test_clean_rows_that_share_an_id_stay(spark):
+    passage = "one two three four five six seven eight nine ten"
+    rows = [(1, passage), (1, "a clean text"), (None, passage + " and more"), (None, "another clean text"), (None, None), (2, passage)]
+    items = spark.createDataFrame([("x", passage)], "item_id string, text string")
+    kept = decontaminate.remove_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(1, "a clean text"), (None, "another clean text"), (None, None)], key=repr)
+
+
+@pytest.mark.parametrize("similar", [False, True])
+def test_one_row_of_each_class_stays(spark, similar):
+    a, b = "the quick brown fox jumps over the lazy dog again and again", "nothing like the other text at all but long enough to be one"
+    rows = [(3, a, "x"), (3, a, "y"), (1, b, "z"), (None, a, "n"), (1, a, "w"), (None, b, "m"), (None, "words of a third kind stand here alone", "k"), (None, "words of a third kind stand here alone", "l"), (9, None, "e"), (9, None, "f"), (8, "", "g")]
+    kept = simhash_dedup.one_per_class(spark.createDataFrame(rows, "doc_id long, text string, tag string"), 5, similar=similar).collect()
+    got = sorted(((r.doc_id, r.text or "") for r in kept), key=repr)
+    assert got == sorted([(1, a), (1, b), (None, "words of a third kind stand here alone"), (8, "")], key=repr)
+
+
+def test_lines_of_repeated_rows_are_kept_once(spark):
+    rows = [(1, "first line here\nsecond line there")] * 3 + [(2, "second line there\nthird one"), (None, "fourth")] + [(None, "fourth")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = line_dedup.line_classes(df).collect()
+    assert len(out) == 10 and sorted((r.doc_id, r.line_no) for r in out if r.kept and r.doc_id) == [(1, 0), (1, 1), (2, 1)]
+    kept = {}
+    for r in out:
+        kept[r.class_id] = kept.get(r.class_id, 0) + r.kept
+    assert set(kept.values()) == {1} and len(kept) == 4
+    assert sorted(map(tuple, line_dedup.dedup_lines(df).collect()), key=repr) == sorted([(1, rows[0][1]), (2, "third one"), (None, "fourth")], key=repr)
+
+
+def test_quality_sample_of_repeated_ids(spark):
+    counts = [F.col("id").cast("long").alias(c) for c in quality_rules.COUNTS]
+    one_id = spark.range(40000).select(F.lit(1).alias("doc_id"), (F.col("id") % 2 == 0).alias("bad"), *counts)
+    assert len(quality_rules.as_arrays(one_id, 1000)[1]) == 1000
+    equal = spark.range(5000).select(F.lit(1).alias("doc_id"), F.lit(True).alias("bad"), *[F.lit(7).cast("long").alias(c) for c in quality_rules.COUNTS])
+    assert len(quality_rules.as_arrays(equal, 300)[1]) == 300 and len(quality_rules.as_arrays(equal.limit(20), 300)[1]) == 20

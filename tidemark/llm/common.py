@@ -138,6 +138,23 @@ def lookup(rows: DataFrame, values: DataFrame, on: list[str], hot: str) -> DataF
     return tried.where(hot).select(*own, *new).union(rest.join(values.where(~F.col(hot)), match).select(*own, *new))
 
 
+def repeats(docs: DataFrame) -> DataFrame | None:
+    """(doc_id, t, n): the ids and text hashes that n > 1 rows share; None if no row repeats another's id and text."""
+    found = docs.groupBy("doc_id", F.xxhash64("text").alias("t")).agg(F.count("*").alias("n")).where("n > 1")
+    return None if found.isEmpty() else found
+
+
+def without_repeats(docs: DataFrame, found: DataFrame | None) -> DataFrame:
+    """docs with one row for each id and text; only the rows found to repeat are shuffled to be told apart."""
+    if found is None:
+        return docs
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__of"))
+    keys = found.select(F.col("doc_id").alias("__id"), F.col("t").alias("__of"))
+    hashed = docs.withColumn("__t", F.xxhash64("text"))
+    once = hashed.join(keys, same, "left_semi").dropDuplicates(["doc_id", "__t"])
+    return hashed.join(keys, same, "left_anti").unionByName(once).select(*docs.columns)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Strings of an Arrow column, null as empty."""
     return [x or "" for x in column.to_pylist()]

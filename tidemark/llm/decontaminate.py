@@ -212,6 +212,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_shingles: int = MAX_
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a benchmark passage."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    """docs without the documents that hold a benchmark passage. Rows of one id, or of none, are told apart by their texts' hashes."""
+    keyed = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t")).alias("doc_id"), "text")
+    bad = contaminated(keyed, benchmark).select(F.col("doc_id.id").alias("__bad"), F.col("doc_id.t").alias("__t")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")) & (F.xxhash64("text") == F.col("__t")), "left_anti")

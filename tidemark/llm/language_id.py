@@ -136,7 +136,7 @@ def fit(texts: list[str], langs: list[str], steps: int = 150, l2: float = 1e-5)
 
 
 def training_sample(labelled: DataFrame, max_rows: int = MAX_ROWS, max_languages: int = MAX_LANGUAGES) -> tuple[list[str], list[str]]:
-    """Texts and languages of (doc_id, text, lang): max_rows // languages rows of each language, those of smallest hash.
+    """Texts and languages of (doc_id, text, lang): max_rows // languages distinct rows of each language, those of smallest hash.
 
     Only hashes are ranked; texts are read by each language's greatest hash that counts.
     """
@@ -148,8 +148,9 @@ def training_sample(labelled: DataFrame, max_rows: int = MAX_ROWS, max_languages
         return [], []
     each = max(1, max_rows // languages)
     by = Window.partitionBy("lang").orderBy("__draw")
-    bounds = rows.select("lang", "__draw").withColumn("r", F.row_number().over(by)).where(F.col("r") <= each).groupBy("lang").agg(F.max("__draw").alias("most"))
-    got = rows.join(F.broadcast(bounds), "lang").where("__draw <= most").select("doc_id", "text", "lang").limit(max(max_rows, languages)).toPandas()  # at most max_languages bounds
+    # rows that repeat share a hash and count once, so copies can't fill a language's share
+    bounds = rows.select("lang", "__draw").distinct().withColumn("r", F.row_number().over(by)).where(F.col("r") <= each).groupBy("lang").agg(F.max("__draw").alias("most"))
+    got = rows.join(F.broadcast(bounds), "lang").where("__draw <= most").dropDuplicates(["lang", "__draw"]).select("doc_id", "text", "lang").toPandas()  # at most `each` rows of at most max_languages languages
     got = got.sort_values(["doc_id", "text"], kind="stable")
     return got["text"].tolist(), got["lang"].tolist()
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, connected_components, map_batches, mix, powers
+from tidemark.llm.common import Scratch, connected_components, map_batches, mix, powers, repeats, without_repeats
 
 SHINGLE = 6
 BANDS = 12
@@ -314,7 +314,7 @@ def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, line_no, class_id, kept) of every line."""
+    """(doc_id, t, line_no, class_id, kept) of every line of rows that don't repeat id and text."""
     scratch = Scratch(docs.sparkSession)
     lines, found = classes(docs, scratch)
     place = F.struct("doc_id", "t", "line_no")
@@ -326,15 +326,25 @@ def _placed(docs: DataFrame) -> DataFrame:
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
-    """One row per non-blank line: doc_id, line_no, class_id (the smallest XXH64 value of its component) and kept."""
-    return _placed(docs).drop("t")
+    """One row per non-blank line: doc_id, line_no, class_id (the smallest XXH64 value of its component) and kept.
+
+    Of rows that repeat id and text the lines of one can be kept; the others' have the same classes and are not.
+    """
+    again = repeats(docs)
+    placed = _placed(without_repeats(docs, again))
+    if again is not None:
+        copies = placed.join(again.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), "n"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("t") == F.col("__t")))
+        copies = copies.withColumn("kept", F.lit(False)).withColumn("__copy", F.explode(F.sequence(F.lit(2), F.col("n").cast("int"))))
+        placed = placed.unionByName(copies.select(*placed.columns))
+    return placed.drop("t")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the lines cut that are not the first of their class; a column n_chars follows the text.
 
-    Documents that had lines and keep none go; documents without lines stay as they are.
+    Documents that had lines and keep none go; documents without lines stay as they are. Of rows that repeat id and text one stays.
     """
+    docs = without_repeats(docs, repeats(docs))
     cut = _placed(docs).where("NOT kept").groupBy(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).agg(F.collect_set("line_no").alias("__cut"))
     joined = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__t")), "left").drop("__id", "__t")
     numbers = F.array_sort("__cut")

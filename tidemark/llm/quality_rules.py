@@ -164,13 +164,19 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.9, mos
 
 
 def as_arrays(rows: DataFrame, max_rows: int = MAX_ROWS) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Statistics and the label `bad` of at most max_rows rows, those of smallest hash of the id."""
-    draw = F.xxhash64(F.col("doc_id").cast("string"))
-    got = rows.select("doc_id", F.col("bad").cast("boolean").alias("bad"), *[F.expr(e).alias(k) for k, e in RATIOS.items()]).where("bad IS NOT NULL")
-    # all but somewhat more rows than are wanted stay where they are: each task would send its max_rows smallest else
-    n, enough = got.count(), 1.2 * max_rows + 200
-    if n > enough:
-        got = got.where(draw < F.lit(int(enough / n * 2**64) - 2**63))
+    """Statistics and the label `bad` of max_rows rows, or all if there are fewer: those of smallest hash of the id and the statistics."""
+    every = rows.select("doc_id", F.col("bad").cast("boolean").alias("bad"), *[F.expr(e).alias(k) for k, e in RATIOS.items()]).where("bad IS NOT NULL")
+    draw = F.xxhash64(F.col("doc_id").cast("string"), "bad", *RATIOS)
+    n, enough = every.count(), 1.2 * max_rows + 200
+    # all but somewhat more rows than are wanted stay where they are: each task would send its max_rows smallest else.
+    # Rows that repeat share a hash, so a cut can take too few: it is widened until it has enough
+    while enough < n:
+        got = every.where(draw < F.lit(int(enough / n * 2**64) - 2**63))
+        if got.count() >= max_rows:
+            break
+        enough *= 4
+    else:
+        got = every
     got = got.orderBy(draw, "doc_id").limit(max_rows).toPandas()
     return {k: got[k].to_numpy(dtype=float) for k in RATIOS}, got["bad"].to_numpy(dtype=bool)
 

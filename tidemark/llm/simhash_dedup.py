@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import line_dedup
-from tidemark.llm.common import Scratch, connected_components, map_batches
+from tidemark.llm.common import Scratch, connected_components, map_batches, repeats, without_repeats
 
 RADIUS = 3
 SEGMENT = 32
@@ -157,7 +157,9 @@ def similar_components(docs: DataFrame, words: int = 5) -> DataFrame:
 
 
 def one_per_class(docs: DataFrame, words: int = 3, similar: bool = False) -> DataFrame:
-    """docs without the documents whose class, by fingerprints or (similar) by similar_components, has one with a smaller id. Rows that repeat the kept id stay."""
-    found = similar_components(docs, words) if similar else components(docs, words)
-    keep = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """One document of each class by fingerprints or (similar) by similar_components: that of the smallest id, null ids last, and of one id that of the smallest text hash. Of rows that repeat id and text one stays."""
+    docs = without_repeats(docs, repeats(docs))
+    keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("t")).alias("doc_id"), "text")
+    found = similar_components(keyed, words) if similar else components(keyed, words)
+    keep = found.where("doc_id = component_id").select(F.col("doc_id.id").alias("__kept"), F.col("doc_id.t").alias("__t"))
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__kept")) & (F.xxhash64("text") == F.col("__t")), "left_semi")
