@@ -37,30 +37,29 @@ def uniform_windows(episodes: DataFrame, key: Cols, n: str, least: int, most: in
     return out.select(*key, draw_between(F.lit(0), F.col(n) - F.col("length"), f"{salt}-at", *key).alias("start"), "length")
 
 
-def event_windows(rows: DataFrame, episodes: DataFrame, key: Cols, n: str, seq: str, event: str, least: int, most: int, idle: Sequence[int] = (0, 1)) -> DataFrame:
-    """Windows that hold a row with a real event: the anchor is drawn among them, then length and start; the least length where the drawn one can't fit."""
-    found = rows.where(F.col(event).isNotNull() & ~F.col(event).isin(*idle)).groupBy(*key).agg(F.min(F.struct(digest("anchor", *key, seq).alias("d"), F.col(seq).alias("at"))).alias("a"))
-    own = episodes.where(F.col(n) >= least).join(found, list(key)).withColumn("length", draw_between(F.lit(least), F.least(F.lit(most), F.col(n)), "event-n", *key))
-    at = F.col("a.at")
-    low, high = F.greatest(F.lit(0), at - F.col("length") + 1), F.least(F.col(n) - F.col("length"), at)
+def event_windows(episodes: DataFrame, key: Cols, n: str, anchor: str, least: Name, most: int) -> DataFrame:
+    """Windows that hold the anchor, a row with a real event; the least length is each episode's own."""
+    required = col(least)
+    own = episodes.where((F.col(n) >= required) & F.col(anchor).isNotNull()).withColumn("length", draw_between(required, F.least(F.lit(most), F.col(n)), "event-n", *key))
+    low, high = F.greatest(F.lit(0), F.col(anchor) - F.col("length") + 1), F.least(F.col(n) - F.col("length"), F.col(anchor))
     return own.select(*key, draw_between(low, high, "event-at", *key).alias("start"), "length")
 
 
-def cumulative_windows(rows: DataFrame, episodes: DataFrame, key: Cols, n: str, seq: str, begins: Column, least: int, most: int) -> DataFrame:
-    """Windows that start no earlier than the first row where `begins` holds; an episode too short after it, or without it, starts anywhere."""
-    first = rows.where(begins).groupBy(*key).agg(F.min(seq).alias("floor"))
-    own = episodes.where(F.col(n) >= least).join(first, list(key), "left")
-    floor = F.when(F.col(n) - F.coalesce("floor", F.lit(0)) >= least, F.coalesce("floor", F.lit(0))).otherwise(F.lit(0))
-    own = own.withColumn("floor", floor).withColumn("length", draw_between(F.lit(least), F.least(F.lit(most), F.col(n) - F.col("floor")), "cumulative-n", *key))
-    return own.select(*key, draw_between(F.col("floor"), F.col(n) - F.col("length"), "cumulative-at", *key).alias("start"), "length")
+def cumulative_windows(episodes: DataFrame, key: Cols, n: str, floor: str, least: Name, most: int) -> DataFrame:
+    """Windows that start no earlier than the floor; an episode too short after it, or without it, starts anywhere."""
+    required = col(least)
+    first = F.coalesce(F.col(floor), F.lit(0))
+    own = episodes.where(F.col(n) >= required).withColumn("__floor", F.when(F.col(n) - first >= required, first).otherwise(F.lit(0)))
+    own = own.withColumn("length", draw_between(required, F.least(F.lit(most), F.col(n) - F.col("__floor")), "cumulative-n", *key))
+    return own.select(*key, draw_between(F.col("__floor"), F.col(n) - F.col("length"), "cumulative-at", *key).alias("start"), "length")
 
 
-def phase_windows(rows: DataFrame, episodes: DataFrame, key: Cols, n: str, seq: str, phase: str, wanted: Column, overlap: int, least: int, most: int) -> DataFrame:
-    """Windows that share min(run, overlap) rows with a run of a wanted phase; the run is drawn among those where the drawn length fits."""
+def phase_windows(rows: DataFrame, episodes: DataFrame, key: Cols, n: str, seq: str, phase: str, wanted: Column, overlap: Name, least: int, most: int) -> DataFrame:
+    """Windows that share min(run, overlap) rows with a run of a wanted phase; the run is drawn among those where the drawn length fits. overlap: a column of episodes."""
     own = runs(rows.withColumn("__in", wanted), key, [seq], "__in").where("__in").select(*key, F.col("start").alias("run_start"), F.col("n").alias("run_n"))
     own = own.join(episodes.where(F.col(n) >= least), list(key))
     own = own.withColumn("length", draw_between(F.lit(least), F.least(F.lit(most), F.col(n)), "phase-n", *key, "run_start"))
-    shared = F.least(F.col("run_n"), F.lit(overlap))
+    shared = F.least(F.col("run_n"), col(overlap))
     low = F.greatest(F.lit(0), F.col("run_start") + shared - F.col("length"))
     high = F.least(F.col(n) - F.col("length"), F.col("run_start") + F.col("run_n") - shared)
     own = own.withColumn("start", draw_between(low, high, "phase-at", *key, "run_start")).where("start IS NOT NULL")
@@ -68,23 +67,28 @@ def phase_windows(rows: DataFrame, episodes: DataFrame, key: Cols, n: str, seq:
     return best.select(*key, "b.start", "b.length")
 
 
-def sample_windows(rows: DataFrame, key: Cols, seq: str, event: str, phase: str, spec: DataFrame, least: int, most: int, fallback: bool = True) -> DataFrame:
+def sample_windows(rows: DataFrame, key: Cols, seq: str, event: str, phase: str, spec: DataFrame, least: int, most: int, fallback: bool = True, idle: Sequence[int] = (0, 1)) -> DataFrame:
     """One window per episode by its locality, with the sampler's name.
 
-    spec: key, locality (global, event, cumulative, phase_gated; others and null count as global), min_length, min_overlap,
-    start_phases and phases (arrays). With fallback an episode whose locality can't be honoured gets a uniform window.
+    spec: key, locality (global, event, cumulative, phase_gated; others and null count as global), min_length, min_overlap
+    (null: 5), start_phases and phases (arrays). A spec's least length raises the caller's, as far as the caller's most
+    allows; windows by events and cumulative ones have it. With fallback an episode whose locality can't be honoured gets a
+    uniform window. One aggregation finds every episode's rows, anchor and floor; only rows of gated episodes are put in order.
     """
-    n = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows"))
-    episodes = n.join(spec, list(key), "left").withColumn("locality", F.when(F.col("locality").isin("event", "cumulative", "phase_gated"), F.col("locality")).otherwise("global"))
-    own = rows.join(episodes.select(*key, "locality", "start_phases", "phases"), list(key))
-    # a spec's own least length holds as far as the caller's most allows; episodes go by it
-    of = lambda kind: episodes.where(F.col("locality") == kind)
-    fits = F.col("n_rows") >= F.least(F.lit(most), F.greatest(F.lit(least), F.coalesce("min_length", F.lit(0))))
+    locality = F.when(F.col("locality").isin("event", "cumulative", "phase_gated"), F.col("locality")).otherwise("global")
+    specs = spec.withColumn("locality", locality).withColumn("__least", F.least(F.lit(most), F.greatest(F.lit(least), F.coalesce("min_length", F.lit(0))))).withColumn("__overlap", F.coalesce("min_overlap", F.lit(5)))
+    own = rows.join(specs.select(*key, "locality", "start_phases", "phases"), list(key), "left")
     has = lambda c: F.array_contains(F.coalesce(c, F.array().cast("array<int>")), F.col(phase).cast("int"))
+    real = (F.col("locality") == "event") & F.col(event).isNotNull() & ~F.col(event).isin(*idle)
+    episodes = own.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min(F.when(real, F.struct(digest("anchor", *key, seq).alias("d"), F.col(seq).alias("at"))))["at"].alias("anchor"),
+        F.min(F.when((F.col("locality") == "cumulative") & has("start_phases"), F.col(seq))).alias("floor"),
+    ).join(specs.select(*key, "locality", "__least", "__overlap"), list(key), "left").withColumn("locality", F.coalesce("locality", F.lit("global")))
+    of = lambda kind: episodes.where(F.col("locality") == kind)
     found = [
-        event_windows(own.where("locality = 'event'"), of("event").where(fits), key, "n_rows", seq, event, least, most).withColumn("sampler", F.lit("event")),
-        cumulative_windows(own.where("locality = 'cumulative'"), of("cumulative").where(fits), key, "n_rows", seq, has("start_phases"), least, most).withColumn("sampler", F.lit("cumulative")),
-        phase_windows(own.where("locality = 'phase_gated'"), of("phase_gated"), key, "n_rows", seq, phase, F.coalesce(has("phases"), F.lit(False)), 5, least, most).withColumn("sampler", F.lit("phase_gated")),
+        event_windows(of("event"), key, "n_rows", "anchor", "__least", most).withColumn("sampler", F.lit("event")),
+        cumulative_windows(of("cumulative"), key, "n_rows", "floor", "__least", most).withColumn("sampler", F.lit("cumulative")),
+        phase_windows(own.where("locality = 'phase_gated'"), of("phase_gated"), key, "n_rows", seq, phase, F.coalesce(has("phases"), F.lit(False)), "__overlap", least, most).withColumn("sampler", F.lit("phase_gated")),
     ]
     strict = reduce(DataFrame.unionByName, found)
     anywhere = uniform_windows(episodes, key, "n_rows", least, most)

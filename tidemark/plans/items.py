@@ -56,14 +56,14 @@ def _relevant(spark: S, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 _RELEVANT = f"""{_UNIFORM}, s AS (SELECT *, {_SPEC} AS locality FROM e), fit AS (SELECT * FROM s WHERE n >= 10),
 a AS (SELECT episode_id, arg_min(seq, {_digest("anchor", "episode_id", "seq")}) AS pos FROM t WHERE k % 7 NOT IN (0, 1) GROUP BY 1),
-el AS (SELECT f.episode_id, n, pos, 8 + {_draw("least(16, n) - 7", "event-n", "f.episode_id")} AS length FROM fit f JOIN a USING (episode_id) WHERE locality = 'event'),
+el AS (SELECT f.episode_id, n, pos, 10 + {_draw("least(16, n) - 9", "event-n", "f.episode_id")} AS length FROM fit f JOIN a USING (episode_id) WHERE locality = 'event'),
 ew AS (SELECT episode_id, greatest(0, pos - length + 1) + {_draw("least(n - length, pos) - greatest(0, pos - length + 1) + 1", "event-at", "episode_id")} AS start, length, 'event' AS sampler FROM el),
-cf AS (SELECT f.episode_id, n, CASE WHEN n - coalesce(fl, 0) >= 8 THEN coalesce(fl, 0) ELSE 0 END AS fl FROM fit f LEFT JOIN (SELECT episode_id, min(seq) AS fl FROM t WHERE k % 4 = 3 GROUP BY 1) USING (episode_id) WHERE locality = 'cumulative'),
-cl AS (SELECT *, 8 + {_draw("least(16, n - fl) - 7", "cumulative-n", "episode_id")} AS length FROM cf),
+cf AS (SELECT f.episode_id, n, CASE WHEN n - coalesce(fl, 0) >= 10 THEN coalesce(fl, 0) ELSE 0 END AS fl FROM fit f LEFT JOIN (SELECT episode_id, min(seq) AS fl FROM t WHERE k % 4 = 3 GROUP BY 1) USING (episode_id) WHERE locality = 'cumulative'),
+cl AS (SELECT *, 10 + {_draw("least(16, n - fl) - 9", "cumulative-n", "episode_id")} AS length FROM cf),
 cw AS (SELECT episode_id, fl + {_draw("n - length - fl + 1", "cumulative-at", "episode_id")} AS start, length, 'cumulative' AS sampler FROM cl),
 pi AS (SELECT t.episode_id, t.seq, t.seq - row_number() OVER (PARTITION BY t.episode_id ORDER BY t.seq) AS g FROM t JOIN s USING (episode_id) WHERE locality = 'phase_gated' AND k % 4 IN (0, 2)),
 pr AS (SELECT episode_id, min(seq) AS rs, count(*) AS rn FROM pi GROUP BY episode_id, g),
-pl AS (SELECT r.*, n, least(rn, 5) AS sh, 8 + {_draw("least(16, n) - 7", "phase-n", "r.episode_id", "rs")} AS length FROM pr r JOIN e USING (episode_id) WHERE n >= 8),
+pl AS (SELECT r.*, n, least(rn, 2) AS sh, 8 + {_draw("least(16, n) - 7", "phase-n", "r.episode_id", "rs")} AS length FROM pr r JOIN e USING (episode_id) WHERE n >= 8),
 pb AS (SELECT *, greatest(0, rs + sh - length) AS lo, least(n - length, rs + rn - sh) AS hi FROM pl),
 pc AS (SELECT episode_id, rs, length, lo + {_draw("hi - lo + 1", "phase-at", "episode_id", "rs")} AS start FROM pb WHERE hi >= lo),
 pw AS (SELECT episode_id, arg_min(start, {_digest("run", "episode_id", "rs")}) AS start, arg_min(length, {_digest("run", "episode_id", "rs")}) AS length, 'phase_gated' AS sampler FROM pc GROUP BY 1),
