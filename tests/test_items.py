@@ -176,3 +176,54 @@ def test_injection_ends_with_its_span(spark):
     spans = spark.createDataFrame([(1, 2, 4, 5.0), (1, 8, 20, 1.0)], "e long, first long, last long, delta double")
     got = [r.x for r in generators.inject(rows, spans, ["e"], "seq", "x").orderBy("seq").collect()]
     assert got == [0, 0, 5, 5, 5, 0, 0, 0, 1, 1]
+
+
+def test_windows_are_as_long_as_their_spec_wants(spark):
+    """A spec's least length over the caller's, but never over the caller's most; a gated window shares as many rows as its spec says."""
+    rows = spark.createDataFrame([(e, i, 5 if i == 30 else 0, 1 if 25 <= i < 37 else 0) for e in range(60) for i in range(60)], "e long, seq long, event int, phase int")
+    kinds = F.element_at(F.array(*map(F.lit, ("event", "cumulative", "phase_gated"))), (F.col("e") % 3 + 1).cast("int"))
+    least = F.when(F.col("e") < 30, 12).otherwise(40)
+    spec = rows.select("e").distinct().select("e", kinds.alias("locality"), least.alias("min_length"), F.lit(9).alias("min_overlap"), F.array(F.lit(1)).alias("start_phases"), F.array(F.lit(1)).alias("phases"))
+    found = relevance.sample_windows(rows, ["e"], "seq", "event", "phase", spec, 10, 16)
+    out = relevance.relevance_report(found, rows, ["e"], "seq", "phase", spec).collect()
+    assert len(out) == 60 and all(r.sampler == r.locality for r in out)
+    for r in out:
+        if r.locality != "phase_gated":
+            assert r.length >= 12 and r.length == (r.length if r.e < 30 else 16)
+        else:
+            assert r.phase_overlap >= 9 and r.validated
+    none = spec.withColumn("min_overlap", F.lit(None).cast("int")).withColumn("min_length", F.lit(None).cast("int"))
+    out = relevance.relevance_report(relevance.sample_windows(rows, ["e"], "seq", "event", "phase", none, 10, 16), rows, ["e"], "seq", "phase", none).collect()
+    assert all(r.validated and 10 <= r.length <= 16 for r in out) and min(r.phase_overlap for r in out if r.locality == "phase_gated") >= 5
+
+
+def test_phases_of_a_window(spark):
+    phase = ["a"] * 4 + ["b"] * 4 + ["c"] * 4 + ["b"] * 5 + ["d"] * 2 + ["e"] * 4
+    rows = spark.createDataFrame([(k, i, i * 10, p) for k in range(30) for i, p in enumerate(phase)], "k long, seq long, ms long, phase string")
+    windows = rows.select("k").distinct().withColumn("start", F.lit(0)).withColumn("length", F.lit(len(phase)))
+    got = generators.phase_isolation(rows, windows, ["k"], "seq", "ms", "phase", phases=3).collect()
+    assert {(r.phase, r.answer, r.phase_length) for r in got} == {("b", 40, 4), ("c", 80, 4), ("b", 120, 5)}
+    each = {}
+    for r in got:
+        each.setdefault(r.k, []).append(r.phase)
+    assert all(sorted(v) == ["b", "c"] for v in each.values())  # "d" is short, "a" and "e" are at the ends, one run of "b" counts
+    assert len(generators.phase_isolation(rows, windows, ["k"], "seq", "ms", "phase").collect()) == 30
+
+
+def test_answers_at_one_time(spark):
+    rows = [(-1.5, 0), (0.5, 1), (2.5, 2), (None, 0)]
+    df = spark.createDataFrame(rows, "x double, axis int").withColumn("limits", F.array(F.lit(1.0), F.lit(1.0)))
+    got = df.select(questions.current("x", 1.0).alias("c"), questions.within_rating("x", "limits", "axis").alias("w"), questions.within_rating("x", F.lit(None).cast("array<double>"), "axis").alias("u"), questions.tracking_error_at("x", F.lit(1.0), 1.0).alias("e")).collect()
+    assert [(r.c.answer, r.c.value, r.c.holds) for r in got] == [("-1.5", -1.5, True), ("0.5", 0.5, False), ("2.5", 2.5, True), ("Unknown", None, None)]
+    assert [r.w.answer for r in got] == ["No", "Yes", "No", "Unknown"] and {r.u.answer for r in got} == {"Unknown"}
+    assert [(r.e.answer, r.e.holds) for r in got] == [("2.5", True), ("0.5", False), ("1.5", True), ("Unknown", None)]
+
+
+def test_jerk_at_the_nearest_row(spark):
+    v = [0.0, 1.0, 4.0, 9.0, 16.5, 25.0, 36.0]
+    rows = spark.createDataFrame([(1, t, x) for t, x in zip((0, 1000, 2000, 3000, 4000, 5000, 6000), v)] + [(1, None, 5.0), (2, 0, 1.0), (2, 1000, 2.0)], "e long, t long, x double")
+    probes = spark.createDataFrame([(1, 2500), (1, 3600), (1, 900), (2, 500), (3, 5)], "e long, t long")
+    got = {(r.e, r.t): r for r in questions.jerk_at(probes, rows, ["e"], "t", "x", threshold=1.0).collect()}
+    want = lambda i: ((v[i + 2] - v[i]) / 2 - (v[i] - v[i - 2]) / 2) / 2
+    assert got[1, 2500].value == pytest.approx(want(2)) and got[1, 3600].value == pytest.approx(want(4)) and got[1, 2500].range == "Medium" and got[1, 2500].holds
+    assert [got[k].answer for k in ((1, 900), (2, 500), (3, 5))] == ["Unknown"] * 3

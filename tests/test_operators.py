@@ -203,3 +203,15 @@ def test_json_episodes(spark, tmp_path):
     (tmp_path / "a_metadata.json").write_text('{"n": 2}')
     got = tables.json_episodes(spark, str(tmp_path), "struct<t int>")
     assert sorted((r.episode_id, r.stream, r.seq, r.t) for r in got.collect()) == [("a", "flat", 0, 1), ("a", "flat", 1, 2), ("b", "baseline", 0, 3), ("b", "counterfactual", 0, 4)]
+
+
+def test_decimate_of_episodes_too_short_for_the_filter(spark):
+    """27 rows are filled and thinned, 28 are filtered; a missing value is filled first in both."""
+    xs = [float(np.sin(i)) if i != 8 else None for i in range(28)]
+    rows = spark.createDataFrame([(k, i, xs[i]) for k, n in (("a", 27), ("b", 28), ("c", 20)) for i in range(n)], "k string, seq long, x double")
+    got = {}
+    for r in seq.decimate(rows, ["k"], "seq", 4, ["x"]).orderBy("k", "seq").collect():
+        got.setdefault(r.k, []).append(r.x)
+    filled = np.array([(xs[7] + xs[9]) / 2 if x is None else x for x in xs])
+    assert got["a"] == pytest.approx(filled[:24:4]) and got["c"] == pytest.approx(filled[:20:4])
+    assert got["b"] == pytest.approx(seq.smooth(filled[:, None], 4)[:28:4, 0]) and abs(got["b"][1] - filled[4]) > 1e-3

@@ -17,6 +17,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.functions.draws import digest, draw, shuffled
 from tidemark.functions.values import Name, col
+from tidemark.operators.counterfactual import value_items
 from tidemark.operators.predicates import comparative
 from tidemark.operators.relevance import context_rows
 from tidemark.operators.sequence import chunks, inner_runs, runs
@@ -24,14 +25,16 @@ from tidemark.operators.sequence import chunks, inner_runs, runs
 Cols = Sequence[str]
 
 
-def phase_isolation(rows: DataFrame, windows: DataFrame, key: Cols, seq: str, t: str, phase: str, near: int = 3, least: int = 3) -> DataFrame:
-    """When does the phase begin? One drawn phase per window: answer is the time of its first row, bounds those of `near` rows to each side inside the window.
+def phase_isolation(rows: DataFrame, windows: DataFrame, key: Cols, seq: str, t: str, phase: str, near: int = 3, least: int = 3, phases: int = 1) -> DataFrame:
+    """When does the phase begin? Up to `phases` drawn phases per window: answer is the time of the first row, bounds those of `near` rows to each side inside the window.
 
-    A phase must end within the window (first and last run go, if there are three or more) and hold `least` rows.
+    A phase must end within the window (first and last run go, if there are three or more) and hold `least` rows. Several
+    phases of a window are several items; of runs of one phase only one is asked for.
     """
     inside = context_rows(rows, windows, key, seq)
     found = inner_runs(runs(inside.select(*key, "at", phase), key, ["at"], phase), key, least)
-    picked = found.groupBy(*key).agg(F.min(F.struct(digest("phase", *key, "start").alias("d"), F.col("start"), F.col("n"), F.col(phase))).alias("p"))
+    one = found.groupBy(*key, phase).agg(F.min(F.struct(digest("phase", *key, "start").alias("d"), F.col("start"), F.col("n"), F.col(phase))).alias("p"))
+    picked = one.groupBy(*key).agg(F.slice(F.array_sort(F.collect_list("p")), 1, phases).alias("__p")).select(*key, F.explode("__p").alias("p"))
     items = inside.join(picked, list(key)).where(F.col("at").between(F.col("p.start") - near, F.col("p.start") + near))
     return items.groupBy(*key, F.col(f"p.{phase}").alias(phase), F.col("p.n").alias("phase_length")).agg(F.max(F.when(F.col("at") == F.col("p.start"), F.col(t))).alias("answer"), F.min(t).alias("low"), F.max(t).alias("high"))
 
@@ -84,6 +87,14 @@ def tensor_prediction(rows: DataFrame, windows: DataFrame, key: Cols, seq: str,
     return out.select(*key, F.concat(F.lit("["), F.concat_ws(",", *[F.format_string("%.6f", f"v{i}") for i in n]), F.lit("]")).alias("answer"), F.array(*[f"m{i}" for i in n]).alias("margins"))
 
 
+def event_values(rows: DataFrame, windows: DataFrame, key: Cols, seq: str, t: str, signals: Cols, steps: tuple[int, int] = (1, 10), factor: float = 0.75) -> DataFrame:
+    """What are the signals some rows after the event that ends the window? As counterfactual.value_items(), of one stream: a drawn number of rows after the event's row, milliseconds counted from it, six decimals.
+
+    windows: key, onset, start, length (the window ends right before the onset) and n_after, the rows from the onset on.
+    """
+    return value_items(rows.withColumn("__stream", F.lit("own")), windows, key, seq, "__stream", t, signals, ("own", "own"), steps, factor)
+
+
 def segment_ranking(rows: DataFrame, onsets: DataFrame, key: Cols, seq: str, value: str, size: int = 5, n: int = 4) -> DataFrame:
     """In which order did the segments come? n back-to-back chunks after each onset under drawn letters: options (letter -> text) and the order as letters.
 

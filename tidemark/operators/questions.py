@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import Name, col, norm
-from tidemark.operators.joins import interval_join
+from tidemark.operators.joins import interval_join, nearest
 
 Cols = Sequence[str]
 
@@ -108,6 +108,25 @@ def below(x: Name, threshold: float) -> Column:
     return _answer(col(x).isNotNull(), short(col(x)), col(x), F.abs(col(x)) < threshold)
 
 
+def current(x: Name, threshold: float) -> Column:
+    """x with its sign, and whether |x| is above threshold: motor current."""
+    return _answer(col(x).isNotNull(), short(col(x)), col(x), F.abs(col(x)) > threshold)
+
+
+def within_rating(x: Name, limits: Name, axis: Name, default: float = RATED_CURRENT) -> Column:
+    """Is |x| at most its axis's limit? Axes beyond the list take the default; Unknown without a list."""
+    axis = F.lit(axis) if isinstance(axis, int) else col(axis)
+    known = col(x).isNotNull() & col(limits).isNotNull()
+    ok = F.abs(col(x)) <= F.coalesce(F.get(col(limits), axis.cast("int")), F.lit(default))
+    return _answer(known, yes_no(ok), F.abs(col(x)), ok)
+
+
+def tracking_error_at(setpoint: Name, feedback: Name, threshold: float) -> Column:
+    """|setpoint - feedback| at one time, and whether it is above threshold."""
+    error = F.abs(col(setpoint) - col(feedback))
+    return _answer(error.isNotNull(), short(error), error, error > threshold)
+
+
 def error_trend(first: Name, second: Name) -> Column:
     """increased, decreased or stable, from one tracking error to a later one."""
     diff = col(second) - col(first)
@@ -140,6 +159,15 @@ def jerk_at_rows(rows: DataFrame, key: Cols, order: Cols, t: str, speed: str, ou
     return rows.withColumn(out, (after - before) / span(at(t, 1), at(t, -1)))
 
 
+def jerk_at(probes: DataFrame, rows: DataFrame, key: Cols, t: str, speed: str, threshold: float = 5.0) -> DataFrame:
+    """probes with answer, value, holds and range: the jerk at the row whose time is nearest to the probe's, of two the earlier. Rows without a time don't count."""
+    there = rows.where(F.col(t).isNotNull()).select(*key, t, speed)
+    found = nearest(probes, jerk_at_rows(there, key, [t], t, speed, "__jerk"), key, t, ["__jerk"]).drop(f"{t}_found")
+    j = F.col("__jerk")
+    out = _answer(j.isNotNull(), short(j), j, F.abs(j) > threshold)
+    return found.withColumn("__a", out).select(*probes.columns, "__a.*", jerk_range(j).alias("range"))
+
+
 def jerk_range(jerk: Name) -> Column:
     """Low under 1, Medium under 5, else High, by size."""
     size = F.abs(col(jerk))

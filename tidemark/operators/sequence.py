@@ -319,10 +319,14 @@ def _filter(h: np.ndarray, x: np.ndarray) -> np.ndarray:
     return y[len(past) : len(ext)]
 
 
+#: Fixed value: rows reflected at each end before filtering; episodes need more.
+PADDING = 27
+
+
 def smooth(x: np.ndarray, q: int) -> np.ndarray:
     """Zero-phase anti-alias filter for decimation by q over the rows of x (time, channels); odd reflection at the ends."""
     h = impulse_response(q)
-    pad = min(27, len(x) - 1)
+    pad = min(PADDING, len(x) - 1)
     ext = np.concatenate([2 * x[:1] - x[pad:0:-1], x, 2 * x[-1:] - x[-2 : -pad - 2 : -1]]) if pad else x
     y = _filter(h, _filter(h, ext)[::-1])[::-1]
     return y[pad : pad + len(x)]
@@ -333,13 +337,14 @@ def decimate(df: DataFrame, key: Cols, seq: str, q: int, continuous: Cols, block
 
     Long episodes are cut into blocks of block * q rows with overlap * q rows of neighbours on each side, so a group is
     bounded however long the episode; the filter's memory fades well within the overlap. Episodes shorter than q keep their
-    first row; columns with under 2 q values in the whole episode are only thinned. seq must count rows from 0.
+    first row; columns with under 2 q values in the whole episode are only thinned, and so are the filled columns of episodes
+    too short for the filter's padding (27 rows or fewer). seq must count rows from 0. Counts are aggregated, not windowed.
     """
     if q <= 1:
         return df
     size, lap = block * q, overlap * q
-    whole = Window.partitionBy(*key)
-    rows = df.withColumn("__n", F.count(F.lit(1)).over(whole)).withColumn("__full", F.array(*[F.count(c).over(whole) >= 2 * q for c in continuous]))
+    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), F.array(*[F.count(c) >= 2 * q for c in continuous]).alias("__full"))
+    rows = df.join(counts, list(key))
     rows = rows.withColumn("__block", F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col(seq) - lap) / size), F.floor((F.col(seq) + lap) / size))))
     schema = df.schema
 
@@ -353,7 +358,7 @@ def decimate(df: DataFrame, key: Cols, seq: str, q: int, continuous: Cols, block
                 x = pdf[full].astype(float)
                 if x.isna().to_numpy().any():
                     x = x.interpolate(limit_direction="both").fillna(0.0)
-                pdf[full] = smooth(x.to_numpy(), q)
+                pdf[full] = smooth(x.to_numpy(), q) if pdf["__n"].iloc[0] > PADDING else x
         return pdf.loc[keep, [f.name for f in schema]]
 
     return rows.groupBy(*key, "__block").applyInPandas(run, schema)

@@ -84,15 +84,25 @@ def relevance_validated(spark: S, sf: str) -> DataFrame:
     return relevance.relevance_report(found, rows, EP, "seq", "phase", spec)
 
 
-@query(f"""WITH {_UNIFORM}, i AS (SELECT t.*, seq - start AS pos FROM t JOIN w USING (episode_id) WHERE seq >= start AND seq < start + length),
+def _phases(n: int) -> str:
+    return f"""WITH {_UNIFORM}, i AS (SELECT t.*, seq - start AS pos FROM t JOIN w USING (episode_id) WHERE seq >= start AND seq < start + length),
 g AS (SELECT *, pos - row_number() OVER (PARTITION BY episode_id, event_type ORDER BY pos) AS g FROM i), r AS (SELECT episode_id, event_type, min(pos) AS s, count(*) AS n FROM g GROUP BY episode_id, event_type, g),
-z AS (SELECT *, count(*) OVER p AS c, min(s) OVER p AS lo, max(s) OVER p AS hi FROM r WINDOW p AS (PARTITION BY episode_id)), f AS (SELECT * FROM z WHERE (c < 3 OR s > lo AND s < hi) AND n >= 2),
-p AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY {_digest("phase", "episode_id", "s")}) = 1)
-SELECT p.episode_id, p.event_type, p.n AS phase_length, max(ms) FILTER (pos = s) AS answer, min(ms) AS low, max(ms) AS high FROM p JOIN i USING (episode_id) WHERE pos BETWEEN s - 3 AND s + 3 GROUP BY ALL""")
+z AS (SELECT *, count(*) OVER p AS c, min(s) OVER p AS lo, max(s) OVER p AS hi FROM r WINDOW p AS (PARTITION BY episode_id)), f AS (SELECT *, {_digest("phase", "episode_id", "s")} AS d FROM z WHERE (c < 3 OR s > lo AND s < hi) AND n >= 2),
+o AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY episode_id, event_type ORDER BY d) = 1), p AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY d) <= {n})
+SELECT p.episode_id, p.event_type, p.n AS phase_length, max(ms) FILTER (pos = s) AS answer, min(ms) AS low, max(ms) AS high FROM p JOIN i USING (episode_id) WHERE pos BETWEEN s - 3 AND s + 3 GROUP BY p.episode_id, p.event_type, p.n"""
+
+
+@query(_phases(1))
 def phase_isolation(spark: S, sf: str) -> DataFrame:
     return gen.phase_isolation(telemetry(spark, sf), _windows(spark, sf), EP, "seq", "ms", "event_type", least=2)
 
 
+@query(_phases(3))
+def phase_isolation_several(spark: S, sf: str) -> DataFrame:
+    """Up to three phases of a window, an item each."""
+    return gen.phase_isolation(telemetry(spark, sf), _windows(spark, sf), EP, "seq", "ms", "event_type", least=2, phases=3)
+
+
 @query(f"""WITH {_UNIFORM}, p AS (SELECT t.*, seq - start AS pos, length FROM t JOIN w USING (episode_id))
 SELECT episode_id, round(max(value) FILTER (pos = length + 2), 4) AS answer, max(ms) FILTER (pos = length + 2) - max(ms) FILTER (pos >= 0 AND pos < length) AS ahead, round(0.75 * stddev_pop(value) FILTER (pos >= 0 AND pos < length), 6) AS margin
 FROM p GROUP BY 1 HAVING max(value) FILTER (pos = length + 2) IS NOT NULL""")
@@ -294,6 +304,27 @@ def jerk_at_rows(spark: S, sf: str) -> DataFrame:
     return j.select("event_id", (F.round(F.col("jerk") * 1e6, 4) + 0.0).alias("jerk"), questions.jerk_range("jerk").alias("band"))
 
 
+@query(f"""WITH {_AT} SELECT episode_id, round(s1_1, 6) AS current, CASE WHEN abs(s1_1) > 30 THEN true ELSE false END AS above, CASE WHEN episode_id % 4 = 0 THEN 'Unknown' WHEN abs(s1_1) <= CASE episode_id % 3 WHEN 0 THEN 25.0 WHEN 1 THEN 40.0 ELSE 2.0 END THEN 'Yes' ELSE 'No' END AS rated,
+  round(abs(s0_1 - v0_1), 6) AS error, abs(s0_1 - v0_1) > 1 AS error_above FROM (SELECT *, s0_1 - v1_1 AS s1_1 FROM q)""")
+def current_answers(spark: S, sf: str) -> DataFrame:
+    """A current with its sign against a threshold and against its joint's rating, and a tracking error at one time."""
+    q = _probed(spark, sf).withColumn("signed", F.col("s0_1") - F.col("v1_1"))
+    limits = F.when(F.col("episode_id") % 4 > 0, F.array(F.lit(25.0), F.lit(40.0)))
+    own, error = questions.current("signed", 30.0), questions.tracking_error_at("s0_1", "v0_1", 1.0)
+    return q.select(*EP, F.round(own["value"], 6).alias("current"), own["holds"].alias("above"), questions.within_rating("signed", limits, F.col("episode_id") % 3)["answer"].alias("rated"), F.round(error["value"], 6).alias("error"), error["holds"].alias("error_above"))
+
+
+@query(f"""WITH {ROBOT}, j AS (SELECT episode_id, ms, seq, ((lead(value, 2) OVER w - value) / nullif((lead(ms, 2) OVER w - ms) / 1000.0, 0) - (value - lag(value, 2) OVER w) / nullif((ms - lag(ms, 2) OVER w) / 1000.0, 0)) / nullif((lead(ms) OVER w - lag(ms) OVER w) / 1000.0, 0) AS j FROM t WINDOW w AS (PARTITION BY episode_id ORDER BY ms)),
+p AS (SELECT episode_id, min(ms) + (max(ms) - min(ms)) // 3 AS here FROM t GROUP BY 1), n AS (SELECT p.episode_id, list(j.j ORDER BY abs(ms - here), ms)[1] AS near FROM p JOIN j USING (episode_id) GROUP BY 1)
+SELECT episode_id, round(near * 1e6, 4) + 0.0 AS value, CASE WHEN abs(near) < 1 THEN 'Low' WHEN abs(near) < 5 THEN 'Medium' WHEN abs(near) >= 5 THEN 'High' END AS band, abs(near) > 5 AS holds FROM n""")
+def jerk_near(spark: S, sf: str) -> DataFrame:
+    """The jerk at the row nearest to a time."""
+    t = telemetry(spark, sf)
+    probes = t.groupBy(*EP).agg((F.min("ms") + F.expr("(max(ms) - min(ms)) div 3")).alias("ms"))
+    out = questions.jerk_at(probes, t, EP, "ms", "value")
+    return out.select(*EP, (F.round(F.col("value") * 1e6, 4) + 0.0).alias("value"), F.col("range").alias("band"), "holds")
+
+
 # baselines and stored scores
 
 _OPTIONS = "CASE WHEN kind < 5 OR kind IN (7, 8) THEN ['A', 'B', 'C', 'D'] END"

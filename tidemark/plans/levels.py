@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.draws import digest
 from tidemark.functions.values import plain_number
 from tidemark.operators import counterfactual as cf
+from tidemark.operators import generators as gen
 from tidemark.operators import sequence as seq
 from tidemark.operators import statements as st
 from tidemark.operators.predicates import THRESHOLDS, tracking_error
@@ -135,6 +136,44 @@ def anomaly_statements(spark: S, sf: str) -> DataFrame:
     return _level2(spark, sf, ("mc_003", "mc_004"), False)
 
 
+_AFTER = f"""{_BEFORE}, vi AS (SELECT os.episode_id, onset, n - onset AS n_after, onset - least(16, onset) AS start, least(16, onset) AS length, 1 + {_draw("10", "steps", "os.episode_id")} AS steps FROM os JOIN (SELECT episode_id, count(*) AS n FROM a GROUP BY 1) USING (episode_id)),
+vv AS (SELECT vi.episode_id, any_value(steps) AS steps, max(seq * 100) FILTER (seq = onset + steps) - max(seq * 100) FILTER (seq = onset) AS ahead, round(max(s0) FILTER (seq = onset + steps), 6) AS v0, round(max(s1) FILTER (seq = onset + steps), 6) AS v1,
+  stddev_pop(s0) FILTER (seq >= start AND seq < start + length) AS d0, stddev_pop(s1) FILTER (seq >= start AND seq < start + length) AS d1 FROM vi JOIN a ON a.episode_id = vi.episode_id WHERE steps < n_after GROUP BY 1)"""
+
+
+def _after(spark: S, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = axes(spark, sf).withColumn("event", F.when(F.col("v0") >= 48, 3).otherwise(0)).withColumn("ms", F.col("seq") * 100)
+    hits = seq.windows_before_event(rows, EP, "seq", "event", 8, 16, 5)
+    one = hits.groupBy(*EP).agg(F.min_by(F.struct("onset", "start", F.col("n").alias("length")), digest("event", "episode_id", "onset")).alias("w")).select(*EP, "w.*")
+    n = rows.groupBy(*EP).agg(F.count(F.lit(1)).alias("n"))
+    return rows, one.join(n, EP).withColumn("n_after", F.col("n") - F.col("onset")).drop("n")
+
+
+@query(f"WITH {_AFTER} SELECT episode_id, steps, ahead, v0 AS answer, round(d0, 6) AS std, round(0.75 * d0, 6) AS margin FROM vv WHERE v0 IS NOT NULL")
+def event_value(spark: S, sf: str) -> DataFrame:
+    """A signal some rows after an event, from the window before it."""
+    rows, items = _after(spark, sf)
+    out = gen.event_values(rows, items, EP, "seq", "ms", ["s0"])
+    return out.select(*EP, "steps", "ahead", F.col("v0").alias("answer"), F.col("std0").alias("std"), F.col("margin0").alias("margin"))
+
+
+@query(f"WITH {_AFTER} SELECT episode_id, ahead, concat('[', regexp_replace(printf('%.6f', v0), '(\\.\\d+?)0+$', '\\1'), ',', regexp_replace(printf('%.6f', v1), '(\\.\\d+?)0+$', '\\1'), ']') AS answer, round(0.75 * round(d0 * 1000000)::BIGINT, 0)::DOUBLE / 1000000 AS m0, round(0.75 * round(d1 * 1000000)::BIGINT, 0)::DOUBLE / 1000000 AS m1 FROM vv WHERE v0 IS NOT NULL AND v1 IS NOT NULL")
+def event_tensor(spark: S, sf: str) -> DataFrame:
+    rows, items = _after(spark, sf)
+    out = gen.event_values(rows, items, EP, "seq", "ms", ["s0", "s1"])
+    return out.select(*EP, "ahead", cf.tensor_answer(2).alias("answer"), F.col("margin0").alias("m0"), F.col("margin1").alias("m1"))
+
+
+@query(f"""WITH {_AFTER}, ri AS (SELECT *, 5 + {_draw("least(7, n_after // 4) - 4", "chunk-n", "episode_id")} AS size FROM vi WHERE n_after >= 20), rf AS (SELECT *, onset + {_draw("n_after - 4 * size + 1", "chunk-at", "episode_id")} AS f FROM ri),
+rc AS (SELECT a.episode_id, (seq - f) // size AS chunk, count(*) AS n FROM rf JOIN a ON a.episode_id = rf.episode_id AND seq >= f AND seq < f + 4 * size GROUP BY 1, 2),
+rl AS (SELECT *, chr(64 + (row_number() OVER (PARTITION BY episode_id ORDER BY {_digest("letter", "episode_id", "chunk")}))::INT) AS letter FROM rc) SELECT episode_id, string_agg(letter, '' ORDER BY chunk) AS answer, max(n) AS size FROM rl GROUP BY 1""")
+def event_ranking(spark: S, sf: str) -> DataFrame:
+    """Chunks of five to seven rows after an event, of one drawn length, at a drawn place."""
+    rows, items = _after(spark, sf)
+    out = cf.segment_items(rows, items, EP, "seq", plain_number("v0"))
+    return out.select(*EP, "answer", F.size(F.split(F.element_at("options", "A"), r" \| ")).cast("long").alias("size"))
+
+
 _LEVELS = "(VALUES " + ", ".join(f"({i}, '{s.id}', {list(s.levels)}, '{s.text}')" for i, s in enumerate(st.CATALOGUE)) + ") v(line, id, levels, statement)"
 
 
@@ -231,7 +270,7 @@ def counterfactual_value(spark: S, sf: str) -> DataFrame:
     return out.select(*EP, "steps", "ahead", F.col("v0").alias("answer"), F.col("std0").alias("std"), F.col("margin0").alias("margin"))
 
 
-@query(f"WITH {_VALUES} SELECT episode_id, ahead, concat('[', {_PYTHON.format('v0')}, ',', {_PYTHON.format('v1')}, ']') AS answer, round(0.75 * round(d0, 6), 6) AS m0, round(0.75 * round(d1, 6), 6) AS m1 FROM vv WHERE v0 IS NOT NULL AND v1 IS NOT NULL")
+@query(f"WITH {_VALUES} SELECT episode_id, ahead, concat('[', {_PYTHON.format('v0')}, ',', {_PYTHON.format('v1')}, ']') AS answer, round(0.75 * round(d0 * 1000000)::BIGINT, 0)::DOUBLE / 1000000 AS m0, round(0.75 * round(d1 * 1000000)::BIGINT, 0)::DOUBLE / 1000000 AS m1 FROM vv WHERE v0 IS NOT NULL AND v1 IS NOT NULL")
 def counterfactual_tensor(spark: S, sf: str) -> DataFrame:
     rows, items = _pairs(spark, sf)
     out = cf.value_items(rows, cf.predictive(items), EP, "seq", "stream", "ms", ["s0", "s1"])
