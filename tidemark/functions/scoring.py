@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import Name, col
@@ -403,6 +403,34 @@ def rubric(reply: Name, gold: Name, cause: Name, kind: Name, threshold: float =
     return F.when(F.lower(col(kind)) == "troubleshooting", first).when(F.lower(col(kind)) == "optimization", second)
 
 
+def written_back(replies: DataFrame, scores: DataFrame, stem: str, model: str, overwrite: bool = False) -> DataFrame:
+    """Replies with the rubric's scores in them, as later steps read them: score, rubric_score, llm_judge_score, llm_judge_reason, answer_format.
+
+    replies: stem (level4_0083_83_answer), model, rubric_score and these columns; scores: question (the stem's first two
+    parts), score, reason. Replies of the simple baseline, those with a rubric score (unless overwrite) and those without a
+    question or a score stay as they are.
+    """
+    known = scores.select(F.col("question").alias("__q"), F.col("score").alias("__s"), F.col("reason").alias("__r"))
+    out = replies.join(known, F.substring_index(stem, "_", 2) == F.col("__q"), "left")
+    fresh = F.lit(True) if overwrite else F.col("rubric_score").isNull()
+    hit = F.coalesce((F.col(model) != "baseline_simple") & F.col("__s").isNotNull() & fresh, F.lit(False))
+    new = {"score": F.col("__s"), "rubric_score": F.col("__s"), "llm_judge_score": F.col("__s"), "llm_judge_reason": F.col("__r"), "answer_format": F.lit("free_form_rubric")}
+    return out.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in replies.columns])
+
+
+def question_of(file: Name) -> Column:
+    """Struct (level, stem) of the question a reply's file answers: level4_0042_2_answer.json -> 4, level4_0042; null for other names."""
+    stem = F.regexp_replace(F.regexp_replace(col(file), r"_answer\.json$", ""), r"_[^_]*$", "")
+    level = F.regexp_extract(stem, r"^level(\d+)_", 1)
+    return F.when(col(file).endswith("_answer.json") & (level != ""), F.struct(level.cast("int").alias("level"), stem.alias("stem")))
+
+
+def question_text(question: Name, context: Name) -> Column:
+    """The question asked, else the context's text; blank ones don't count."""
+    said = lambda x: F.when(F.trim(col(x)) != "", col(x))
+    return F.coalesce(said(question), said(context))
+
+
 # judges' texts
 
 

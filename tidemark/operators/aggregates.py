@@ -232,3 +232,8 @@ def greedy_schedule(candidates: DataFrame, key: Cols, order: str, start: str, le
     step = lambda acc, c: F.when(c["s"] >= acc["free"], F.struct((c["s"] + c["n"] + gap).alias("free"), F.concat(acc["taken"], F.array(c)).alias("taken"))).otherwise(acc)
     out = listed.select(*key, F.explode(F.aggregate("x", none, step)["taken"]).alias("c"))
     return out.select(*key, F.col("c.o").alias(order), F.col("c.s").alias(start), F.col("c.n").alias(length))
+
+
+def run_totals(summaries: DataFrame, counts: Cols = ("completed", "failed", "skipped")) -> DataFrame:
+    """Sums over runs' summaries; missing counts are 0."""
+    return summaries.agg(*[F.coalesce(F.sum(F.coalesce(F.col(c).try_cast("long"), F.lit(0))), F.lit(0)).alias(c) for c in counts])

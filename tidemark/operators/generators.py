@@ -226,6 +226,12 @@ def pick_signal(bits: Name, signals: Sequence[str], wanted: Name | None, by: Col
     return F.get(fit, draw(F.size(fit), salt, *by).cast("int"))
 
 
+def feature_key(features: Name, by: Cols, hidden: Sequence[str] = ("timestamp_ms", "fault_label", "event")) -> Column:
+    """A drawn feature of a map that has a number and is no bookkeeping; feature_0 if there is none."""
+    names = F.array_sort(F.map_keys(F.map_filter(col(features), lambda k, v: v.isNotNull() & ~k.isin(*hidden))))
+    return F.coalesce(F.get(names, draw(F.size(names), "feature", *by).cast("int")), F.lit("feature_0"))
+
+
 def event_labels(rows: DataFrame, key: Cols, seq: str, event: str, t: str, signal: str, payload: Sequence[float] = (0.5, 1.0, 1.5, 2.0, 2.5)) -> DataFrame:
     """Each run of an event with its label "id_X_Y_delta_rate_L_T": value before the run, at its end, their difference, per row, length, start time; and a payload by id and length.
 

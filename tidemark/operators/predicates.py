@@ -50,6 +50,11 @@ def tracking_error(axes: Sequence[tuple[Column, Column, Column | None, Column |
     return mean_of(errors)
 
 
+def tracking_errors(rows: DataFrame, axes: Sequence[tuple[Column, Column, Column | None, Column | None]], out: str = "error") -> DataFrame:
+    """The rows that have a tracking error, with it."""
+    return rows.withColumn(out, tracking_error(axes)).where(F.col(out).isNotNull())
+
+
 def window_features(rows: DataFrame, items: DataFrame, key: Sequence[str], seq: str, axes: Sequence[tuple[str, str, str]], contact: str, current: str, safety: str, tcp: Column | None = None, by: Sequence[str] | None = None) -> DataFrame:
     """One row per item: values of its base row (pre_) and aggregates of the rows from its first one on.
 

@@ -7,8 +7,10 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import scoring
 from tidemark.functions.draws import digest
 from tidemark.functions.values import plain_number
+from tidemark.operators import aggregates, contexts, joins, predicates, relevance
 from tidemark.operators import counterfactual as cf
 from tidemark.operators import generators as gen
 from tidemark.operators import sequence as seq
@@ -17,7 +19,7 @@ from tidemark.operators.predicates import THRESHOLDS, tracking_error
 from tidemark.plans.items import _digest, _draw
 from tidemark.plans.queries import _SCALE
 from tidemark.plans.registry import query
-from tidemark.plans.views import AXES, axes
+from tidemark.plans.views import AXES, ROBOT, axes, telemetry
 from tidemark.sources.tables import table
 
 S = SparkSession
@@ -275,3 +277,116 @@ def counterfactual_tensor(spark: S, sf: str) -> DataFrame:
     rows, items = _pairs(spark, sf)
     out = cf.value_items(rows, cf.predictive(items), EP, "seq", "stream", "ms", ["s0", "s1"])
     return out.select(*EP, "ahead", cf.tensor_answer(2).alias("answer"), F.col("margin0").alias("m0"), F.col("margin1").alias("m1"))
+
+
+# contexts
+
+_DRAWN = f"""{AXES}, ev AS (SELECT *, coalesce(v0 >= 48, false) AS e, coalesce(lag(v0 >= 48) OVER w, false) AS pe, count(*) OVER (PARTITION BY episode_id) AS n FROM a WINDOW w AS (PARTITION BY episode_id ORDER BY seq)),
+dw AS (SELECT episode_id, arg_min(seq, {_digest("onset", "episode_id", "seq")}) AS onset FROM ev WHERE e AND NOT pe AND seq >= 8 AND n - seq - 1 >= 5 GROUP BY 1), dl AS (SELECT *, 8 + {_draw("least(16, onset) - 7", "before-n", "episode_id")} AS length FROM dw)"""
+
+
+def _drawn(spark: S, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = axes(spark, sf).withColumn("event", F.when(F.col("v0") >= 48, 3).otherwise(0))
+    return rows, contexts.drawn_before_event(rows, EP, "seq", "event", 8, 16, 5)
+
+
+@query(f"WITH {_DRAWN} SELECT episode_id, onset, onset - length AS start, length, sum(v0) FILTER (seq < onset) AS inside, count(*) FILTER (seq >= onset) AS remaining FROM dl JOIN a USING (episode_id) WHERE seq >= onset - length GROUP BY ALL")
+def windows_before_events(spark: S, sf: str) -> DataFrame:
+    """Windows of every length before an event, and what follows them."""
+    rows, w = _drawn(spark, sf)
+    inside = relevance.context_rows(rows, w, EP, "seq").groupBy(*EP).agg(F.sum("v0").alias("inside"))
+    rest = contexts.remaining_rows(rows, w, EP, "seq").groupBy(*EP).agg(F.count(F.lit(1)).alias("remaining"))
+    return w.join(inside, EP).join(rest, EP)
+
+
+_BLOCKS = f"""{_DRAWN}, bo AS (SELECT *, episode_id % 3 AS g, row_number() OVER (PARTITION BY episode_id % 3 ORDER BY md5(concat_ws(':', 'block-42', episode_id::VARCHAR)), episode_id) - 1 AS i FROM dl),
+bk AS (SELECT *, i // 4 AS block, chr(65 + (i % 4)::INT) AS label, count(*) OVER (PARTITION BY g, i // 4) AS c FROM bo), m AS (SELECT bk.g, block, label, bk.episode_id, length, list(v0::INT::VARCHAR ORDER BY seq) AS lines FROM bk JOIN a ON a.episode_id = bk.episode_id AND seq >= onset - length AND seq < onset WHERE c = 4 GROUP BY ALL)"""
+
+
+def _members(spark: S, sf: str) -> DataFrame:
+    rows, w = _drawn(spark, sf)
+    blocks = joins.blocks_of(w.withColumn("g", F.col("episode_id") % 3), ["g"], 4, EP)
+    return contexts.texts_of_windows(rows, blocks, EP, "seq", plain_number("v0"))
+
+
+@query(f"WITH {_BLOCKS}, l AS (SELECT g, block, max(length) AS longest FROM m GROUP BY 1, 2) SELECT m.g, m.block, string_agg(concat(label, '=', array_to_string(list_concat(lines, list_transform(range(longest - length), lambda x: lines[-1])), ',')), ';' ORDER BY label) AS streams FROM m JOIN l ON l.g = m.g AND l.block = m.block GROUP BY 1, 2")
+def ranking_context(spark: S, sf: str) -> DataFrame:
+    """Four episodes side by side, padded to the longest."""
+    s = contexts.side_by_side(_members(spark, sf), ["g", "block"], "label", "lines")
+    return s.select("g", "block", F.array_join(F.transform(F.map_entries("streams"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ","))), ";").alias("streams"))
+
+
+@query(f"WITH {_BLOCKS}, r AS (SELECT *, episode_id % 11 AS rank FROM m) SELECT g, block, string_agg(label, '' ORDER BY rank) AS answer, string_agg(concat(label, ') ', array_to_string(lines, ' | ')), chr(10) ORDER BY label) AS options FROM r GROUP BY 1, 2 HAVING count(DISTINCT rank) = 4")
+def severity_segments(spark: S, sf: str) -> DataFrame:
+    """Segments of four episodes, ranked by how severe their faults are."""
+    ranked = _members(spark, sf).withColumn("rank", F.col("episode_id") % 11)
+    out = contexts.severity_segments(ranked, ["g", "block"], "label", "rank", "lines")
+    return out.select("g", "block", "answer", F.array_join(F.transform(F.map_entries("options"), lambda e: F.concat(e["key"], F.lit(") "), e["value"])), "\n").alias("options"))
+
+
+@query(f"WITH {_DRAWN}, f AS (SELECT *, CASE WHEN episode_id % 5 > 0 THEN episode_id % 30 END AS fault FROM dl), t AS (SELECT f.episode_id, list(v0::INT::VARCHAR ORDER BY seq) AS lines FROM f JOIN a ON a.episode_id = f.episode_id AND seq >= onset - length AND seq < onset GROUP BY 1) SELECT f.episode_id, CASE WHEN coalesce(fault, 0) > 0 THEN n_name END AS root_cause, CASE WHEN coalesce(fault, 0) = 0 THEN '{contexts.NOTHING_WRONG}' ELSE concat('see ', n_regionkey) END AS answer, array_to_string(lines, ',') AS context FROM f JOIN t USING (episode_id) LEFT JOIN nation ON n_nationkey = fault WHERE coalesce(fault, 0) = 0 OR n_nationkey % 4 > 0")
+def troubleshooting_context(spark: S, sf: str) -> DataFrame:
+    """Windows with the remedy of their fault's cause; sound ones say so, faults without a remedy make no item."""
+    rows, w = _drawn(spark, sf)
+    w = contexts.texts_of_windows(rows, w.withColumn("fault", F.when(F.col("episode_id") % 5 > 0, F.col("episode_id") % 30)), EP, "seq", plain_number("v0"))
+    causes = table(spark, sf, "nation").select(F.col("n_nationkey").alias("fault"), "n_name", F.when(F.col("n_nationkey") % 4 > 0, F.concat(F.lit("see "), F.col("n_regionkey").cast("string"))).otherwise(" ").alias("remedy"))
+    return contexts.troubleshooting(w, causes, "fault", "n_name", "remedy").select(*EP, "root_cause", "answer", F.array_join("lines", ",").alias("context"))
+
+
+@query("SELECT n_nationkey::BIGINT AS fault_id, (n_regionkey + 1)::BIGINT AS rank FROM nation WHERE n_nationkey % 3 > 0")
+def severity_ranks(spark: S, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation")
+    entry = F.concat(F.lit('{"fault_id": '), F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 3 > 0, F.concat(F.lit(', "rank": '), (F.col("n_regionkey") + 1).cast("string"))).otherwise(""), F.lit("}"))
+    doc = n.groupBy("n_regionkey").agg(F.concat(F.lit('{"ranking_least_to_most_severe": ['), F.array_join(F.collect_list(entry), ", "), F.lit("]}")).alias("text"))
+    return contexts.severity_ranks(doc, "text").select(F.col("fault_id").cast("long").alias("fault_id"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {ROBOT} SELECT event_id, seq * 250 AS timestamp_ms, CASE WHEN k % 4 > 0 THEN concat((k % 4)::VARCHAR, CASE WHEN k % 3 > 0 THEN concat('_x', k::VARCHAR) ELSE '' END) END AS event, (k % 4)::INT AS fault_label, event_type AS task_phase FROM t""")
+def simulated_rows(spark: S, sf: str) -> DataFrame:
+    t = telemetry(spark, sf).select("episode_id", "event_id", (F.col("seq") / 4 + 10).cast("string").alias("sim_time_s"), F.col("k"), F.col("event_type").alias("task_phase")).withColumnRenamed("event_id", "row_id")
+    t = t.withColumn("event_id", F.when(F.col("k") % 4 > 0, (F.col("k") % 4).cast("string")).otherwise("none")).withColumn("event_params", F.when(F.col("k") % 3 > 0, F.concat(F.lit(" x"), F.col("k").cast("string"))))
+    out = contexts.simulated_rows(t, EP)
+    return out.select(F.col("row_id").alias("event_id"), "timestamp_ms", "event", F.coalesce("fault_label", F.lit(0)).alias("fault_label"), "task_phase")
+
+
+@query("""WITH r AS (SELECT p_partkey, concat('level4_', p_partkey % 50, '_', p_size, '_answer') AS stem, CASE WHEN p_size % 7 = 0 THEN 'baseline_simple' ELSE 'm' END AS model, CASE WHEN p_size % 5 = 0 THEN 0.25 END AS rubric_score FROM part),
+q AS (SELECT *, split_part(stem, '_', 2)::INT AS n FROM r), h AS (SELECT *, model <> 'baseline_simple' AND rubric_score IS NULL AND n < 40 AND n % 6 > 0 AS hit FROM q)
+SELECT p_partkey, CASE WHEN hit THEN n / 40 ELSE 0.5 END AS score, CASE WHEN hit THEN n / 40 ELSE rubric_score END::DOUBLE AS rubric_score, CASE WHEN hit THEN concat('because ', n) END AS llm_judge_reason, CASE WHEN hit THEN 'free_form_rubric' ELSE 'free_form' END AS answer_format FROM h""")
+def rubric_written_back(spark: S, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    none = F.lit(None)
+    replies = p.select("p_partkey", F.concat(F.lit("level4_"), (F.col("p_partkey") % 50).cast("string"), F.lit("_"), F.col("p_size").cast("string"), F.lit("_answer")).alias("stem"), F.when(F.col("p_size") % 7 == 0, "baseline_simple").otherwise("m").alias("model"), F.when(F.col("p_size") % 5 == 0, 0.25).alias("rubric_score"), F.lit(0.5).alias("score"), none.cast("double").alias("llm_judge_score"), none.cast("string").alias("llm_judge_reason"), F.lit("free_form").alias("answer_format"))
+    n = F.col("n")
+    scores = p.where("p_partkey < 40").select(F.col("p_partkey").alias("n")).select(F.concat(F.lit("level4_"), n.cast("string")).alias("question"), F.when(n % 6 > 0, n / 40).alias("score"), F.concat(F.lit("because "), n.cast("string")).alias("reason"))
+    return scoring.written_back(replies, scores, "stem", "model").select("p_partkey", "score", "rubric_score", "llm_judge_reason", "answer_format")
+
+
+@query("""WITH x AS (SELECT p_partkey, concat('level', p_size % 4, '_', p_partkey, '_', p_size, CASE WHEN p_size % 3 > 0 THEN '_answer.json' ELSE '.json' END) AS f, CASE WHEN p_size % 2 = 0 THEN ' ' ELSE p_name END AS q, CASE WHEN p_size % 5 > 0 THEN p_type END AS c FROM part)
+SELECT p_partkey, CASE WHEN f LIKE '%_answer.json' THEN substr(f, 6, 1)::INT END AS level, CASE WHEN f LIKE '%_answer.json' THEN concat('level', substr(f, 6, 1), '_', p_partkey) END AS stem, coalesce(CASE WHEN trim(q) <> '' THEN q END, c) AS question FROM x""")
+def question_lookup(spark: S, sf: str) -> DataFrame:
+    """Which question a reply's file answers, and what was asked."""
+    s = lambda c: F.col(c).cast("string")
+    file = F.concat(F.lit("level"), (F.col("p_size") % 4).cast("string"), F.lit("_"), s("p_partkey"), F.lit("_"), s("p_size"), F.when(F.col("p_size") % 3 > 0, "_answer.json").otherwise(".json"))
+    p = table(spark, sf, "part").select("p_partkey", scoring.question_of(file).alias("q"), scoring.question_text(F.when(F.col("p_size") % 2 == 0, " ").otherwise(F.col("p_name")), F.when(F.col("p_size") % 5 > 0, F.col("p_type"))).alias("question"))
+    return p.select("p_partkey", "q.level", "q.stem", "question")
+
+
+@query(f"""WITH x AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN [] WHEN l_linenumber % 3 = 1 THEN ['a'] ELSE ['a', 'b', 'c'] END AS names FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN len(names) = 0 THEN 'feature_0' ELSE names[{_draw("greatest(1, len(names))", "feature", "l_orderkey", "l_linenumber")} + 1] END AS feature FROM x""")
+def feature_key(spark: S, sf: str) -> DataFrame:
+    one, none = F.lit(1.0), F.lit(None).cast("double")
+    k = F.col("l_linenumber") % 3
+    m = F.create_map(F.lit("timestamp_ms"), one, F.lit("a"), F.when(k > 0, one).otherwise(none), F.lit("b"), F.when(k == 2, one).otherwise(none), F.lit("c"), F.when(k == 2, one).otherwise(none), F.lit("event"), one)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", gen.feature_key(m, ["l_orderkey", "l_linenumber"]).alias("feature"))
+
+
+@query("SELECT sum(o_custkey % 5)::BIGINT AS completed, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS failed, 0::BIGINT AS skipped FROM orders")
+def run_totals(spark: S, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select((F.col("o_custkey") % 5).cast("string").alias("completed"), F.when(F.col("o_orderstatus") == "F", 1).alias("failed"), F.lit("n/a").alias("skipped"))
+    return aggregates.run_totals(o)
+
+
+@query(f"WITH {AXES}, e AS (SELECT episode_id, CASE WHEN seq % 4 > 0 THEN (abs(s0 - v0) + abs(e0 - e1) + abs(s1 - v1)) / 2 END AS error FROM a) SELECT episode_id, count(error) AS n, round(avg(error), 6) AS error FROM e GROUP BY 1 HAVING count(error) > 0")
+def tracking_errors(spark: S, sf: str) -> DataFrame:
+    there = lambda c: F.when(F.col("seq") % 4 > 0, F.col(c))
+    rows = predicates.tracking_errors(axes(spark, sf), [(there("s0"), there("v0"), F.col("e0"), F.col("e1")), (there("s1"), there("v1"), None, None)])
+    return rows.groupBy(*EP).agg(F.count("error").alias("n"), F.round(F.avg("error"), 6).alias("error"))
