@@ -39,48 +39,94 @@ OPAQUE = frozenset("script style template noscript iframe title".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+)|<""", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)|([^<]+)|<", re.S)
+_STOP = re.compile(r"""[>"']""")
+DEPTH = 512  # as deep as browsers nest elements; deeper ones are read beside one another
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
 Block = tuple[tuple[str, ...], str, int]  # path tokens, text, characters inside links
 
 
+class TagEnds:
+    """Where the tags of a page end, each character being looked at a few times at most, whatever is left open."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.unclosed = {'"': len(page), "'": len(page)}  # from where on a quote isn't closed
+        self.failed: set[int] = set()  # marks outside quotes from which no end was found
+
+    def end(self, at: int) -> int:
+        """Index of the > that ends a tag: the first outside quotes, or if quotes stay open the first at all; -1 if there is none."""
+        if at > self.last:
+            return -1
+        met, pos = [], at
+        while pos <= self.last:
+            m = _STOP.search(self.page, pos)
+            i = m.start() if m else -1
+            if i < 0 or i in self.failed:
+                break
+            quote = self.page[i]
+            if quote == ">":
+                return i
+            met.append(i)
+            closed = self.page.find(quote, i + 1) if i < self.unclosed[quote] else -1
+            if closed < 0:
+                self.unclosed[quote] = min(i, self.unclosed[quote])
+                break
+            pos = closed + 1
+        self.failed.update(met)
+        return self.page.find(">", at)
+
+
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order: path tokens, text with white space as single spaces, characters in links."""
+    """Leaf blocks in page order: path tokens (each once), text with white space as single spaces, characters in links."""
     out: list[Block] = []
+    # open elements: tag, and the path down to it, which blocks share
     stack: list[tuple[str, tuple[str, ...]]] = []
+    beside: dict[str, int] = {}  # elements beyond DEPTH that are open
     parts: list[str] = []
     linked = links = 0
     at, n = 0, len(page)
+    ends = TagEnds(page)
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((tuple(t for tag, names in stack for t in (tag, *names) if tag not in INLINE), text, min(linked, len(text))))
+                out.append((stack[-1][1] if stack else (), text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
+    def said(text: str) -> None:
+        nonlocal linked
+        text = html.unescape(text)
+        parts.append(text)
+        if links:
+            linked += len(text)
+
     while at < n:
+        if at > ends.last:  # no tag can end any more, but a comment can begin
+            cut = page.find("<!--", at)
+            said(page[at : cut if cut >= 0 else n])
+            break
         m = _TOKEN.match(page, at)
         at = m.end()
-        close, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        close, tag = m[1], m[2]
         if tag is None:
-            text = m[7]
-            if text is None and m[0] == "<":
-                text = "<"
-            if text:
-                text = html.unescape(text)
-                parts.append(text)
-                if links:
-                    linked += len(text)
+            if m[3] or m[0] == "<":
+                said(m[3] or "<")
             continue
+        end = ends.end(at)
+        attrs, at = page[at:end], end + 1
         tag = tag.lower()
         if close:
             if tag not in INLINE:
                 flush()
+            if beside.get(tag):
+                beside[tag] -= 1
+                continue
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
@@ -93,8 +139,8 @@ def blocks(page: str) -> list[Block]:
             flush()
         if tag in OPAQUE:
             if not attrs.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+                shut_at = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                at = shut_at.end() if shut_at else n
             continue
         if tag in VOID or tag in FOREIGN and attrs.endswith("/"):
             continue
@@ -106,9 +152,15 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[i][0] not in INLINE:
                     break
-        names = tuple(dict.fromkeys("." + w for x in _NAMES.finditer(attrs) for w in _PARTS.findall((x[1] or x[2] or x[3] or "").lower()))) if attrs else ()
-        if tag not in VOID:
-            stack.append((tag, names))
+        if len(stack) >= DEPTH:
+            beside[tag] = beside.get(tag, 0) + 1
+            continue
+        path = stack[-1][1] if stack else ()
+        if tag not in INLINE:
+            names = ["." + w for x in _NAMES.finditer(attrs) for w in _PARTS.findall((x[1] or x[2] or x[3] or "").lower())] if attrs else []
+            if more := [t for t in dict.fromkeys([tag, *names]) if t not in path]:
+                path = (*path, *more)
+        stack.append((tag, path))
         links = sum(x[0] == "a" for x in stack)
     flush()
     return out
