@@ -12,7 +12,9 @@ fuzzy spans those with the fewest edits are kept; an empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 
 import ahocorasick
 import numpy as np
@@ -103,40 +105,75 @@ class Scanner:
         """Fuzzy notices: (start, end, edits, label) in characters of the joined words."""
         if not joined or not self.notices:
             return []
-        windows: dict[int, list[list[int]]] = {}
-        hits: dict[int, list[tuple[int, int]]] = {}
+        hits: dict[int, set[int]] = {}
         for end, (size, uses) in self.automaton.iter(joined):
             for i, at in uses:
-                hits.setdefault(i, []).append((end + 1 - size - at, at))
-        for i, starts in hits.items():
-            notice, _, edits = self.notices[i]
-            for start, _ in sorted(starts):
-                lo, hi = max(0, start - edits - 1), min(len(joined), start + len(notice) + edits + 1)  # with one character on each side
-                own = windows.setdefault(i, [])
-                if own and lo <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], hi)
-                else:
-                    own.append([lo, hi])
+                hits.setdefault(i, set()).add(end + 1 - size - at)
         out = []
-        for i, own in windows.items():
-            _, label, _ = self.notices[i]
-            # the best match of each part is taken first, then what stands before and after it is searched
-            parts = [(lo, hi) for lo, hi in own]
-            while parts:
-                lo, hi = parts.pop()
-                if 0 < hi < len(joined) and joined[hi] != " ":  # a part's end must be a word's
-                    hi = joined.rfind(" ", lo, hi)
-                m = self.fuzzy[i].search(joined, lo, hi) if lo < hi else None
-                if m:
-                    out.append((m.start(), m.end(), sum(m.fuzzy_counts), label))
-                    parts += [(lo, m.start() - 1), (m.end() + 1, hi)]
+        for i, starts in hits.items():
+            notice, label, edits = self.notices[i]
+            found: set[tuple[int, int, int]] = set()
+            # seeds of one notice give starts that its edits shift: one window holds them, of bounded length however many notices follow
+            first = last = None
+            for start in [*sorted(starts), None]:
+                if first is not None and (start is None or start - first > 2 * edits):
+                    found.update(self._matches(i, joined, max(0, first - edits - 1), min(len(joined), last + len(notice) + edits + 1)))  # with one character on each side
+                    first = start
+                first, last = start if first is None else first, start
+            # windows overlap, and so may what they give: the best stay
+            out += [(s, e, n, label) for s, e, n in _apart(found)]
         # where notices overlap, those with the fewest edits stay
         kept: list[tuple[int, int, int, str]] = []
-        for x in sorted(out, key=lambda x: x[2]):
-            if not any(y[2] < x[2] and y[0] < x[1] and x[0] < y[1] for y in kept):
-                kept.append(x)
+        covered = Covered()
+        for _, level in itertools.groupby(sorted(out, key=lambda x: x[2]), key=lambda x: x[2]):
+            fresh = [x for x in level if not covered.meets(x[0], x[1])]
+            kept += fresh
+            for x in fresh:
+                covered.add(x[0], x[1])
         return sorted(kept)
 
+    def _matches(self, i: int, joined: str, lo: int, hi: int) -> list[tuple[int, int, int]]:
+        """(start, end, edits) in a window: the best match first, then what stands before and after it."""
+        out, parts = [], [(lo, hi)]
+        while parts:
+            lo, hi = parts.pop()
+            if 0 < hi < len(joined) and joined[hi] != " ":  # a part's end must be a word's
+                hi = joined.rfind(" ", lo, hi)
+            m = self.fuzzy[i].search(joined, lo, hi) if lo < hi else None
+            if m:
+                out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+                parts += [(lo, m.start() - 1), (m.end() + 1, hi)]
+        return out
+
+
+class Covered:
+    """Intervals that don't overlap, in order."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def meets(self, lo: int, hi: int) -> bool:
+        i = bisect.bisect_left(self.ends, lo + 1)
+        return i < len(self.starts) and self.starts[i] < hi
+
+    def add(self, lo: int, hi: int) -> None:
+        """Joins an interval with those it overlaps."""
+        i, j = bisect.bisect_left(self.ends, lo + 1), bisect.bisect_left(self.starts, hi)
+        if i < j:
+            lo, hi = min(lo, self.starts[i]), max(hi, self.ends[j - 1])
+        self.starts[i:j], self.ends[i:j] = [lo], [hi]
+
+
+def _apart(spans: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of spans of one notice those that don't overlap, the fewest edits first, then the first."""
+    taken, out = Covered(), []
+    for x in sorted(spans, key=lambda x: (x[2], x[0], x[1])):
+        if not taken.meets(x[0], x[1]):
+            taken.add(x[0], x[1])
+            out.append(x)
+    return out
+
 
 @functools.lru_cache(maxsize=1)
 def scanner() -> Scanner:
