@@ -215,3 +215,17 @@ def test_decimate_of_episodes_too_short_for_the_filter(spark):
     filled = np.array([(xs[7] + xs[9]) / 2 if x is None else x for x in xs])
     assert got["a"] == pytest.approx(filled[:24:4]) and got["c"] == pytest.approx(filled[:20:4])
     assert got["b"] == pytest.approx(seq.smooth(filled[:, None], 4)[:28:4, 0]) and abs(got["b"][1] - filled[4]) > 1e-3
+
+
+@pytest.mark.parametrize("bins", [1, 4, 1024])
+def test_quantiles_are_exact(spark, bins):
+    rng = np.random.default_rng(6)
+    groups = {"a": rng.normal(0, 1, 501), "b": np.repeat(3.5, 40), "c": rng.integers(0, 4, 300).astype(float), "d": np.array([7.0]), None: rng.pareto(1.0, 97), "e": np.array([1.0, 2.0])}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None), ("nothing", None)]
+    shares = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
+    got = {r.k: r.q for r in agg.quantiles(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", shares, bins).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        assert got[k] == pytest.approx(np.quantile(vs, shares), rel=1e-12)
+    whole = agg.quantiles(spark.createDataFrame(rows, "k string, x double"), [], "x", (0.5,), bins).first().q[0]
+    assert whole == pytest.approx(np.quantile(np.concatenate(list(groups.values())), 0.5))

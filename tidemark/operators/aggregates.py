@@ -101,9 +101,34 @@ def mean_and_error(df: DataFrame, key: Cols, x: str) -> DataFrame:
     return df.groupBy(*key).agg(F.avg(x).alias("mean"), F.count(x).alias("n"), (F.stddev_pop(x) / F.sqrt(F.count(x))).alias("stderr"))
 
 
+def quantiles(df: DataFrame, key: Cols, x: str, shares: Sequence[float], bins: int = 1024) -> DataFrame:
+    """key and q, an array: exact quantiles with linear interpolation, of the values that are not null.
+
+    Counts over equal ranges of each group's values tell which ranges hold the wanted ranks; only their rows are counted by
+    value and put in order. So what a group brings together is a bin's distinct values, not its own. Null keys are a group.
+    """
+    rows = df.where(F.col(x).isNotNull()).select(F.struct(F.lit(1).alias("all"), *key).alias("__k"), F.col(x).cast("double").alias("__x"))
+    ends = rows.groupBy("__k").agg(F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    at = F.when(F.col("__hi") > F.col("__lo"), F.least(F.lit(bins - 1), F.floor((F.col("__x") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins))).otherwise(0)
+    placed = rows.join(ends, "__k").withColumn("__bin", at)
+    place = lambda q: (F.col("__n") - 1) * q
+    ranks = F.array_distinct(F.array(*[f(place(q)).cast("long") for q in shares for f in (F.floor, F.ceil)]))
+    held = lambda upto, n: F.filter("__ranks", lambda r: (r >= F.col(upto) - F.col(n)) & (r < F.col(upto)))
+    order = lambda by: Window.partitionBy("__k").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    counts = placed.groupBy("__k", "__n", "__bin").agg(F.count(F.lit(1)).alias("__c")).withColumn("__ranks", ranks).withColumn("__upto", F.sum("__c").over(order("__bin")))
+    chosen = counts.where(F.size(held("__upto", "__c")) > 0).select("__k", "__bin", "__ranks", (F.col("__upto") - F.col("__c")).alias("__before"))
+    inside = placed.join(chosen, ["__k", "__bin"]).groupBy("__k", "__n", "__bin", "__ranks", "__before", "__x").agg(F.count(F.lit(1)).alias("__c"))
+    by_value = Window.partitionBy("__k", "__bin").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("__upto", F.col("__before") + F.sum("__c").over(by_value))
+    values = inside.select("__k", "__n", "__x", F.explode(held("__upto", "__c")).alias("__rank")).groupBy("__k", "__n").agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__x"))).alias("__v"))
+    value = lambda r: F.element_at("__v", r.cast("long"))
+    between = lambda q: value(F.floor(place(q))) + (value(F.ceil(place(q))) - value(F.floor(place(q)))) * (place(q) - F.floor(place(q)))
+    return values.select(*[F.col(f"__k.{k}").alias(k) for k in key], F.array(*[between(q) for q in shares]).alias("q"))
+
+
 def box_stats(df: DataFrame, key: Cols, x: str) -> DataFrame:
     """Quartiles and the values furthest out within 1.5 interquartile ranges."""
-    q = df.groupBy(*key).agg(F.percentile(x, [0.25, 0.5, 0.75]).alias("q"))
+    q = quantiles(df, key, x, (0.25, 0.5, 0.75))
     q = q.select(*key, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     near = df.join(F.broadcast(q) if not key else q, list(key)).where(F.col(x).between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
     return near.groupBy(*key, "q1", "median", "q3").agg(F.min(x).alias("low"), F.max(x).alias("high"))
