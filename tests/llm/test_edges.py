@@ -1,5 +1,7 @@
 """Odd input for every corpus operator: empty tables, null ids, repeats, names that operators use inside."""
 
+import time
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -198,3 +200,41 @@ def test_quality_sample_of_repeated_ids(spark):
     assert len(quality_rules.as_arrays(one_id, 1000)[1]) == 1000
     equal = spark.range(5000).select(F.lit(1).alias("doc_id"), F.lit(True).alias("bad"), *[F.lit(7).cast("long").alias(c) for c in quality_rules.COUNTS])
     assert len(quality_rules.as_arrays(equal, 300)[1]) == 300 and len(quality_rules.as_arrays(equal.limit(20), 300)[1]) == 20
+
+
+# long texts: ten times the input takes some ten times as long
+
+
+def linear(run, make, sizes=(2000, 20000)):
+    """Time for the larger input over that for the smaller, the least of three runs each."""
+
+    def least(n):
+        text, best = make(n), float("inf")
+        for _ in range(3):
+            start = time.perf_counter()
+            run(text)
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    return least(sizes[1]) / max(least(sizes[0]), 1e-4)
+
+
+@pytest.mark.parametrize("piece", ["<div>x ", "<x y='a ", '<a b="c ', "< a <b ", "<a b=\"c' d>e", "<![x ", "<ul><li>x", "<div class=a{}>x "])
+def test_pages_left_open_take_linear_time(piece):
+    assert linear(html_extract.blocks, lambda n: "".join(piece.replace("{}", "bcdefg"[i % 6] * (i % 9)) for i in range(n))) < 25
+
+
+def test_deep_pages_keep_their_texts():
+    found = html_extract.blocks("<div class='a'>" * 3000 + "inside" + "</div>" * 2999 + "after" + "</div>" + "<p>end")
+    assert [t for _, t, _ in found] == ["inside", "after", "end"] and [p for p, *_ in found] == [("div", ".a"), ("div", ".a"), ("p",)]
+    quoted = html_extract.blocks('<p title="a > b">one</p><p title="never closed>two</p><p>three <b')
+    assert [t for _, t, _ in quoted] == ["one", "two", "three <b"]
+
+
+def test_many_misspelt_notices_take_linear_time():
+    s = license_scan.scanner()
+    notices = [n.replace("license", "licemse").replace("with", "wiht") for n, *_ in license_scan.NOTICES]
+    make = lambda n: s.words(" ".join(notices[i % len(notices)] for i in range(n)))[0]
+    assert linear(s.spans, make, (60, 600)) < 25
+    found = s.spans(make(36))
+    assert len({x[0] for x in found}) == 36 and {x[3] for x in found} == {label for _, label, _ in license_scan.NOTICES}

@@ -51,7 +51,7 @@ class Encoder:
     model alone; texts that hold one of its added tokens, and all texts for any other file, go to the library whole.
     """
 
-    def __init__(self, path: str, max_pieces: int = 900_000):
+    def __init__(self, path: str, max_pieces: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

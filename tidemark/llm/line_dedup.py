@@ -322,6 +322,7 @@ def _placed(docs: DataFrame) -> DataFrame:
     firsts = firsts.join(found.withColumnRenamed("node", "h"), "h", "left").withColumn("class_id", F.coalesce("component", "h"))
     best = firsts.groupBy("class_id").agg(F.min("place").alias("best"))
     known = scratch.keep(firsts.join(best, "class_id").select("h", "class_id", "best"), "classes")
+    scratch.drop("labels", "joined", "places")
     return lines.join(known, "h").select("doc_id", "t", "line_no", "class_id", place.eqNullSafe(F.col("best")).alias("kept"))
 
 

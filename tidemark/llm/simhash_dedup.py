@@ -84,21 +84,39 @@ def components(docs: DataFrame, words: int = 3) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp, h, shingles): the fingerprint, the hashes of the distinct shingles in order, and a hash of them all."""
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Hashes of a text's distinct word shingles, in order."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return np.array(sorted({xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), SEED) for i in range(max(1, len(w) - words + 1))}) if w else [], dtype=np.uint64)
+
+
+def _banded(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, t, fp, h, keys): the text's hash, the fingerprint, a hash of the set of shingles, and its band keys. Sets themselves are far larger and not kept."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        fps, hs, sets = [], [], []
-        for x in b.column(1).to_pylist():
-            w = (x or "").encode("utf-8", "surrogatepass").lower().split()
-            own = np.array(sorted({xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), SEED) for i in range(max(1, len(w) - words + 1))}) if w else [], dtype=np.uint64)
-            fps.append(fingerprint(x or "", words))
-            hs.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
-            sets.append(own.view(np.int64))
-        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.array(v, dtype=np.uint64).view(np.int64)) for v in (fps, hs)), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "fp", "h", "shingles"])
+        texts = b.column(2).to_pylist()
+        sets = [shingles(x, words) for x in texts]
+        keys: list[list[int]] = [[] for _ in sets]
+        for start, stop in line_dedup.pieces_by_size([len(x) for x in sets]):
+            own = sets[start:stop]
+            at, key = line_dedup.band_keys(np.concatenate(own), np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int64))
+            for i, k in zip(at.tolist(), key.view(np.int64).tolist()):
+                keys[start + i].append(k)
+        fps = np.array([fingerprint(x or "", words) for x in texts], dtype=np.uint64).view(np.int64)
+        hs = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps), pa.array(hs), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "t", "fp", "h", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, fp long, h long, shingles array<long>")
+    return map_batches(docs.select("doc_id", F.xxhash64("text").alias("t"), "text"), run, f"doc_id {kind}, t long, fp long, h long, keys array<long>")
+
+
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """(h, shingles) of (h, text)."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x, words).view(np.int64) for x in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["h", "shingles"])
+
+    return map_batches(texts.select("h", "text"), run, "h long, shingles array<long>")
 
 
 def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,14 +125,6 @@ def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), offsets
 
 
-def _set_bands(sets: DataFrame) -> DataFrame:
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        at, key = line_dedup.band_keys(*_ragged(b.column(1)))
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(b.column(0).to_numpy()[at])], ["key", "h"])
-
-    return map_batches(sets.where("size(shingles) > 0").select("h", "shingles"), run, "key long, h long")
-
-
 def _set_sketches(sets: DataFrame) -> DataFrame:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b.column(0), *line_dedup.sketch_columns([line_dedup.sketch_rows(*_ragged(b.column(1)))])], line_dedup.SKETCH_NAMES)
@@ -133,16 +143,26 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "s_a", "s_b"), run, "a long, b long")
 
 
-def similar_components(docs: DataFrame, words: int = 5) -> DataFrame:
+def similar_components(docs: DataFrame, words: int = 5, unique: bool = False) -> DataFrame:
     """(doc_id, component_id) by the links of fingerprints and those of exact Jaccard similarity of 0.8 or more.
 
     A pair of similarity 0.8 differs by ten bits on average, which no table of fingerprints finds without pairing most
     documents, so candidates come from MinHash bands (probability 0.99 at 0.8, 0.9999 at 0.9), as for lines; each is verified by its shingle sets.
+    unique: no two rows have the same id and text, as the caller knows.
     """
     scratch = Scratch(docs.sparkSession)
-    every = scratch.keep(shingle_sets(docs, words), "sets")
-    sets = scratch.keep(every.select("h", "shingles").dropDuplicates(["h"]), "distinct-sets")
-    near = line_dedup.linked(_set_bands(sets), lambda wanted: sets.join(wanted, "h", "left_semi"), _similar, _set_sketches, scratch)
+    docs = docs.select("doc_id", "text")
+    every = scratch.keep(_banded(docs, words), "prints")
+    # one document stands for all of equal sets; only sets that some band pairs are made again, from its text
+    sets = scratch.keep(every.groupBy("h").agg(F.min(F.struct("doc_id", "t")).alias("of"), F.first("keys").alias("keys")), "distinct-sets")
+    once = docs if unique else without_repeats(docs, repeats(docs))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        chosen = sets.join(wanted, "h", "left_semi").select("h", F.col("of.doc_id").alias("__id"), F.col("of.t").alias("__of"))
+        texts = once.withColumn("__t", F.xxhash64("text")).join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__of")))
+        return _sets(texts, words)
+
+    near = line_dedup.linked(sets.select(F.explode("keys").alias("key"), "h"), sets_of, _similar, _set_sketches, scratch)
     least = scratch.keep(every.groupBy("fp", "h").agg(F.min("doc_id").alias("first")), "distinct")
     # one set stands for all of a fingerprint
     one = scratch.keep(least.groupBy("fp").agg(F.min("h").alias("one")), "one")
@@ -160,6 +180,6 @@ def one_per_class(docs: DataFrame, words: int = 3, similar: bool = False) -> Dat
     """One document of each class by fingerprints or (similar) by similar_components: that of the smallest id, null ids last, and of one id that of the smallest text hash. Of rows that repeat id and text one stays."""
     docs = without_repeats(docs, repeats(docs))
     keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("t")).alias("doc_id"), "text")
-    found = similar_components(keyed, words) if similar else components(keyed, words)
+    found = similar_components(keyed, words, unique=True) if similar else components(keyed, words)
     keep = found.where("doc_id = component_id").select(F.col("doc_id.id").alias("__kept"), F.col("doc_id.t").alias("__t"))
     return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__kept")) & (F.xxhash64("text") == F.col("__t")), "left_semi")
