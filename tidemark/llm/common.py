@@ -139,7 +139,9 @@ def lookup(rows: DataFrame, values: DataFrame, on: list[str], hot: str) -> DataF
 
 
 def repeats(docs: DataFrame) -> DataFrame | None:
-    """(doc_id, t, n): the ids and text hashes that n > 1 rows share; None if no row repeats another's id and text."""
+    """(doc_id, t, n): the ids and text hashes that n > 1 rows share; None if no row repeats another's id and text. Texts are read only if some id repeats."""
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return None
     found = docs.groupBy("doc_id", F.xxhash64("text").alias("t")).agg(F.count("*").alias("n")).where("n > 1")
     return None if found.isEmpty() else found
 
