@@ -164,8 +164,8 @@ def test_keyed_table_needs_no_shuffle(spark, tmp_path):
         done = kept.withColumn("d", F.col("x") - F.lag("x").over(w))
         plan = done._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and done.where("d = 13").count() == 487
-        grouped = seq.decimate(kept, ["k"], "i", 4, ["x"])
-        assert grouped.count() > 0
+        thin = seq.decimate(kept, ["k"], "i", 4, ["x"])
+        assert "Exchange" not in thin._jdf.queryExecution().executedPlan().toString() and thin.count() > 0
         both = kept.join(kept.groupBy("k").agg(F.max("i").alias("last")), "k")
         assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
     finally:
@@ -173,6 +173,18 @@ def test_keyed_table_needs_no_shuffle(spark, tmp_path):
         spark.sql("DROP TABLE keyed_by_hand")
 
 
+def test_thinned_by_key(spark, tmp_path):
+    rows = spark.createDataFrame([(k, i, i * 0.008, float(np.sin(i / 9)), "c") for k in "ab" for i in range(40)] + [("s", i, i * 0.5, float(i), "d") for i in range(20)], "k string, i long, rec_timestamp double, x double, category string")
+    got = {}
+    for r in tables.thinned_by_key(rows, "thinned_by_hand", str(tmp_path / "thin"), ["k"], "i", 4, ["x", "rec_timestamp"], 2).orderBy("k", "i").collect():
+        got.setdefault(r.k, []).append(r)
+    spark.sql("DROP TABLE thinned_by_hand")
+    assert [len(got[k]) for k in "abs"] == [10, 10, 5] and {r.category for r in got["s"]} == {"d"}
+    assert [r.rec_timestamp for r in got["s"]] == [0, 2000, 4000, 6000, 8000] and [r.x for r in got["s"]] == [0.0, 4.0, 8.0, 12.0, 16.0]
+    want = seq.smooth(np.array([[np.sin(i / 9), i * 0.008] for i in range(40)]), 4)[::4]
+    assert [r.x for r in got["a"]] == pytest.approx(want[:, 0]) and [r.rec_timestamp for r in got["a"]] == [int(t * 1000) for t in want[:, 1]]
+
+
 def test_publish(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.createDataFrame([(i, f"v{i}") for i in range(50)], "i int, v string").write.parquet(path)

@@ -343,7 +343,7 @@ def decimate(df: DataFrame, key: Cols, seq: str, q: int, continuous: Cols, block
     if q <= 1:
         return df
     size, lap = block * q, overlap * q
-    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), F.array(*[F.count(c) >= 2 * q for c in continuous]).alias("__full"))
+    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), F.array(*[F.count(c) >= 2 * q for c in continuous]).cast("array<boolean>").alias("__full"))
     rows = df.join(counts, list(key))
     rows = rows.withColumn("__block", F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col(seq) - lap) / size), F.floor((F.col(seq) + lap) / size))))
     schema = df.schema
