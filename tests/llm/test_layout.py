@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import merkle, queries, sharding, vector_codes
+from tidemark.llm import merkle, queries, sharding, simhash_dedup, vector_codes
 from tidemark.llm.common import Scratch, lookup
 
 DATA = "/root/testdata/sf0.001"
@@ -250,3 +250,13 @@ def test_partial_parents_wait_for_their_children():
     parts = [[*merkle.climb(iter(mixed[i::4]))] for i in range(4)]
     again = [*merkle.climb(n[:5] for p in parts for n in p if n[5])]
     assert {n[:3]: n[4] for p in [*parts, again] for n in p if not n[5]} == whole and not [n for n in again if n[5]]
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fingerprints_are_not_broadcast(spark):
+    """A ball is 33 rows a segment, which Spark's estimate of a small table leaves out."""
+    plan = planned(simhash_dedup.links(spark.range(10).select(F.col("id").alias("fp"))))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

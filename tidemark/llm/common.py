@@ -138,6 +138,15 @@ def lookup(rows: DataFrame, values: DataFrame, on: list[str], hot: str) -> DataF
     return tried.where(hot).select(*own, *new).union(rest.join(values.where(~F.col(hot)), match).select(*own, *new))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df for a join that deals both sides by key, never a broadcast: for tables that grow with the input.
+
+    Spark takes exploded rows for no more than those they come from, so a table of millions of rows can seem small enough
+    to pass through the driver.
+    """
+    return df.hint("merge")
+
+
 def repeats(docs: DataFrame) -> DataFrame | None:
     """(doc_id, t, n): the ids and text hashes that n > 1 rows share; None if no row repeats another's id and text. Texts are read only if some id repeats."""
     if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
@@ -231,9 +240,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
     for i in range(1, 100):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(spread(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
+        small = large.join(spread(least), "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
         e = scratch.keep(small.where("u <> v").distinct(), f"{name}-{i}")
         # a forest of stars: each node has one link, and no centre is a leaf
         leaves = e.select(F.col("u").alias("n"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(e.select(F.col("v").alias("n"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")).distinct())

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import line_dedup
-from tidemark.llm.common import Scratch, connected_components, map_batches, repeats, without_repeats
+from tidemark.llm.common import Scratch, connected_components, map_batches, repeats, spread, without_repeats
 
 RADIUS = 3
 SEGMENT = 32
@@ -68,7 +68,7 @@ def links(distinct: DataFrame) -> DataFrame:
     flips = F.array(F.lit(0), *[F.lit(1 << i) for i in range(SEGMENT)]).cast("array<bigint>")
     ball = own.select(F.col("fp").alias("a"), "s", F.col("v").alias("w"), F.explode(flips).alias("flip")).select("a", "s", F.col("w").bitwiseXOR(F.col("flip")).alias("v"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= RADIUS
-    return ball.join(own, ["s", "v"]).where((F.col("a") < F.col("fp")) & near).select("a", F.col("fp").alias("b"))
+    return ball.join(spread(own), ["s", "v"]).where((F.col("a") < F.col("fp")) & near).select("a", F.col("fp").alias("b"))
 
 
 def components(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -78,10 +78,10 @@ def components(docs: DataFrame, words: int = 3) -> DataFrame:
     least = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     linked = connected_components(links(least.select("fp")), scratch)
     # classes of linked fingerprints take the smallest id of all their documents
-    members = least.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    members = least.join(spread(linked.withColumnRenamed("node", "fp")), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = members.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = scratch.keep(members.join(smallest, "component").select("fp", "component_id"), "classes")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = scratch.keep(members.join(spread(smallest), "component").select("fp", "component_id"), "classes")
+    return prints.join(spread(classes), "fp").select("doc_id", "fp", "component_id")
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
