@@ -260,3 +260,9 @@ def test_fingerprints_are_not_broadcast(spark):
     """A ball is 33 rows a segment, which Spark's estimate of a small table leaves out."""
     plan = planned(simhash_dedup.links(spark.range(10).select(F.col("id").alias("fp"))))
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_shingle_sets_are_not_broadcast(spark):
+    sets = spark.createDataFrame([(1, [1, 2]), (2, [1, 2])], "h long, shingles array<long>")
+    plan = planned(simhash_dedup._similar(spark.createDataFrame([(1, 2)], "a long, b long"), sets))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -140,7 +140,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     x, y = (sets.select(F.col("h").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab")
-    return map_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "s_a", "s_b"), run, "a long, b long")
+    return map_batches(pairs.join(spread(x), "a").join(spread(y), "b").select("a", "b", "s_a", "s_b"), run, "a long, b long")
 
 
 def similar_components(docs: DataFrame, words: int = 5, unique: bool = False) -> DataFrame:
@@ -158,22 +158,22 @@ def similar_components(docs: DataFrame, words: int = 5, unique: bool = False) ->
     once = docs if unique else without_repeats(docs, repeats(docs))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        chosen = sets.join(wanted, "h", "left_semi").select("h", F.col("of.doc_id").alias("__id"), F.col("of.t").alias("__of"))
-        texts = once.withColumn("__t", F.xxhash64("text")).join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__of")))
+        chosen = sets.join(spread(wanted), "h", "left_semi").select("h", F.col("of.doc_id").alias("__id"), F.col("of.t").alias("__of"))
+        texts = once.withColumn("__t", F.xxhash64("text")).join(spread(chosen), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__of")))
         return _sets(texts, words)
 
     near = line_dedup.linked(sets.select(F.explode("keys").alias("key"), "h"), sets_of, _similar, _set_sketches, scratch)
     least = scratch.keep(every.groupBy("fp", "h").agg(F.min("doc_id").alias("first")), "distinct")
     # one set stands for all of a fingerprint
     one = scratch.keep(least.groupBy("fp").agg(F.min("h").alias("one")), "one")
-    equal = least.join(one, "fp").select(F.col("h").alias("a"), F.col("one").alias("b"))
+    equal = least.join(spread(one), "fp").select(F.col("h").alias("a"), F.col("one").alias("b"))
     x, y = (one.select(F.col("fp").alias(c), F.col("one").alias(f"one_{c}")) for c in "ab")
-    close = links(one.select("fp")).join(x, "a").join(y, "b").select(F.col("one_a").alias("a"), F.col("one_b").alias("b"))
+    close = links(one.select("fp")).join(spread(x), "a").join(spread(y), "b").select(F.col("one_a").alias("a"), F.col("one_b").alias("b"))
     label = connected_components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).union(equal).union(close), scratch, "all-cc")
-    members = least.groupBy("h").agg(F.min("first").alias("first")).join(label.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
+    members = least.groupBy("h").agg(F.min("first").alias("first")).join(spread(label.withColumnRenamed("node", "h")), "h", "left").withColumn("component", F.coalesce("component", "h"))
     smallest = members.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = scratch.keep(members.join(smallest, "component").select("h", "component_id"), "classes")
-    return every.select("doc_id", "h").join(classes, "h").select("doc_id", "component_id")
+    classes = scratch.keep(members.join(spread(smallest), "component").select("h", "component_id"), "classes")
+    return every.select("doc_id", "h").join(spread(classes), "h").select("doc_id", "component_id")
 
 
 def one_per_class(docs: DataFrame, words: int = 3, similar: bool = False) -> DataFrame:
@@ -182,4 +182,4 @@ def one_per_class(docs: DataFrame, words: int = 3, similar: bool = False) -> Dat
     keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("t")).alias("doc_id"), "text")
     found = similar_components(keyed, words, unique=True) if similar else components(keyed, words)
     keep = found.where("doc_id = component_id").select(F.col("doc_id.id").alias("__kept"), F.col("doc_id.t").alias("__t"))
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__kept")) & (F.xxhash64("text") == F.col("__t")), "left_semi")
+    return docs.join(spread(keep), F.col("doc_id").eqNullSafe(F.col("__kept")) & (F.xxhash64("text") == F.col("__t")), "left_semi")
