@@ -2,11 +2,12 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.values import python_number
+from tidemark.functions.values import python_number, rounded
 from tidemark.operators import counterfactual as cf
 from tidemark.operators import predicates
 from tidemark.operators import statements as st
@@ -160,6 +161,26 @@ def test_values_come_from_the_other_stream(spark, streams):
     assert cf.value_items(streams, last, ["ep"], "seq", "stream", "ms", ["x"]).count() == 0
 
 
+#: Products and quotients as lineitem's, at a half in the seventh digit or beside it.
+HALVES = [28.556161499999998, 65.0827485, -8.3546895, 75.96788049999999, 24.0, -0.25, 1e308, float("inf"), None]
+
+
+def test_halves_fall_as_in_sql(spark):
+    got = [r.r for r in spark.createDataFrame([(i, x) for i, x in enumerate(HALVES)], "i int, x double").orderBy("i").select(rounded("x", 6).alias("r")).collect()]
+    want = duckdb.sql(f"SELECT round(x, 6) FROM (SELECT unnest({[str(x) if x is not None else None for x in HALVES]}::DOUBLE[]) AS x)".replace("None", "NULL")).fetchall()
+    assert got == [r[0] for r in want]
+
+
+@pytest.mark.parametrize("price, tax", [(30705.55, 0.07), (8794.41, 0.05), (65740.15, 0.01)])
+def test_answers_at_a_half(spark, price, tax):
+    """The value of an item is the one SQL gives, though its seventh digit is a half."""
+    value = price * (1 - tax) / 1000
+    rows = spark.createDataFrame([(1, "c", s, s * 10, value) for s in range(30)], "ep int, stream string, seq int, ms long, x double")
+    items = spark.createDataFrame([(1, 10, 2, 8, 20)], "ep int, onset int, start int, length int, n_after int")
+    got = cf.value_items(rows, items, ["ep"], "seq", "stream", "ms", ["x", "x"], ("c", "c")).first()
+    assert got.v0 == duckdb.execute("SELECT round(?::DOUBLE, 6)", [value]).fetchall()[0][0]
+
+
 def test_segments_in_order(spark, streams):
     items = cf.pair_windows(streams, ["ep"], "seq", "stream", "event")
     out = cf.segment_items(streams.where("stream = 'counterfactual'"), items, ["ep"], "seq", F.col("x").cast("int").cast("string")).collect()

@@ -150,6 +150,12 @@ def plain_number(x: Name, digits: int = 2) -> Column:
     return F.when(short == "-0", F.lit("0")).otherwise(short)
 
 
+def rounded(x: Name, digits: int) -> Column:
+    """A double rounded as SQL engines do it: scaled first, then half away from zero. F.round takes the shortest printed form instead, which falls the other way for some halves (49.1374125)."""
+    scaled = F.round(col(x) * 10.0**digits, 0) / 10.0**digits
+    return F.when(F.abs(scaled) < float("inf"), scaled).otherwise(col(x))
+
+
 def python_number(x: Name) -> Column:
     """A number of at most six decimals as Python prints a float: 2.0, -0.25, 5e-06, 1.2e-05."""
     millionths = F.round(F.abs(col(x)) * 1e6).cast("long")

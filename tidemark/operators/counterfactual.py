@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.draws import digest, draw, draw_between
-from tidemark.functions.values import python_number
+from tidemark.functions.values import python_number, rounded
 
 Cols = Sequence[str]
 
@@ -76,13 +76,13 @@ def value_items(rows: DataFrame, items: DataFrame, key: Cols, seq: str, stream:
     target, anchor = other & (F.col(seq) == F.col("onset") + F.col("steps")), other & (F.col(seq) == F.col("onset"))
     aggs = [(F.max(F.when(target, F.col(t))) - F.max(F.when(anchor, F.col(t)))).alias("ahead")]
     for i, s in enumerate(signals):
-        aggs += [F.round(F.max(F.when(target, F.col(s))), 6).alias(f"v{i}"), F.stddev_pop(F.when(context, F.col(s))).alias(f"__s{i}")]
+        aggs += [rounded(F.max(F.when(target, F.col(s))), 6).alias(f"v{i}"), F.stddev_pop(F.when(context, F.col(s))).alias(f"__s{i}")]
     out = own.where(context | target | anchor).groupBy(*key).agg(*aggs).where(" AND ".join(f"v{i} IS NOT NULL" for i in range(len(signals))))
     std = [F.coalesce(F.col(f"__s{i}"), F.lit(0.0)) for i in range(len(signals))]
     # with several signals margins are made of rounded deviations, in whole millionths: their halves would fall either way
     millionths = lambda s: F.round(s * 1_000_000, 0).cast("decimal(20,0)")
-    margin = lambda s: F.round(F.lit(str(factor)).cast("decimal(9,6)") * millionths(s), 0).cast("double") / 1_000_000 if len(std) > 1 else F.round(factor * s, 6)
-    shown = [x for i, s in enumerate(std) for x in (f"v{i}", F.round(s, 6).alias(f"std{i}"), margin(s).alias(f"margin{i}"))]
+    margin = lambda s: F.round(F.lit(str(factor)).cast("decimal(9,6)") * millionths(s), 0).cast("double") / 1_000_000 if len(std) > 1 else rounded(factor * s, 6)
+    shown = [x for i, s in enumerate(std) for x in (f"v{i}", rounded(s, 6).alias(f"std{i}"), margin(s).alias(f"margin{i}"))]
     return asked.join(out.select(*key, "ahead", *shown), list(key))
 
 
