@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.functions.draws import digest, draw, shuffled
-from tidemark.functions.values import Name, col
+from tidemark.functions.values import Name, col, rounded
 from tidemark.operators.counterfactual import value_items
 from tidemark.operators.predicates import comparative
 from tidemark.operators.relevance import context_rows
@@ -69,9 +69,9 @@ def scalar_prediction(rows: DataFrame, windows: DataFrame, key: Cols, seq: str,
     inside = (at >= 0) & (at < end)
     target = at == end + F.col("__steps") - 1
     out = own.where(inside | target).groupBy(*key).agg(
-        F.round(F.max(F.when(target, F.col(signal))), 4).alias("answer"),
+        rounded(F.max(F.when(target, F.col(signal))), 4).alias("answer"),
         (F.max(F.when(target, F.col(t))) - F.max(F.when(inside, F.col(t)))).alias("ahead"),
-        F.round(factor * F.stddev_pop(F.when(inside, F.col(signal))), 6).alias("margin"),
+        rounded(factor * F.stddev_pop(F.when(inside, F.col(signal))), 6).alias("margin"),
     )
     return out.where("answer IS NOT NULL")
 
@@ -81,7 +81,7 @@ def tensor_prediction(rows: DataFrame, windows: DataFrame, key: Cols, seq: str,
     own = rows.join(windows.select(*key, "start", "length"), list(key))
     at = F.col(seq) - F.col("start")
     inside, target = (at >= 0) & (at < F.col("length")), at == F.col("length") + steps - 1
-    aggs = [x for i, s in enumerate(signals) for x in (F.round(F.max(F.when(target, F.col(s))), 6).alias(f"v{i}"), F.round(factor * F.stddev_pop(F.when(inside, F.col(s))), 6).alias(f"m{i}"))]
+    aggs = [x for i, s in enumerate(signals) for x in (F.round(F.max(F.when(target, F.col(s))), 6).alias(f"v{i}"), rounded(factor * F.stddev_pop(F.when(inside, F.col(s))), 6).alias(f"m{i}"))]
     out = own.where(inside | target).groupBy(*key).agg(*aggs).where(" AND ".join(f"v{i} IS NOT NULL" for i in range(len(signals))))
     n = range(len(signals))
     return out.select(*key, F.concat(F.lit("["), F.concat_ws(",", *[F.format_string("%.6f", f"v{i}") for i in n]), F.lit("]")).alias("answer"), F.array(*[f"m{i}" for i in n]).alias("margins"))
