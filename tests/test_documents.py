@@ -13,7 +13,9 @@ from tidemark.functions import baselines, draws, literals, noise, values
 from tidemark.operators import generators as gen
 from tidemark.operators import joins
 from tidemark.operators import sequence as seq
+from tidemark.plans import documents
 from tidemark.sources import tables
+from tidemark.sources.scratch import made_once
 
 # printed literals
 
@@ -52,6 +54,33 @@ def test_episode_metadata(spark):
     assert [(r.robot_type, r.task, r.condition, r.fault_id, r.payload_cog_configured) for r in got] == [("ur3", "lift", "fault", 3, "[0,0.5]"), ("ur3", "unknown", "fault", 9, None), ("ur3", "unknown", "tuned", None, None), ("ur3", "unknown", "normal", None, None), ("ur3", "unknown", "normal", None, None)]
 
 
+@pytest.mark.parametrize("few, join", [(100, "BroadcastHashJoin"), (1, "SortMergeJoin")])
+def test_made_once_for_equal_texts(spark, few, join):
+    """200 rows have three texts, a null among them: the costly expression sees three."""
+    seen = []
+
+    def make(d):
+        seen.append(d.count())
+        return d.select("t", F.length("t").alias("n"))
+
+    rows = spark.range(200).select("id", F.when(F.col("id") % 3 > 0, F.repeat(F.lit("x"), (F.col("id") % 3).cast("int"))).alias("t"))
+    out = made_once(rows, ["t"], make, few)
+    assert seen == [3] and join in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.t, r.n) for r in out.collect()) == [(i, "x" * (i % 3) if i % 3 else None, i % 3 or None) for i in range(200)]
+
+
+@pytest.mark.parametrize("name, plans", [("literal_patched", documents), ("nested_metadata", documents)])
+def test_literals_are_read_once_for_equal_texts(spark, monkeypatch, name, plans):
+    seen = []
+
+    def count(rows, by, make):
+        seen.append((rows.count(), rows.select(*by).distinct().count()))
+        return made_once(rows, by, make)
+
+    monkeypatch.setattr(plans, "made_once", count)
+    assert getattr(plans, name)(spark, "/root/testdata/sf0.001").count() == seen[0][0] > seen[0][1]
+
+
 # noise
 
 SERIES = ["t=0: a=1, b=58.55, c=x, d=1.5, e=2", "t=10: a=2, b=58.5, c=y, d=nan, e=2.25", "t=20: a=3, b=-3, c=z, d=2.5, e=7"]

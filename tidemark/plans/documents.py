@@ -15,7 +15,7 @@ from tidemark.plans.items import _UNIFORM, _digest, _draw, _windows
 from tidemark.plans.registry import query
 from tidemark.plans.views import AXES, ROBOT, axes, telemetry
 from tidemark.sources import tables
-from tidemark.sources.scratch import shared_folder
+from tidemark.sources.scratch import made_once, shared_folder
 from tidemark.sources.tables import table
 
 S = SparkSession
@@ -95,7 +95,8 @@ def nested_metadata(spark: S, sf: str) -> DataFrame:
     """Nested dictionaries as programs print them, with a fallback to a second one and defaults; unreadable ones count as empty."""
     text, other = _meta()
     o = table(spark, sf, "orders").select("o_orderkey", text.alias("m"), other.alias("f"))
-    return o.select("o_orderkey", literals.episode_metadata("m", "f").alias("x")).select("o_orderkey", "x.robot_type", "x.task", "x.condition", "x.fault_id", "x.weight_of_box", "x.offset")
+    o = made_once(o, ["m", "f"], lambda d: d.withColumn("x", literals.episode_metadata("m", "f")))
+    return o.select("o_orderkey", "x.robot_type", "x.task", "x.condition", "x.fault_id", "x.weight_of_box", "x.offset")
 
 
 @query("""WITH x AS (SELECT o_orderkey, o_orderkey % 5 AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'None' ELSE (o_custkey % 40)::VARCHAR END AS fault, concat(', ''condition'': ''unknown'', ''robot_model'': "ur5''s", ''offset'': {''xyz'': (1.5, ', (o_custkey % 3)::VARCHAR, '), ''on'': [True, None]}, ''weight_of_box'': ') AS mid, (o_custkey % 9)::VARCHAR AS w FROM orders)
@@ -105,7 +106,8 @@ def literal_patched(spark: S, sf: str) -> DataFrame:
     """Keys set in printed dictionaries: by force, or only where they are."""
     o = table(spark, sf, "orders").select("o_orderkey", _meta()[0].alias("m"))
     forced = literals.literal_patch("m", {"fault_id": F.lit("12"), "weight_of_box": F.lit("'2.5 kg'")})
-    return o.select("o_orderkey", forced.alias("forced"), literals.literal_patch("m", {"fault_id": F.lit("12"), "cause": F.lit("3")}, add=False).alias("known"))
+    known = literals.literal_patch("m", {"fault_id": F.lit("12"), "cause": F.lit("3")}, add=False)
+    return made_once(o, ["m"], lambda d: d.select("m", forced.alias("forced"), known.alias("known"))).select("o_orderkey", "forced", "known")
 
 
 @query(f"""WITH {ROBOT} SELECT event_id, CASE WHEN k % 3 > 0 THEN value END AS one, concat('[', CASE WHEN k % 5 > 0 THEN '{{"x":1.5,"n":7}}' ELSE '{{"x":null,"n":7}}' END, ',null]') AS listed, concat('{{"a":{{"b":[', CASE WHEN k % 3 > 0 THEN '2.5' ELSE 'null' END, ',', CASE WHEN k % 5 > 0 THEN '1.5' ELSE 'null' END, ']}}}}') AS deep, k % 3 = 0 AS nan_goes, k % 5 = 0 AS infinity_stays FROM t""")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Most rows of a table that is broadcast unasked.
+FEW = 1 << 16
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,3 +29,15 @@ def kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def made_once(rows: DataFrame, by: Sequence[str], make: Callable[[DataFrame], DataFrame], few: int = FEW) -> DataFrame:
+    """rows with the columns that make adds to a table of the columns by, which sees each combination of values once, however many rows have it.
+
+    For costly expressions over texts that repeat. Where more than `few` combinations differ, rows and results are both dealt by them.
+    """
+    made = kept(rows.sparkSession, make(rows.select(*by).distinct()), "made")
+    keys = {c: f"__{c}" for c in by}
+    match = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()])
+    own = made.withColumnsRenamed(keys).hint("merge" if made.count() > few else "broadcast")
+    return rows.join(own, match).drop(*keys.values())
