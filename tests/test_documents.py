@@ -13,7 +13,7 @@ from tidemark.functions import baselines, draws, literals, noise, values
 from tidemark.operators import generators as gen
 from tidemark.operators import joins
 from tidemark.operators import sequence as seq
-from tidemark.plans import documents
+from tidemark.plans import documents, lookups
 from tidemark.sources import tables
 from tidemark.sources.scratch import made_once
 
@@ -69,7 +69,7 @@ def test_made_once_for_equal_texts(spark, few, join):
     assert sorted((r.id, r.t, r.n) for r in out.collect()) == [(i, "x" * (i % 3) if i % 3 else None, i % 3 or None) for i in range(200)]
 
 
-@pytest.mark.parametrize("name, plans", [("literal_patched", documents), ("nested_metadata", documents)])
+@pytest.mark.parametrize("name, plans", [("literal_patched", documents), ("nested_metadata", documents), ("literal_metadata", lookups)])
 def test_literals_are_read_once_for_equal_texts(spark, monkeypatch, name, plans):
     seen = []
 

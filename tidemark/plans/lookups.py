@@ -12,7 +12,7 @@ from tidemark.operators import sequence as seq
 from tidemark.plans.registry import query
 from tidemark.plans.views import ROBOT, telemetry
 from tidemark.sources import tables
-from tidemark.sources.scratch import shared_folder
+from tidemark.sources.scratch import made_once, shared_folder
 from tidemark.sources.tables import table
 
 S = SparkSession
@@ -68,9 +68,14 @@ def literal_metadata(spark: S, sf: str) -> DataFrame:
     n = F.lit("None")
     meta = F.concat(F.lit("{'task': 'pick', 'fault_id': "), F.when(F.col("o_orderkey") % 3 == 0, (F.col("o_custkey") % 7).cast("string")).otherwise(n), F.lit(", 'condition': "), F.when(F.col("o_orderkey") % 4 == 0, F.lit("'calibration'")).otherwise(F.lit("'unknown'")), F.lit(""", 'note': "it's [1, 2]"}"""))
     other = F.concat(F.lit("{'fault_id': "), F.when(F.col("o_orderkey") % 5 > 0, (F.col("o_custkey") % 4).cast("string")).otherwise(n), F.lit(", 'box': [1, 2, 3]}"))
-    o = table(spark, sf, "orders").select("o_orderkey", values.literal_dict(meta).alias("m"), values.literal_dict(other).alias("f"))
-    o = o.withColumn("fault", values.metadata_fault("m", "f"))
-    return o.select("o_orderkey", "fault", values.condition("m", "fault").alias("condition"), values.is_nominal("fault", F.lit(None).cast("int")).alias("nominal"), values.is_anomalous("fault").alias("anomalous"), F.element_at("m", "note").alias("note"))
+    o = table(spark, sf, "orders").select("o_orderkey", meta.alias("meta"), other.alias("other"))
+
+    def read(d: DataFrame) -> DataFrame:
+        d = d.select("meta", "other", values.literal_dict("meta").alias("m"), values.literal_dict("other").alias("f"))
+        d = d.withColumn("fault", values.metadata_fault("m", "f"))
+        return d.select("meta", "other", "fault", values.condition("m", "fault").alias("condition"), values.is_nominal("fault", F.lit(None).cast("int")).alias("nominal"), values.is_anomalous("fault").alias("anomalous"), F.element_at("m", "note").alias("note"))
+
+    return made_once(o, ["meta", "other"], read).drop("meta", "other")
 
 
 @query("""SELECT p_partkey, CASE WHEN lower(substr(p_type, 1, 1)) IN ('a', 'e', 'i', 'o', 'u') THEN concat('an ', p_type) ELSE concat('a ', p_type) END AS phrase, CASE WHEN p_size % 4 = 1 THEN 'a slipping belt' ELSE concat('a ', lower(replace(p_type, ' ', '-'))) END AS anomaly,
