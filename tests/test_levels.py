@@ -191,3 +191,15 @@ def test_segments_in_order(spark, streams):
         assert sorted(r.options) == list("ABCD") and len({len(p) for p in parts}) == 1 and 5 <= len(parts[0]) <= 7
         assert flat == list(range(flat[0], flat[0] + len(flat))) and flat[0] >= 1000 + r.onset
     assert cf.segment_items(streams.where("stream = 'counterfactual'"), items.withColumn("n_after", F.lit(19)), ["ep"], "seq", F.lit("x")).count() == 0
+
+
+def test_window_features_read_rows_once(spark):
+    """One join of rows and items, one aggregation: rows after the first are not joined back to their base row."""
+    rows = spark.range(20).select(F.lit(1).alias("ep"), F.col("id").alias("s"), *[(F.col("id") * 1.0).alias(c) for c in ("v", "p", "e", "c", "r")], F.lit(1).alias("safe"))
+    items = spark.createDataFrame([(1, 9, 10), (2, 9, 10)], "ep int, base long, first long")
+    out = predicates.window_features(rows, items, ["ep"], "s", [("v", "p", "e")], "c", "r", "safe")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+    r = out.collect()
+    assert len(r) == 1 and (r[0].pre_v0, r[0].min_v0, r[0].max_v0, r[0].early_e0, r[0].first_e0, r[0].last_e0, r[0].contact_most, r[0].n_e0) == (9, 10, 19, 13, 10, 19, 19, 10)
+    assert predicates.window_features(rows, items.withColumn("first", F.lit(20)), ["ep"], "s", [("v", "p", "e")], "c", "r", "safe").count() == 0
+    assert predicates.window_features(rows, items.withColumn("base", F.lit(30)), ["ep"], "s", [("v", "p", "e")], "c", "r", "safe").count() == 0

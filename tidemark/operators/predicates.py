@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import mean_of
@@ -60,8 +60,9 @@ def window_features(rows: DataFrame, items: DataFrame, key: Sequence[str], seq:
 
     items: key, `base` and `first` (places in the episode), maybe `force_low` (the share above the contact before that still
     counts as low), and `by`, what tells items of one episode apart. axes: (speed, setpoint, effort) columns of each axis;
-    tcp: the tracking error of the tool, where there is one. Items without a base row go. Two aggregations with map-side
-    combine, the first for the base row alone, since later rows are compared with it; no episode is sorted or buffered.
+    tcp: the tracking error of the tool, where there is one. Items without a base row go. Later rows are
+    compared with the base row, whose contact a window hands to them, so that one aggregation of one join by key finds all;
+    of an episode only the base row and those from the first on are kept for it, and Spark spills them.
     """
     by = list(by or key)
     tcp = F.lit(None).cast("double") if tcp is None else tcp
@@ -72,22 +73,26 @@ def window_features(rows: DataFrame, items: DataFrame, key: Sequence[str], seq:
     at_base = lambda x: F.max(F.when(F.col(seq) == F.col("__base"), x))
     pre = {f"pre_v{i}": F.col(v) for i, (v, _, _) in enumerate(axes)} | {f"pre_e{i}": F.col(e) for i, (_, _, e) in enumerate(axes)}
     pre |= {"pre_contact": F.col(contact), "pre_current": F.col(current), "pre_track": error, "pre_tcp": tcp}
-    before = own.groupBy(*by).agg(F.max(seq).alias("__last"), at_base(F.lit(True)).alias("__there"), *[at_base(x).alias(n) for n, x in pre.items()]).where("__there").drop("__there")
-    post = own.where(F.col(seq) >= F.col("__first")).join(before.select(*by, F.col("pre_contact").alias("__contact"), "__last"), by)
+    # rows of one key are dealt together for the join already; the windows and the groups need no other deal
+    w, after = Window.partitionBy(*by), F.col(seq) >= F.col("__first")
+    own = own.withColumns({"__contact": at_base(F.col(contact)).over(w), "__last": F.max(seq).over(w), "__there": at_base(F.lit(True)).over(w)})
+    own = own.where("__there").where(after | (F.col(seq) == F.col("__base")))
     # the first four tenths of the rows, one at least
     early = F.col(seq) < F.col("__first") + F.greatest(F.lit(1), F.floor((F.col("__last") - F.col("__first") + 1) * 4 / 10))
-    c, r = F.col(contact), F.col(current)
-    aggs: list[Column] = []
+    of = lambda x: F.when(after, x)
+    c, r = of(F.col(contact)), of(F.col(current))
+    aggs = [at_base(x).alias(n) for n, x in pre.items()] + [F.count_if(after).alias("__after")]
     for i, (v, _, e) in enumerate(axes):
-        known = F.when(F.col(e).isNotNull(), F.col(seq))
-        aggs += [F.min(v).alias(f"min_v{i}"), F.max(v).alias(f"max_v{i}"), F.avg(F.abs(v)).alias(f"abs_v{i}"), F.avg(e).alias(f"mean_e{i}"), F.count(e).alias(f"n_e{i}")]
-        aggs += [F.max(F.when(early, F.col(e))).alias(f"early_e{i}"), F.min_by(e, known).alias(f"first_e{i}"), F.max_by(e, known).alias(f"last_e{i}")]
+        speed, effort = of(F.col(v)), of(F.col(e))
+        known = F.when(effort.isNotNull(), F.col(seq))
+        aggs += [F.min(speed).alias(f"min_v{i}"), F.max(speed).alias(f"max_v{i}"), F.avg(F.abs(speed)).alias(f"abs_v{i}"), F.avg(effort).alias(f"mean_e{i}"), F.count(effort).alias(f"n_e{i}")]
+        aggs += [F.max(F.when(early, effort)).alias(f"early_e{i}"), F.min_by(effort, known).alias(f"first_e{i}"), F.max_by(effort, known).alias(f"last_e{i}")]
     aggs += [
         F.avg(F.when(c.isNotNull(), (c <= (1 + F.col("__low")) * F.col("__contact")).cast("double"))).alias("contact_low"),
-        F.max(c).alias("contact_most"), F.avg(c).alias("contact"), F.avg(error).alias("track"), F.avg(tcp).alias("tcp"),
-        (F.max(r) - F.min(r)).alias("current_span"), F.avg(r).alias("current_mean"), F.bool_and(F.coalesce(F.col(safety) == 1, F.lit(False))).alias("safe"),
+        F.max(c).alias("contact_most"), F.avg(c).alias("contact"), F.avg(of(error)).alias("track"), F.avg(of(tcp)).alias("tcp"),
+        (F.max(r) - F.min(r)).alias("current_span"), F.avg(r).alias("current_mean"), F.bool_and(of(F.coalesce(F.col(safety) == 1, F.lit(False)))).alias("safe"),
     ]
-    return post.groupBy(*by).agg(*aggs).join(before.drop("__last"), by)
+    return own.groupBy(*by).agg(*aggs).where("__after > 0").drop("__after")
 
 
 def aggregate_error(track: Column, tcp: Column, contact: Column, current: Column) -> Column:
