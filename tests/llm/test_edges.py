@@ -1,6 +1,7 @@
 """Odd input for every corpus operator: empty tables, null ids, repeats, names that operators use inside."""
 
 import time
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, chat_format, decontaminate, html_extract, id_store, language_id, license_scan, line_dedup, quality_rules, simhash_dedup
+from tidemark.llm.pretokenize import pieces
 
 STORE = public_tokenizers.path("byte_bpe_50k.json")
 BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -105,6 +107,43 @@ def test_store_of_odd_rows(spark, clash, tmp_path):
     assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
 
 
+ODD_TEXTS = ["", " ", "a", "it's he'll' 'tis 's", "  two  spaces  ", "\n\n x\n", " lead", "tail ", "tail \t", "'", "'s", "s", "x'", "re-do", "12 345", "\x00 nul\x00", "\u3000wide\u3000 \u00a0", "naïve Ünïcode 漢字 😀😀", "a <|endoftext|> b", "it's he'll' 'tis 's"]
+
+
+def test_store_encoder_takes_texts_together(monkeypatch):
+    """Texts encoded together get the ids that the library gives each alone, also where hashes of pieces clash; each new piece goes to the model once, several at a time."""
+    t = Tokenizer.from_file(STORE)
+    want = [t.encode(x, add_special_tokens=False).ids for x in ODD_TEXTS]
+    for block in (1, 20, 1 << 20):
+        monkeypatch.setattr(id_store, "BLOCK", block)
+        for most in (0, 10, 1000):
+            e = id_store.Encoder(STORE, most)
+            for _ in range(2):
+                assert [x.tolist() for x in e.encode_all(ODD_TEXTS)] == want
+    e = id_store.Encoder(STORE)
+    calls = []
+    real = e.tokenizer.model
+    e.tokenizer = SimpleNamespace(model=SimpleNamespace(tokenize=lambda x: calls.append(x) or real.tokenize(x), token_to_id=real.token_to_id))
+    texts = [" ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(j, j + 100)) for j in range(0, 200, 10)]
+    assert [x.tolist() for x in e.encode_all(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(calls) <= 40 and sum(x.count("word") for x in calls) == len({p for x in texts for p in pieces(x) if "word" in p})
+    e.encode_all(texts[::-1])
+    assert len(calls) <= 40
+    monkeypatch.setattr(id_store, "span_hashes", lambda chars, at, stop: (stop - at).astype(np.uint64))
+    assert [x.tolist() for x in id_store.Encoder(STORE).encode_all(ODD_TEXTS)] == want
+
+
+def test_store_cuts_streams_together(monkeypatch):
+    """Chunks end where they do in each stream alone."""
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 50000, n).astype("<u2") for n in (1, 5, 16, 127, 128, 129, 3000, 2, 20000, 700)] + [np.zeros(9000, dtype="<u2")]
+    alone = [id_store.cuts([x])[0] for x in docs]
+    assert [x[-1] for x in alone] == [*map(len, docs)] and len(alone[8]) > 10 and all(0 < b - a <= id_store.MOST for x in alone for a, b in zip([0, *x], x))
+    for room in (1, 3000, 1 << 20):
+        monkeypatch.setattr(id_store, "ROOM", room)
+        assert id_store.cuts(docs) == alone == id_store.cuts([x.astype("<u4") for x in docs])
+
+
 def test_empty_store(spark, tmp_path):
     id_store.write(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "none"), STORE)
     assert id_store.read_digests(spark, str(tmp_path / "none"), STORE).count() == 0

@@ -19,22 +19,28 @@ their own, in the order of their leaves; null ids come first; an empty table giv
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import zlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held, map_batches, mix, powers
-from tidemark.llm.pretokenize import pieces
+from tidemark.llm.common import held, map_batches, mix, powers, span_hashes, texts_of
+from tidemark.llm.pretokenize import pieces_of_all
 
 WINDOW = 16
 AVERAGE_BITS = 9
 LEAST, MOST = 128, 4096
 FAN = 4096
+#: Most characters (one text at least) encoded together, and most pieces handed to the model together.
+BLOCK, GROUP = 2_000_000, 10
+#: Most ids (one document at least) cut into chunks together.
+ROOM = 500_000
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -47,11 +53,12 @@ def _byte_alphabet() -> dict[int, str]:
 class Encoder:
     """The library's tokenizer behind a table of the pieces met lately.
 
-    Where the file describes a plain byte-level BPE, texts are cut by its pattern and each new piece goes to the library's
-    model alone; texts that hold one of its added tokens, and all texts for any other file, go to the library whole.
+    Where the file describes a plain byte-level BPE, texts are cut by its pattern, block by block, and each new piece goes to
+    the library's model alone; texts that hold one of its added tokens, and all texts for any other file, go to the library
+    whole. New pieces travel to the model GROUP at a time, parted by a byte that no merge holds: nothing merges across it.
     """
 
-    def __init__(self, path: str, max_pieces: int = 400_000):
+    def __init__(self, path: str, max_pieces: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -59,27 +66,104 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         with open(path) as f:
             spec = json.load(f)
-        before = spec.get("pre_tokenizer") or {}
+        before, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
         self.plain = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
         self.added = [t["content"] for t in spec.get("added_tokens") or () if t["content"]]
-        self.alphabet, self.known, self.max_pieces = _byte_alphabet(), {}, max_pieces
+        self.alphabet, self.max_pieces = _byte_alphabet(), max_pieces
+        self._forget()
+        merged = {c for m in model.get("merges") or () for c in (m if isinstance(m, str) else "".join(m))}
+        special = any(model.get(k) for k in ("ignore_merges", "dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        free = [c for b, c in self.alphabet.items() if b < 0x80 and c not in merged and c in (model.get("vocab") or {})]
+        self.parting = free[0] if free and model.get("type") == "BPE" and not special else None
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.plain or any(t in text for t in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
-        words = pieces(text)
-        found = list(map(self.known.get, words))
-        if None in found:
-            if len(self.known) > self.max_pieces:
-                self.known.clear()
-            known, tokenize, kind = self.known, self.tokenizer.model.tokenize, self.kind
-            for i, w in enumerate(words):
-                if found[i] is None:
-                    ids = known.get(w)
-                    if ids is None:
-                        ids = known[w] = np.array([t.id for t in tokenize(w.encode().decode("latin-1").translate(self.alphabet))], dtype=kind).tobytes()
-                    found[i] = ids
-        return np.frombuffer(b"".join(found), dtype=self.kind)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        block: list[int] = []
+        size = 0
+        for i, text in enumerate(texts):
+            if not self.plain or any(t in text for t in self.added):
+                out[i] = self._whole(text)
+                continue
+            if block and size + len(text) >= BLOCK:
+                self._encode_block(texts, block, out)
+                block, size = [], 0
+            block.append(i)
+            size += len(text) + 1
+        if block:
+            self._encode_block(texts, block, out)
+        return out
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
+
+    def _encode_block(self, texts: list[str], block: list[int], out: list[np.ndarray | None]) -> None:
+        text, chars, at, ends = pieces_of_all([texts[i] for i in block])
+        stop = np.append(at[1:], len(text))
+        codes = self._codes(text, chars, at, stop)
+        # equal hashes say no more than that pieces may be equal: each is held against the one known by its hash
+        if not (stop - at == self.sizes[codes]).all() or not (chars == self.chars[spans(self.at[codes], stop - at)]).all():
+            for i in block:
+                out[i] = self._whole(texts[i])
+            return
+        n = self.n_ids[codes]
+        n[ends] = 0
+        ids = self.ids[spans(self.ids_at[codes], n)]
+        last = 0
+        for i, end in zip(block, np.cumsum(n)[ends].tolist()):
+            out[i] = ids[last:end]
+            last = end
+
+    def _codes(self, text: str, chars: np.ndarray, at: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The number of each piece's hash in the table, which takes in the new ones."""
+        if len(self.hashes) > self.max_pieces or len(self.chars) > 16 * self.max_pieces:
+            self._forget()
+        have = len(self.hashes)
+        found = pa.array(np.concatenate((self.hashes, span_hashes(chars, at, stop)))).dictionary_encode()
+        codes = found.indices.to_numpy()[have:]
+        new = np.flatnonzero(codes >= have)
+        if len(new):
+            first = np.empty(len(found.dictionary) - have, dtype=np.int64)
+            first[codes[new[::-1]] - have] = new[::-1]
+            at, stop = at[first], stop[first]
+            self.at = np.append(self.at, len(self.chars) + np.cumsum(stop - at) - (stop - at))
+            self.sizes = np.append(self.sizes, (stop - at).astype(np.int32))
+            self.chars = np.append(self.chars, chars[spans(at, stop - at)])
+            ids, n = self._tokenized([text[a:b] for a, b in zip(at.tolist(), stop.tolist())])
+            self.ids_at = np.append(self.ids_at, len(self.ids) + np.cumsum(n) - n)
+            self.n_ids = np.append(self.n_ids, n)
+            self.ids = np.append(self.ids, ids)
+            self.hashes = found.dictionary.to_numpy()
+        return codes
+
+    def _forget(self) -> None:
+        """Empties the table: hashes of pieces, where their characters and ids begin and how many these are."""
+        self.hashes, self.chars, self.ids = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=self.kind)
+        self.at, self.ids_at = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.sizes, self.n_ids = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
+
+    def _tokenized(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The model's ids of all pieces, one after the other, and how many each has."""
+        spelt = [w.encode().decode("latin-1").translate(self.alphabet) for w in words]
+        tokenize, part = self.tokenizer.model.tokenize, self.parting
+        if part is None or any(part in x for x in spelt):
+            each = [[t.id for t in tokenize(x)] for x in spelt]
+            return np.array([i for x in each for i in x], dtype=self.kind), np.array([*map(len, each)], dtype=np.int32)
+        ids: list[int] = []
+        for start in range(0, len(spelt), GROUP):
+            ids += [t.id for t in tokenize(part.join(spelt[start : start + GROUP]) + part)]
+        flat = np.array(ids, dtype=self.kind)
+        between = flat == self.tokenizer.model.token_to_id(part)
+        return flat[~between], np.diff(np.flatnonzero(between), prepend=-1).astype(np.int32) - np.int32(1)
+
+
+def spans(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The positions at, at + 1, ... of n each, one after the other."""
+    stop = np.cumsum(n, dtype=np.int64)
+    return np.repeat(at - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)
 
 
 @held
@@ -87,16 +171,47 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream."""
+@functools.lru_cache(maxsize=1)
+def _mixed() -> np.ndarray:
+    """The mixed values of all ids of two bytes."""
+    return mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+
+
+def cuts(docs: list[np.ndarray]) -> list[list[int]]:
+    """Ends of the chunks of each id stream; streams share one pass, ROOM ids or a stream at a time."""
+    out: list[list[int]] = []
+    sizes = [len(x) for x in docs]
+    i = 0
+    while i < len(docs):
+        j, total = i + 1, sizes[i]
+        while j < len(docs) and total + sizes[j] <= ROOM:
+            total += sizes[j]
+            j += 1
+        begin = 0
+        marks = _marks(np.concatenate(docs[i:j]))
+        for n in sizes[i:j]:
+            out.append(_chunks(n, [] if n <= LEAST else [m - begin for m in marks[bisect_left(marks, begin + WINDOW) : bisect_right(marks, begin + n)]]))
+            begin += n
+        i = j
+    return out
+
+
+def _marks(ids: np.ndarray) -> list[int]:
+    """Ends of the windows of WINDOW ids whose rolling hash meets the mask; it is the same wherever a window stands."""
     n = len(ids)
-    if n <= LEAST:
-        return [n]
+    if n < WINDOW:
+        return []
     up, down = powers(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(mix(ids.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+    np.cumsum((_mixed()[ids] if ids.dtype.itemsize == 2 else mix(ids.astype(np.uint64) + np.uint64(1))) * up[:n], out=sums[1:])
     rolling = mix((sums[WINDOW:] - sums[:-WINDOW]) * down[: n - WINDOW + 1]) & np.uint64((1 << AVERAGE_BITS) - 1)
-    marks = (np.flatnonzero(rolling == 0) + WINDOW).tolist()
+    return (np.flatnonzero(rolling == 0) + WINDOW).tolist()
+
+
+def _chunks(n: int, marks: list[int]) -> list[int]:
+    """Ends of the chunks of a stream of n ids with these marks."""
+    if n <= LEAST:
+        return [n]
     out, last = [], 0
     for m in [*marks, n]:
         while m - last > MOST:
@@ -117,11 +232,12 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0) -> None:
         e = encoder(vocabulary)
         chunks: dict[bytes, tuple[int, bytes]] = {}
         hashes, sizes = [], []
-        for text in b.column(2).to_pylist():
-            ids = np.append(e.encode(text or ""), np.array([end_id], dtype=e.kind))
+        end = np.array([end_id], dtype=e.kind)
+        docs_ids = [np.append(own, end) for own in e.encode_all(texts_of(b.column(2)))]
+        for ids, stops in zip(docs_ids, cuts(docs_ids)):
             wide = ids.astype("<u4")
             own_h, own_n, last = [], [], 0
-            for stop in cuts(ids):
+            for stop in stops:
                 h = hashlib.sha256(wide[last:stop]).digest()
                 if h not in chunks:
                     chunks[h] = (stop - last, ids[last:stop].tobytes())

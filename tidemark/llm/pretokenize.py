@@ -24,15 +24,13 @@ def char_classes() -> np.ndarray:
     return out
 
 
-def pieces(text: str) -> list[str]:
-    """What findall with the splitting pattern of public_tokenizers gives.
+def piece_starts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of a text that is not empty, and whether a piece starts at each.
 
     A piece starts where the class of characters changes; one plain space joins the run after it; of longer white
     space the last character stands apart (or joins); contraction endings go with their apostrophe.
     """
     n = len(text)
-    if not n:
-        return []
     chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     kind = char_classes()[chars]
     white = kind == _WHITE
@@ -49,6 +47,24 @@ def pieces(text: str) -> list[str]:
                     if p + 1 + len(end) < n:
                         start[p + 1 + len(end)] = True
                     break
-    cuts = np.flatnonzero(start).tolist()
-    cuts.append(n)
+    return chars, start
+
+
+def pieces(text: str) -> list[str]:
+    """What findall with the splitting pattern of public_tokenizers gives."""
+    if not text:
+        return []
+    cuts = np.flatnonzero(piece_starts(text)[1]).tolist()
+    cuts.append(len(text))
     return [text[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def pieces_of_all(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, chars, at, ends): all texts in one, a line feed after each, and its code points; where its pieces start, each line feed one of its own; and the numbers of those."""
+    text = "\n".join(texts) + "\n"  # white space, but no plain space: what is beside it is cut as at a text's edge
+    chars, start = piece_starts(text)
+    edge = np.cumsum(np.array([len(t) + 1 for t in texts])) - 1
+    start[edge] = True
+    start[edge[:-1] + 1] = True
+    at = np.flatnonzero(start)
+    return text, chars, at, np.searchsorted(at, edge)
