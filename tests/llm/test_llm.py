@@ -174,6 +174,18 @@ def test_line_dedup_lines_of_f(spark):
     assert {r.line for r in line_dedup.lines_of(docs).collect()} == {x.strip(line_dedup.BLANK) for _, t in rows for x in t.split("\n") if x.strip(line_dedup.BLANK)}
 
 
+def test_line_dedup_places_come_from_one_pass(spark, tmp_path):
+    """Lines are cut and hashed once for their places: what is returned reads the kept places, not the texts again; edges of every blank kind are trimmed."""
+    base = "a line that is long enough to have many shingles of its own and some more words behind them"
+    texts = [base, *(f"{a}{base} {i}{b}" for i, (a, b) in enumerate([(" ", ""), ("", "\t"), ("\x0b", "\x0c"), ("\r", "\r"), ("\t \x0c", " \x0b")])), "\u00a0" + base + "\u3000", " \t\x0b\x0c\r\nalone\nquite different from all others", None, "", base + "\n" + base]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    out = line_dedup.line_classes(docs)
+    assert not set(out.inputFiles()) & set(docs.inputFiles())
+    assert {(r.doc_id, r.line_no): r.kept for r in out.collect()} == brute_lines(rows)
+
+
 def test_line_dedup_repeated_shingles(spark):
     texts = ["-" * 20, "-" * 60, "ha " * 12 + "x", "ha " * 30 + "x", "=" * 300, "-=" * 9, "-=" * 40, "-----", "------", "--=---", "=" * 6 + "\n" + "ab" * 3]
     rows = list(enumerate(texts))

@@ -221,7 +221,9 @@ def jaccard(a: str, b: str) -> float:
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, t, line_no, line, h) of every non-blank line, trimmed; t, the text's XXH64 value, tells texts under one id apart."""
     at = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    at = at.select("doc_id", "t", "line_no", F.expr("trim(BOTH ' \\t\\n\\u000b\\u000c\\r' FROM line)").alias("line"))
+    # trimming walks a whole line, so only lines with something to trim are
+    edges = functools.reduce(lambda a, b: a | b, [f(F.col("line"), F.lit(c)) for c in BLANK for f in (F.startswith, F.endswith)])
+    at = at.select("doc_id", "t", "line_no", F.when(edges, F.expr("trim(BOTH ' \\t\\n\\u000b\\u000c\\r' FROM line)")).otherwise(F.col("line")).alias("line"))
     return at.where("line <> ''").withColumn("h", line_key(F.col("line")))
 
 
@@ -275,7 +277,9 @@ def linked(bands: DataFrame, texts_of: Callable[[DataFrame], DataFrame], verifie
     """
     by_key = Window.partitionBy("key").orderBy(F.xxhash64("key", "h"), "h")
     so_far = by_key.rowsBetween(Window.unboundedPreceding, 0)
-    once = bands.withColumn("own", F.when(F.lag("h").over(by_key).eqNullSafe(F.col("h")), None).otherwise(F.col("h")))
+    # most rows are alone in their bucket; they go before the others are put in order
+    met = bands.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("rows > 1").drop("rows")
+    once = met.withColumn("own", F.when(F.lag("h").over(by_key).eqNullSafe(F.col("h")), None).otherwise(F.col("h")))
     hubs = once.select("key", "h", "own", *[F.nth_value("own", i + 1, True).over(so_far).alias(f"hub{i}") for i in range(HUBS)])
     # a line meets the hubs before it; the first line of a bucket has none
     members = scratch.keep(hubs.where("own IS NOT NULL AND h <> hub0").drop("own"), "members")
@@ -310,7 +314,7 @@ def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     docs = docs.select("doc_id", "text")
     all_lines = lines_of(docs)
     found = linked(_bands(docs), lambda wanted: all_lines.join(wanted, "h", "left_semi").select("h", "line").dropDuplicates(["h"]), _verified, _sketched, scratch)
-    return all_lines.select("doc_id", "t", "line_no", "h"), found
+    return scratch.keep(all_lines.select("doc_id", "t", "line_no", "h"), "lines"), found
 
 
 def _placed(docs: DataFrame) -> DataFrame:
@@ -319,10 +323,12 @@ def _placed(docs: DataFrame) -> DataFrame:
     lines, found = classes(docs, scratch)
     place = F.struct("doc_id", "t", "line_no")
     firsts = scratch.keep(lines.groupBy("h").agg(F.min(place).alias("place")), "places")
-    firsts = firsts.join(found.withColumnRenamed("node", "h"), "h", "left").withColumn("class_id", F.coalesce("component", "h"))
-    best = firsts.groupBy("class_id").agg(F.min("place").alias("best"))
-    known = scratch.keep(firsts.join(best, "class_id").select("h", "class_id", "best"), "classes")
-    scratch.drop("labels", "joined", "places")
+    # only lines with near copies meet those of their class; the others are classes of their own
+    near = scratch.keep(firsts.join(found.select(F.col("node").alias("h"), F.col("component").alias("class_id")), "h"), "near")
+    best = near.groupBy("class_id").agg(F.min("place").alias("best"))
+    near = scratch.keep(near.join(best, "class_id").select("h", "class_id", "best"), "classes")
+    scratch.drop("labels", "joined", "near")
+    known = firsts.join(near, "h", "left").select("h", F.coalesce("class_id", "h").alias("class_id"), F.coalesce("best", "place").alias("best"))
     return lines.join(known, "h").select("doc_id", "t", "line_no", "class_id", place.eqNullSafe(F.col("best")).alias("kept"))
 
 
