@@ -186,6 +186,39 @@ def test_line_dedup_places_come_from_one_pass(spark, tmp_path):
     assert {(r.doc_id, r.line_no): r.kept for r in out.collect()} == brute_lines(rows)
 
 
+def test_line_dedup_sorts_only_lines_near_the_bound(monkeypatch):
+    """Whether a line has few or many distinct shingles is sorted out only where it is open; pairs are compared in one sort."""
+    rnd = random.Random(5)
+    lines = ["".join(rnd.choice("abcdefghijklmnop ") for _ in range(400)) for _ in range(50)]
+    sorted_hashes, plain = [], line_dedup.distinct_rows
+    monkeypatch.setattr(line_dedup, "distinct_rows", lambda h, offsets: sorted_hashes.append(len(h)) or plain(h, offsets))
+    at, keys = line_dedup.band_keys(*line_dedup.shingle_hashes(lines))
+    assert np.bincount(at).tolist() == [line_dedup.BANDS] * 50 and sorted_hashes == []
+    assert line_dedup.similarities(line_dedup.shingle_hashes(lines), line_dedup.shingle_hashes(lines)).tolist() == [1.0] * 50 and sorted_hashes == []
+    line_dedup.band_keys(*line_dedup.shingle_hashes([*lines, "ab" * 300]))
+    assert sorted_hashes == [595]
+
+
+def test_line_dedup_hashes_counts_and_similarities_like_their_definitions():
+    rnd = random.Random(6)
+    lines = ["", "a", "abcde", "abcdef", "abcdefg", "", "é\U0001f600日", "\ud800ab", "=" * 500, "ab" * 200]
+    lines += ["".join(rnd.choice("ab") for _ in range(n)) for n in range(0, 300, 7)] + ["".join(rnd.choice("abcdefgh ") for _ in range(n)) for n in range(60, 110)]
+    h, offsets = line_dedup.shingle_hashes(lines)
+    shingles = [[x[i : i + 6] for i in range(max(1, len(x) - 5))] for x in lines]
+    assert np.diff(offsets).tolist() == [len(x) for x in shingles]
+    of = {}
+    for shingle, value in zip(itertools.chain.from_iterable(shingles), h.tolist()):
+        assert of.setdefault(shingle, value) == value
+    assert len(set(of.values())) == len(of)
+    distinct = [len(set(x)) for x in shingles]
+    assert [min(n, 80) for n in line_dedup._counts(h, offsets, 80).tolist()] == [min(n, 80) for n in distinct]
+    at, _ = line_dedup.band_keys(h, offsets)
+    assert np.bincount(at, minlength=len(lines)).tolist() == [line_dedup.BANDS * ((n < 80) + (n >= 64)) for n in distinct]
+    others = [*lines[1:], lines[0]]
+    got = line_dedup.similarities((h, offsets), line_dedup.shingle_hashes(others)).tolist()
+    assert got == pytest.approx([line_dedup.jaccard(a, b) for a, b in zip(lines, others)])
+
+
 def test_line_dedup_repeated_shingles(spark):
     texts = ["-" * 20, "-" * 60, "ha " * 12 + "x", "ha " * 30 + "x", "=" * 300, "-=" * 9, "-=" * 40, "-----", "------", "--=---", "=" * 6 + "\n" + "ab" * 3]
     rows = list(enumerate(texts))

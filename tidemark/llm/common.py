@@ -189,10 +189,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the whole word."""
     h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+    for factor in (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)):
+        h *= factor
+        h ^= h >> np.uint64(33)
+    return h
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, connected_components, map_batches, mix, powers, repeats, without_repeats
+from tidemark.llm.common import BASE, Scratch, connected_components, map_batches, mix, repeats, without_repeats
 
 SHINGLE = 6
 BANDS = 12
@@ -57,16 +57,29 @@ def shingle_hashes(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.n
     """Hashes of the k-character shingles of all lines, one after the other, and where each line's begin (and the end)."""
     raw = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     sizes = np.array([len(x) for x in lines], dtype=np.int64)
-    starts = np.cumsum(sizes) - sizes
-    counts = np.maximum(1, sizes - k + 1)
+    ends = np.cumsum(sizes)
     offsets = np.zeros(len(lines) + 1, dtype=np.int64)
-    np.cumsum(counts, out=offsets[1:])
-    up, down = powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    at = np.repeat(starts - offsets[:-1], counts) + np.arange(offsets[-1])
-    width = np.repeat(np.minimum(sizes, k), counts)
-    return mix((sums[at + width] - sums[at]) * down[at]), offsets
+    np.cumsum(np.maximum(1, sizes - k + 1), out=offsets[1:])
+    values = np.zeros(len(raw) + k, dtype=np.uint64)
+    np.add(raw, np.uint64(1), out=values[: len(raw)])
+    # polynomials of the k characters from each place on; the last places of a line reach into the next one and are left out
+    sums = values[k - 1 : len(raw) + k - 1].copy()
+    for i in range(k - 2, -1, -1):
+        sums *= BASE
+        sums += values[i : len(raw) + i]
+    inside = np.ones(len(raw), dtype=bool)
+    for i in range(1, k):
+        inside[(ends - i)[sizes >= i + 1]] = False  # a line's first place always counts
+    out = sums[inside]
+    if len(out) < offsets[-1]:  # empty lines have one shingle of no characters
+        out = np.insert(out, np.searchsorted(np.flatnonzero(inside), ends[sizes == 0]), np.uint64(0))
+    short = np.flatnonzero((sizes > 0) & (sizes < k))
+    if len(short):
+        starts, own = (ends - sizes)[short], np.zeros(len(short), dtype=np.uint64)
+        for i in range(k - 2, -1, -1):
+            own = np.where(i < sizes[short], own * BASE + values[starts + i], own)
+        out[offsets[short]] = own
+    return mix(out), offsets
 
 
 @functools.lru_cache(maxsize=4)
@@ -114,21 +127,38 @@ def independent_signatures(h: np.ndarray, offsets: np.ndarray, size: int = _BINS
 
 def band_keys(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows, keys): which set (by position) has which band key; repeats count once."""
-    n = distinct_rows(h, offsets)[1]
+    n = _counts(h, offsets, round(SHORT / SIMILARITY))
     few, many = np.flatnonzero((n > 0) & (n < SHORT / SIMILARITY)), np.flatnonzero(n >= SHORT)
     at, keys = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
     for kind, rows, sign in ((1, few, independent_signatures), (0, many, signatures)):
         for start in range(0, len(rows), 256):  # bounds what is held at once
             own = rows[start : start + 256]
             sets = [h[offsets[i] : offsets[i + 1]] for i in own.tolist()]
-            if kind:
-                sets = [np.unique(x) for x in sets]
+            if kind:  # repeats don't change a minimum; they are only left out where they cost work
+                sets = [np.unique(x) if len(x) > 2 * SHORT else x for x in sets]
             ends = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
             at.append(np.repeat(own, BANDS))
             keys.append(_band_hashes(sign(np.concatenate(sets), ends), kind).reshape(-1))
     return np.concatenate(at), np.concatenate(keys)
 
 
+def _counts(h: np.ndarray, offsets: np.ndarray, most: int) -> np.ndarray:
+    """How many distinct hashes each row has; for rows of `most` or more, any number from `most` on; at most 1024 rows.
+
+    The slots of a small table that a row's hashes name are no more than its distinct hashes, so only rows with fewer slots than `most` are sorted.
+    """
+    sizes = np.diff(offsets)
+    slots = np.zeros((len(sizes), 1024), dtype=bool)
+    slots.reshape(-1)[(h & np.uint64(1023)).view(np.int64) + np.repeat(np.arange(len(sizes)) * 1024, sizes)] = True
+    n = np.count_nonzero(slots, axis=1)
+    unsure = np.flatnonzero((n < most) & (sizes > 1))
+    if len(unsure):
+        own = np.zeros(len(sizes), dtype=bool)
+        own[unsure] = True
+        n[unsure] = distinct_rows(h[np.repeat(own, sizes)], np.concatenate(([0], np.cumsum(sizes[unsure]))))[1]
+    return n
+
+
 def sketches(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(lines, SKETCH / 64): one bit of each of SKETCH MinHash values."""
     bits = (mix(signatures(h, offsets, SKETCH)) & np.uint64(1)).astype(np.uint8)
@@ -144,14 +174,20 @@ def distinct_rows(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def similarities(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Jaccard similarity, row by row, of sets of hashes (values, offsets), at most 1024 rows; 54 bits tell hashes of a row apart."""
-    (a, n), (b, m) = distinct_rows(*x), distinct_rows(*y)
-    both = np.sort(np.concatenate((a, b)))
-    shared = np.bincount((both[1:][both[1:] == both[:-1]] & np.uint64(1023)).astype(np.int64), minlength=len(n))
-    return shared / np.maximum(1, n + m - shared)
+    """Jaccard similarity, row by row, of sets of hashes (values, offsets), at most 1024 rows; 53 bits tell hashes of a row apart."""
+    n = len(x[1]) - 1
+    side = np.arange(2 * n, dtype=np.uint64).reshape(n, 2)
+    of = np.concatenate((np.repeat(side[:, 0], np.diff(x[1])), np.repeat(side[:, 1], np.diff(y[1]))))
+    key = mix(np.concatenate((x[0], y[0]))) & np.uint64(0xFFFFFFFFFFFFF800) | of
+    key.sort()
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
+    sizes = np.bincount((key & np.uint64(2047)).view(np.int64), minlength=2 * n).reshape(n, 2).sum(axis=1)
+    both = key[1:][key[1:] ^ key[:-1] == 1]  # a hash of both sides stands at both, one after the other
+    shared = np.bincount((both & np.uint64(2047)).view(np.int64) >> 1, minlength=n)
+    return shared / np.maximum(1, sizes - shared)
 
 
-def pieces_by_size(sizes: list[int], most: int = 250_000) -> list[tuple[int, int]]:
+def pieces_by_size(sizes: list[int], most: int = 120_000) -> list[tuple[int, int]]:
     """Ranges of rows of at most `most` in all (one row at least) and 512 rows: bounds what one call holds."""
     out, start, total = [], 0, 0
     for i, n in enumerate(sizes):
